@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
 from .jaccard_join import near_duplicates
+from .kneser_ney import classify
 from .shard_sort import shard_documents
 from .url_filter import Rule, judge_urls
 from .warc import plan_records, read_warc, write_warc
@@ -45,11 +46,16 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op4_warc": op4_warc,
     "op5_url_filter": op5_url_filter,
     "op7_decontamination": op7_decontamination,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_sharding": op10_sharding,
 }
 ORACLE_SQL: dict[str, str] = {}
