@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom_lm import score_texts
+from .bpe import read_spec, round_trip_digests
 from .decontaminate import find_contamination
 from .jaccard_join import near_duplicates
 from .kneser_ney import classify
@@ -26,6 +28,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_digests(_read(spark, sf_dir, "documents"), read_spec(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -56,6 +62,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op2_jaccard_join": op2_jaccard_join,
     "op4_warc": op4_warc,
     "op5_url_filter": op5_url_filter,
