@@ -13,6 +13,7 @@ from .bpe import read_spec, round_trip_digests
 from .decontaminate import find_contamination
 from .jaccard_join import near_duplicates
 from .kneser_ney import classify
+from .metric_tree import top_inner_products
 from .shard_sort import shard_documents
 from .url_filter import Rule, judge_urls
 from .warc import plan_records, read_warc, write_warc
@@ -36,6 +37,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return top_inner_products(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 RULES = [Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("example.org", "/en/1", "block"), Rule("com", "/fr/", "allow"), Rule("com", "/de/", "block")]
 
 
@@ -64,6 +70,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_top_k": op3_top_k,
     "op4_warc": op4_warc,
     "op5_url_filter": op5_url_filter,
     "op7_decontamination": op7_decontamination,
@@ -71,4 +78,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL: dict[str, str] = {}
+_TOP_K = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.x) = len(c.x))
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s
+qualify rank <= 10"""
+
+ORACLE_SQL: dict[str, str] = {"op3_top_k": _TOP_K}
