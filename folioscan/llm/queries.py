@@ -15,6 +15,7 @@ from .jaccard_join import near_duplicates
 from .kneser_ney import classify
 from .metric_tree import top_inner_products
 from .shard_sort import shard_documents
+from .surrogates import replace_private
 from .url_filter import Rule, judge_urls
 from .warc import plan_records, read_warc, write_warc
 from .workspace import new_path
@@ -42,6 +43,8 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+#: Secret in production; fixed here so that runs agree.
+SURROGATE_KEY = "folioscan"
 RULES = [Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("example.org", "/en/1", "block"), Rule("com", "/fr/", "allow"), Rule("com", "/de/", "block")]
 
 
@@ -55,6 +58,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_private(docs, SURROGATE_KEY, kinds_col="kinds")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -73,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_top_k": op3_top_k,
     "op4_warc": op4_warc,
     "op5_url_filter": op5_url_filter,
+    "op6_pii": op6_pii,
     "op7_decontamination": op7_decontamination,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_classifier": op9_quality_classifier,
