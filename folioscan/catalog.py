@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.plans import pages, text
+from folioscan.plans import pages, sessions, text
 
-MODULES = [text, pages]
+MODULES = [text, pages, sessions]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
