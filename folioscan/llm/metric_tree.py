@@ -87,7 +87,7 @@ class Pivots:
 
 
 def _rows(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(-1, dim) if len(column) else np.zeros((0, dim), np.int64)
+    return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(len(column), dim)
 
 
 def build_pages(points: DataFrame, pivots: dict[int, Pivots], page_rows: int = PAGE_ROWS) -> DataFrame:
@@ -130,7 +130,7 @@ def search_page_run(queries: np.ndarray, query_ids: np.ndarray, known: np.ndarra
     near, far, pivot = (np.array([p[c] for p in pages]) for c in ("near", "far", "pivot"))
     ids = [np.frombuffer(p["ids"], np.int64) for p in pages]
     parents = [np.frombuffer(p["parents"], np.float64) for p in pages]
-    vectors = [np.frombuffer(p["v"], np.int64).reshape(-1, dim) for p in pages]
+    vectors = [np.frombuffer(p["v"], np.int64).reshape(len(i), dim) for p, i in zip(pages, ids, strict=True)]
     own = to_pivots[:, pivot]
     low = np.maximum(np.maximum(own - far, near - own), 0)
     out, computed = [], 0
