@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .kernels import SLICE, SPACE, buffers, mix, powers, row_groups
 
 WINDOW, MASK = 24, (1 << 9) - 1
-STORE_BYTES = 96 << 20
+CORE_BYTES, MOST_WORDS = 32 << 20, 400_000
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -69,7 +69,8 @@ def spans(size: int, firm: np.ndarray, cuts: np.ndarray) -> list[tuple[int, int,
 
 
 class Encoder:
-    """Encodes texts with one tokenizer, keeping cores and words it has met, up to STORE_BYTES."""
+    """Encodes texts with one tokenizer, keeping up to CORE_BYTES of cores and about
+    MOST_WORDS words it has met."""
 
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -107,7 +108,7 @@ class Encoder:
 
     def _pieces(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of consecutive pieces of at most a slice in all; all edges are firm."""
-        if len(self.words) * 120 > STORE_BYTES:
+        if len(self.words) > MOST_WORDS:
             self.forget_words()
         starts, ends = edges[:-1], edges[1:]
         p, q = powers()
@@ -191,7 +192,7 @@ class Encoder:
         out = [np.concatenate([got[x] if isinstance(x, int) else x for x in row]) if row else np.zeros(0, np.int32) for row in rows]
         for key, ids in zip(keys, got, strict=True):
             if key is not None:
-                if self.core_bytes > STORE_BYTES:
+                if self.core_bytes > CORE_BYTES:
                     self.cores, self.core_bytes = {}, 0
                 self.cores[key] = ids.copy()
                 self.core_bytes += ids.nbytes + 200
