@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.plans import pages, sessions, text
+from folioscan.plans import layout, pages, sessions, text
 
-MODULES = [text, pages, sessions]
+MODULES = [text, pages, sessions, layout]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
