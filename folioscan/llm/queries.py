@@ -95,4 +95,38 @@ s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.
 select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s
 qualify rank <= 10"""
 
-ORACLE_SQL: dict[str, str] = {"op3_top_k": _TOP_K}
+_JACCARD = """
+with recursive w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
+x as (select doc_id, len(s) as n, unnest(s) as h from s),
+p as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as k from x a join x b on a.h = b.h and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p where k >= 0.8 * (na + nb - k) - 1e-9),
+r as (select doc_id as node, doc_id as least from documents union select l.b, r.least from r join l on l.a = r.node)
+select d.doc_id, (select min(least) from r where r.node = d.doc_id) as class_id, (select count(*) from l where l.a = d.doc_id) as n_links from documents d"""
+
+_WARC = """
+select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest,
+ case when strlen(coalesce(html, '')) >= 1000 and page_id <> max(page_id) over h then 'revisit' else 'response' end as record_type,
+ case when strlen(coalesce(html, '')) >= 1000 and page_id <> max(page_id) over h then max(page_id) over h end as refers_to, null::varchar as error
+from pages window h as (partition by coalesce(html, ''))"""
+
+_FIT = " ".join(f"when ({{0}} = '{r.host}' or {{0}} like '%.{r.host}') and starts_with({{1}}, '{r.path}') then '{{2[{i}]}}'" for i, r in enumerate(sorted(RULES, key=lambda r: -len(r.name))))
+
+
+def _fit(host: str, path: str, of: str) -> str:
+    return "case " + _FIT.format(host, path, [getattr(r, of) for r in sorted(RULES, key=lambda r: -len(r.name))]) + " end"
+
+
+_HOST = "translate(regexp_extract({0}, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "regexp_extract({0}, '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
+_URLS = f"""
+with recursive g as (select page_id, url, coalesce({_HOST.format("url")}, '') as host, coalesce({_PATH.format("url")}, '') as path, html from pages),
+t as (select url, unnest(list_concat(regexp_extract_all(html, '(?i)<link[^>]*canonical[^>]*>'), regexp_extract_all(html, '(?i)<meta[^>]*refresh[^>]*>'))) as tag from g),
+e as (select regexp_replace(url, '#.*$', '') as src, regexp_extract(tag, '(?i)(?:href|url)\\s*=\\s*["'']?(https?://[^"''\\s>#]+)', 1) as dst from t),
+b as (select src, dst from e where dst <> '' union select dst, src from e where dst <> ''),
+r as (select src as node, src as other from b union select r.node, b.dst from r join b on b.src = r.other),
+v as (select node, bool_or({_fit(_HOST.format("other"), _PATH.format("other"), "verdict")} = 'allow') as allows, bool_or({_fit(_HOST.format("other"), _PATH.format("other"), "verdict")} = 'block') as blocks from r group by 1)
+select page_id, host, path, {_fit("host", "path", "name")} as rule, coalesce({_fit("host", "path", "verdict")}, case when allows then 'allow' when blocks then 'block' end, 'allow') as verdict
+from g left join v on v.node = regexp_replace(url, '#.*$', '')"""
+
+ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": _JACCARD, "op3_top_k": _TOP_K, "op4_warc": _WARC, "op5_url_filter": _URLS}
