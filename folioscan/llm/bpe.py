@@ -5,7 +5,7 @@ documents that share a passage share its chunks. A chunk's own encoding holds wh
 stands, but for its edges: there the pre-tokenizer or a merge may reach across. Before an
 ASCII blank that follows a character surely not blank, no token and no look-ahead reaches
 across; such a place is firm. A chunk's core lies between its first and last firm place and
-is encoded once for each worker; what is left at a join is encoded anew together with the
+is encoded once for each task; what is left at a join is encoded anew together with the
 neighbour's edge, widened over chunks without a core until both ends are firm.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .kernels import SLICE, SPACE, buffers, mix, powers, row_groups
 
 WINDOW, MASK = 24, (1 << 9) - 1
-CORE_BYTES, MOST_WORDS = 32 << 20, 400_000
+CORE_BYTES, MOST_WORDS, LEARN = 24 << 20, 300_000, 4096
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -79,6 +79,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all that was kept; done after each task, since idle workers live on."""
         self.cores: dict[bytes, np.ndarray] = {}
         self.core_bytes = 0
         self.forget_words()
@@ -91,7 +95,11 @@ class Encoder:
         self.used = 0
 
     def _learn(self, keys: list[int], checks: list[int], texts: list[str]) -> None:
-        got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        for a in range(0, len(texts), LEARN):
+            got = self.tokenizer.encode_batch(texts[a : a + LEARN], add_special_tokens=False)
+            self._store(keys[a : a + LEARN], checks[a : a + LEARN], got)
+
+    def _store(self, keys: list[int], checks: list[int], got: list) -> None:
         for key, check, e in zip(keys, checks, got, strict=True):
             n = len(self.words)
             if n + 2 > len(self.first):
@@ -203,7 +211,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(spec: str) -> Encoder:
-    """This worker's encoder for a tokenizer file's text."""
+    """This worker's encoder for a tokenizer file's text; between tasks it keeps the tokenizer alone."""
     name = hashlib.sha256(spec.encode()).hexdigest()
     if name not in _ENCODERS:
         _ENCODERS.clear()
@@ -247,12 +255,15 @@ def encode(docs: DataFrame, spec: str, *, id_col: str = "doc_id", text_col: str
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(held.value)
-        for b in batches:
-            data, off = buffers(b.column(1))
-            for i, j in row_groups(off):
-                got = e.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got), pa.int32()))], ["id", "ids"])
+        try:
+            for b in batches:
+                data, off = buffers(b.column(1))
+                for i, j in row_groups(off):
+                    got = e.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                    ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got), pa.int32()))], ["id", "ids"])
+        finally:
+            e.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(go, f"id {kind}, ids array<int>").withColumnRenamed("id", docs.schema[id_col].name)

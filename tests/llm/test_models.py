@@ -96,7 +96,7 @@ def test_model_equals_the_formulas(spark):
     asked = [*train[:5], "a b zz c", "", "zz"]
     model = Model(pack_model(fit(spark.createDataFrame([(t, "en") for t in train], "text string, lang string"))))
     docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").selectExpr("*", "'en' as lang")
-    got = {r.id: r for r in score(docs, model).collect()}
+    got = {r.id: r for r in score(docs, spark.sparkContext.broadcast(model)).collect()}
     p = kneser_ney(train)
     for i, t in enumerate(asked):
         w = ["<s>", "<s>", *t.split(), "</s>"]
