@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .kernels import _BASE, buffers, mix, row_groups, words
 
 BLOCKS = 8
-UNIT = 64
+UNIT = 1 << 12
 SCHEMA = "{id} {kind}, item_id long, similarity double, distance int, word_start long, n_words int"
 
 
@@ -25,24 +25,43 @@ def runs(h: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
-def fingerprints(s: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
-    """64-bit SimHash of every window of ``size`` consecutive shingles."""
-    bits = ((s[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int64)
-    sums = np.zeros((len(s) + 1, 64), np.int64)
-    np.cumsum((2 * bits - 1) * weight[:, None], axis=0, out=sums[1:])
-    return np.packbits(sums[size:] - sums[:-size] > 0, axis=1, bitorder="little").view(np.uint64)[:, 0]
+def fingerprints(s: np.ndarray, size: int, n: np.ndarray | None = None) -> np.ndarray:
+    """64-bit SimHash of every window of ``size`` consecutive shingles.
+
+    ``n`` holds how many items have each shingle, 0 for none: then a shingle counts by the
+    root of 1 / n, and one of no item by the root of the mean 1 / n of its window. Roots make
+    the angle between two windows follow their weighted similarity. All sums are integers, so
+    equal windows print alike wherever they stand.
+    """
+
+    def over(x: np.ndarray) -> np.ndarray:
+        sums = np.zeros((len(s) + 1, *x.shape[1:]), np.int64)
+        np.cumsum(x, axis=0, out=sums[1:])
+        return sums[size:] - sums[:-size]
+
+    signs = 2 * ((s[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int64) - 1
+    if n is None:
+        sums = over(signs)
+    else:
+        known, share = n > 0, 1 / np.maximum(n, 1)
+        root = np.where(known, np.maximum(1, np.rint(UNIT * np.sqrt(share))), 0).astype(np.int64)
+        mean = over(np.where(known, UNIT * UNIT * share, 0).astype(np.int64)) / np.maximum(1, over(known.astype(np.int64)))
+        other = np.maximum(1, np.rint(np.sqrt(mean))).astype(np.int64)
+        sums = over(signs * root[:, None]) + other[:, None] * over(signs * ~known[:, None])
+    return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 class ItemIndex:
     """Benchmark items by length in words, ready to be sent to workers.
 
-    A shingle's weight is UNIT over the number of items that hold it, at least 1; shingles
-    of no item weigh UNIT. ``radius`` bounds the Hamming distance: of 8 blocks of 8 bits one
-    differs in at most radius // 8 bits, and the tables list the items within that, so no
-    fingerprint within the radius is missed.
+    ``often`` lists the shingles that more than one different item of the whole benchmark
+    holds, with how many; a shingle's weight is 1 over that number. ``radius`` bounds the
+    Hamming distance: of 8 blocks of 8 bits one differs in at most radius // 8 bits, and the
+    tables list the items within that, so no fingerprint within the radius is missed. Windows
+    are printed without weights and, where these differ, with them: either print may find.
     """
 
-    def __init__(self, items: list[tuple[int, str]], shingle: int, radius: int, threshold: float):
+    def __init__(self, items: list[tuple[int, str]], often: tuple[np.ndarray, np.ndarray], shingle: int, radius: int, threshold: float):
         self.shingle, self.radius, self.threshold = shingle, radius, threshold
         texts = pa.array([t for _, t in items], pa.string())
         data, off = buffers(texts)
@@ -51,37 +70,63 @@ class ItemIndex:
         for (item, _), a, b in zip(items, at[:-1], at[1:], strict=True):
             if b > a:
                 by_length[int(b - a)].append((item, runs(h[a:b], min(shingle, int(b - a)))))
-        every = [np.unique(s) for group in by_length.values() for _, s in group]
-        self.known, n = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.weight = np.maximum(1, UNIT // np.maximum(n, 1)).astype(np.int64)
+        every = [s for group in by_length.values() for _, s in group]
+        own = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
+        self.known = np.union1d(own, often[0])
+        self.n = np.ones(len(self.known), np.int64)
+        self.n[np.searchsorted(self.known, often[0])] = often[1]
         self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[self.known & np.uint64((1 << 20) - 1)] = True
+        self.sieve[own & np.uint64((1 << 20) - 1)] = True
         near = np.array([[bin(a ^ b).count("1") <= radius // BLOCKS for a in range(256)] for b in range(256)])
         self.lengths = {}
         for m, group in sorted(by_length.items()):
-            prints = np.array([fingerprints(s, self.weigh(s), len(s))[0] for _, s in group], np.uint64)
-            blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
-            tables = np.stack([near[:, blocks[:, b]] for b in range(BLOCKS)])
+            kinds = []
+            for weighted in (False, True):
+                prints = np.array([fingerprints(s, len(s), self.holders(s) if weighted else None)[0] for _, s in group], np.uint64)
+                if weighted and np.array_equal(prints, kinds[0][0]) and len(np.unique(self.n)) == 1:
+                    break
+                blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
+                kinds.append((prints, np.stack([near[:, blocks[:, b]] for b in range(BLOCKS)])))
             held = np.unique(np.concatenate([s for _, s in group]))
-            self.lengths[m] = ([i for i, _ in group], [np.unique(s, return_counts=True) for _, s in group], prints, tables, held)
+            bags = [self.bag(s) for _, s in group]
+            self.lengths[m] = ([i for i, _ in group], bags, kinds, held, min(self.fewest(bag) for bag in bags))
 
-    def weigh(self, s: np.ndarray) -> np.ndarray:
+    def holders(self, s: np.ndarray) -> np.ndarray:
+        """How many items hold each shingle; 0 for those of one item elsewhere, or of none."""
         at, found = self.find(s)
-        return np.where(found, self.weight[at], UNIT) if len(self.known) else np.full(len(s), UNIT)
+        return np.where(found, self.n[at], 0) if len(self.known) else np.zeros(len(s), np.int64)
 
     def find(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.known, s), max(0, len(self.known) - 1))
         return at, (self.known[at] == s) if len(self.known) else np.zeros(len(s), bool)
 
-    def similarity(self, window: np.ndarray, item: tuple[np.ndarray, np.ndarray]) -> float:
-        """Weighted Jaccard of two bags of shingles."""
+    def bag(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shingles, how often, weights) of an item."""
+        b, m = np.unique(s, return_counts=True)
+        return b, m, 1 / self.holders(b)
+
+    def fewest(self, bag: tuple[np.ndarray, np.ndarray, np.ndarray]) -> int:
+        """The least number of shingles with which a text can reach the threshold: its
+        heaviest ones. Without weights no fewer would do."""
+        _, m, w = bag
+        heavy = np.cumsum(np.sort(np.repeat(w, m))[::-1])
+        return int(np.searchsorted(heavy, self.threshold * heavy[-1] - 1e-9 * heavy[-1])) + 1
+
+    def similarity(self, window: np.ndarray, bag: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
+        """Jaccard of two bags of shingles, plain or weighted, whichever is more. A shingle
+        that the item lacks weighs as much as the item's do on average unless several other
+        items hold it, so an edit counts alike however often the item is repeated, and the
+        result depends on the item and ``often`` alone."""
         a, n = np.unique(window, return_counts=True)
-        b, m = item
-        every = np.union1d(a, b)
-        x, y = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
-        x[np.searchsorted(every, a)], y[np.searchsorted(every, b)] = n, m
-        w = self.weigh(every)
-        return float((np.minimum(x, y) * w).sum() / (np.maximum(x, y) * w).sum())
+        b, m, w = bag
+        at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+        x = np.where(a[at] == b, n[at], 0)
+        both, extra = np.minimum(x, m), b[np.minimum(np.searchsorted(b, a), len(b) - 1)] != a
+        plain = both.sum() / (np.maximum(x, m).sum() + n[extra].sum())
+        holders = self.holders(a[extra])
+        light = np.where(holders > 1, 1 / np.maximum(holders, 1), (m * w).sum() / m.sum())
+        weighted = (both * w).sum() / ((np.maximum(x, m) * w).sum() + (n[extra] * light).sum())
+        return float(max(plain, weighted))
 
     def match(self, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, float, int, int, int]]:
         """(row, item, similarity, distance, start, words): each item's best window in each row.
@@ -108,41 +153,67 @@ class ItemIndex:
                         yield from self._row(s, own, int(at[row]), int(at[row + 1]), int(row), m, k)
 
     def _row(self, s: np.ndarray, hits: np.ndarray, first: int, end: int, row: int, m: int, k: int) -> Iterator[tuple]:
-        ids, bags, prints, tables, held = self.lengths[m]
+        ids, bags, kinds, held, fewest = self.lengths[m]
+        length = m
         if end - first < m:
             return
+        size = length - k + 1
+        if size < fewest and length < m:
+            return
         mine = hits[np.isin(s[hits], held)]
-        size = m - k + 1
         best: dict[int, tuple[float, int, int]] = {}
         gaps = np.flatnonzero(np.diff(mine) >= 2 * m) + 1
         for part in np.split(mine, gaps):
             if not len(part):
                 continue
-            lo, hi = max(first, int(part[0]) - size + 1), min(end - m, int(part[-1]))
+            lo, hi = max(first, int(part[0]) - size + 1), min(end - length, int(part[-1]))
             for a in range(lo, hi + 1, 4096):
                 z = min(hi, a + 4095)
                 region = s[a : z + size]
-                got = fingerprints(region, self.weigh(region), size)
-                close = np.zeros((len(got), len(ids)), bool)
-                for b, value in enumerate(got.view(np.uint8).reshape(-1, BLOCKS).T):
-                    close |= tables[b][value]
-                w, i = np.nonzero(close)
-                distance = np.bitwise_count(got[w] ^ prints[i])
-                for w_, i_, d in zip(*(x[distance <= self.radius].tolist() for x in (w, i, distance)), strict=True):
+                n = self.holders(region)
+                different = len(np.unique(n[n > 0])) > 1
+                distance = np.full((z + 1 - a, len(ids)), 65, np.uint8)
+                for k_, (prints, tables) in enumerate(kinds):
+                    if not k_ or different:  # else the window's two prints are one
+                        got = fingerprints(region, size, n if k_ else None)
+                    close = np.zeros(distance.shape, bool)
+                    for b, value in enumerate(got.view(np.uint8).reshape(-1, BLOCKS).T):
+                        close |= tables[b][value]
+                    w, i = np.nonzero(close)
+                    distance[w, i] = np.minimum(distance[w, i], np.bitwise_count(got[w] ^ prints[i]))
+                w, i = np.nonzero(distance <= self.radius)
+                for w_, i_, d in zip(w.tolist(), i.tolist(), distance[w, i].tolist(), strict=True):
                     sim = self.similarity(region[w_ : w_ + size], bags[i_])
                     if sim >= self.threshold and sim > best.get(i_, (0.0,))[0]:
                         best[i_] = (sim, d, a + w_ - first)
         for i_, (sim, d, start) in best.items():
-            yield row, ids[i_], sim, d, start, m
+            yield row, ids[i_], sim, d, start, length
+
+
+def _item_shingles(shingle: int):
+    """(text, s): the shingles of each item, with a hash of its words."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = buffers(batch.column(0))
+            h, at, _, _ = words(data, off, lower=True)
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                if b > a:
+                    s = np.unique(runs(h[a:b], min(shingle, int(b - a))))
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (np.repeat(runs(h[a:b], int(b - a)), len(s)), s)], ["text", "s"])
+
+    return go
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, threshold: float = 0.8, radius: int = 23, block_bytes: int = 8 << 20) -> DataFrame:
     """(id, item_id, similarity, distance, word_start, n_words): one row for each document and
-    benchmark item whose best item-sized window reaches ``threshold``.
+    benchmark item whose best item-sized window reaches ``threshold``, in plain Jaccard
+    similarity of shingles or with each weighed 1 over the number of different items of the
+    whole benchmark that hold it; ``similarity`` is the greater.
 
     Words are lower-cased (A-Z) and split at ASCII white space. Documents are read once for
-    each block of items of at most ``block_bytes`` of text (one item at least), which is all
-    that is broadcast. Items shorter than a shingle match as a whole; empty or null texts
+    each block of items of at most ``block_bytes`` of text (one item at least), which is
+    broadcast with the shingles that several items of the whole benchmark hold. Items shorter than a shingle match as a whole; empty or null texts
     match nothing; of equal windows the first counts; rows that repeat a document give
     repeated rows; repeated items match each under their own id; empty tables give no rows.
     """
@@ -152,9 +223,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
     name = docs.schema[id_col].name
     out = None
+    dealt = sized.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
+    shared = sized.select("text").mapInArrow(_item_shingles(shingle), "text long, s long").groupBy("s").agg(F.count_distinct("text").alias("n")).where("n > 1").toArrow()
+    often = shared["s"].to_numpy().view(np.uint64), shared["n"].to_numpy()
     for b in range(blocks):
-        items = [tuple(r) for r in sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()]
-        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(items, shingle, radius, threshold))
+        items = [tuple(r) for r in dealt.where(F.col("block") == b).select("item_id", "text").orderBy("item_id", "text").collect()]
+        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(items, often, shingle, radius, threshold))
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

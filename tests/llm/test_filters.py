@@ -168,3 +168,30 @@ def test_drop_contaminated(spark):
     out = drop_contaminated(docs, bench)
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [2, 3]
     assert drop_contaminated(docs, bench.limit(0)).count() == 4
+
+
+def test_repeated_items_never_lower_a_match(spark):
+    own = [f"w{i}" for i in range(60)]
+    edited = own[:30] + ["changed"] + own[31:]
+    docs = [(1, " ".join(["before", *edited, "after"]))]
+    item = " ".join(own)
+    for copies in (1, 2, 8):  # equal texts
+        got = contaminated(spark, docs, [(i, item) for i in range(copies)])
+        assert set(got) == {(1, i) for i in range(copies)}
+        assert all(abs(r.similarity - 51 / 61) < 1e-9 for r in got.values())
+    near = [(i, f"{item} tail{i} end{i}") for i in range(8)]  # different texts that share nearly all
+    docs = [(1, " ".join(["before", *edited, "tail3", "end3", "after"]))]
+    for block_bytes in (8 << 20, 400):
+        got = contaminated(spark, docs, near, block_bytes=block_bytes)
+        assert (1, 3) in got and got[1, 3].similarity >= 53 / 63
+
+
+def test_weights_do_not_depend_on_blocks(spark):
+    rng = random.Random(3)
+    head = " ".join(f"h{i}" for i in range(20))
+    items = [(i, head + " " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(40))) for i in range(30)]
+    docs = [(i, "q " + t.replace(" h7 ", " other ") + " z") for i, t in items]
+    one = contaminated(spark, docs, items)
+    many = contaminated(spark, docs, items, block_bytes=1500)
+    assert set(one) == {(i, i) for i in range(30)}
+    assert {k: r.similarity for k, r in one.items()} == {k: r.similarity for k, r in many.items()}
