@@ -154,9 +154,7 @@ class ItemIndex:
 
     def _row(self, s: np.ndarray, hits: np.ndarray, first: int, end: int, row: int, m: int, k: int) -> Iterator[tuple]:
         ids, bags, kinds, held, fewest = self.lengths[m]
-        length = m
-        if end - first < m:
-            return
+        length = min(m, end - first)  # a shorter text is one window
         size = length - k + 1
         if size < fewest and length < m:
             return
@@ -209,7 +207,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     """(id, item_id, similarity, distance, word_start, n_words): one row for each document and
     benchmark item whose best item-sized window reaches ``threshold``, in plain Jaccard
     similarity of shingles or with each weighed 1 over the number of different items of the
-    whole benchmark that hold it; ``similarity`` is the greater.
+    whole benchmark that hold it; ``similarity`` is the greater. A document shorter than the
+    item is one window.
 
     Words are lower-cased (A-Z) and split at ASCII white space. Documents are read once for
     each block of items of at most ``block_bytes`` of text (one item at least), which is

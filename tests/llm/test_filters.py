@@ -195,3 +195,15 @@ def test_weights_do_not_depend_on_blocks(spark):
     many = contaminated(spark, docs, items, block_bytes=1500)
     assert set(one) == {(i, i) for i in range(30)}
     assert {k: r.similarity for k, r in one.items()} == {k: r.similarity for k, r in many.items()}
+
+
+def test_document_shorter_than_the_item(spark):
+    own = [f"w{i}" for i in range(60)]
+    item = " ".join(own)
+    docs = [(1, " ".join(own[:-1])), (2, " ".join(own[1:])), (3, " ".join(own[:20] + own[21:])), (4, " ".join(own[:49])), (5, " ".join(own[:48])), (6, " ".join(own[:3])), (7, "")]
+    got = contaminated(spark, docs, [(0, item)])
+    assert {d: (round(r.similarity, 6), r.word_start, r.n_words) for (d, _), r in got.items()} == {1: (round(55 / 56, 6), 0, 59), 2: (round(55 / 56, 6), 0, 59), 3: (round(51 / 60, 6), 0, 59), 4: (round(45 / 56, 6), 0, 49)}
+    assert drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(0, item)], "item_id long, text string")).count() == 3
+    # the opening that all items share hardly counts
+    items = [(i, " ".join([f"h{j}" for j in range(30)] + [f"x{i}_{j}" for j in range(40)])) for i in range(10)]
+    assert set(contaminated(spark, [(1, " ".join(f"x4_{j}" for j in range(40)))], items)) == {(1, 4)}
