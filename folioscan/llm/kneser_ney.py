@@ -245,26 +245,28 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """(id, lang, n_tokens, log10_prob, perplexity, threshold, keep) for each row of ``docs``.
 
     Trusted rows are those that ``labels`` calls of quality 1 and not toxic. The model is
-    fitted on the ``max_train_docs`` of one half of them with the least hash among texts of at
-    most ``max_train_bytes``, which bounds it; a language's threshold is the ``share`` quantile of
+    fitted on ``max_train_docs`` of one half of them among texts of at most ``max_train_bytes``,
+    which bounds it; languages take turns, each with its rows of least hash. A language's threshold is the ``share`` quantile of
     the perplexities of all trusted rows outside that sample. A row is kept up to the
     threshold of its language plus ``slack`` / sqrt(n_tokens) in log10, since short texts
-    scatter more; languages without a threshold, and rows of null text, are judged as empty
-    texts or kept. Null languages are one language; repeated rows are judged alike; label
+    scatter more. Rows of a language without a model or without trusted rows outside the
+    sample have a null threshold and are kept; null texts are judged as empty ones. Null languages are one language; repeated rows are judged alike; label
     rows that disagree on an id make it untrusted; empty tables give no rows.
     """
     verdicts = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good")).where("good").select(id_col)
-    trusted = materialize(docs.select(id_col, F.octet_length(text_col).alias("_size")).join(verdicts, id_col, "left_semi"), "trusted")
+    trusted = materialize(docs.select(id_col, F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("_lang"), F.octet_length(text_col).alias("_size")).join(verdicts, id_col, "left_semi"), "trusted")
     half = F.pmod(F.xxhash64(id_col), F.lit(2)) == 0
-    sample = trusted.where(half & F.col("_size").between(1, max_train_bytes)).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(max_train_docs)
-    ids = [r[0] for r in sample.collect()]
+    fit_for = trusted.where(half & F.col("_size").between(1, max_train_bytes)).groupBy(id_col).agg(F.min("_lang").alias("_lang"))
+    turn = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64(id_col), id_col))
+    sample = fit_for.withColumn("_turn", turn).where(F.col("_turn") <= max_train_docs).orderBy("_turn", F.xxhash64(id_col), id_col).limit(max_train_docs).collect()
+    ids, langs = [r[id_col] for r in sample], sorted({r["_lang"] for r in sample})
     train = docs.where(F.col(id_col).isin(ids)).dropDuplicates([id_col]) if ids else docs.limit(0)
     held = docs.sparkSession.sparkContext.broadcast(Model(pack_model(fit(train, text_col, lang_col))))
     scores = materialize(score(docs, held, id_col=id_col, text_col=text_col, lang_col=lang_col).withColumn("log10_ppl", -F.col("log10_prob") / F.col("n_tokens")), "scores")
     held.destroy()  # else each worker keeps it
     chosen = F.col("id").isin(ids) if ids else F.lit(False)
     held_out = scores.where(~chosen).join(trusted.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
-    cut = quantiles(held_out.withColumn("lang", F.coalesce("lang", F.lit(""))), share)
+    cut = quantiles(held_out.withColumn("lang", F.coalesce("lang", F.lit(""))), share).where(F.col("lang").isin(langs) if langs else F.lit(False))
     joined = scores.withColumn("_lang", F.coalesce("lang", F.lit(""))).join(cut.withColumnRenamed("lang", "_lang"), "_lang", "left").drop("_lang")
     limit = F.col("threshold") + slack / F.sqrt("n_tokens")
     out = joined.select("id", "lang", "n_tokens", "log10_prob", F.pow(F.lit(10.0), F.col("log10_ppl")).alias("perplexity"), F.pow(F.lit(10.0), F.col("threshold")).alias("threshold"), F.coalesce(F.col("log10_ppl") <= limit, F.lit(True)).alias("keep"))

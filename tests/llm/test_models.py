@@ -182,3 +182,12 @@ def test_pipeline_stages(spark, tmp_path):
     masked = spark.read.parquet(f"{tmp_path}/pii").where("text like '%me.too@%'")
     assert masked.count() == 0 and len(words) > 0
     assert pipeline.run(spark, str(tmp_path)).count() == len(kept[-1])
+
+
+def test_sample_is_dealt_by_language(spark):
+    rows = [(i, "the cat sat on the mat and saw %d" % (i % 5), "en") for i in range(300)] + [(1000 + i, "un dos tres cuatro cinco seis %d" % (i % 2), "es") for i in range(8)] + [(2000, "ein zwei drei", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.where("lang <> 'de'").selectExpr("doc_id", "1 as quality", "0 as toxic")
+    got = classify(docs, labels, max_train_docs=2).collect()
+    assert all(r.perplexity < 1000 and r.threshold < 1000 for r in got if r.lang == "es")
+    assert all(r.threshold is None and r.keep for r in got if r.lang == "de")
