@@ -20,28 +20,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .kernels import buffers, mix, row_groups, shingles, words
-from .workspace import materialize
+from .kernels import buffers, finishing, mix, row_groups, shingles, words
+from .workspace import discard, fresh, materialize
 
 LANES = 64
 SAMPLED = 2.0
 DEPTH = 3
 SMALL = 64
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1_000_000
 _LANE_KEYS = mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LANE_ODD = _LANE_KEYS | np.uint64(1)
 
 
-def runs_needed(threshold: float, target: float, depth: int = DEPTH) -> int:
-    """Runs after which two sets at ``threshold`` have met with probability ``target``.
+def lanes_needed(threshold: float, miss: float) -> int:
+    """The most lanes that may be asked for so that two sets at ``threshold`` agree in fewer
+    with probability of at most ``miss``."""
+    below, k = 0.0, 0
+    while True:
+        below += math.comb(LANES, k) * threshold**k * (1 - threshold) ** (LANES - k)
+        if below > miss or k == LANES:
+            return max(1, k)
+        k += 1
 
-    Over one level a shared lane survives with chance SAMPLED / LANES, so a pair's paths
-    die out as a branching process of mean SAMPLED * threshold.
+
+def miss_chance(threshold: float, runs: int, least: int, depth: int = DEPTH) -> float:
+    """The chance that two sets at ``threshold`` never meet in ``runs`` runs or agree in fewer
+    than ``least`` lanes.
+
+    The lanes in which they agree are binomial. Over one level a shared lane survives with
+    chance SAMPLED / LANES, so the paths of a pair with k shared lanes die out as a branching
+    process of mean SAMPLED * k / LANES.
     """
-    dead = 0.0
-    for _ in range(depth):
-        dead = (1 - SAMPLED / LANES * (1 - dead)) ** (LANES * threshold)
-    return max(1, math.ceil(math.log(1 - target) / math.log(dead)))
+    missed = 0.0
+    for k in range(LANES + 1):
+        dead = 0.0
+        for _ in range(depth):
+            dead = (1 - SAMPLED / LANES * (1 - dead)) ** k
+        missed += math.comb(LANES, k) * threshold**k * (1 - threshold) ** (LANES - k) * (dead**runs if k >= least else 1.0)
+    return missed
+
+
+def runs_needed(threshold: float, target: float, depth: int = DEPTH) -> tuple[int, int]:
+    """(runs, least shared lanes) after which two sets at ``threshold`` have met and look
+    similar with probability ``target``."""
+    least = lanes_needed(threshold, (1 - target) / 50)
+    runs = 1
+    while miss_chance(threshold, runs, least, depth) > 1 - target:
+        runs += 1
+    return runs, least
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -70,7 +96,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
     """(id, node, size, sig); node and sig are null for texts without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in finishing(batches):
             data, off = buffers(b.column(1))
             keys, sizes, sigs = [], [], []
             for i, j in row_groups(off):
@@ -102,7 +128,7 @@ def _split(rows: DataFrame, runs: int) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        for b in batches:
+        for b in finishing(batches):
             if not b.num_rows:
                 continue
             sigs = _matrix(b.column("sig"), np.uint32, LANES)
@@ -119,7 +145,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], act: Callable[[p
     """Calls ``act`` with the rows of each run of equal keys in sorted batches."""
     held: list[pa.RecordBatch] = []
     last = None
-    for b in batches:
+    for b in finishing(batches):
         if not b.num_rows:
             continue
         cols = np.stack([b.column(k).to_numpy() for k in keys])
@@ -150,10 +176,7 @@ def _new_pairs(t: pa.Table) -> np.ndarray:
     shared = counts[inverse] > 1
     met = np.zeros((n, n), bool)
     if shared.any():
-        _, inverse = np.unique(values[shared], return_inverse=True)
-        m = np.zeros((n, inverse.max() + 1), np.float32)
-        m[rows[shared], inverse] = 1
-        met = m @ m.T > 0
+        met = _overlap(rows[shared], values[shared], n) > 0
     block = t.column("block").to_numpy()
     if t.column("bi")[0].as_py() != t.column("bj")[0].as_py():
         met |= block[:, None] == block[None, :]
@@ -161,6 +184,20 @@ def _new_pairs(t: pa.Table) -> np.ndarray:
     return ~met
 
 
+def _overlap(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """How many values each two of ``n`` rows share; 1024 values at a time, so memory is n x (n + 1024)."""
+    order = np.argsort(values, kind="stable")
+    rows, values = rows[order], values[order]
+    column = np.cumsum(np.concatenate([[False], values[1:] != values[:-1]])) if len(values) else values
+    out = np.zeros((n, n), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 1024):
+        lo, hi = np.searchsorted(column, [a, a + 1024])
+        m = np.zeros((n, 1024), np.float32)
+        m[rows[lo:hi], column[lo:hi] - a] = 1
+        out += m @ m.T
+    return out
+
+
 def _agreement(sigs: np.ndarray) -> np.ndarray:
     if len(sigs) <= 48:
         return (sigs[:, None, :] == sigs[None, :, :]).sum(axis=2)
@@ -206,23 +243,9 @@ def exact_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
         inter = np.zeros((n, n))
         for i in range(n):
             for j in range(i + 1, n):
-                inter[i, j] = inter[j, i] = len(sets[i]) + len(sets[j]) - len(np.union1d(sets[i], sets[j]))
+                inter[i, j] = inter[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
     else:
-        inter = np.zeros((n, n), np.float32)
-        every = np.concatenate(sets)
-        rows = np.repeat(np.arange(n), sizes)
-        _, column, counts = np.unique(every, return_inverse=True, return_counts=True)
-        keep = counts[column] > 1
-        rows = rows[keep]
-        _, column = np.unique(column[keep], return_inverse=True)
-        order = np.argsort(column, kind="stable")
-        rows, column = rows[order], column[order]
-        width = int(column[-1]) + 1 if len(column) else 0
-        for a in range(0, width, 2048):
-            lo, hi = np.searchsorted(column, [a, a + 2048])
-            m = np.zeros((n, min(2048, width - a)), np.float32)
-            m[rows[lo:hi], column[lo:hi] - a] = 1
-            inter += m @ m.T
+        inter = _overlap(np.repeat(np.arange(n), sizes), np.concatenate(sets), n)
     return inter >= threshold * (sizes[:, None] + sizes[None, :] - inter) - 1e-9
 
 
@@ -258,6 +281,7 @@ def _links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
 def _chosen_buckets(reps: DataFrame, runs: int, depth: int, small: int) -> DataFrame:
     """(path, node, count, mass): the final buckets of two nodes or more."""
     frontier = materialize(_split(reps.select("node", "sig"), runs), "paths")
+    frontiers = [frontier]
     done: DataFrame | None = None
     for level in range(1, depth + 1):
         sizes = frontier.groupBy("path").agg(F.count("*").alias("count")).where("count > 1")
@@ -268,27 +292,35 @@ def _chosen_buckets(reps: DataFrame, runs: int, depth: int, small: int) -> DataF
             break
         large = kept.where(F.col("count") > small).select("path", "node")
         frontier = materialize(_split(large.join(reps.select("node", "sig"), "node"), runs), "paths")
+        frontiers.append(frontier)
         if frontier.limit(1).count() == 0:
             break
-    return materialize(done, "buckets")
+    out = materialize(done, "buckets")
+    for f in frontiers:
+        discard(f)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, target_recall: float = 0.999, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
     """(id, class_id, n_links) for each row of ``docs``.
 
     ``n_links`` counts the other rows whose shingle sets have Jaccard similarity of at least
-    ``threshold``; ``class_id`` is the least id of the connected component of such links.
+    ``threshold``; ``class_id`` is the least id of the connected component of such links. A
+    pair just at the threshold is found with probability ``target_recall``: that covers the
+    runs and the least number of min-hash lanes asked for before the exact check; more
+    similar pairs are missed less often, equal sets never.
     Words are split at ASCII white space; a text of fewer than ``shingle`` words has one
     shingle of them all. Texts without words (empty, null) link to nothing, and each is its
     own class; rows of null id stay, and count as links; rows that repeat a document link to
-    each other; an empty table gives no rows. Buckets above ``BLOCK_ROWS`` rows or
-    ``BLOCK_SHINGLES`` shingles are searched in pairs of blocks, so none is cut short, and a
-    pair counts in the least bucket where it meets. Pairs are counted in tasks and never
-    become rows.
+    each other; an empty table gives no rows; columns of ``docs`` besides id and text play no
+    part, whatever their names. Buckets above ``BLOCK_ROWS`` rows or ``BLOCK_SHINGLES``
+    shingles are searched in pairs of blocks, so none is cut short, and a pair counts in the
+    least bucket where it meets. Pairs are counted in tasks and never become rows.
     """
     signed = materialize(_signed(docs, id_col, text_col, shingle), "signed")
     reps = materialize(signed.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("rep"), F.first("size").alias("size"), F.first("sig").alias("sig")), "nodes")
-    buckets = _chosen_buckets(reps, runs_needed(threshold, target_recall, depth), depth, small)
+    runs, least = runs_needed(threshold, target_recall, depth)
+    buckets = _chosen_buckets(reps, runs, depth, small)
     lists = buckets.groupBy("node").agg(F.sort_array(F.collect_set("path")).alias("paths"))
     info = reps.join(lists, "node").select("node", "sig", "size", "paths")
     rows = buckets.join(info, "node")
@@ -297,22 +329,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("bi"), F.greatest(k, F.col("block")).alias("bj")))
     dealt = rows.withColumn("block", own).withColumn("pair", F.explode(pairs)).select("path", "pair.bi", "pair.bj", "block", "node", "paths", "sig")
-    least = max(1, math.floor(LANES * threshold - 5 * math.sqrt(LANES * threshold * (1 - threshold))))
     key = ["path", "bi", "bj"]
     alike = materialize(dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda b: _looks_similar(b, least), "path long, bi int, bj int, block int, node binary, paths array<long>"), "alike")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in finishing(batches):
             data, off = buffers(b.column(0))
             for i, j in row_groups(off):
                 sets = list(shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], shingle))
                 yield pa.RecordBatch.from_arrays([pa.array([node_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
     wanted = alike.select("node").distinct().join(reps.select("node", "rep", "n"), "node")
-    texts = docs.select(F.col(id_col).alias("_rep"), F.col(text_col).alias("_text")).join(wanted.select(F.col("rep").alias("_rep")).distinct(), "_rep", "left_semi")
+    every = docs.select(F.col(id_col).alias("_rep"), F.col(text_col).alias("_text"))
+    texts = every.join(wanted.select(F.col("rep").alias("_rep")).distinct(), "_rep", "left_semi")
+    if reps.where("rep is null").limit(1).count():  # texts that only rows of null id hold
+        texts = texts.unionByName(every.where("_rep is null"))
     sets = texts.select("_text").mapInArrow(expand, "node binary, shingles binary").dropDuplicates(["node"]).join(wanted.select("node", "n"), "node")
     checked = alike.join(sets, "node").repartition(*key).sortWithinPartitions(*key)
     found = materialize(checked.mapInArrow(lambda b: _links(b, threshold), "node binary, links long, least binary"), "links")
+    discard(buckets), discard(alike)
     parts = connected_components(found.select(F.col("node").alias("src"), F.col("least").alias("dst")))
     classes = parts.join(reps.select(F.col("node"), "rep"), "node")
     classes = classes.join(classes.groupBy("component").agg(F.min("rep").alias("class_id")), "component").select("node", "class_id")
@@ -322,12 +357,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with only the least id of each class of near duplicates; of rows that repeat
-    one document one stays. Rows of null id stay."""
-    found = materialize(near_duplicates(docs, id_col=id_col, **options), "classes")
-    gone = found.where(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
-    out = docs.join(gone, id_col, "left_anti")
-    if found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count():
-        out = out.where(F.col(id_col).isNull()).unionByName(out.where(F.col(id_col).isNotNull()).dropDuplicates())
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each class of near duplicates: that of the least id, and of
+    rows of one id that of the least digest of its text; a null id comes after all others.
+    Rows are told apart by id and text together, so rows that share an id, or have none, are
+    judged each by its own text; of rows equal in both one stays. Texts without words link
+    to nothing."""
+    key = fresh(docs, "row_key")
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("c")))
+    found = materialize(near_duplicates(keyed, id_col=key, text_col=text_col, **options).select(F.col(key).alias("_key"), F.col("class_id").alias("_class")), "classes")
+    gone = found.where("_key != _class").select("_key").distinct()
+    out = keyed.join(gone.withColumnRenamed("_key", key), key, "left_anti")
+    if found.groupBy("_key").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates([key])
     return out.select(*docs.columns)

@@ -6,6 +6,7 @@ over its bytes modulo 2**64, read off prefix sums, so no Python string is made.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -65,8 +66,12 @@ def row_groups(off: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
 
 def words(data: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, word offsets by row, starts, ends) of the words of consecutive rows."""
-    if len(data) > SLICE:
-        return _long_words(data, off, lower)
+    h, starts, ends = _raw_words(data, off, lower) if len(data) <= SLICE else _long_words(data, off, lower)
+    return mix(h), np.searchsorted(starts, off), starts, ends
+
+
+def _raw_words(data: np.ndarray, off: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(polynomials, starts, ends) of the words of at most a slice."""
     if lower:
         data = LOWER[data]
     blank = SPACE[data]
@@ -82,25 +87,29 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.nd
     p, q = powers()
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=sums[1:])
-    h = mix((sums[ends] - sums[starts]) * q[starts])
-    return h, np.searchsorted(starts, off), starts, ends
-
-
-def _long_words(data: np.ndarray, off: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One or more rows beyond a slice: cut at white space or row ends, each piece hashed alone."""
-    cuts, i, n = [0], 0, len(data)
-    while n - i > SLICE:
-        window = np.flatnonzero(SPACE[data[i + 1 : i + SLICE]])
-        ends = off[(off > i) & (off <= i + SLICE)]
-        i = int(max(window[-1] + i + 1 if len(window) else 0, ends[-1] if len(ends) else 0)) or i + SLICE
-        cuts.append(i)
-    cuts.append(n)
-    hs, ss, es = [], [], []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        h, _, s, e = words(data[a:b], np.concatenate([[0], off[(off > a) & (off < b)] - a, [b - a]]), lower)
-        hs.append(h), ss.append(s + a), es.append(e + a)
-    starts = np.concatenate(ss)
-    return np.concatenate(hs), np.searchsorted(starts, off), starts, np.concatenate(es)
+    return (sums[ends] - sums[starts]) * q[starts], starts, ends
+
+
+def _long_words(data: np.ndarray, off: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for more than a slice: a word that a slice's end cuts is put together again,
+    its parts' polynomials shifted by the length of what precedes them."""
+    rows = set(off.tolist())
+    hs: list[np.ndarray] = []
+    ss: list[np.ndarray] = []
+    es: list[np.ndarray] = []
+    for a in range(0, len(data), SLICE):
+        b = min(len(data), a + SLICE)
+        h, s, e = _raw_words(data[a:b], off[(off > a) & (off < b)] - a, lower)
+        s, e = s + a, e + a
+        if es and len(s) and s[0] == a == es[-1][-1] and a not in rows:
+            hs[-1][-1:] += h[:1] * np.uint64(pow(_BASE, a - int(ss[-1][-1]), 1 << 64))
+            es[-1][-1] = e[0]
+            h, s, e = h[1:], s[1:], e[1:]
+        if len(s):
+            hs.append(h), ss.append(s), es.append(e)
+    if not hs:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hs), np.concatenate(ss), np.concatenate(es)
 
 
 def shingles(h: np.ndarray, at: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -122,5 +131,12 @@ def shingles(h: np.ndarray, at: np.ndarray, size: int = 5) -> tuple[np.ndarray,
     return mix(total[keep]), rows[keep]
 
 
-def pack(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary())
+def finishing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``; then freed memory goes back to the system, since an idle Python worker
+    lives on beside those of later stages with all it ever held."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
