@@ -1,9 +1,14 @@
 """Personal data and secrets, replaced by keyed surrogates of the same type and format.
 
-DataFrame functions only. A surrogate is a function of the key, the entity's type and its
-canonical form, so all mentions of an entity, however spelled, get the same one. Entities of
-the whole table are then checked: where two surrogates of a type are equal, or one equals an
-entity that occurs, all but one take the next attempt, until all are distinct.
+DataFrame functions only. A surrogate is a function of the key, the entity's type, its
+canonical form and an attempt, so all mentions of an entity, however spelled, get the same
+one. Entities of the whole table are then checked: where two surrogates of a type are equal,
+or one equals an entity that occurs, all but one take the next attempt. Later attempts draw
+from a wider format, so a free form always exists and the attempts come to an end.
+
+Persons are found by shape and context: capitalised words behind a title, behind words that
+introduce a name, in front of a mail address or a phone number, or behind a common given
+name. A surname found so is also replaced where it stands alone in the same text.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import discard, fresh, materialize
+from .workspace import fresh, materialize
 
 # Given names by script and gender; a surrogate is the next name of its list in keyed order.
 GIVEN = {
@@ -23,21 +28,31 @@ GIVEN = {
     ("cyrillic", "f"): ["Анна", "Екатерина", "Елена", "Ирина", "Мария", "Наталья", "Ольга", "Светлана", "Татьяна", "Юлия"],
     ("cyrillic", "m"): ["Александр", "Алексей", "Андрей", "Владимир", "Дмитрий", "Иван", "Михаил", "Николай", "Сергей", "Юрий"],
 }
-TITLES = "Mr|Mrs|Ms|Miss|Mme|Monsieur|Madame|Herr|Frau|Señora|Señor|Sra|Sr"
+FEMALE, MALE, OTHER = "Mrs|Ms|Miss|Mme|Mlle|Madame|Frau|Señora|Señorita|Sra|Doña|Госпожа", "Mr|Monsieur|Herr|Señor|Sr|Don|Господин", "Dr|Prof"
+TITLES = f"{FEMALE}|{MALE}|{OTHER}"
+# Words behind which a person is named.
+CUES = r"my name is|i am called|written by|signed by|je m['’]appelle|mon nom est|signé par|ich heiße|mein name ist|gezeichnet von|me llamo|mi nombre es|firmado por|меня зовут|моё имя"
+PARTICLES = "de|del|de la|de los|van|van der|von|da|di|bin|ibn|al|el|le|du"
 SYLLABLES = {
     "latin": ["ba", "den", "fel", "gar", "hol", "jen", "kar", "lin", "mor", "nev", "pel", "ros", "sten", "tol", "ver", "wil"],
     "cyrillic": ["ба", "вен", "гор", "дел", "жар", "зол", "кар", "лит", "мор", "нев", "пол", "рос", "сим", "тал", "фед", "хол"],
+    "greek": ["βα", "γορ", "δεν", "ζαν", "θεο", "καρ", "λιν", "μορ", "νεφ", "παλ", "ροδ", "σιμ", "ταλ", "φιλ", "χαρ", "ψηλ"],
 }
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_SURNAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+_WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:\p{Lu}\p{Ll}+)?(?:-\p{Lu}\p{Ll}+)?"
+_NEXT = rf" (?:(?:{PARTICLES}) )?(?!(?:{TITLES})\b){_WORD}"
+_FULL = rf"(?!(?:{TITLES})\b){_WORD}(?:{_NEXT}){{1,2}}"
+LONE = rf"(?<![\p{{L}}\d]){_WORD}(?![\p{{L}}\d])"
 _ALL_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 _VALUE = r"[A-Za-z0-9+/_-]"
 _SECRET = rf"""(?:token|secret|api[_-]?key|password|passwd|pwd)["']? ?[=:] ?["']?{_VALUE}{{8,}}"""
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.){1,32}[A-Za-z]{2,}"
 ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
 SECRET = rf"(?<![A-Za-z])(?i:{_SECRET})"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-NAME = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:(?:{TITLES})\.? )?(?:{_ALL_GIVEN}) {_SURNAME}|(?:{TITLES})\.? {_SURNAME})(?!\p{{L}})"
+_TITLED = rf"(?:{TITLES})\.? {_WORD}(?: (?!(?:{TITLES})\b){_WORD})?"
+_NEAR_CONTACT = r",? ?[<(]?(?:[A-Za-z0-9._%+-]+@[A-Za-z0-9-]|\+\d{1,3}[ .(-])"
+NAME = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{_TITLED}|(?:{_ALL_GIVEN}) {_WORD}|(?<=(?i:{CUES})[ \n]){_WORD}(?:{_NEXT}){{0,2}}|{_FULL}(?={_NEAR_CONTACT}))(?!\p{{L}})"
 IPV4 = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
 CARD = r"(?<![\d+-])(?:(?:\d{4}[ -]?){3}\d{4}|\d{13,19})(?![\d-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -53,7 +68,7 @@ def kind_of(e: Column) -> Column:
         .when(e.rlike(rf"^(?:{ACCESS_KEY})$"), "access_key")
         .when(e.rlike(rf"^(?:{SECRET})$"), "secret")
         .when(e.rlike(rf"^(?:{IBAN})$"), "iban")
-        .when(e.rlike(rf"^(?:{NAME})$"), "name")
+        .when(~e.rlike(r"[\d@]"), "name")  # all other types hold digits
         .when(e.rlike(rf"^(?:{IPV4})$"), "ipv4")
         .when(e.rlike(rf"^(?:{CARD})$"), "card")
         .when(e.rlike(rf"^(?:{SSN})$"), "ssn")
@@ -62,7 +77,13 @@ def kind_of(e: Column) -> Column:
 
 
 def _surname(e: Column) -> Column:
-    return F.regexp_extract(e, rf"({_SURNAME})$", 1)
+    return F.regexp_extract(e, rf"({_WORD})$", 1)
+
+
+def _given(e: Column) -> Column:
+    """The words of a person's name before the surname, without title and particles."""
+    before = F.regexp_replace(F.regexp_replace(e, rf"^(?:{TITLES})\.? ", ""), rf" ?{_WORD}$", "")
+    return F.filter(F.split(before, " "), lambda w: w.rlike(rf"^{_WORD}$"))
 
 
 def canonical(e: Column, kind: Column) -> Column:
@@ -160,56 +181,86 @@ def _iban(canon: Column, h: Column) -> Column:
     return _let(same_classes(canon.substr(F.lit(5), F.lit(40)), h), checked)
 
 
-def _email(canon: Column, h: Column, key: str) -> Column:
+def _letters(h: Column, n: int, alphabet: str = "abcdefghijklmnopqrstuvwxyz") -> Column:
+    """``n`` characters from the end of the drawn bytes."""
+    return F.concat(F.lit(""), *[_pick(alphabet, _byte(h, KEY_HEX // 2 - 1 - i)) for i in range(n)])
+
+
+def _email(canon: Column, h: Column, key: str, more: int) -> Column:
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     tld = F.substring_index(domain, ".", -1)
     stem = domain.substr(F.lit(1), (F.length(domain) - F.length(tld)).cast("int"))
-    return F.concat(same_classes(local, h), F.lit("@"), same_classes(stem, _stream(key, F.lit("domain"), domain)), tld)
+    return F.concat(same_classes(local, h), _letters(h, more), F.lit("@"), same_classes(stem, _stream(key, F.lit("domain"), domain)), tld)
 
 
-def _ipv4(canon: Column, h: Column) -> Column:
+def _ipv4(canon: Column, h: Column, more: int) -> Column:
+    """An address of the same private network, or else a public one; later any of 10.0.0.0/8,
+    and last any at all."""
     inside = canon.rlike(r"^(?:10|127)\.|^192\.168\.|^172\.(?:1[6-9]|2\d|3[01])\.|^169\.254\.")
-    return F.array_join(F.transform(F.split(canon, r"\."), lambda o, i: F.when(inside & (i < 2), o).otherwise((_byte(h, i * 2) % 223 + 1).cast("string"))), ".")
+    drawn = lambda i: _byte(h, i * 2).cast("string")
+    first = (_byte(h, 0) % 223 + 1).cast("string")
+    head = F.when(inside, F.substring_index(canon, ".", 2) if not more else F.concat(F.lit("10."), drawn(1)) if more < 12 else F.concat_ws(".", first, drawn(1))).otherwise(F.concat_ws(".", first, drawn(1)))
+    return F.concat_ws(".", head, drawn(2), drawn(3))
 
 
-def _phone(canon: Column, h: Column) -> Column:
+def _phone(canon: Column, h: Column, more: int) -> Column:
     """The country code, or one digit, stays."""
     keep = F.greatest(F.lit(1), F.length(canon) - 10).cast("int")
-    return F.concat(canon.substr(F.lit(1), keep), same_classes(canon.substr(keep + 1, F.lit(32)), h))
+    return F.concat(canon.substr(F.lit(1), keep), same_classes(canon.substr(keep + 1, F.lit(32)), h), _letters(h, more, "0123456789"))
 
 
-def _syllables(script: str, h: Column) -> Column:
+def _syllables(script: str, h: Column, n: int = 4) -> Column:
     table = F.array(*[F.lit(x) for x in SYLLABLES[script]])
-    numbers = F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.element_at(table, (_byte(h, i) % len(SYLLABLES[script]) + 1).cast("int")))
+    numbers = F.transform(F.array(*[F.lit(i) for i in range(n)]), lambda i: F.element_at(table, (_byte(h, i) % len(SYLLABLES[script]) + 1).cast("int")))
     return F.initcap(F.array_join(numbers, ""))
 
 
-def _person(canon: Column, h: Column, kind: Column, attempt: Column, key: str) -> Column:
+def _in_script(canon: Column, h: Column, n: int) -> Column:
+    return F.when(canon.rlike(r"^\p{IsCyrillic}"), _syllables("cyrillic", h, n)).when(canon.rlike(r"^\p{IsGreek}"), _syllables("greek", h, n)).otherwise(_syllables("latin", h, n))
+
+
+def _person(canon: Column, h: Column, kind: Column, attempt: int, more: int, key: str) -> Column:
     """A surname of the same script; a Cyrillic one keeps its gendered ending, and both
     genders of one name share the rest."""
     tail = F.when(canon.rlike("(?:ова|ева|ина)$"), F.lit("ова")).when(canon.rlike("(?:ов|ев|ин)$"), F.lit("ов")).otherwise(F.lit(""))
     stem = F.regexp_replace(canon, "(ов|ев|ин)а$", "$1")
-    russian = F.concat(_let(_stream(key, kind, stem, attempt), lambda h: _syllables("cyrillic", h)), tail)
-    double = F.concat(_syllables("latin", h), F.lit("-"), _let(_stream(key, F.lit("second"), canon, attempt), lambda h: _syllables("latin", h)))
-    return F.when(canon.rlike(r"^\p{IsCyrillic}"), russian).when(canon.contains("-"), double).otherwise(_syllables("latin", h))
+    russian = F.concat(_let(_stream(key, kind, stem, F.lit(attempt)), lambda h: _syllables("cyrillic", h, 4 + more)), tail)
+    plain = _in_script(canon, h, 4 + more)
+    double = F.concat(plain, F.lit("-"), _let(_stream(key, F.lit("second"), canon, F.lit(attempt)), lambda h: _syllables("latin", h)))
+    return F.when(canon.rlike(r"^\p{IsCyrillic}"), russian).when(canon.contains("-"), double).otherwise(plain)
+
+
+def _first_name(canon: Column, h: Column, more: int) -> Column:
+    """A given name of no list: invented, of the same script, with an ending of its gender
+    where the name shows one."""
+    ending = F.when(canon.rlike("[aά]$"), "a").when(canon.rlike("[ая]$"), "а").otherwise("")
+    return F.concat(_in_script(canon, h, 3 + more), ending)
 
 
-def _new_canonical(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
-    """The surrogate's canonical form."""
+PATIENCE = {"name": 2, "given": 2, "email": 2, "ipv4": 1, "phone": 2}
+
+
+def _new_canonical(kind: Column, canon: Column, key: str, attempt: int) -> Column:
+    """The surrogate's canonical form. After a few attempts names, addresses and phone numbers
+    grow by a syllable, letter or digit with each attempt (private IPv4 addresses leave their
+    network); types of at least 10^8 forms keep theirs until attempt 15."""
+    more = {k: max(0, attempt - v) for k, v in PATIENCE.items()}
+    late = max(0, attempt - 15)
 
     def by_kind(h: Column) -> Column:
         return (
-            F.when(kind == "email", _email(canon, h, key))
-            .when(kind == "ipv4", _ipv4(canon, h))
-            .when(kind == "card", _card(canon, h))
-            .when(kind == "phone", _phone(canon, h))
-            .when(kind == "iban", _iban(canon, h))
-            .when(kind == "access_key", F.concat(canon.substr(F.lit(1), F.lit(4)), same_classes(canon.substr(F.lit(5), F.lit(16)), h)))
-            .when(kind == "name", _person(canon, h, kind, attempt, key))
-            .otherwise(same_classes(canon, h))
+            F.when(kind == "email", _email(canon, h, key, more["email"]))
+            .when(kind == "ipv4", _ipv4(canon, h, more["ipv4"]))
+            .when(kind == "card", F.concat(_card(canon, h), _letters(h, late, "0123456789")))
+            .when(kind == "phone", _phone(canon, h, more["phone"]))
+            .when(kind == "iban", F.concat(_iban(canon, h), _letters(h, late, "0123456789")))
+            .when(kind == "access_key", F.concat(canon.substr(F.lit(1), F.lit(4)), same_classes(canon.substr(F.lit(5), F.lit(16)), h), _letters(h, late)))
+            .when(kind == "name", _person(canon, h, kind, attempt, more["name"], key))
+            .when(kind == "given", _first_name(canon, h, more["given"]))
+            .otherwise(F.concat(same_classes(canon, h), _letters(h, late, "0123456789")))
         )
 
-    return _let(_stream(key, kind, canon, attempt), by_kind)
+    return _let(_stream(key, kind, canon, F.lit(attempt)), by_kind)
 
 
 def _new_given(name: Column, key: str) -> Column:
@@ -223,28 +274,33 @@ def _new_given(name: Column, key: str) -> Column:
 
 
 def _fill(surface: Column, new: Column, of: str) -> Column:
-    """``surface`` with its characters of class ``of`` replaced in turn by those of ``new``."""
+    """``surface`` with its characters of class ``of`` replaced in turn by those of ``new``;
+    what is left of ``new`` follows."""
     chars = F.split(surface, "")
     step = F.aggregate(
         chars,
         F.struct(F.lit(0).alias("n"), F.lit("").alias("s")),
         lambda a, c: F.struct((a["n"] + c.rlike(of).cast("int")).alias("n"), F.concat(a["s"], F.when(c.rlike(of), new.substr(a["n"] + 1, F.lit(1))).otherwise(c)).alias("s")),
     )
-    return step["s"]
+    return _let(step, lambda a: F.concat(a["s"], new.substr(a["n"] + 1, F.length(new))))
 
 
-def dress(surface: Column, kind: Column, new: Column, key: str) -> Column:
-    """The surrogate in the format of the mention it replaces."""
+def dress(surface: Column, kind: Column, new: Column, key: str, given: Callable[[Column], Column] | None = None) -> Column:
+    """The surrogate in the format of the mention it replaces. ``given`` maps given names
+    that are in no list."""
 
     def secret(new: Column) -> Column:
         head = F.regexp_extract(surface, rf"^(.*?){_VALUE}+$", 1)
         return F.concat(head, new)
 
+    def first(word: Column) -> Column:
+        other = given(word) if given else _new_canonical(F.lit("given"), word, key, 0)
+        return F.when(word.rlike(rf"^{_WORD}$"), F.coalesce(_new_given(word, key), other)).otherwise(word)
+
     def name(new: Column) -> Column:
-        before = F.regexp_extract(surface, rf"^(.* ){_SURNAME}$", 1)
-        title = F.regexp_extract(before, rf"^((?:{TITLES})\.? )", 1)
-        given = F.regexp_extract(before, rf"({_ALL_GIVEN}) $", 1)
-        return F.concat(title, F.when(given != "", F.concat(_new_given(given, key), F.lit(" "))).otherwise(F.lit("")), new)
+        title = F.regexp_extract(surface, rf"^((?:{TITLES})\.? )", 1)
+        before = F.regexp_extract(F.regexp_replace(surface, rf"^(?:{TITLES})\.? ", ""), rf"^((?:.* )?){_WORD}$", 1)
+        return F.concat(title, F.array_join(F.transform(F.split(before, " "), first), " "), new)
 
     def by_kind(new: Column) -> Column:
         return (
@@ -266,26 +322,48 @@ def _entities(found: Column) -> Column:
     return F.transform(F.transform(found, one), lambda x: F.struct(x["surface"].alias("surface"), x["kind"].alias("kind"), canonical(x["surface"], x["kind"]).alias("canon")))
 
 
-def settle(entities: DataFrame, key: str, most_rounds: int = 20) -> DataFrame | None:
+def _distinct_entities(rows: DataFrame, hits: str, *keep: str) -> DataFrame:
+    """(kind, canon) of all found strings and of the given names in them that no list holds."""
+    each = rows.select(*keep, F.explode(_entities(F.array_distinct(F.col(hits)))).alias("e"))
+    listed = [n for names in GIVEN.values() for n in names]
+    given = each.where("e.kind = 'name'").select(*keep, F.explode(_given(F.col("e.surface"))).alias("canon")).where(~F.col("canon").isin(listed))
+    return each.select(*keep, "e.kind", "e.canon").unionByName(given.select(*keep, F.lit("given").alias("kind"), "canon")).distinct()
+
+
+def settle(entities: DataFrame, key: str) -> DataFrame | None:
     """(kind, canon, new) of the entities that needed a later attempt, or None.
 
-    ``entities`` has distinct (kind, canon). Only the least canonical form of those that
-    share a surrogate keeps it; forms that occur in the table are never used as surrogates.
+    ``entities`` has distinct (kind, canon). Of those that share a surrogate in one attempt
+    the least canonical form keeps it; forms that occur in the table, or that an earlier
+    attempt gave out, are never used. Each attempt is worked out for those alone that still
+    have none, and the wider formats of later ones leave fewer each time.
     """
-    now = materialize(entities.withColumn("attempt", F.lit(0)).withColumn("new", _new_canonical(F.col("kind"), F.col("canon"), key, F.lit(0))), "surrogates")
     taken = entities.select("kind", F.col("canon").alias("new"))
-    for _ in range(most_rounds):
-        twice = now.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canon")).alias("first")).where("n > 1")
-        clash = now.join(twice, ["kind", "new"]).where(F.struct("attempt", "canon") != F.col("first")).select("kind", "canon")
-        real = now.join(taken, ["kind", "new"], "left_semi").select("kind", "canon")
-        bad = materialize(clash.unionByName(real).distinct(), "clashes")
+    placed: list[DataFrame] = []
+    todo, attempt = entities.select("kind", "canon"), 0
+    while True:
+        tried = materialize(todo.withColumn("new", _new_canonical(F.col("kind"), F.col("canon"), key, attempt)), "surrogates")
+        bad = tried.join(taken, ["kind", "new"], "left_semi").select("kind", "canon")
+        for earlier in placed:
+            bad = bad.unionByName(tried.join(earlier, ["kind", "new"], "left_semi").select("kind", "canon"))
+        twice = tried.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min("canon").alias("first")).where("n > 1")
+        clash = tried.join(twice, ["kind", "new"]).where("canon <> first").select("kind", "canon")
+        bad = materialize(bad.unionByName(clash).distinct(), "clashes")
+        if attempt:
+            placed.append(tried.join(bad, ["kind", "canon"], "left_anti").select("kind", "canon", "new"))
+        else:
+            start = tried.join(bad, ["kind", "canon"], "left_anti").select("kind", "canon", "new")
+            placed.append(start)
         if bad.limit(1).count() == 0:
-            return now.where("attempt > 0").select("kind", "canon", "new")
-        again = now.join(bad.withColumn("again", F.lit(1)), ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0)))
-        after = materialize(again.withColumn("new", F.when(F.col("again").isNotNull(), _new_canonical(F.col("kind"), F.col("canon"), key, F.col("attempt"))).otherwise(F.col("new"))).drop("again"), "surrogates")
-        discard(now), discard(bad)
-        now = after
-    raise RuntimeError("surrogates did not settle: more entities than their format can hold")
+            break
+        todo, attempt = bad, attempt + 1
+    later = placed[1:]
+    if not later:
+        return None
+    out = later[0]
+    for part in later[1:]:
+        out = out.unionByName(part)
+    return materialize(out, "later")
 
 
 def replace_private(docs: DataFrame, key: str, *, text_col: str = "text", length_col: str | None = None, kinds_col: str | None = None) -> DataFrame:
@@ -295,33 +373,43 @@ def replace_private(docs: DataFrame, key: str, *, text_col: str = "text", length
     change; ``kinds_col`` adds the types found, in order. Null texts stay null, texts without
     entities are unchanged, rows may repeat, ids play no part, and an empty table gives no
     rows. Text is read twice and never shuffled unless surrogates collide: then the rows that
-    hold such an entity alone are joined to them.
+    hold such an entity alone are joined to them. Names of people are found by the cues that
+    this module's head lists, and no others.
     """
     text = F.col(text_col)
     hits, key_col, repl = (fresh(docs, c) for c in ("hits", "text_key", "exceptions"))
-    likely = text.rlike(r"[@\d]|(?i:token|secret|key|passw|pwd)|" + rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{TITLES}|{_ALL_GIVEN})\.? \p{{Lu}}")
+    likely = text.rlike(r"[@\d]|AKIA|ASIA|(?i:token|secret|key|passw|pwd)|" + rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{TITLES}|{_ALL_GIVEN})\.? \p{{Lu}}|(?i:{CUES})[ \n]")
     found = F.when(likely, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     marked = docs.withColumn(hits, found)
-    entities = materialize(marked.where(F.size(hits) > 0).select(F.explode(_entities(F.array_distinct(F.col(hits)))).alias("e")).select("e.kind", "e.canon").distinct(), "entities")
+    entities = materialize(_distinct_entities(marked.where(F.size(hits) > 0), hits), "entities")
     later = settle(entities, key)
     out = marked
     if later is not None and later.limit(1).count():
         out = out.withColumn(key_col, F.md5(text))
-        each = out.where(F.size(hits) > 0).select(key_col, F.explode(_entities(F.array_distinct(F.col(hits)))).alias("e")).select(key_col, "e.kind", "e.canon").join(later, ["kind", "canon"])
+        each = _distinct_entities(out.where(F.size(hits) > 0), hits, key_col).join(later, ["kind", "canon"])
         maps = each.groupBy(key_col).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "canon"), F.col("new")))).alias(repl))
         out = out.join(maps, key_col, "left").drop(key_col)
         special = lambda kind, canon: F.col(repl)[F.concat_ws("\x1f", kind, canon)]
     else:
         special = None
 
+    def renewed(kind: Column, canon: Column) -> Column:
+        new = _new_canonical(kind, canon, key, 0)
+        return new if special is None else F.coalesce(special(kind, canon), new)
+
     def swap(e: Column) -> Column:
-        new = _new_canonical(e["kind"], e["canon"], key, F.lit(0))
-        if special is not None:
-            new = F.coalesce(special(e["kind"], e["canon"]), new)
-        return dress(e["surface"], e["kind"], new, key)
+        return dress(e["surface"], e["kind"], renewed(e["kind"], e["canon"]), key, lambda word: renewed(F.lit("given"), word))
+
+    def alone(piece: Column, news: Column) -> Column:
+        """``piece`` with the surnames that are keys of ``news`` replaced where they stand alone."""
+        words = F.regexp_extract_all(piece, F.lit(LONE), F.lit(0))
+        return F.array_join(F.zip_with(F.split(piece, LONE, -1), words, lambda p, w: F.concat(p, F.coalesce(news[w], w, F.lit("")))), "")
 
+    persons = F.filter(_entities(F.array_distinct(F.col(hits))), lambda e: e["kind"] == "name")
+    surnames = F.array_distinct(F.transform(persons, lambda e: F.struct(e["canon"].alias("canon"), renewed(e["kind"], e["canon"]).alias("new"))))
     swapped = F.transform(_entities(F.col(hits)), swap)
     pieces = F.split(text, PATTERN, -1)
+    pieces = F.when(F.size(persons) > 0, _let(F.map_from_entries(surnames), lambda news: F.transform(pieces, lambda p: alone(p, news)))).otherwise(pieces)
     joined = F.array_join(F.zip_with(pieces, swapped, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
     changed = F.size(hits) > 0
     columns = {text_col: F.when(changed, joined).otherwise(text)}
