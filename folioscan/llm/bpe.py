@@ -2,28 +2,31 @@
 
 A rolling hash cuts texts into chunks at places that depend on the bytes nearby alone, so
 documents that share a passage share its chunks. A chunk's own encoding holds wherever it
-stands, but for its edges: there the pre-tokenizer or a merge may reach across. Before an
-ASCII blank that follows a character surely not blank, no token and no look-ahead reaches
-across; such a place is firm. A chunk's core lies between its first and last firm place and
-is encoded once for each task; what is left at a join is encoded anew together with the
-neighbour's edge, widened over chunks without a core until both ends are firm.
+stands, but for its edges: there the pre-tokenizer or a merge may reach across. A chunk's
+core lies between its first and last firm place (an ASCII blank behind a character surely not
+blank) and is encoded once for each task. What is left at a join is encoded anew in a window
+that takes in one piece of the core on either side; where the window's ids and those of both
+pieces agree exactly, the join is repaired, else the window grows to the whole text.
+Tokenizers for which firm places prove nothing are run over whole texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import SLICE, SPACE, buffers, mix, powers, row_groups
+from .kernels import SLICE, SPACE, buffers, finishing, mix, powers, row_groups
 
-WINDOW, MASK = 24, (1 << 9) - 1
-CORE_BYTES, MOST_WORDS, LEARN = 24 << 20, 300_000, 4096
+WINDOW, MASK = 24, (1 << 11) - 1
+CORE_BYTES, JOIN_BYTES, MOST_WORDS, MOST_IDS, LEARN = 16 << 20, 8 << 20, 300_000, 4 << 20, 4096
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -68,9 +71,20 @@ def spans(size: int, firm: np.ndarray, cuts: np.ndarray) -> list[tuple[int, int,
     return out
 
 
+def cuts_at_blanks(spec: str) -> bool:
+    """Whether no token of this tokenizer can reach across a firm place: byte-level BPE under
+    the usual expression, texts as they are, no added token with white space or trimming."""
+    s = json.loads(spec)
+    model, pre = s.get("model") or {}, s.get("pre_tokenizer") or {}
+    plain = s.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    bpe = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "fuse_unk"))
+    added = all(not any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) and not any(c.isspace() for c in t["content"]) for t in s.get("added_tokens") or [])
+    return bool(plain and bpe and added)
+
+
 class Encoder:
-    """Encodes texts with one tokenizer, keeping up to CORE_BYTES of cores and about
-    MOST_WORDS words it has met."""
+    """Encodes texts with one tokenizer, keeping up to CORE_BYTES of cores, JOIN_BYTES of
+    joins and about MOST_WORDS words it has met."""
 
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -79,12 +93,15 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.local = cuts_at_blanks(spec)
         self.forget()
 
     def forget(self) -> None:
         """Drop all that was kept; done after each task, since idle workers live on."""
         self.cores: dict[bytes, np.ndarray] = {}
         self.core_bytes = 0
+        self.joins: dict[tuple, np.ndarray] = {}
+        self.join_bytes = 0
         self.forget_words()
 
     def forget_words(self) -> None:
@@ -116,7 +133,7 @@ class Encoder:
 
     def _pieces(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of consecutive pieces of at most a slice in all; all edges are firm."""
-        if len(self.words) > MOST_WORDS:
+        if len(self.words) > MOST_WORDS or self.used > MOST_IDS:
             self.forget_words()
         starts, ends = edges[:-1], edges[1:]
         p, q = powers()
@@ -170,40 +187,75 @@ class Encoder:
             i = j
         return out
 
+    def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         """ids of each row."""
+        raw = memoryview(data)
+        if not self.local:
+            return self._whole([bytes(raw[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)])
         rows: list[list] = []
         todo: list[tuple[int, int]] = []
         keys: list[bytes | None] = []
         wanted: dict[bytes, int] = {}
+        windows: dict[tuple, tuple[int, int, int, int, int]] = {}
         firm_all = []
-        raw = memoryview(data)
-        for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        for n, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
             part = data[a:b]
             firm = firm_places(part) if b - a > 1 else np.zeros(0, np.int64)
             firm_all.append(firm + a)
+            places = np.concatenate([[0, 0], firm, [b - a, b - a]])
             row: list = []
             for s, e, core in spans(b - a, firm, cut_places(part)) if b > a else []:
-                key = hashlib.blake2b(raw[a + s : a + e], digest_size=16).digest() if core else None
-                if core and key in self.cores:
-                    row.append(self.cores[key])
-                elif core and key in wanted:
-                    row.append(wanted[key])
-                else:
-                    if core:
+                if core:
+                    key = hashlib.blake2b(raw[a + s : a + e], digest_size=16).digest()
+                    if key in self.cores:
+                        row.append(self.cores[key])
+                        continue
+                    if key not in wanted:
                         wanted[key] = len(todo)
-                    row.append(len(todo))
-                    todo.append((a + s, a + e))
-                    keys.append(key)
+                        todo.append((a + s, a + e))
+                        keys.append(key)
+                    row.append(wanted[key])
+                else:  # one piece more on either side
+                    first = int(places[max(0, np.searchsorted(places, s, "left") - 1)])
+                    last = int(places[min(len(places) - 1, np.searchsorted(places, e, "right"))])
+                    key = (bytes(raw[a + first : a + last]), s - first, e - first)
+                    if key not in self.joins and key not in windows:
+                        windows[key] = (a + first, a + s, a + e, a + last, n)
+                    row.append(key)
             rows.append(row)
-        got = self._encode_spans(data, todo, np.concatenate(firm_all)) if todo else []
-        out = [np.concatenate([got[x] if isinstance(x, int) else x for x in row]) if row else np.zeros(0, np.int32) for row in rows]
-        for key, ids in zip(keys, got, strict=True):
-            if key is not None:
-                if self.core_bytes > CORE_BYTES:
-                    self.cores, self.core_bytes = {}, 0
-                self.cores[key] = ids.copy()
-                self.core_bytes += ids.nbytes + 200
+        edges = [(p, q) for first, s, e, last, _ in windows.values() for p, q in ((first, s), (e, last))]
+        inner = [x for x in edges if x[0] < x[1]]
+        got = self._encode_spans(data, todo + inner, np.concatenate(firm_all)) if todo or inner else []
+        given = iter(got[len(todo) :])
+        sides = [next(given) if p < q else np.zeros(0, np.int32) for p, q in edges]
+        odd: set[int] = set()
+        fixed: dict[tuple, np.ndarray] = {}
+        for k, (key, ids) in enumerate(zip(windows, self._whole([key[0] for key in windows]), strict=True)):
+            left, right = sides[2 * k], sides[2 * k + 1]
+            fixed[key] = ids[len(left) : len(ids) - len(right)]
+            if not (np.array_equal(ids[: len(left)], left) and np.array_equal(ids[len(ids) - len(right) :], right)):
+                odd.add(windows[key][4])
+        out = []
+        for n, row in enumerate(rows):
+            parts = [got[x] if isinstance(x, int) else x if isinstance(x, np.ndarray) else self.joins[x] if x in self.joins else fixed[x] for x in row]
+            if odd and any(isinstance(x, tuple) and x in windows and windows[x][4] in odd for x in row):
+                parts = self._whole([bytes(raw[off[n] : off[n + 1]])])
+            out.append(np.concatenate(parts) if parts else np.zeros(0, np.int32))
+        for key, ids in zip(keys, got, strict=False):
+            if self.core_bytes > CORE_BYTES:
+                self.cores, self.core_bytes = {}, 0
+            self.cores[key] = ids.copy()
+            self.core_bytes += ids.nbytes + 200
+        if self.join_bytes > JOIN_BYTES:
+            self.joins, self.join_bytes = {}, 0
+        if not odd:
+            for key, ids in fixed.items():
+                if len(key[0]) < 4096:
+                    self.joins[key] = ids.copy()
+                    self.join_bytes += len(key[0]) + ids.nbytes + 400
         return out
 
 
@@ -247,34 +299,26 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, spec: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) of every whole text, as the tokenizers library encodes it without
-    adding special tokens. Null and empty texts have no ids; null ids and repeated rows pass
-    through; an empty table gives no rows; other columns are left out."""
-    held = docs.sparkSession.sparkContext.broadcast(spec)
+def _encoding(held: Broadcast, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, text) batches to (name, ids)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(held.value)
         try:
-            for b in batches:
+            for b in finishing(batches):
                 data, off = buffers(b.column(1))
                 for i, j in row_groups(off):
                     got = e.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
                     ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got), pa.int32()))], ["id", "ids"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got), pa.int32()))], [name, "ids"])
         finally:
             e.forget()
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(go, f"id {kind}, ids array<int>").withColumnRenamed("id", docs.schema[id_col].name)
+    return go
 
 
-def decode(encoded: DataFrame, spec: str, *, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """``encoded`` with the text of its ids. Null ids arrays give null; ids beyond the
-    vocabulary give nothing; bytes that are no UTF-8 become U+FFFD, as in the library."""
-    held = encoded.sparkSession.sparkContext.broadcast(token_bytes(spec))
-    rest = [c for c in encoded.columns if c != text_col]
-    schema = encoded.select(*rest).schema.add(text_col, "string")
+def _decoding(held: Broadcast, ids_col: str, text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches with the text of their ids as a last column."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
@@ -295,11 +339,49 @@ def decode(encoded: DataFrame, spec: str, *, ids_col: str = "ids", text_col: str
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text_col])
                 a = z
 
-    return encoded.select(*rest).mapInArrow(go, schema)
+    return go
+
+
+def _id_name(docs: DataFrame, id_col: str, *taken: str) -> str:
+    """The id's name in the result, with underscores before it if it clashes with ``taken``."""
+    name = docs.schema[id_col].name
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def encode(docs: DataFrame, spec: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids array<int>) of every whole text, as the tokenizers library encodes it without
+    adding special tokens. Null and empty texts have no ids; null ids and repeated rows pass
+    through; an empty table gives no rows; other columns are left out; an id column called
+    ids comes back as _ids."""
+    name = _id_name(docs, id_col, "ids")
+    held = docs.sparkSession.sparkContext.broadcast(spec)
+    return docs.select(id_col, text_col).mapInArrow(_encoding(held, name), f"`{name}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
+
+
+def decode(encoded: DataFrame, spec: str, *, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
+    """``encoded`` with the text of its ids. Null ids arrays give null; ids beyond the
+    vocabulary give nothing; bytes that are no UTF-8 become U+FFFD, as in the library; a
+    column of the text's name is replaced."""
+    held = encoded.sparkSession.sparkContext.broadcast(token_bytes(spec))
+    rest = [c for c in encoded.columns if c != text_col]
+    schema = encoded.select(*rest).schema.add(text_col, "string")
+    return encoded.select(*rest).mapInArrow(_decoding(held, ids_col, text_col), schema)
+
+
+def round_trip(docs: DataFrame, spec: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, text): ``decode`` of ``encode`` in one pass, so one Python worker a task."""
+    name = _id_name(docs, id_col, "ids", "text")
+    to, back = _encoding(docs.sparkSession.sparkContext.broadcast(spec), name), _decoding(docs.sparkSession.sparkContext.broadcast(token_bytes(spec)), "ids", "text")
+    return docs.select(id_col, text_col).mapInArrow(lambda batches: back(to(batches)), f"`{name}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>, text string")
 
 
 def round_trip_digests(docs: DataFrame, spec: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) for each row."""
-    both = decode(encode(docs, spec, id_col=id_col, text_col=text_col), spec)
+    """(id, n_tokens, ids_sha256, decoded_sha256) for each row: the number of ids, the digest
+    of the ids as decimals joined by commas and that of the text decoded from them. Null and
+    empty texts have no ids and the digests of the empty string; rows may repeat, ids may be
+    null, other columns play no part, and an empty table gives no rows."""
+    both = round_trip(docs, spec, id_col=id_col, text_col=text_col)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return both.select(F.col(id_col), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    return both.select(both.columns[0], F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

@@ -74,3 +74,31 @@ def test_cut_places_depend_on_nearby_bytes_alone():
     a = bpe.cut_places(tail)
     b = bpe.cut_places(np.concatenate([rng.integers(97, 123, 777).astype(np.uint8), tail])) - 777
     assert set(a[a > 100]) == set(b[b > 100]) and len(a) > 10
+
+
+def test_other_tokenizers_run_over_whole_texts():
+    import json
+
+    spec = json.loads(SPEC)
+    assert bpe.cuts_at_blanks(SPEC)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"added_tokens": [*spec["added_tokens"], spec["added_tokens"][0] | {"id": 50257, "content": "the cat"}]}):
+        other = json.dumps(spec | change)
+        assert not bpe.cuts_at_blanks(other)
+        texts = ["The cat sat on the cat. " * 200, "", "the cat"]
+        data, off = buffers(pa.array(texts))
+        assert [list(x) for x in bpe.Encoder(other).encode(data, off)] == [x.ids for x in Tokenizer.from_str(other).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_join_that_disagrees_widens_to_the_whole_text(monkeypatch):
+    text = " ".join(f"word{i}" for i in range(4000))
+    e = bpe.Encoder(SPEC)
+    data, off = buffers(pa.array([text]))
+    broken = lambda d, todo, firm, go=e._encode_spans: [x + (b - a < 12) for x, (a, b) in zip(go(d, todo, firm), todo, strict=True)]
+    monkeypatch.setattr(e, "_encode_spans", broken)  # sides of windows come out wrong
+    assert [list(x) for x in e.encode(data, off)] == ids([text])
+
+
+def test_an_id_column_called_ids(spark):
+    docs = spark.createDataFrame([(1, "one two"), (None, None)], "ids long, text string")
+    assert bpe.encode(docs, SPEC, id_col="ids").columns == ["_ids", "ids"]
+    assert {r._ids: r.n_tokens for r in bpe.round_trip_digests(docs, SPEC, id_col="ids").collect()} == {1: 2, None: 0}
