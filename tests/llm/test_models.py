@@ -12,7 +12,7 @@ import pytest
 
 from folioscan.llm.bloom_lm import score_texts
 from folioscan.llm.graph import connected_components
-from folioscan.llm.kneser_ney import Model, classify, fit, keep_good, pack_model, score
+from folioscan.llm.kneser_ney import classify, fit, keep_good, score
 from folioscan.llm.shard_sort import shard_documents
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -94,9 +94,9 @@ def test_model_equals_the_formulas(spark):
     rng = random.Random(1)
     train = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 30))) for _ in range(40)]
     asked = [*train[:5], "a b zz c", "", "zz"]
-    model = Model(pack_model(fit(spark.createDataFrame([(t, "en") for t in train], "text string, lang string"))))
+    model = fit(spark.createDataFrame([(t, "en") for t in train], "text string, lang string"))
     docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").selectExpr("*", "'en' as lang")
-    got = {r.id: r for r in score(docs, spark.sparkContext.broadcast(model)).collect()}
+    got = {r.id: r for r in score(docs, model).collect()}
     p = kneser_ney(train)
     for i, t in enumerate(asked):
         w = ["<s>", "<s>", *t.split(), "</s>"]
