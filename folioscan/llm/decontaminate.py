@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import _BASE, buffers, mix, row_groups, words
+from .kernels import _BASE, buffers, finishing, mix, row_groups, words
+from .workspace import fresh
 
 BLOCKS = 8
 UNIT = 1 << 12
@@ -52,44 +53,41 @@ def fingerprints(s: np.ndarray, size: int, n: np.ndarray | None = None) -> np.nd
 
 
 class ItemIndex:
-    """Benchmark items by length in words, ready to be sent to workers.
+    """Benchmark items, ready to be sent to workers: some 30 bytes for each of their words.
 
     ``often`` lists the shingles that more than one different item of the whole benchmark
-    holds, with how many; a shingle's weight is 1 over that number. ``radius`` bounds the
-    Hamming distance: of 8 blocks of 8 bits one differs in at most radius // 8 bits, and the
-    tables list the items within that, so no fingerprint within the radius is missed. Windows
-    are printed without weights and, where these differ, with them: either print may find.
+    holds, with how many; a shingle's weight is 1 over that number. Each item stands in one
+    bucket for each of the 8 blocks of 8 bits of its fingerprint. Of two fingerprints within
+    ``radius`` one block differs in at most radius // 8 bits, so a window that probes all
+    buckets within that of its own blocks misses none. Only items that share a shingle with
+    the windows can be similar at all: of these it is asked whether their buckets are probed.
+    Windows are printed without weights and, where these differ, with them: either may find.
     """
 
     def __init__(self, items: list[tuple[int, str]], often: tuple[np.ndarray, np.ndarray], shingle: int, radius: int, threshold: float):
         self.shingle, self.radius, self.threshold = shingle, radius, threshold
-        texts = pa.array([t for _, t in items], pa.string())
-        data, off = buffers(texts)
+        data, off = buffers(pa.array([t for _, t in items], pa.string()))
         h, at, _, _ = words(data, off, lower=True)
-        by_length: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
-        for (item, _), a, b in zip(items, at[:-1], at[1:], strict=True):
-            if b > a:
-                by_length[int(b - a)].append((item, runs(h[a:b], min(shingle, int(b - a)))))
-        every = [s for group in by_length.values() for _, s in group]
-        own = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
+        long = np.diff(at) > 0
+        self.ids = [i for (i, _), full in zip(items, long, strict=True) if full]
+        self.length = np.diff(at)[long]
+        all_shingles = [runs(h[a:b], min(shingle, int(b - a))) for a, b in zip(at[:-1], at[1:], strict=True) if b > a]
+        self.bags = [np.unique(s, return_counts=True) for s in all_shingles]
+        every = np.concatenate([b for b, _ in self.bags]) if self.bags else np.zeros(0, np.uint64)
+        own = np.unique(every)
         self.known = np.union1d(own, often[0])
-        self.n = np.ones(len(self.known), np.int64)
+        self.n = np.ones(len(self.known), np.int32)
         self.n[np.searchsorted(self.known, often[0])] = often[1]
+        place = np.searchsorted(self.known, every)
+        self.holder = np.repeat(np.arange(len(self.bags)), [len(b) for b, _ in self.bags])[np.argsort(place, kind="stable")].astype(np.int32)
+        self.first = np.searchsorted(np.sort(place), np.arange(len(self.known) + 1)).astype(np.int32)
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[own & np.uint64((1 << 20) - 1)] = True
-        near = np.array([[bin(a ^ b).count("1") <= radius // BLOCKS for a in range(256)] for b in range(256)])
-        self.lengths = {}
-        for m, group in sorted(by_length.items()):
-            kinds = []
-            for weighted in (False, True):
-                prints = np.array([fingerprints(s, len(s), self.holders(s) if weighted else None)[0] for _, s in group], np.uint64)
-                if weighted and np.array_equal(prints, kinds[0][0]) and len(np.unique(self.n)) == 1:
-                    break
-                blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
-                kinds.append((prints, np.stack([near[:, blocks[:, b]] for b in range(BLOCKS)])))
-            held = np.unique(np.concatenate([s for _, s in group]))
-            bags = [self.bag(s) for _, s in group]
-            self.lengths[m] = ([i for i, _ in group], bags, kinds, held, min(self.fewest(bag) for bag in bags))
+        self.near = np.array([[(a ^ b).bit_count() <= radius // BLOCKS for a in range(256)] for b in range(256)])
+        self.prints = [np.array([fingerprints(s, len(s), self.holders(s) if weighted else None)[0] for s in all_shingles], np.uint64) for weighted in (False, True)]
+        if len(np.unique(self.n)) < 2:
+            self.prints.pop()
+        self.fewest = np.array([self._fewest(*bag) for bag in self.bags], np.int64)
 
     def holders(self, s: np.ndarray) -> np.ndarray:
         """How many items hold each shingle; 0 for those of one item elsewhere, or of none."""
@@ -100,25 +98,20 @@ class ItemIndex:
         at = np.minimum(np.searchsorted(self.known, s), max(0, len(self.known) - 1))
         return at, (self.known[at] == s) if len(self.known) else np.zeros(len(s), bool)
 
-    def bag(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(shingles, how often, weights) of an item."""
-        b, m = np.unique(s, return_counts=True)
-        return b, m, 1 / self.holders(b)
-
-    def fewest(self, bag: tuple[np.ndarray, np.ndarray, np.ndarray]) -> int:
+    def _fewest(self, b: np.ndarray, m: np.ndarray) -> int:
         """The least number of shingles with which a text can reach the threshold: its
         heaviest ones. Without weights no fewer would do."""
-        _, m, w = bag
-        heavy = np.cumsum(np.sort(np.repeat(w, m))[::-1])
+        heavy = np.cumsum(np.sort(np.repeat(1 / self.holders(b), m))[::-1])
         return int(np.searchsorted(heavy, self.threshold * heavy[-1] - 1e-9 * heavy[-1])) + 1
 
-    def similarity(self, window: np.ndarray, bag: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
+    def similarity(self, window: np.ndarray, item: int) -> float:
         """Jaccard of two bags of shingles, plain or weighted, whichever is more. A shingle
         that the item lacks weighs as much as the item's do on average unless several other
         items hold it, so an edit counts alike however often the item is repeated, and the
         result depends on the item and ``often`` alone."""
         a, n = np.unique(window, return_counts=True)
-        b, m, w = bag
+        b, m = self.bags[item]
+        w = 1 / self.holders(b)
         at = np.minimum(np.searchsorted(a, b), len(a) - 1)
         x = np.where(a[at] == b, n[at], 0)
         both, extra = np.minimum(x, m), b[np.minimum(np.searchsorted(b, a), len(b) - 1)] != a
@@ -134,58 +127,67 @@ class ItemIndex:
         Only windows that share a shingle with an item of their length are printed: any
         other has similarity 0.
         """
-        sizes = sorted({min(self.shingle, m) for m in self.lengths})
-        for k in sizes:
+        for k in sorted({min(self.shingle, int(m)) for m in self.length}):
             s = runs(h, k)
-            if not len(s):
-                continue
             maybe = np.flatnonzero(self.sieve[s & np.uint64((1 << 20) - 1)])
-            hits = maybe[self.find(s[maybe])[1]]
+            place, found = self.find(s[maybe])
+            hits, place = maybe[found], place[found]
             rows = np.searchsorted(at, hits, "right") - 1
-            inside = hits + k <= at[rows + 1]
-            hits, rows = hits[inside], rows[inside]
+            held = self.first[place + 1] - self.first[place]
+            inside = (hits + k <= at[rows + 1]) & (held > 0)
+            hits, place, rows, held = hits[inside], place[inside], rows[inside], held[inside]
             if not len(hits):
                 continue
-            cuts = np.flatnonzero(np.diff(rows)) + 1
-            for own, row in zip(np.split(hits, cuts), rows[np.concatenate([[0], cuts])], strict=True):
-                for m in self.lengths:
-                    if min(self.shingle, m) == k:
-                        yield from self._row(s, own, int(at[row]), int(at[row + 1]), int(row), m, k)
-
-    def _row(self, s: np.ndarray, hits: np.ndarray, first: int, end: int, row: int, m: int, k: int) -> Iterator[tuple]:
-        ids, bags, kinds, held, fewest = self.lengths[m]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1, [len(hits)]])
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                ends = np.cumsum(held[a:z])
+                where = np.repeat(hits[a:z], held[a:z])
+                item = self.holder[np.arange(ends[-1]) - np.repeat(ends - held[a:z], held[a:z]) + np.repeat(self.first[place[a:z]], held[a:z])]
+                fits = np.minimum(self.length[item], self.shingle) == k
+                where, item = where[fits], item[fits]
+                for m in np.unique(self.length[item]).tolist():
+                    mine = self.length[item] == m
+                    yield from self._row(s, where[mine], item[mine], int(at[rows[a]]), int(at[rows[a] + 1]), int(rows[a]), m, k)
+
+    def _row(self, s: np.ndarray, where: np.ndarray, item: np.ndarray, first: int, end: int, row: int, m: int, k: int) -> Iterator[tuple]:
+        """The items of ``m`` words in one row; ``item`` has its shingle at ``where``."""
         length = min(m, end - first)  # a shorter text is one window
         size = length - k + 1
-        if size < fewest and length < m:
-            return
-        mine = hits[np.isin(s[hits], held)]
+        if length < m:
+            enough = self.fewest[item] <= size
+            where, item = where[enough], item[enough]
         best: dict[int, tuple[float, int, int]] = {}
-        gaps = np.flatnonzero(np.diff(mine) >= 2 * m) + 1
-        for part in np.split(mine, gaps):
+        gaps = np.flatnonzero(np.diff(where) >= 2 * m) + 1
+        for part, own in zip(np.split(where, gaps), np.split(item, gaps), strict=True):
             if not len(part):
                 continue
+            own = np.unique(own)
             lo, hi = max(first, int(part[0]) - size + 1), min(end - length, int(part[-1]))
             for a in range(lo, hi + 1, 4096):
                 z = min(hi, a + 4095)
                 region = s[a : z + size]
                 n = self.holders(region)
                 different = len(np.unique(n[n > 0])) > 1
-                distance = np.full((z + 1 - a, len(ids)), 65, np.uint8)
-                for k_, (prints, tables) in enumerate(kinds):
-                    if not k_ or different:  # else the window's two prints are one
-                        got = fingerprints(region, size, n if k_ else None)
-                    close = np.zeros(distance.shape, bool)
-                    for b, value in enumerate(got.view(np.uint8).reshape(-1, BLOCKS).T):
-                        close |= tables[b][value]
-                    w, i = np.nonzero(close)
-                    distance[w, i] = np.minimum(distance[w, i], np.bitwise_count(got[w] ^ prints[i]))
-                w, i = np.nonzero(distance <= self.radius)
-                for w_, i_, d in zip(w.tolist(), i.tolist(), distance[w, i].tolist(), strict=True):
-                    sim = self.similarity(region[w_ : w_ + size], bags[i_])
-                    if sim >= self.threshold and sim > best.get(i_, (0.0,))[0]:
-                        best[i_] = (sim, d, a + w_ - first)
+                printed = [(fingerprints(region, size, n if x else None), prints) for x, prints in enumerate(self.prints) if not x or different]
+                for some in np.array_split(own, -(-len(own) // 512)):
+                    distance = np.full((z + 1 - a, len(some)), 65, np.uint8)
+                    for got, prints in printed:
+                        w, i = np.nonzero(self.probed(got, prints[some]))
+                        distance[w, i] = np.minimum(distance[w, i], np.bitwise_count(got[w] ^ prints[some[i]]))
+                    w, i = np.nonzero(distance <= self.radius)
+                    for w_, i_, d in zip(w.tolist(), some[i].tolist(), distance[w, i].tolist(), strict=True):
+                        sim = self.similarity(region[w_ : w_ + size], i_)
+                        if sim >= self.threshold and sim > best.get(i_, (0.0,))[0]:
+                            best[i_] = (sim, d, a + w_ - first)
         for i_, (sim, d, start) in best.items():
-            yield row, ids[i_], sim, d, start, length
+            yield row, self.ids[i_], sim, d, start, length
+
+    def probed(self, windows: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Which windows probe a bucket of which items."""
+        out = np.zeros((len(windows), len(items)), bool)
+        for x, y in zip(windows.view(np.uint8).reshape(-1, BLOCKS).T, items.view(np.uint8).reshape(-1, BLOCKS).T, strict=True):
+            out |= self.near[x[:, None], y[None, :]]
+        return out
 
 
 def _item_shingles(shingle: int):
@@ -211,10 +213,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     item is one window.
 
     Words are lower-cased (A-Z) and split at ASCII white space. Documents are read once for
-    each block of items of at most ``block_bytes`` of text (one item at least), which is
-    broadcast with the shingles that several items of the whole benchmark hold. Items shorter than a shingle match as a whole; empty or null texts
-    match nothing; of equal windows the first counts; rows that repeat a document give
-    repeated rows; repeated items match each under their own id; empty tables give no rows.
+    each block of items of at most ``block_bytes`` / 2 of text (one item at least), which is
+    broadcast at some six times that size with the shingles that several items of the whole
+    benchmark hold. Windows whose fingerprint lies within ``radius`` of the item's are
+    compared; two windows just at 0.8 lie farther apart with a chance below 0.0001. Items
+    shorter than a shingle match as a whole; empty or null texts match nothing; of equally
+    similar windows the first counts; null ids pass through; rows that repeat a document give
+    repeated rows; repeated items match each under their own id, items of null id under none;
+    other columns play no part; empty tables give no rows.
     """
     sized = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("octet_length(text) > 0").distinct()
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -230,7 +236,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
         index = docs.sparkSession.sparkContext.broadcast(ItemIndex(items, often, shingle, radius, threshold))
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in finishing(batches):
                 data, off = buffers(batch.column(1))
                 found: list[tuple] = []
                 for i, j in row_groups(off):
@@ -245,8 +251,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     return out.withColumnRenamed("id", name)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents in which a benchmark item was found. Rows of null id
-    can't be told apart and are kept."""
-    bad = find_contamination(docs, benchmark, id_col=id_col, **options).select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the documents in which a benchmark item was found. That depends on the
+    text alone, so rows of null id, and rows that share an id, are judged each by its own."""
+    key = fresh(docs, "text_key")
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    bad = find_contamination(keyed, benchmark, id_col=key, text_col=text_col, **options).select(key).distinct()
+    return keyed.join(bad, key, "left_anti").select(*docs.columns)
