@@ -141,6 +141,26 @@ def test_shards_hold_near_equal_bytes_and_gapless_slots(spark):
         slots[r.shard].append(r.slot)
     assert set(size) == set(range(40)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(size.values()) - min(size.values()) <= 2 * 416
+    # the same cut by brute force: rows in key order, each to the shard its bytes reach
+    keyed = docs.selectExpr("doc_id", "xxhash64(coalesce(text, '')) as k", "coalesce(doc_id, -9223372036854775808) as i", "octet_length(coalesce(text, '')) + 16 as n").collect()
+    keyed.sort(key=lambda r: (r.k, r.i))
+    total, run, want = sum(r.n for r in keyed), 0, {}
+    for r in keyed:
+        want[r.k, r.i] = next(x for x in range(39, -1, -1) if run >= x * total / 40 or x == 0)
+        run += r.n
+    exact = {(r.doc_id): r.shard for r in shard_documents(docs, 40, tolerance=0).collect()}
+    assert all(exact[r.doc_id] == want[r.k, r.i] for r in keyed if r.doc_id != 5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "90")  # shards in parts
+    try:
+        fine = shard_documents(docs, 40).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    again = defaultdict(list)
+    for r in fine:
+        again[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in again.values())
+    assert sorted((str(r.doc_id), r.shard, r.slot) for r in fine if r.doc_id != 5) == sorted((str(r.doc_id), r.shard, r.slot) for r in got if r.doc_id != 5)
     loose = Counter()
     for r in shard_documents(docs, 40, tolerance=0.05).collect():
         loose[r.shard] += r.size
