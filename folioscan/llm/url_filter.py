@@ -70,13 +70,15 @@ def resource(url: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) URL pairs from ``link rel=canonical`` and ``meta http-equiv=refresh``."""
+    """(src, dst) URL pairs from every ``link rel=canonical`` and ``meta http-equiv=refresh``
+    of a page, quoted or not. Null HTML and null URLs have none, links that name nothing are
+    left out, repeated pairs come once, and an empty table gives no rows."""
     html = F.col(html_col)
-    canonical = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*?\burl\s*=\s*["']?([^"'\s>]+)""", 1)
+    canonical = F.regexp_extract_all(html, F.lit(r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""), F.lit(1))
+    refresh = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?([^"'\s>]+)"""), F.lit(1))
     low = F.lower(html)
     likely = pages.where(F.col(url_col).isNotNull() & (low.contains("canonical") | low.contains("refresh")))
-    found = likely.select(F.col(url_col).alias("_url"), F.explode(F.array(canonical, refresh)).alias("_to")).where("_to <> ''")
+    found = likely.select(F.col(url_col).alias("_url"), F.explode(F.concat(canonical, refresh)).alias("_to")).where("_to <> ''")
     to = F.replace(F.col("_to"), F.lit("&amp;"), F.lit("&"))
     return found.select(resource(F.col("_url")).alias("src"), resolve(F.col("_url"), to).alias("dst")).where("dst is not null and src <> ''").distinct()
 

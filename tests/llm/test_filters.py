@@ -116,6 +116,13 @@ def test_length_follows(spark):
     assert got[1].n_chars == len(got[1].text) and got[2].n_chars == 99
 
 
+def test_all_links_of_a_page_tie(spark):
+    rows = [(1, "http://a.net/1", "<link rel=canonical href='http://b.net/x'><link href=http://c.net/y rel=canonical>" + "x" * 2_000_000 + "<meta http-equiv=refresh content=0;url=http://bad.net/z>"), (2, "http://b.net/x", None), (3, "http://c.net/y", ""), (4, "http://d.net/", "w" * 3_000_000), (None, None, "<link rel=canonical href=http://bad.net/z>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in judge_urls(pages, [Rule("bad.net", "/", "block")]).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", None: "allow"}
+
+
 def contaminated(spark, docs, items, **options):
     d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'c' as item_id")
     b = spark.createDataFrame(items, "item_id long, text string")
