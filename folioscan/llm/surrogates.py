@@ -324,10 +324,15 @@ def _entities(found: Column) -> Column:
 
 def _distinct_entities(rows: DataFrame, hits: str, *keep: str) -> DataFrame:
     """(kind, canon) of all found strings and of the given names in them that no list holds."""
-    each = rows.select(*keep, F.explode(_entities(F.array_distinct(F.col(hits)))).alias("e"))
-    listed = [n for names in GIVEN.values() for n in names]
-    given = each.where("e.kind = 'name'").select(*keep, F.explode(_given(F.col("e.surface"))).alias("canon")).where(~F.col("canon").isin(listed))
-    return each.select(*keep, "e.kind", "e.canon").unionByName(given.select(*keep, F.lit("given").alias("kind"), "canon")).distinct()
+    listed = F.array(*[F.lit(n) for names in GIVEN.values() for n in names])
+
+    def both(found: Column) -> Column:
+        own = F.transform(found, lambda e: F.struct(e["kind"].alias("kind"), e["canon"].alias("canon")))
+        given = F.flatten(F.transform(F.filter(found, lambda e: e["kind"] == "name"), lambda e: _given(e["surface"])))
+        return F.concat(own, F.transform(F.array_except(given, listed), lambda w: F.struct(F.lit("given").alias("kind"), w.alias("canon"))))
+
+    each = rows.select(*keep, F.explode(_let(_entities(F.array_distinct(F.col(hits))), both)).alias("e"))
+    return each.select(*keep, "e.kind", "e.canon").distinct()
 
 
 def settle(entities: DataFrame, key: str) -> DataFrame | None:
