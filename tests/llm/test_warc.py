@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import random
+import shutil
 from pathlib import Path
 
 from folioscan.llm import warc
@@ -46,3 +48,35 @@ def test_damage_is_reported_and_reading_goes_on():
     assert [bool(r["error"]) for r in warc.read_records(short + b)] == [True, False]
     assert [bool(r["error"]) for r in warc.read_records(a + b[: len(b) // 2])] == [False, True]
     assert [bool(r["error"]) for r in warc.read_records(a + b"garbage")] == [False, True]
+
+
+def test_archives_are_read_by_splits(spark, tmp_path):
+    """Members over several splits, and many in one; the same file under a name that Hadoop decompresses."""
+    rng = random.Random(1)
+    rows = [(i, f"http://a/{i}", "".join(rng.choices("abcdefghij \0é", k=rng.choice([0, 5, 300, 9000, 40_000])))) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "out")
+    warc.write_warc(warc.plan_records(pages), path)
+    want = sorted((i, hashlib.sha1(h.encode()).hexdigest(), None) for i, _, h in rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen = set()
+    try:
+        for size in ("4000b", "50k", "64m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            seen.add(spark.read.option("lineSep", "\0").option("recursiveFileLookup", "true").text(path).rdd.getNumPartitions())
+            got = warc.read_warc(spark, path).collect()
+            assert sorted((r.page_id, r.payload_digest, r.error) for r in got) == want
+            assert all(hashlib.sha1(r.payload).hexdigest() == r.payload_digest for r in got if r.record_type == "response")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(seen) > 1
+    named = tmp_path / "named"
+    named.mkdir()
+    for k, f in enumerate(Path(path).rglob("part-*")):
+        if f.stat().st_size:
+            shutil.copy(f, named / f"x{k}.warc.gz")
+            (named / f"cut{k}.bin").write_bytes(f.read_bytes()[:-7])
+    got = warc.read_warc(spark, str(named)).collect()
+    assert sorted((r.page_id, r.payload_digest, r.error) for r in got if r.file.endswith(".gz")) == want
+    cut = [r for r in got if r.file.endswith(".bin")]
+    assert len(cut) == len(rows) and sum(bool(r.error) for r in cut) == 1
