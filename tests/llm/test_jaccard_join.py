@@ -77,5 +77,23 @@ def test_keep_one_keeps_columns_and_nulls(spark):
 
 
 def test_runs_reach_the_target():
-    assert J.runs_needed(0.8, 0.999) >= 5
-    assert J.runs_needed(0.8, 0.9) <= J.runs_needed(0.8, 0.999) <= J.runs_needed(0.8, 0.99999)
+    for target in (0.9, 0.999, 0.99999):
+        runs, least = J.runs_needed(0.8, target)
+        assert J.miss_chance(0.8, runs, least) <= 1 - target < J.miss_chance(0.8, runs - 1, least)
+    assert J.runs_needed(0.8, 0.9)[0] < J.runs_needed(0.8, 0.99999)[0]
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs whose similarity lies just above the threshold, against exact links."""
+    rng = random.Random(11)
+    rows, pairs = [], set()
+    for i in range(1500):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+        rows.append((2 * i, " ".join(words)))
+        cut = 6 if i % 2 else 5  # 50 of 62, or 51 of 61 shingles
+        rows.append((2 * i + 1, " ".join(words[:-cut] + [f"x{rng.randrange(10**9)}" for _ in range(cut)])))
+        pairs.add((2 * i, 2 * i + 1))
+    rows += [(9000, "z" * 3_000_000 + " a b c d e f"), (9001, "z" * 3_000_000 + " a b c d e f"), (9002, "z" * 2_999_999 + "y a b c d e f")]
+    got = {r.doc_id: r.n_links for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[a] == 1 for a, _ in pairs) >= 0.998 * len(pairs)
+    assert (got[9000], got[9001], got[9002]) == (1, 1, 0)

@@ -22,7 +22,7 @@ def test_lm_scores(spark):
     rng = random.Random(4)
     words = ["the", "The", "Él", "rain", "in", "Spain", "stays"] + [f"w{i}" for i in range(300)]
     rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 60), weights=[40] * 7 + [1] * 300)) if i % 17 else None) for i in range(400)]
-    rows += [(7, "repeated row"), (7, "repeated row"), (None, "no id"), (900, ""), (901, "\x0b the \x0c"), (902, "long " * 40_000)]
+    rows += [(7, "repeated row"), (7, "repeated row"), (None, "no id"), (900, ""), (901, "\x0b the \x0c"), (902, "long " * 40_000), (903, "q" * 3_000_000 + " the"), (904, "q" * 3_000_000), (905, "q" * 2_999_999 + "r")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as train", "2 as score", "3 as k")
     got = score_texts(docs).collect()
     tokens = {k: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)), None] for k, (_, t) in enumerate(rows)}
@@ -93,7 +93,7 @@ def kneser_ney(texts):
 def test_model_equals_the_formulas(spark):
     rng = random.Random(1)
     train = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 30))) for _ in range(40)]
-    asked = [*train[:5], "a b zz c", "", "zz"]
+    asked = [*train[:5], "a b zz c", "", "zz", "a b " + "z" * 3_000_000 + " c d"]
     model = fit(spark.createDataFrame([(t, "en") for t in train], "text string, lang string"))
     docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").selectExpr("*", "'en' as lang")
     got = {r.id: r for r in score(docs, model).collect()}
@@ -211,3 +211,27 @@ def test_sample_is_dealt_by_language(spark):
     got = classify(docs, labels, max_train_docs=2).collect()
     assert all(r.perplexity < 1000 and r.threshold < 1000 for r in got if r.lang == "es")
     assert all(r.threshold is None and r.keep for r in got if r.lang == "de")
+
+
+def test_thresholds_and_verdicts_equal_brute_force(spark):
+    good, bad = trusted_corpus()
+    docs = spark.createDataFrame([*good, *bad, (None, bad[0][1], bad[0][2]), (0, bad[1][1], bad[1][2])], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in good], "doc_id long, quality int, toxic int")
+    got = classify(docs, labels, max_train_docs=50, share=0.9, slack=0.3).collect()
+    half = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(doc_id) as h").distinct().collect()}
+    first = {i: lang for i, _, lang in sorted(good, key=lambda r: r[2] != "de")}
+    turns: dict[str, int] = defaultdict(int)
+    ranked = []
+    for i in sorted((i for i in first if half[i] % 2 == 0), key=lambda i: (half[i], i)):
+        turns[first[i]] += 1
+        ranked.append((turns[first[i]], half[i], i))
+    sample = {i for _, _, i in sorted(ranked)[:50]}
+    lp = {lang: sorted(math.ceil(-r.log10_prob / r.n_tokens / 0.001) for r in got if r.lang == lang and r.doc_id in first and r.doc_id not in sample) for lang in ("en", "de")}
+    cut = {lang: v[math.ceil(0.9 * len(v)) - 1] * 0.001 for lang, v in lp.items()}
+    for r in got:
+        assert math.log10(r.threshold) == pytest.approx(cut[r.lang], abs=1e-9)
+        assert r.keep == (-r.log10_prob / r.n_tokens <= cut[r.lang] + 0.3 / math.sqrt(r.n_tokens))
+    left = keep_good(docs, labels, max_train_docs=50, share=0.9, slack=0.3).collect()
+    kept = Counter((r.doc_id, r.keep) for r in got)
+    assert sum(n for (_, k), n in kept.items() if k) == len(left)
+    assert not any(r.doc_id is None for r in left) and (0, good[0][1]) in {(r.doc_id, r.text) for r in left}
