@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import SLICE, SPACE, buffers, finishing, mix, powers, row_groups
+from .workspace import arrow_rows
 
 WINDOW, MASK = 24, (1 << 11) - 1
 CORE_BYTES, JOIN_BYTES, MOST_WORDS, MOST_IDS, LEARN = 16 << 20, 8 << 20, 300_000, 4 << 20, 4096
@@ -355,6 +356,7 @@ def encode(docs: DataFrame, spec: str, *, id_col: str = "doc_id", text_col: str
     adding special tokens. Null and empty texts have no ids; null ids and repeated rows pass
     through; an empty table gives no rows; other columns are left out; an id column called
     ids comes back as _ids."""
+    arrow_rows(docs.sparkSession)
     name = _id_name(docs, id_col, "ids")
     held = docs.sparkSession.sparkContext.broadcast(spec)
     return docs.select(id_col, text_col).mapInArrow(_encoding(held, name), f"`{name}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
@@ -372,6 +374,7 @@ def decode(encoded: DataFrame, spec: str, *, ids_col: str = "ids", text_col: str
 
 def round_trip(docs: DataFrame, spec: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, text): ``decode`` of ``encode`` in one pass, so one Python worker a task."""
+    arrow_rows(docs.sparkSession)
     name = _id_name(docs, id_col, "ids", "text")
     to, back = _encoding(docs.sparkSession.sparkContext.broadcast(spec), name), _decoding(docs.sparkSession.sparkContext.broadcast(token_bytes(spec)), "ids", "text")
     return docs.select(id_col, text_col).mapInArrow(lambda batches: back(to(batches)), f"`{name}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>, text string")

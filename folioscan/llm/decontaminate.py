@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import _BASE, buffers, finishing, mix, row_groups, words
-from .workspace import fresh
+from .workspace import arrow_rows, fresh
 
 BLOCKS = 8
 UNIT = 1 << 12
@@ -222,6 +222,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     repeated rows; repeated items match each under their own id, items of null id under none;
     other columns play no part; empty tables give no rows.
     """
+    arrow_rows(docs.sparkSession)
     sized = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("octet_length(text) > 0").distinct()
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (block_bytes // 2)))

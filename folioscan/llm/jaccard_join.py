@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .graph import connected_components
 from .kernels import buffers, finishing, mix, row_groups, shingles, words
-from .workspace import discard, fresh, materialize
+from .workspace import arrow_rows, discard, fresh, materialize
 
 LANES = 64
 SAMPLED = 2.0
@@ -186,9 +186,13 @@ def _new_pairs(t: pa.Table) -> np.ndarray:
 
 def _overlap(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """How many values each two of ``n`` rows share; 1024 values at a time, so memory is n x (n + 1024)."""
-    order = np.argsort(values, kind="stable")
-    rows, values = rows[order], values[order]
-    column = np.cumsum(np.concatenate([[False], values[1:] != values[:-1]])) if len(values) else values
+    order = np.argsort(values, kind="stable").astype(np.int32)
+    values = values[order]
+    new = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)
+    shared = ~new
+    shared[:-1] |= ~new[1:]  # values that one row alone has count for nothing
+    rows, new = rows[order[shared]], new[shared]
+    column = np.cumsum(new) - 1
     out = np.zeros((n, n), np.float32)
     for a in range(0, int(column[-1]) + 1 if len(column) else 0, 1024):
         lo, hi = np.searchsorted(column, [a, a + 1024])
@@ -245,7 +249,7 @@ def exact_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
             for j in range(i + 1, n):
                 inter[i, j] = inter[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
     else:
-        inter = _overlap(np.repeat(np.arange(n), sizes), np.concatenate(sets), n)
+        inter = _overlap(np.repeat(np.arange(n, dtype=np.int32), sizes), np.concatenate(sets), n)
     return inter >= threshold * (sizes[:, None] + sizes[None, :] - inter) - 1e-9
 
 
@@ -317,6 +321,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shingles are searched in pairs of blocks, so none is cut short, and a pair counts in the
     least bucket where it meets. Pairs are counted in tasks and never become rows.
     """
+    arrow_rows(docs.sparkSession)
     signed = materialize(_signed(docs, id_col, text_col, shingle), "signed")
     reps = materialize(signed.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("rep"), F.first("size").alias("size"), F.first("sig").alias("sig")), "nodes")
     runs, least = runs_needed(threshold, target_recall, depth)

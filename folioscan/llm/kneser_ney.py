@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .kernels import buffers, finishing, mix, row_groups, words
-from .workspace import discard, fresh, materialize
+from .workspace import arrow_rows, discard, fresh, materialize
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -368,6 +368,7 @@ def quantiles(scores: DataFrame, share: float, step: float = 0.001) -> DataFrame
 def _judge(docs: DataFrame, labels: DataFrame, row: str, id_col: str, text_col: str, lang_col: str, max_train_docs: int, max_train_bytes: int, share: float, slack: float) -> DataFrame:
     """(id, row, lang, n_tokens, log10_prob, perplexity, threshold, keep); ``row`` is a struct
     column of ``docs`` that holds the id."""
+    arrow_rows(docs.sparkSession)
     verdicts = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good")).where("good").select(id_col)
     trusted = materialize(docs.select(id_col, F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("_lang"), F.octet_length(text_col).alias("_size")).join(verdicts, id_col, "left_semi"), "trusted")
     half = F.pmod(F.xxhash64(id_col), F.lit(2)) == 0

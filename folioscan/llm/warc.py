@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .workspace import discard, materialize
+from .workspace import arrow_rows, discard, materialize
 
 WARC_DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -93,6 +93,7 @@ def _tails(members: list[bytes]) -> pa.RecordBatch:
 def write_warc(records: DataFrame, path: str, records_per_file: int = 20_000) -> None:
     """Write ``plan_records`` rows as archives under ``path``, one folder for each last byte
     of members (0 but for records of 16 MiB or more)."""
+    arrow_rows(records.sparkSession)
     wide = (F.col("size") + F.coalesce(F.octet_length("url"), F.lit(0)) * 3 + 4096) >= (1 << 24)
 
     def put(rows: DataFrame, tail: int) -> None:

@@ -35,6 +35,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """How many rows Spark hands to a Python worker at a time from here on. Texts are long:
+    Spark's own 10,000 rows of them hold some 100 MB of buffers for each task, outside the
+    heap, on either side. A limit below ``rows`` stays as it is."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if rows > 1000 or int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind ``df`` if ``materialize`` wrote it; no later read may need it."""
     path = getattr(df, "_folioscan_path", None)
