@@ -4,8 +4,10 @@ Training counts are DataFrames hashed by n-gram; each order is joined to the nex
 and to its contexts. Documents are scored by joins too: a document's n-grams go, packed by
 batches of text, to the shard of their middle word, which holds all of the model's entries
 for that word, and what each shard adds to a document's log probability is summed up again.
-Only the vocabulary with its unigram probabilities is broadcast; it is bounded by the sample
-that the model is fitted on.
+Only the vocabulary with its unigram probabilities and back-off weights, and a membership
+filter of the pairs of words that the model has met, are broadcast; both are bounded by the
+sample that the model is fitted on. A word that forms no such pair with those before it has no
+n-gram to meet and is scored where it stands.
 """
 
 from __future__ import annotations
@@ -167,19 +169,35 @@ def _keys(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """The model's words with small numbers (0 for all others), log10 unigram probabilities,
-    and each language's for an unseen word."""
+    """The model's words with small numbers (0 for all others), log10 unigram probabilities
+    and back-off weights, each language's probability of an unseen word, and the pairs met."""
 
-    def __init__(self, words_: np.ndarray, p1: np.ndarray, unseen: dict[int, float]):
+    def __init__(self, words_: np.ndarray, p1: np.ndarray, g2: np.ndarray, unseen: dict[int, float], pairs: np.ndarray):
         self.hash = np.concatenate([np.zeros(1, np.uint64), words_])
         self.p1 = np.concatenate([np.full(1, np.nan, np.float32), p1])
+        self.g2 = np.concatenate([np.zeros(1, np.float32), g2])
         self.unseen = unseen
+        self.mask = np.uint64((1 << max(10, int(16 * len(pairs)).bit_length())) - 1)
+        bits = np.zeros(int(self.mask) + 1, bool)
+        for at in self._bits(pairs):
+            bits[at] = True
+        self.bits = np.packbits(bits, bitorder="little")
         self.kind = np.uint16 if len(self.hash) <= 1 << 16 else np.uint32
         self.table: Shard | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"table": None}
 
+    def _bits(self, pairs: np.ndarray) -> list[np.ndarray]:
+        return [pairs & self.mask, mix(pairs) & self.mask]
+
+    def met(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the model may hold the pair; never false where it does."""
+        out = np.ones(len(a), bool)
+        for at in self._bits(pair_key(a, b)):
+            out &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return out
+
     def numbers(self, words_: np.ndarray) -> np.ndarray:
         if self.table is None:
             self.table = Shard(self.hash[1:], np.arange(1, len(self.hash), dtype=np.int32))
@@ -187,13 +205,17 @@ class Vocabulary:
 
 
 def vocabulary(model: DataFrame) -> Vocabulary:
-    """From a model's unigrams and contexts: at most one word for each token of the sample."""
+    """From a model's unigrams, contexts and pairs: at most a word and two pairs for each token
+    of the sample."""
     rows = model.where("kind in (0, 1, 12)").select("kind", "a", "value").toArrow()
     kind, a, value = rows.column("kind").to_numpy(), rows.column("a").to_numpy().view(np.uint64), rows.column("value").to_numpy()
     every = np.unique(a[kind != 0])
-    p1 = np.full(len(every), np.nan, np.float32)
+    p1, g2 = np.full(len(every), np.nan, np.float32), np.zeros(len(every), np.float32)
     p1[np.searchsorted(every, a[kind == 1])] = value[kind == 1]
-    return Vocabulary(every, p1, dict(zip(a[kind == 0].tolist(), value[kind == 0].tolist(), strict=True)))
+    g2[np.searchsorted(every, a[kind == 12])] = value[kind == 12]
+    pairs = model.where("kind in (2, 13)").select("a", "b").distinct().toArrow()
+    keys = pair_key(*(pairs.column(c).to_numpy().view(np.uint64) for c in "ab"))
+    return Vocabulary(every, p1, g2, dict(zip(a[kind == 0].tolist(), value[kind == 0].tolist(), strict=True)), keys)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -264,7 +286,7 @@ def score(docs: DataFrame, model: DataFrame, *, id_col: str = "doc_id", text_col
     Each batch of texts sends its words' numbers to ``shards`` shards by middle word. The
     shards are dealt to as many tasks as there are shuffle partitions, by batches, each with a
     copy of its shard's entries: a word in a third of all texts is spread over all copies.
-    Words unknown to the model, and words behind an unknown one, are scored where they stand.
+    Words that form no pair the model has met are scored where they stand.
     Null and empty texts score their end; null languages are one; languages without a model
     give each token 1e-7; null ids and repeated rows pass through; an empty table gives no
     rows. A batch whose parts do not all arrive (a scan that changes between attempts) fails.
@@ -290,10 +312,12 @@ def score(docs: DataFrame, model: DataFrame, *, id_col: str = "doc_id", text_col
                     un, vn, wn = (known.numbers(x) for x in (u, v, w))
                     p1 = known.p1[wn]
                     lacking = np.array([known.unseen.get(x, -7.0) for x in langs[i:j].tolist()])[rows]
-                    local = np.where(np.isnan(p1), lacking, np.where(vn == 0, p1, 0.0))
+                    asks = vn > 0
+                    asks[asks] = known.met(v[asks], w[asks]) | known.met(u[asks], v[asks])
+                    local = np.where(np.isnan(p1), lacking, np.where(asks, 0.0, p1)) + np.where(asks, 0.0, known.g2[vn])
                     batch = task << 32 | ordinal
                     ordinal += 1
-                    sent = np.flatnonzero(vn > 0)
+                    sent = np.flatnonzero(asks)
                     shard = _shard_of(v[sent], shards)
                     sent = sent[np.lexsort((wn[sent], vn[sent], shard))]
                     cuts = np.searchsorted(_shard_of(v[sent], shards), np.arange(shards + 1))
@@ -373,8 +397,11 @@ def _judge(docs: DataFrame, labels: DataFrame, row: str, id_col: str, text_col:
     trusted = materialize(docs.select(id_col, F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("_lang"), F.octet_length(text_col).alias("_size")).join(verdicts, id_col, "left_semi"), "trusted")
     half = F.pmod(F.xxhash64(id_col), F.lit(2)) == 0
     fit_for = trusted.where(half & F.col("_size").between(1, max_train_bytes)).groupBy(id_col).agg(F.min("_lang").alias("_lang"))
-    turn = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64(id_col), id_col))
-    sample = fit_for.withColumn("_turn", turn).where(F.col("_turn") <= max_train_docs).orderBy("_turn", F.xxhash64(id_col), id_col).limit(max_train_docs).collect()
+    order = [F.xxhash64(id_col), F.col(id_col)]
+    salted = fit_for.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(64)))  # the first of each 64th, then of them
+    first = salted.withColumn("_turn", F.row_number().over(Window.partitionBy("_lang", "_salt").orderBy(*order))).where(F.col("_turn") <= max_train_docs)
+    turn = F.row_number().over(Window.partitionBy("_lang").orderBy(*order))
+    sample = first.withColumn("_turn", turn).where(F.col("_turn") <= max_train_docs).orderBy("_turn", F.xxhash64(id_col), id_col).limit(max_train_docs).collect()
     ids, langs = [r[id_col] for r in sample], sorted({r["_lang"] for r in sample})
     train = docs.where(F.col(id_col).isin(ids)).dropDuplicates([id_col]) if ids else docs.limit(0)
     model = materialize(fit(train, text_col, lang_col), "model")
