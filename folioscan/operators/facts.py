@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import text
 from folioscan.operators import tree
+from folioscan.sources.markup import INLINE
 
-# Roles by tag, roles that take part in interaction, tags that are never rendered, inline tags.
+# Roles by tag, roles that take part in interaction, tags that are never rendered.
 TAG_ROLES = {"a": "link", "article": "article", "aside": "complementary", "button": "button", "dialog": "dialog", "details": "group", "fieldset": "group", "form": "form", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "hr": "separator", "img": "image", "li": "listitem", "main": "main", "meter": "meter", "nav": "navigation", "ol": "list", "option": "option", "progress": "progressbar", "section": "region", "select": "combobox", "summary": "button", "table": "table", "td": "cell", "textarea": "textbox", "tr": "row", "ul": "list"}
 INPUT_ROLES = {"button": "button", "checkbox": "checkbox", "image": "button", "number": "spinbutton", "radio": "radio", "range": "slider", "reset": "button", "search": "searchbox", "submit": "button"}
 INTERACTIVE = ("button", "checkbox", "combobox", "link", "listbox", "menuitem", "menuitemcheckbox", "menuitemradio", "option", "radio", "searchbox", "slider", "spinbutton", "switch", "tab", "textbox", "treeitem")
 NEVER_RENDERED = ("base", "head", "link", "meta", "noscript", "script", "style", "template", "title")
-INLINE = ("a", "abbr", "b", "bdi", "bdo", "button", "cite", "code", "data", "em", "i", "img", "input", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "u", "var", "wbr")
 FORM_TAGS = ("button", "fieldset", "input", "optgroup", "option", "select", "textarea")
 NAMED_BY_CONTENT = ("button", "cell", "checkbox", "columnheader", "heading", "link", "listitem", "menuitem", "option", "radio", "row", "rowheader", "switch", "tab", "treeitem")
 VOID_ROLES = ("", "presentation", "none")

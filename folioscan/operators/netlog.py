@@ -59,21 +59,38 @@ def event_text(text: Column, n: Column) -> Column:
     return F.when(n > 1, F.concat(text, F.lit(" (x"), n.cast("string"), F.lit(")"))).otherwise(text)
 
 
+def as_of(left: DataFrame, right: DataFrame, on: list[str], value: str, bucket: str = "day") -> DataFrame:
+    """``left`` with ``value``, a column of ``right``, of the last right row at or before ``ts``
+    of equal ``on``; of rows at one time the greatest counts. Null where there is none.
+
+    No pairs are made: both sides are sorted together by key, bucket of time and time, and
+    what a bucket ends with is carried to the next ones, so a hot key spreads over its buckets.
+    """
+    mine = left.columns
+    kind = right.schema[value].dataType.simpleString()
+    v = F.struct(F.col("ts").alias("at"), F.col(value).alias("value"))
+    rows = left.select(*on, "ts", F.struct(*mine).alias("_l"), F.lit(None).cast(f"struct<at:timestamp,value:{kind}>").alias("_v"))
+    rows = rows.unionByName(right.select(*on, "ts", F.lit(None).cast(rows.schema["_l"].dataType).alias("_l"), v.cast(f"struct<at:timestamp,value:{kind}>").alias("_v"))).withColumn("_b", F.date_trunc(bucket, "ts"))
+    inside = F.last("_v", ignorenulls=True).over(Window.partitionBy(*on, "_b").orderBy("ts", F.col("_l").isNotNull(), "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = rows.groupBy(*on, "_b").agg(F.max("_v").alias("_v"))
+    before = F.last("_v", ignorenulls=True).over(Window.partitionBy(*on).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.withColumn("_c", before).where("_c is not null").select(*on, "_b", "_c")
+    out = rows.withColumn("_i", inside).where("_l is not null").join(carried, [*on, "_b"], "left")
+    return out.withColumn("_f", F.coalesce("_i", "_c")).select("_l.*", F.col("_f.value").alias(value), F.col("_f.at").alias(f"{value}_at"))
+
+
 def status_as_of(captures: DataFrame, requests: DataFrame) -> DataFrame:
     """``captures`` (session_id, capture_id, document, ts) with the status of the last Document
     request for the address at or before the capture."""
-    r = requests.where("kind = 'Document'").select("session_id", F.substring_index("url", "#", 1).alias("document"), F.col("ts").alias("_ts"), "status")
-    c = captures.select("session_id", "capture_id", F.substring_index("document", "#", 1).alias("document"), "ts")
-    last = c.join(r, ["session_id", "document"]).where("_ts <= ts").groupBy("capture_id").agg(F.max_by("status", "_ts").alias("status"))
-    return captures.join(last, "capture_id", "left")
+    r = requests.where("kind = 'Document'").select("session_id", F.substring_index("url", "#", 1).alias("_page"), "ts", "status")
+    return as_of(captures.withColumn("_page", F.substring_index("document", "#", 1)), r, ["session_id", "_page"], "status").drop("_page", "status_at")
 
 
 def failure_cause(failed: DataFrame, failures: DataFrame) -> DataFrame:
     """``failed`` (request_id, hostport, ts, since) with the latest connection failure to the
     same host and port between ``since`` and ``ts``."""
-    f = failures.select("hostport", F.col("ts").alias("_ts"), "cause")
-    last = failed.select("request_id", "hostport", "ts", "since").join(f, "hostport").where("_ts <= ts and _ts >= since").groupBy("request_id").agg(F.max_by("cause", "_ts").alias("cause"))
-    return failed.join(last, "request_id", "left")
+    last = as_of(failed, failures.select("hostport", "ts", "cause"), ["hostport"], "cause")
+    return last.withColumn("cause", F.when(F.col("cause_at") >= F.col("since"), F.col("cause"))).drop("cause_at")
 
 
 def refusals(documents: DataFrame, grace: str = "8 seconds") -> DataFrame:
@@ -117,17 +134,19 @@ def toasts(added: DataFrame, removed: DataFrame, within: str = "10 seconds") ->
 
 def wait_results(waits: DataFrame, captures: DataFrame, patience: str = "15 seconds") -> DataFrame:
     """``waits`` (wait_id, session_id, ts, needle, gone) with the first capture within
-    ``patience`` whose text holds the needle, or does not where ``gone``; null on time-out."""
-    c = captures.select("session_id", F.col("ts").alias("_ts"), "text")
-    hit = waits.join(c, "session_id").where((F.col("_ts") >= F.col("ts")) & (F.col("_ts") <= F.col("ts") + F.expr(f"interval {patience}")) & (F.col("text").contains(F.col("needle")) != F.col("gone")))
+    ``patience`` whose text holds the needle, or does not where ``gone``; null on time-out.
+    Waits meet only the captures of their own stretch of ``patience`` and of the next."""
+    width = F.expr(f"unix_micros(timestamp_seconds(0) + interval {patience})")
+    slot = lambda ts: F.floor(F.unix_micros(ts.cast("timestamp")) / width)
+    c = captures.select("session_id", F.col("ts").alias("_ts"), slot(F.col("ts")).alias("_slot"), "text")
+    asked = waits.withColumn("_slot", F.explode(F.array(slot(F.col("ts")), slot(F.col("ts")) + 1)))
+    hit = asked.join(c, ["session_id", "_slot"]).where((F.col("_ts") >= F.col("ts")) & (F.col("_ts") <= F.col("ts") + F.expr(f"interval {patience}")) & (F.col("text").contains(F.col("needle")) != F.col("gone")))
     return waits.join(hit.groupBy("wait_id").agg(F.min("_ts").alias("met_at")), "wait_id", "left")
 
 
 def expectations(checks: DataFrame, captures: DataFrame) -> DataFrame:
     """``checks`` (check_id, session_id, ts, kind, operand) judged against the capture in force:
     kind is url-matches, url-is, text, gone or visible."""
-    c = captures.select("session_id", F.col("ts").alias("_ts"), "url", "text")
-    now = checks.join(c, "session_id").where("_ts <= ts").groupBy("check_id").agg(F.max_by(F.struct("url", "text"), "_ts").alias("page"))
-    out = checks.join(now, "check_id", "left")
+    out = as_of(checks, captures.select("session_id", "ts", F.struct("url", "text").alias("page")), ["session_id"], "page").drop("page_at")
     met = F.when(F.col("kind") == "url-matches", F.expr("page.url rlike operand")).when(F.col("kind") == "url-is", F.col("page.url") == F.col("operand")).when(F.col("kind") == "gone", ~F.contains("page.text", "operand")).otherwise(F.contains("page.text", "operand"))
     return out.withColumn("met", F.coalesce(met, F.lit(False))).drop("page")

@@ -46,7 +46,7 @@ def write_audit(records: DataFrame, path: str) -> None:
 
 
 def unquote(s: Column) -> Column:
-    body = F.substring(s, 2, 1 << 20)
+    body = s.substr(F.lit(2), F.length(s))
     body = F.regexp_replace(body, r'"$', "")
     for raw, out in (("\\\\", "\x00"), ('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\x00", "\\")):
         body = F.replace(body, F.lit(raw), F.lit(out))
@@ -59,7 +59,7 @@ def statements(programs: DataFrame, key: str = "program_id") -> DataFrame:
     each = programs.select(key, F.posexplode(F.split("program", "\n")).alias("at", "raw")).withColumn("raw", F.trim(F.regexp_replace("raw", r"\s+", " ")))
     each = each.where("raw <> '' and not raw like '#%'")
     attempt = F.col("raw").rlike(r"^try ")
-    body = F.when(attempt, F.substring("raw", 5, 1 << 20)).otherwise(F.col("raw"))
+    body = F.when(attempt, F.col("raw").substr(F.lit(5), F.length("raw"))).otherwise(F.col("raw"))
     verb = F.regexp_extract(body, r"^(\S+)", 1)
     operands = F.regexp_extract(body, r"^\S+ ?(.*)$", 1)
     shape = F.create_map(*[F.lit(x) for k, v in GRAMMAR.items() for x in (k, f"^(?:{v})$")])

@@ -46,20 +46,31 @@ def _sized(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.limit(MOST_SECRETS + 1).count() <= MOST_SECRETS else small
 
 
-def scrub(df: DataFrame, secrets: DataFrame, *, origin_col: str = "origin", text_col: str = "text") -> DataFrame:
-    """``mask_own``, then whole texts refused where a secret of another origin of at least
-    GUARDED characters still shows in any spelling.
+def shown_elsewhere(df: DataFrame, secrets: DataFrame, key: str, *, origin_col: str = "origin", text_col: str = "text") -> DataFrame:
+    """(key) of rows whose text shows, in any spelling, a secret of another origin of at least
+    GUARDED characters.
 
-    Secrets are an operator's short list: they are gathered into one array, at most
-    MOST_SECRETS of them; a longer list is an error, not a cut.
+    No list is gathered: every spelling of GUARDED characters or more begins with some GUARDED
+    characters, so a text's runs of so many meet the spellings on their first ones. A spelling
+    that is shorter than that (only cleaning can make it so) meets on itself.
     """
-    guarded = secret_forms(secrets).where(F.char_length("value") >= GUARDED)
-    if guarded.limit(MOST_SECRETS + 1).count() > MOST_SECRETS:
-        raise ValueError("too many secrets for one list")
-    lists = guarded.agg(F.collect_list(F.struct("origin", "forms")).alias("_all"))
-    masked = mask_own(df, secrets, origin_col=origin_col, text_cols=(text_col,)).join(F.broadcast(lists))
-    shows = F.exists("_all", lambda s: (s["origin"] != F.col(origin_col)) & F.exists(s["forms"], lambda f: F.col(text_col).contains(f)))
-    return masked.withColumn("refused", shows).withColumn(text_col, F.when(shows, F.lit(REFUSED)).otherwise(F.col(text_col))).drop("_all")
+    forms = secret_forms(secrets).where(F.char_length("value") >= GUARDED).select(F.col("origin").alias("_of"), F.explode("forms").alias("_form")).distinct()
+    forms = forms.withColumn("_key", F.substring("_form", 1, GUARDED))
+    sizes = sorted({GUARDED, *(n for (n,) in forms.where(F.char_length("_form") < GUARDED).select(F.char_length("_form")).distinct().collect())})  # GUARDED at most
+    runs = lambda n: F.when(F.char_length(text_col) >= n, F.transform(F.sequence(F.lit(1), F.char_length(text_col) - n + 1), lambda i: F.substr(F.col(text_col), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    starts = forms.select("_key").distinct()
+    spots = df.select(key, F.explode(F.array_distinct(F.concat(*[runs(n) for n in sizes]))).alias("_key")).join(_sized(starts), "_key", "left_semi")
+    near = spots.join(forms, "_key").join(df.select(key, origin_col, text_col), key)
+    return near.where((F.col("_of") != F.col(origin_col)) & F.contains(text_col, "_form")).select(key).distinct()
+
+
+def scrub(df: DataFrame, secrets: DataFrame, *, key: str = "doc_id", origin_col: str = "origin", text_col: str = "text") -> DataFrame:
+    """``mask_own``, then whole texts refused where a secret of another origin of at least
+    GUARDED characters still shows in any spelling. ``key`` tells rows apart."""
+    masked = mask_own(df, secrets, origin_col=origin_col, text_cols=(text_col,))
+    bad = shown_elsewhere(masked, secrets, key, origin_col=origin_col, text_col=text_col).withColumn("_bad", F.lit(True))
+    shows = F.coalesce("_bad", F.lit(False))
+    return masked.join(bad, key, "left").withColumn("refused", shows).withColumn(text_col, F.when(shows, F.lit(REFUSED)).otherwise(F.col(text_col))).drop("_bad")
 
 
 def archivable(sessions: DataFrame, *, session_col: str = "session_id", secret_col: str = "uses_secret", password_col: str = "typed_password") -> DataFrame:

@@ -25,12 +25,6 @@ def nearest(flag: Column, value: Column, by: tuple[str, ...] = ("page_id",)) ->
     return F.when(last["e"] > F.col("node"), last["v"])
 
 
-def open_count(flag: Column, by: tuple[str, ...] = ("page_id",)) -> Column:
-    """How many ancestors have ``flag``."""
-    every = F.transform("path", lambda p: F.array_contains(F.collect_set(F.when(flag, F.col("node"))).over(Window.partitionBy(*by)), p).cast("int"))
-    return F.aggregate(every, F.lit(0), lambda a, x: a + x)
-
-
 def subtree_count(df: DataFrame, flag: Column, name: str, by: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """``df`` with the number of flagged nodes below each node, from prefix sums."""
     w = Window.partitionBy(*by).orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)

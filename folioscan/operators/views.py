@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import text
 from folioscan.operators import tree
-from folioscan.operators.facts import INLINE, attr, facts, names, readable
+from folioscan.operators.facts import attr, names, readable
+from folioscan.sources.markup import INLINE
 
 SKIPPED = ("navigation", "banner", "contentinfo", "complementary", "search")
 CONTROLS = ("button", "select", "input", "textarea", "option")
@@ -25,8 +26,7 @@ def block_runs(facts_df: DataFrame) -> DataFrame:
     number of block starts before it."""
     block = (F.col("kind") == "element") & (~F.col("tag").isin(*INLINE) | (F.col("tag") == "br"))
     starts = F.sum(block.cast("int")).over(_page())
-    blocks = F.collect_list(F.when(block & (F.col("tag") != "br"), F.col("node"))).over(Window.partitionBy("page_id"))
-    return facts_df.withColumn("_starts", starts).withColumn("_blocks", blocks).withColumn("block", F.coalesce(F.array_max(F.array_intersect("path", "_blocks")), F.lit(0))).withColumn("run", F.struct("block", "_starts")).drop("_blocks", "_starts")
+    return facts_df.withColumn("_starts", starts).withColumn("run", F.struct("block", "_starts")).drop("_starts")
 
 
 def markdown_lines(facts_df: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def markdown_lines(facts_df: DataFrame) -> DataFrame:
     footers, asides and controls; headings, list items, quotes, code, links, emphasis, images.
     """
     has_main = F.coalesce(F.max(F.when((F.col("role") == "main") & ~F.col("hidden"), 1)).over(Window.partitionBy("page_id")), F.lit(0)) == 1
-    runs = block_runs(facts_df)
+    runs = block_runs(facts_df.drop("path"))
     marked = runs.withColumns({
         "_in_main": ~has_main | tree.under(F.col("role") == "main"),
         "_skip": tree.under(F.col("role").isin(*SKIPPED) | F.col("tag").isin(*CONTROLS)) | F.col("hidden"),
@@ -48,7 +48,7 @@ def markdown_lines(facts_df: DataFrame) -> DataFrame:
         "_link": tree.nearest((F.col("tag") == "a") & attr("href").isNotNull(), F.struct(F.col("node").alias("n"), attr("href").alias("to"))),
         "_item": tree.under(F.col("tag") == "li"),
         "_quote": tree.under(F.col("tag") == "blockquote"),
-        "_depth": F.size(F.filter(F.col("path"), lambda p: F.array_contains(F.collect_set(F.when(F.col("tag").isin("ul", "ol"), F.col("node"))).over(Window.partitionBy("page_id")), p))),
+        "_depth": F.col("lists"),
     })
     said = F.when(F.col("kind") == "text", F.col("text")).when((F.col("tag") == "img") & (attr("alt") != ""), F.concat(F.lit("!["), text.clean(attr("alt")), F.lit("]("), text.href(F.coalesce(attr("src"), F.lit(""))), F.lit(")")))
     pieces = marked.where(~F.col("_skip") & F.col("_in_main")).withColumn("piece", said).where("piece is not null")
@@ -89,15 +89,22 @@ def refs(controls: DataFrame) -> DataFrame:
 
 
 def search(facts_df: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, page_id, hits): texts and control names that hold a term, in any letter case; a
-    hit inside a control counts once. ``terms`` (term) is a list of questions, broadcast."""
+    """(term, page_id, hits): texts that hold a term, in any letter case; a hit inside a
+    control counts once. Terms of any number: a text can hold a term only if it holds the
+    term's trigram of least hash, so both meet on that; shorter terms meet on themselves.
+    Empty terms hit nothing."""
     cleaned = facts_df.where((F.col("kind") == "text") & ~F.col("hidden")).select("page_id", "node", "path", F.lower(text.clean(F.col("text"))).alias("t"))
     control = facts_df.where("interactive").select("page_id", F.col("node").alias("c"))
     inside = cleaned.select("page_id", "node", F.explode("path").alias("c")).join(control, ["page_id", "c"]).groupBy("page_id", "node").agg(F.max("c").alias("c"))
     spots = cleaned.join(inside, ["page_id", "node"], "left").withColumn("spot", F.coalesce("c", "node"))
-    asked = terms.select("term", F.lower("term").alias("_low"))
-    hit = spots.join(F.broadcast(asked), F.col("t").contains(F.col("_low")))
-    return hit.groupBy("term", "page_id").agg(F.countDistinct("spot").alias("hits"))
+    grams = lambda c, k: F.transform(F.sequence(F.lit(1), F.char_length(c) - k + 1), lambda i: c.substr(i, F.lit(k)))
+    low = F.lower("term")
+    least = F.array_min(F.transform(grams(low, 3), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
+    asked = terms.where("term <> ''").select("term", low.alias("_low"), F.when(F.char_length("term") >= 3, least).otherwise(low).alias("_key")).distinct()
+    short = [k for (k,) in asked.where("length(_low) < 3").select(F.length("_low")).distinct().collect()]  # 1 or 2 at most
+    keys = F.concat(*[F.when(F.char_length("t") >= k, grams(F.col("t"), k)).otherwise(F.array().cast("array<string>")) for k in [3, *short]])
+    met = spots.withColumn("_key", F.explode(F.array_distinct(keys))).join(asked, "_key")
+    return met.where(F.col("t").contains(F.col("_low"))).groupBy("term", "page_id").agg(F.countDistinct("spot").alias("hits"))
 
 
 def expand(facts_df: DataFrame, roots: DataFrame) -> DataFrame:
@@ -161,10 +168,6 @@ def markdown_tables(tsv_rows: DataFrame) -> DataFrame:
     return per.select("page_id", "table", F.array_join(F.when((F.col("lo") == F.col("hi")) & (F.col("hi") >= 2), piped).otherwise(plain), "\n").alias("markdown"))
 
 
-def page_facts(nodes: DataFrame) -> DataFrame:
-    return facts(nodes)
-
-
 def fit_lines(lines: DataFrame, budget_tokens: int, by: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Lines kept within a budget of four characters a token: classes in turn (``rank``, lesser
     first, then ``pos``), while the running count of characters and line ends allows."""

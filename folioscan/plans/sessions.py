@@ -160,7 +160,7 @@ def kept_storage(spark, sf_dir):
 def _programs(spark, sf_dir):
     """A program for each first turn: lines made from its words."""
     conv = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn = 0")
-    word = F.regexp_replace(F.substring("text", 1, 12), r"[^A-Za-z ]", "")
+    word = F.regexp_replace("text", r"[^A-Za-z ]", "")
     return conv.select(F.col("conv_id").alias("program_id"), F.concat(F.lit("# start\ngoto https://example.com/\n\ntry  click \""), word, F.lit("\"\n"), F.when(F.col("conv_id") % 3 == 0, "fill t1 plain").when(F.col("conv_id") % 3 == 1, "dance").otherwise("fill t1 $secret:pw"), F.lit("\nwait seconds 2\nexpect text \"a\\\"b\"")).alias("program"))
 
 
@@ -179,7 +179,7 @@ def canonical_programs(spark, sf_dir):
 
 def program_outcomes(spark, sf_dir):
     conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    reply = F.concat(F.lit("note: "), F.substring("role", 1, 4), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("\nfailed line "), (F.col("turn") + 1).cast("string"), F.lit(": click \"a: b\": no match\nskipped line 9: back: gone"))).otherwise("\nevent toast \"saved\""))
+    reply = F.concat(F.lit("note: "), F.col("role"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("\nfailed line "), (F.col("turn") + 1).cast("string"), F.lit(": click \"a: b\": no match\nskipped line 9: back: gone"))).otherwise("\nevent toast \"saved\""))
     r = conv.select("conv_id", "turn", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("program_id"), reply.alias("reply"))
     return programs.outcomes(r).select("program_id", F.col("failed_line").cast("long").alias("failed_line"), "cause", "skipped", "notes", "events")
 
@@ -211,7 +211,7 @@ f as (select session_id, rid as request_id, min(ts) as ts, arg_max('https://h' |
 _SPANS = _E + """,
 g as (select *, case when ts - lag(ts) over (partition by session_id order by ts) < interval '{gap}' then 0 else 1 end as fresh from e),
 s as (select *, sum(fresh) over (partition by session_id order by ts rows unbounded preceding) as visit from g)"""
-_PROG = """g as (select conv_id as program_id, regexp_replace(substr(text, 1, 12), '[^A-Za-z ]', '', 'g') as word from conversations where turn = 0),
+_PROG = """g as (select conv_id as program_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') as word from conversations where turn = 0),
 s as (select program_id, 2 as line, false as attempt, 'goto' as verb, '' as error, 'https://example.com/' as operands from g
  union all select program_id, 4, true, 'click', '', '"' || regexp_replace(word, ' +', ' ', 'g') || '"' from g
  union all select program_id, 5, false, case when program_id % 3 = 1 then 'dance' else 'fill' end, case program_id % 3 when 0 then 'bad operands of fill' when 1 then 'unknown statement dance' else '' end, 't1 $secret:pw' from g

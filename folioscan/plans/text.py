@@ -14,7 +14,8 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def clean_text(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean(F.col("text"))).alias("digest"), F.char_length(text.clean(F.col("text"))).cast("long").alias("chars"))
+    cleaned = _t(spark, sf_dir, "documents").select("doc_id", text.clean(F.col("text")).alias("clean"))
+    return cleaned.select("doc_id", F.md5("clean").alias("digest"), F.char_length("clean").cast("long").alias("chars"))
 
 
 def block_lines(spark, sf_dir):
@@ -23,12 +24,12 @@ def block_lines(spark, sf_dir):
 
 
 def href_flatten(spark, sf_dir):
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.href(F.substring("text", 1, 200))).alias("href"), F.md5(text.flatten(F.col("text"))).alias("flat"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.href(F.col("text"))).alias("href"), F.md5(text.flatten(F.col("text"))).alias("flat"))
 
 
 def label_differs(spark, sf_dir):
-    name, shown = F.substring("text", 1, 24), F.substring("text", 9, 12)
-    other = F.substring("text", 30, 12)
+    name, shown = text.first_line(F.col("text")), F.col("text")
+    other = F.concat("source", F.substring_index("text", "\n", -1))
     return _t(spark, sf_dir, "documents").select("doc_id", F.coalesce(text.label_differs(name, shown), F.lit(False)).alias("inside"), F.coalesce(text.label_differs(name, other), F.lit(False)).alias("elsewhere"))
 
 
@@ -96,7 +97,7 @@ def policy_within(spark, sf_dir):
 def challenge_wording(spark, sf_dir):
     conv = _t(spark, sf_dir, "conversations")
     phrase = F.when(F.col("conv_id") % 3 == 0, "Please verify you are a HUMAN; now").when(F.col("conv_id") % 3 == 1, "not-a-robot").otherwise("unusual trafficking")
-    s = F.concat_ws(" ", F.substring("text", 1, 400), phrase)
+    s = F.concat_ws(" ", F.col("text"), phrase)
     return conv.select("conv_id", "turn", (text.has_phrase(s) & (F.char_length(s) <= 600)).alias("challenge"))
 
 
@@ -113,8 +114,9 @@ def colours(spark, sf_dir):
 
 
 def _secrets(spark, sf_dir):
-    found = F.regexp_extract("text", r"(?:password=|token = \")([0-9a-f]+)", 1)
-    return _t(spark, sf_dir, "documents").select(found.alias("value"), F.concat(F.lit("https://"), "source").alias("origin"), F.col("doc_id").cast("string").alias("name")).where("value <> ''").groupBy("origin").agg(F.min_by("name", F.struct("value", "name")).alias("name"), F.min("value").alias("value"))
+    """Every secret of every document, bound to the document's source."""
+    found = F.regexp_extract_all("text", F.lit(r"(?:password=|token = \")([0-9a-f]+)"), F.lit(1))
+    return _t(spark, sf_dir, "documents").select(F.explode(found).alias("value"), F.concat(F.lit("https://"), "source").alias("origin")).where("value <> ''").distinct().withColumn("name", F.col("value"))
 
 
 def secret_masking(spark, sf_dir):
@@ -153,7 +155,9 @@ priv as (select page_id, url, host, ipv4, host = 'localhost' or host like '%.loc
 """
 _PRIV = _PRIVATE_SQL.format(odd=_ODD_SQL)
 _BLANKS = "[\\t\\n\\x0B\\f\\r ]+"
-_SECRET_SQL = "secrets as (select 'https://' || source as origin, min(regexp_extract(text, '(?:password=|token = \")([0-9a-f]+)', 1)) filter (regexp_extract(text, '(?:password=|token = \")([0-9a-f]+)', 1) <> '') as value from documents group by 1 having value is not null)"
+_SECRET_SQL = """
+found as (select distinct 'https://' || source as origin, unnest(regexp_extract_all(text, '(?:password=|token = ")([0-9a-f]+)', 1)) as value from documents),
+secrets as (select origin, list(value order by strlen(value) desc, value) as vals from found where value <> '' group by 1)"""
 
 ORACLE_SQL = {
     "clean_text": f"select doc_id, md5(trim(regexp_replace(text, '{_BLANKS}', ' ', 'g'))) as digest, length(trim(regexp_replace(text, '{_BLANKS}', ' ', 'g'))) as chars from documents",
@@ -161,9 +165,9 @@ ORACLE_SQL = {
 with l as (select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[\\t\\x0B\\f\\r ]+', ' ', 'g'))), chr(10)) as s from documents),
 t as (select doc_id, regexp_replace(regexp_replace(regexp_replace(s, '\\n{3,}', chr(10) || chr(10), 'g'), '^\\n+', ''), '\\n+$', '') as s from l)
 select doc_id, case when s = '' then 0 else len(string_split(s, chr(10))) end::bigint as n_lines, md5(s) as digest from t""",
-    "href_flatten": f"select conv_id, turn, md5(replace(trim(regexp_replace(substr(text, 1, 200), '{_BLANKS}', ' ', 'g')), ' ', '%20')) as href, md5(regexp_replace(text, '[\\n\\r\\x0B\\f]', ' ', 'g')) as flat from conversations",
+    "href_flatten": f"select conv_id, turn, md5(replace(trim(regexp_replace(text, '{_BLANKS}', ' ', 'g')), ' ', '%20')) as href, md5(regexp_replace(text, '[\\n\\r\\x0B\\f]', ' ', 'g')) as flat from conversations",
     "label_differs": """
-with l as (select doc_id, lower(regexp_replace(substr(text, 1, 24), '[^\\pL\\pM\\p{Nd}]', '', 'g')) as a, lower(regexp_replace(substr(text, 9, 12), '[^\\pL\\pM\\p{Nd}]', '', 'g')) as b, lower(regexp_replace(substr(text, 30, 12), '[^\\pL\\pM\\p{Nd}]', '', 'g')) as c from documents)
+with l as (select doc_id, lower(regexp_replace(string_split(text, chr(10))[1], '[^\\pL\\pM\\p{Nd}]', '', 'g')) as a, lower(regexp_replace(text, '[^\\pL\\pM\\p{Nd}]', '', 'g')) as b, lower(regexp_replace(source || string_split(text, chr(10))[-1], '[^\\pL\\pM\\p{Nd}]', '', 'g')) as c from documents)
 select doc_id, a <> '' and b <> '' and not contains(a, b) and not contains(b, a) as inside, a <> '' and c <> '' and not contains(a, c) and not contains(c, a) as elsewhere from l""",
     "clip_quote": """
 with f as (select doc_id, text, regexp_replace(text, '[\\n\\r\\x0B\\f]', ' ', 'g') as flat from documents),
@@ -192,18 +196,18 @@ p as (select policy, list_distinct(list(o)) as origins from g where page_id % 4
 q as (select policy, max((page_id % 2 = 0)::int) as private, coalesce(list_distinct(list(o) filter (page_id % 12 <> 4)), []) as origins from g group by 1)
 select p.policy, len(q.origins) = 0 or len(list_filter(p.origins, lambda x: not list_contains(q.origins, x))) = 0 as within from p join q using (policy)""",
     "challenge_wording": """
-select conv_id, turn, conv_id % 3 <> 2 and length(substr(text, 1, 400) || ' ' || case conv_id % 3 when 0 then 'Please verify you are a HUMAN; now' when 1 then 'not-a-robot' else 'unusual trafficking' end) <= 600 as challenge from conversations""",
+select conv_id, turn, conv_id % 3 <> 2 and length(text || ' ' || case conv_id % 3 when 0 then 'Please verify you are a HUMAN; now' when 1 then 'not-a-robot' else 'unusual trafficking' end) <= 600 as challenge from conversations""",
     "colours": """
 with c as (select event_id, event_id % 4 as k, event_id % 256 as r0, (event_id * 7) % 256 as g0, (event_id * 13) % 256 as b0 from events),
 d as (select event_id, case when k = 3 then 0.0 else r0 end::double as r, case when k = 3 then 128.0 else g0 end::double as g, case when k = 3 then 128.0 else b0 end::double as b, case when k = 2 then 0.5 else 1.0 end::double as a from c),
 f as (select *, r * a + 255 * (1 - a) as fr, g * a + 255 * (1 - a) as fg, b * a + 255 * (1 - a) as fb from d),
 l as (select *, list_transform([fr, fg, fb], lambda x: case when x / 255 <= 0.03928 then x / 255 / 12.92 else pow((x / 255 + 0.055) / 1.055, 2.4) end) as n from f)
 select event_id, round(r, 3) as r, round(g, 3) as g, round(b, 3) as b, round(a, 3) as a, round(1.05 / (0.2126 * n[1] + 0.7152 * n[2] + 0.0722 * n[3] + 0.05), 4) as contrast, round(sqrt(pow(fr - 255, 2) + pow(fg - 255, 2) + pow(fb - 255, 2)), 3) as distance from l""",
-    "secret_masking": f"with {_SECRET_SQL}, m as (select doc_id, case when value is null then text else replace(text, value, '••••') end as t from documents left join secrets on origin = 'https://' || source) select doc_id, md5(t) as digest, contains(t, '••••') as masked from m",
+    "secret_masking": f"with {_SECRET_SQL}, m as (select doc_id, case when vals is null then text else list_reduce(list_prepend(text, vals), lambda t, v: replace(t, v, '••••')) end as t from documents left join secrets on origin = 'https://' || source) select doc_id, md5(t) as digest, contains(t, '••••') as masked from m",
     "secret_scrub": f"""with {_SECRET_SQL},
 d as (select doc_id, 'https://src' || (doc_id % 7) as origin, text from documents),
-m as (select doc_id, d.origin, case when value is null then text else replace(text, value, '••••') end as t from d left join secrets on secrets.origin = d.origin),
-r as (select distinct doc_id from m join secrets s on s.origin <> m.origin and length(s.value) >= 8 and contains(m.t, s.value))
+m as (select doc_id, d.origin, case when vals is null then text else list_reduce(list_prepend(text, vals), lambda t, v: replace(t, v, '••••')) end as t from d left join secrets on secrets.origin = d.origin),
+r as (select distinct doc_id from m join found s on s.origin <> m.origin and length(s.value) >= 8 and contains(m.t, s.value))
 select m.doc_id, r.doc_id is not null as refused, r.doc_id is null and contains(t, '••••') as masked from m left join r using (doc_id)""",
     "archive_eligibility": "select user_id as session_id from events group by 1 having not bool_or((event_type = 'purchase' and event_id % 17 = 0) or (event_type = 'error' and value > 60))",
 }

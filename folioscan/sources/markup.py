@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +15,13 @@ P_ENDERS = frozenset("address article aside blockquote details div dl fieldset f
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "optgroup": ("select",), "tbody": ("table",), "tfoot": ("table",)}
 
-SCHEMA = "node int, parent int, end int, depth int, path array<int>, kind string, tag string, text string, attrs map<string,string>"
+# Elements that stand in a line of text.
+INLINE = ("a", "abbr", "b", "bdi", "bdo", "button", "cite", "code", "data", "em", "i", "img", "input", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "u", "var", "wbr")
+_INLINE = frozenset(INLINE) | {"br"}
+
+SCHEMA = "node int, parent int, end int, depth int, path array<int>, kind string, tag string, text string, attrs map<string,string>, block int, lists int"
+_NAMES = [x.split(" ")[0] for x in SCHEMA.split(", ")]
+_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.int32()]
 
 
 class _Tree(HTMLParser):
@@ -82,32 +88,42 @@ def tree_of(html: str | None) -> list[tuple]:
     t.close()
     t._close(0)
     paths: list[list[int]] = []
+    blocks: list[int] = []
+    lists: list[int] = []
     out = []
     for n, (parent, kind, tag, text, attrs) in enumerate(t.rows):
+        above = "" if parent < 0 else t.rows[parent][2]
         paths.append([] if parent < 0 else [*paths[parent], parent])
-        out.append((n, None if parent < 0 else parent, t.ends[n], len(paths[n]), paths[n], kind, tag, text, attrs))
+        blocks.append(0 if parent <= 0 else blocks[parent] if above in _INLINE else parent)
+        lists.append(0 if parent < 0 else lists[parent] + (above in ("ul", "ol")))
+        out.append((n, None if parent < 0 else parent, t.ends[n], len(paths[n]), paths[n], kind, tag, text, list(attrs.items()), blocks[n], lists[n]))
     return out
 
 
 def nodes(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, node, parent, end, depth, path, kind, tag, text, attrs) of every page.
+    """(id, node, parent, end, depth, path, kind, tag, text, attrs, block, lists) of every page.
 
-    ``end`` is the exclusive end of a node's subtree, ``path`` its ancestors from the root.
+    ``end`` is the exclusive end of a node's subtree, ``path`` its ancestors from the root,
+    ``block`` the nearest ancestor that breaks lines and ``lists`` how many lists are above.
     No shuffle: a page's rows stay where the page was read. Null HTML is a document without
     children; broken markup is closed as a browser would in the common cases.
     """
-    names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
 
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held: list[tuple] = []
-            for i, html in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
-                held += [(i, *r) for r in tree_of(html)]
+            ids, held = [], []
+            for at, html in enumerate(b.column(1).to_pylist()):
+                rows = tree_of(html)
+                held += rows
+                ids += [at] * len(rows)
                 if len(held) > 20_000:
-                    yield pd.DataFrame(held, columns=[id_col, *names]).astype({"parent": "Int32"})
-                    held = []
+                    yield _packed(b.column(0), ids, held)
+                    ids, held = [], []
             if held:
-                yield pd.DataFrame(held, columns=[id_col, *names]).astype({"parent": "Int32"})
+                yield _packed(b.column(0), ids, held)
+
+    def _packed(keys: pa.Array, ids: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(ids)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True))], [id_col, *_NAMES])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(id_col, F.col(html_col)).mapInPandas(go, f"{id_col} {kind}, {SCHEMA}")
+    return pages.select(id_col, F.col(html_col)).mapInArrow(go, f"{id_col} {kind}, {SCHEMA}")

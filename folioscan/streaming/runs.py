@@ -31,13 +31,14 @@ def table_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run ``stream`` over all available input and return its result table. In complete mode
-    each batch replaces the table, in append mode it adds to it."""
+    each batch replaces the table; in append mode each has a folder of its own, which a batch
+    that is run again writes anew."""
     spark = stream.sparkSession
     out = shared_path(spark, name)
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/table")
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/table" if mode == "complete" else f"{out}/table/batch={n}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/table")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{out}/table")
