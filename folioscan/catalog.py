@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.plans import layout, pages, sessions, streams, text
+from folioscan.plans import forms, layout, pages, sessions, streams, text
 
-MODULES = [text, pages, sessions, layout, streams]
+MODULES = [text, pages, forms, sessions, layout, streams]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

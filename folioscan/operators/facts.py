@@ -10,8 +10,9 @@ from folioscan.operators import tree
 from folioscan.sources.markup import INLINE
 
 # Roles by tag, roles that take part in interaction, tags that are never rendered.
-TAG_ROLES = {"a": "link", "article": "article", "aside": "complementary", "button": "button", "dialog": "dialog", "details": "group", "fieldset": "group", "form": "form", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "hr": "separator", "img": "image", "li": "listitem", "main": "main", "meter": "meter", "nav": "navigation", "ol": "list", "option": "option", "progress": "progressbar", "section": "region", "select": "combobox", "summary": "button", "table": "table", "td": "cell", "textarea": "textbox", "tr": "row", "ul": "list"}
-INPUT_ROLES = {"button": "button", "checkbox": "checkbox", "image": "button", "number": "spinbutton", "radio": "radio", "range": "slider", "reset": "button", "search": "searchbox", "submit": "button"}
+TAG_ROLES = {"article": "article", "aside": "complementary", "button": "button", "details": "group", "dialog": "dialog", "fieldset": "group", "form": "form", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "hr": "separator", "li": "listitem", "main": "main", "menu": "list", "meter": "meter", "nav": "navigation", "ol": "list", "option": "option", "output": "status", "progress": "progressbar", "summary": "button", "table": "table", "tbody": "rowgroup", "td": "cell", "textarea": "textbox", "tfoot": "rowgroup", "thead": "rowgroup", "tr": "row", "ul": "list"}
+INPUT_ROLES = {"": "textbox", "button": "button", "checkbox": "checkbox", "color": "button", "date": "textbox", "datetime-local": "textbox", "email": "textbox", "file": "button", "image": "button", "month": "textbox", "number": "spinbutton", "password": "textbox", "radio": "radio", "range": "slider", "reset": "button", "search": "searchbox", "submit": "button", "tel": "textbox", "text": "textbox", "time": "textbox", "url": "textbox", "week": "textbox"}
+STRUCTURE = ("article", "aside", "form", "h1", "h2", "h3", "h4", "h5", "h6", "li", "main", "menu", "nav", "ol", "table", "ul")
 INTERACTIVE = ("button", "checkbox", "combobox", "link", "listbox", "menuitem", "menuitemcheckbox", "menuitemradio", "option", "radio", "searchbox", "slider", "spinbutton", "switch", "tab", "textbox", "treeitem")
 NEVER_RENDERED = ("base", "head", "link", "meta", "noscript", "script", "style", "template", "title")
 FORM_TAGS = ("button", "fieldset", "input", "optgroup", "option", "select", "textarea")
@@ -25,26 +26,39 @@ def _map(pairs: dict[str, str], key: Column) -> Column:
     return F.create_map(*[F.lit(x) for p in pairs.items() for x in p])[key]
 
 
+def _holds(flag: Column) -> Column:
+    """Whether a flagged node lies below: the next one in document order stands before the end."""
+    after = Window.partitionBy("page_id").orderBy("node").rowsBetween(1, Window.unboundedFollowing)
+    return F.coalesce(F.min(F.when(flag, F.col("node"))).over(after) < F.col("end"), F.lit(False))
+
+
+def _among(flag: Column) -> Column:
+    """The flagged nodes of the page, few by their kind, as an array."""
+    return F.collect_set(F.when(flag, F.col("node"))).over(Window.partitionBy("page_id"))
+
+
 def role() -> Column:
-    """The explicit role's first token, unless it is none or presentation, else by tag."""
-    explicit = F.lower(F.get(F.split(F.trim(F.coalesce(attr("role"), F.lit(""))), r"\s+"), F.lit(0)))
-    kind = F.lower(F.coalesce(attr("type"), F.lit("text")))
-    many = attr("multiple").isNotNull() | (F.coalesce(attr("size").try_cast("int"), F.lit(1)) > 1)
+    """The explicit role's first token, unless it is none or presentation, else by tag; an
+    editing host without structure of its own is a text box."""
+    explicit = F.get(F.split(F.trim(F.lower(F.coalesce(attr("role"), F.lit("")))), r"\s+"), F.lit(0))
+    kind = F.lower(F.coalesce(attr("type"), F.lit("")))
+    many = attr("multiple").isNotNull() | F.coalesce(attr("size").try_cast("int") > 1, F.lit(False))
     sectioned = tree.under(F.col("tag").isin("article", "aside", "main", "nav", "section"))
     by_tag = (
-        F.when((F.col("tag") == "a") & attr("href").isNull(), "")
-        .when((F.col("tag") == "input") & (kind == "hidden"), "")
-        .when(F.col("tag") == "input", F.coalesce(_map(INPUT_ROLES, kind), F.lit("textbox")))
-        .when((F.col("tag") == "select") & many, "listbox")
-        .when((F.col("tag") == "img") & (attr("alt") == ""), "")
-        .when(F.col("tag") == "th", F.when(attr("scope").isin("row", "rowgroup"), "rowheader").otherwise("columnheader"))
-        .when(F.col("tag").isin("section", "form") & attr("aria-label").isNull() & attr("aria-labelledby").isNull(), "")
+        F.when(F.col("tag").isin("a", "area"), F.when(attr("href").isNotNull(), "link").otherwise(""))
+        .when(F.col("tag") == "input", F.coalesce(_map(INPUT_ROLES, kind), F.lit("")))
+        .when(F.col("tag") == "select", F.when(many, "listbox").otherwise("combobox"))
+        .when(F.col("tag") == "img", F.when(attr("alt") == "", "").otherwise("img"))
+        .when(F.col("tag") == "th", F.when(attr("scope") == "row", "rowheader").otherwise("columnheader"))
+        .when(F.col("tag") == "section", F.when(attr("aria-label").isNotNull() | attr("aria-labelledby").isNotNull(), "region").otherwise(""))
         .when(F.col("tag") == "header", F.when(sectioned, "").otherwise("banner"))
         .when(F.col("tag") == "footer", F.when(sectioned, "").otherwise("contentinfo"))
-        .when(attr("contenteditable").isin("", "true", "plaintext-only"), "textbox")
         .otherwise(F.coalesce(_map(TAG_ROLES, F.col("tag")), F.lit("")))
     )
-    return F.when(F.col("kind") != "element", "").when(~explicit.isin(*VOID_ROLES), explicit).otherwise(by_tag)
+    editable = F.coalesce(F.lower(F.trim(attr("contenteditable"))) != "false", F.lit(False))
+    structured = _holds(F.col("tag").isin(*STRUCTURE) | (F.col("tag") == "a") & attr("href").isNotNull() | F.lower(F.coalesce(attr("role"), F.lit(""))).isin("heading", "link", "list", "navigation", "table"))
+    host = editable & ~F.coalesce(F.array_contains(_among(editable), F.col("parent")), F.lit(False)) & ~structured
+    return F.when(F.col("kind") != "element", "").when(~explicit.isin(*VOID_ROLES), explicit).otherwise(F.when((by_tag == "") & host, "textbox").otherwise(by_tag))
 
 
 def level() -> Column:
@@ -61,10 +75,24 @@ def hidden_by_itself() -> Column:
 
 
 def disabled() -> Column:
-    """Own attribute on form tags, aria-disabled, or a disabled fieldset above whose first
-    legend is not above too: open disabled fieldsets less open first legends of such."""
+    """Own attribute on form tags, aria-disabled, a disabled optgroup around an option, or a
+    disabled fieldset above a control that is not inside that fieldset's first legend."""
     own = (F.col("tag").isin(*FORM_TAGS) & attr("disabled").isNotNull()) | (attr("aria-disabled") == "true")
-    return F.coalesce(own, F.lit(False)) | tree.under((F.col("tag") == "fieldset") & attr("disabled").isNotNull()) & ~tree.under(F.col("tag") == "legend") & F.col("tag").isin(*FORM_TAGS) | tree.under((F.col("tag") == "optgroup") & attr("disabled").isNotNull()) & (F.col("tag") == "option")
+    shut = _among((F.col("tag") == "fieldset") & attr("disabled").isNotNull())
+    groups = _among((F.col("tag") == "optgroup") & attr("disabled").isNotNull())
+    control = F.col("tag").isin("button", "fieldset", "input", "select", "textarea")
+    excused = F.size(F.array_intersect("path", F.col("_legends")))  # first legends of disabled fieldsets above
+    above = F.size(F.array_intersect("path", shut))
+    return F.coalesce(own, F.lit(False)) | control & (above > excused) | (F.col("tag") == "option") & F.coalesce(F.array_contains(groups, F.col("parent")), F.lit(False))
+
+
+def _first_legends(df: DataFrame) -> DataFrame:
+    """``df`` with ``_legends``: the first legend child of each disabled fieldset of the page."""
+    shut = _among((F.col("tag") == "fieldset") & attr("disabled").isNotNull())
+    first = F.min(F.when(F.col("tag") == "legend", F.col("node"))).over(Window.partitionBy("page_id", "parent"))
+    out = df.withColumns({"_shut": shut, "_first": first})
+    mine = (F.col("tag") == "legend") & (F.col("node") == F.col("_first")) & F.coalesce(F.array_contains("_shut", F.col("parent")), F.lit(False))
+    return out.withColumn("_legends", _among(mine)).drop("_shut", "_first")
 
 
 def destination_tags() -> Column:
@@ -83,12 +111,32 @@ def progress_percent() -> Column:
 
 def facts(nodes: DataFrame) -> DataFrame:
     """``nodes`` with role, level, hidden, disabled, interactive, checked, expanded and more.
-    One hash exchange by page; all windows share it."""
+    One hash exchange by page; all windows share it. ``clickable`` is a node without a role
+    that reacts to clicks: a handler, a tab stop, or where a pointer cursor starts."""
     out = nodes.withColumn("role", role()).withColumn("_own_hidden", hidden_by_itself())
     out = out.withColumn("hidden", F.col("_own_hidden") | tree.under(F.col("_own_hidden"))).drop("_own_hidden")
-    out = out.withColumns({"level": level(), "disabled": disabled(), "checked": attr("checked").isNotNull() | (attr("aria-checked") == "true"), "selected": attr("selected").isNotNull() | (attr("aria-selected") == "true"), "required": attr("required").isNotNull() | (attr("aria-required") == "true"), "invalid": attr("aria-invalid").isNotNull() & (attr("aria-invalid") != "false"), "expanded": F.when(F.col("tag") == "details", attr("open").isNotNull()).otherwise(attr("aria-expanded").try_cast("boolean")), "pressed": attr("aria-pressed").try_cast("boolean")})
-    clickable = F.col("role").isin(*INTERACTIVE) | attr("onclick").isNotNull() | (attr("tabindex").try_cast("int") >= 0)
-    return out.withColumns({"interactive": F.col("role").isin(*INTERACTIVE) & ~F.col("hidden"), "clickable": F.coalesce(clickable, F.lit(False)) & ~F.col("tag").isin("html", "body") & ~F.col("hidden")})
+    said = lambda name: F.coalesce(attr(name) == "true", F.lit(False))
+    current = F.coalesce(F.lower(F.trim(attr("aria-current"))), F.lit(""))
+    opened = F.array_contains(_among((F.col("tag") == "details") & attr("open").isNotNull()), F.col("parent"))
+    summed = F.array_contains(_among(F.col("tag") == "details"), F.col("parent"))
+    states = {
+        "level": level(),
+        "disabled": disabled(),
+        "checked": F.coalesce(attr("aria-checked").isin("true", "mixed"), F.lit(False)) | (F.col("tag") == "input") & F.col("role").isin("checkbox", "radio") & attr("checked").isNotNull(),
+        "selected": said("aria-selected") | ~current.isin("", "false") | (F.col("tag") == "option") & attr("selected").isNotNull(),
+        "required": attr("required").isNotNull() | said("aria-required"),
+        "invalid": said("aria-invalid"),
+        "expanded": F.when(attr("aria-expanded").isin("true", "false"), attr("aria-expanded") == "true").when((F.col("tag") == "summary") & summed, opened),
+        "pressed": said("aria-pressed"),
+    }
+    out = _first_legends(out).withColumns(states).drop("_legends")
+    tab = F.trim(F.coalesce(attr("tabindex"), F.lit("")))
+    handed = (F.col("tag") == "label") & (attr("for").isNotNull() | _holds(F.col("tag").isin("button", "input", "select", "textarea")))
+    pointed = F.coalesce(F.lower(attr("style")).rlike(r"(?:^|;)\s*cursor\s*:\s*pointer"), F.lit(False))
+    starts = pointed & ~F.coalesce(F.array_contains(_among(pointed), F.col("parent")), F.lit(False))
+    reacts = attr("onclick").isNotNull() | starts | (tab != "") & ~tab.startswith("-")
+    plain = (F.col("kind") == "element") & (F.col("role") == "") & ~F.col("tag").isin("html", "body") & ~F.col("hidden")
+    return out.withColumns({"interactive": F.col("role").isin(*INTERACTIVE) & ~F.col("hidden"), "clickable": plain & ~handed & F.coalesce(reacts, F.lit(False))})
 
 
 def readable(facts_df: DataFrame) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import colour
+from folioscan.operators import tree
 
 CELL = 256.0
-NEAR, ABOVE, MARGIN = 160.0, 24.0, 6.0
+NEAR, ABOVE, BELOW, MARGIN = 160.0, 24.0, 32.0, 6.0
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -66,7 +67,11 @@ def occluded(df: DataFrame) -> DataFrame:
     t = df.where(~is_empty(b)).select("capture_id", "node", "end", "path", "paint", F.size(points).alias("need"), F.explode(points).alias("p"))
     t = t.withColumns({"cx": F.floor(F.col("p.x") / CELL), "cy": F.floor(F.col("p.y") / CELL)})
     cover = df.where("paints").where(~is_empty(b)).select("capture_id", F.col("node").alias("c"), F.col("end").alias("c_end"), F.col("paint").alias("c_paint"), F.col("box").alias("c_box"))
-    cells = cover.withColumn("cx", F.explode(F.sequence(F.floor(F.col("c_box.x") / CELL), F.floor((F.col("c_box.x") + F.col("c_box.w")) / CELL)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("c_box.y") / CELL), F.floor((F.col("c_box.y") + F.col("c_box.h")) / CELL))))
+    far = t.groupBy("capture_id").agg(*[f(k).alias(f"{n}_{k}") for k in ("cx", "cy") for n, f in (("least", F.min), ("most", F.max))])
+    cover = cover.join(far, "capture_id")  # a box is dealt to cells that hold points, however large it is
+    span = lambda at, size, k: F.sequence(F.greatest(F.floor(at / CELL), F.col(f"least_{k}")), F.least(F.floor((at + size) / CELL), F.col(f"most_{k}")))
+    some = (F.floor(F.col("c_box.x") / CELL) <= F.col("most_cx")) & (F.floor((F.col("c_box.x") + F.col("c_box.w")) / CELL) >= F.col("least_cx")) & (F.floor(F.col("c_box.y") / CELL) <= F.col("most_cy")) & (F.floor((F.col("c_box.y") + F.col("c_box.h")) / CELL) >= F.col("least_cy"))
+    cells = cover.where(some).withColumn("cx", F.explode(span(F.col("c_box.x"), F.col("c_box.w"), "cx"))).withColumn("cy", F.explode(span(F.col("c_box.y"), F.col("c_box.h"), "cy")))
     c = F.col("c_box")
     inside = (F.col("p.x") >= c["x"]) & (F.col("p.x") < c["x"] + c["w"]) & (F.col("p.y") >= c["y"]) & (F.col("p.y") < c["y"] + c["h"])
     apart = ~((F.col("c") < F.col("end")) & (F.col("c") >= F.col("node"))) & ~F.array_contains("path", F.col("c"))
@@ -75,24 +80,23 @@ def occluded(df: DataFrame) -> DataFrame:
     return done.where("met = need").select("capture_id", "node", "coverer")
 
 
-def label_pairs(controls: DataFrame, texts: DataFrame) -> DataFrame:
-    """(capture_id, control, label): text left of or above a control, mutually nearest, where
-    the runner-up on either side is at least MARGIN px farther.
-
-    Both sides meet on grid cells; a reach of NEAR px is within the neighbouring cells.
-    """
-    near = lambda df, at: df.withColumns({"cx": F.floor(F.col(f"{at}.x") / CELL), "cy": F.floor(F.col(f"{at}.y") / CELL)})
-    c = near(controls.select("capture_id", F.col("node").alias("control"), F.col("box").alias("a")), "a")
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-2, -1, 0, 1, 2) for j in (-1, 0, 1)])
-    c = c.withColumn("d", F.explode(around)).withColumns({"cx": F.col("cx") + F.col("d.i"), "cy": F.col("cy") + F.col("d.j")}).drop("d")
-    t = near(texts.select("capture_id", F.col("node").alias("label"), F.col("box").alias("b")), "b")
+def _reach_pairs(controls: DataFrame, texts: DataFrame, distance: Column) -> DataFrame:
+    """(capture_id, control, label, dist): pairs of controls (node, box as a) and texts (node,
+    box as b) for which ``distance`` is not null. Both stand on the grid cells they touch,
+    controls with NEAR px to the left and ABOVE px below and above, texts on the cells of their
+    left and right ends, so only boxes near each other meet."""
+    cells = lambda lo, hi: F.sequence(F.floor(lo / CELL), F.floor(hi / CELL))
     a, b = F.col("a"), F.col("b")
-    shared = F.least(a["y"] + a["h"], b["y"] + b["h"]) - F.greatest(a["y"], b["y"])
-    left_gap = a["x"] - (b["x"] + b["w"])
-    left = F.when((shared >= 0.5 * F.least(a["h"], b["h"])) & left_gap.between(-2, NEAR), F.greatest(left_gap, F.lit(0.0)))
-    top_gap = a["y"] - (b["y"] + b["h"])
-    above = F.when(top_gap.between(-2, ABOVE) & (F.abs(a["x"] - b["x"]) <= 24), F.greatest(top_gap, F.lit(0.0)))
-    pairs = c.join(t, ["capture_id", "cx", "cy"]).withColumn("dist", F.least(left, above)).where("dist is not null")
+    c = controls.withColumnsRenamed({"node": "control", "box": "a"}).withColumn("cy", F.explode(cells(a["y"] - BELOW, a["y"] + a["h"] + BELOW)))
+    c = c.withColumn("cx", F.explode(cells(a["x"] - NEAR, a["x"] + a["w"] + ABOVE)))
+    t = texts.withColumnsRenamed({"node": "label", "box": "b"}).withColumn("cy", F.explode(cells(b["y"], b["y"] + b["h"])))
+    t = t.withColumn("cx", F.explode(F.array_distinct(F.array(F.floor(b["x"] / CELL), F.floor((b["x"] + b["w"]) / CELL)))))
+    met = c.join(t, ["capture_id", "cx", "cy"]).withColumn("dist", distance).where("dist is not null")
+    return met.groupBy("capture_id", "control", "label").agg(F.min("dist").alias("dist"))
+
+
+def _mutual(pairs: DataFrame) -> DataFrame:
+    """Pairs that are each other's nearest, with the runner-up on either side MARGIN px farther."""
 
     def winner(key: str, other: str, flag: str, df: DataFrame) -> DataFrame:
         w = Window.partitionBy("capture_id", key).orderBy("dist", other)
@@ -103,6 +107,48 @@ def label_pairs(controls: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where("_a and _b").select("capture_id", "control", "label")
 
 
+def _level(a: Column, b: Column) -> Column:
+    """Boxes on one line: they share half the lesser height."""
+    least = F.least(a["h"], b["h"])
+    return (least > 0) & (F.least(a["y"] + a["h"], b["y"] + b["h"]) - F.greatest(a["y"], b["y"]) >= 0.5 * least)
+
+
+def ends_sentence(s: Column) -> Column:
+    t = F.rtrim(s)
+    return (t.endswith(".") & ~t.endswith("..")) | t.endswith("!") | t.endswith("?")
+
+
+def label_pairs(controls: DataFrame, texts: DataFrame) -> DataFrame:
+    """(capture_id, control, label): text left of a control, right of a toggle, or above, each
+    the other's nearest by MARGIN px.
+
+    ``controls`` has (capture_id, node, box, role, name), ``texts`` (capture_id, node, box, text,
+    tone). Red texts are no labels, nor are sentences beside a control that has a name.
+    """
+    a, b = F.col("a"), F.col("b")
+    left = F.when(_level(a, b) & (a["x"] - (b["x"] + b["w"])).between(-2, NEAR), a["x"] - (b["x"] + b["w"]))
+    toggles = F.col("role").isin("checkbox", "radio", "switch")
+    right = F.when(toggles & _level(a, b) & (b["x"] - (a["x"] + a["w"])).between(-2, ABOVE), b["x"] - (a["x"] + a["w"]))
+    dx, gap = F.abs(b["x"] - a["x"]), a["y"] - (b["y"] + b["h"])
+    above = F.when(gap.between(-2, ABOVE) & (dx <= 24), gap + 0.25 * dx)
+    fits = (F.coalesce("tone", F.lit("")) != "red") & ~((F.coalesce("name", F.lit("")) != "") & ends_sentence(F.col("text")))
+    return _mutual(_reach_pairs(controls.select("capture_id", "node", "box", "role", "name"), texts.select("capture_id", "node", "box", "text", "tone"), F.when(fits, F.coalesce(left, right, above))))
+
+
+def error_pairs(controls: DataFrame, texts: DataFrame) -> DataFrame:
+    """(capture_id, control, label): red text right below a field that explains it, each the
+    other's nearest by MARGIN px; text on the line of another field belongs to that one."""
+    a, b = F.col("a"), F.col("b")
+    c, t = controls.select("capture_id", "node", "box"), texts.where("tone = 'red'").select("capture_id", "node", "box")
+    gap, dx = b["y"] - (a["y"] + a["h"]), F.abs(b["x"] - a["x"])
+    below = F.when(gap.between(-2, BELOW) & ((dx <= 24) | ((b["x"] >= a["x"]) & (b["x"] < a["x"] + a["w"]))), gap + 0.25 * F.least(dx, F.lit(24.0)))
+    reach = _reach_pairs(c, t, below)
+    wide = c.withColumn("box", F.struct((F.col("box.x") - NEAR).alias("x"), F.col("box.y").alias("y"), (F.col("box.w") + 2 * NEAR).alias("w"), F.col("box.h").alias("h")))
+    on_row = _reach_pairs(wide, t, F.when(_level(a, b) & (F.greatest(a["x"] - (b["x"] + b["w"]), b["x"] - (a["x"] + a["w"])) <= 0), F.lit(0.0)))
+    row_of = on_row.groupBy("capture_id", "label").agg(F.min("control").alias("_row"))
+    return _mutual(reach.join(row_of, ["capture_id", "label"], "left").where("_row is null or _row = control").drop("_row"))
+
+
 def median_size(texts: DataFrame, by: tuple[str, ...] = ("capture_id",), default: float = 16.0) -> DataFrame:
     """(by, size): the lower median font size weighted by characters."""
     sizes = texts.groupBy(*by, "size").agg(F.sum("weight").alias("w"))
@@ -124,13 +170,25 @@ def heading_level(size: Column, median: Column, bold: Column, chars: Column) ->
     return F.when(chars > 140, None).when(ratio >= 2, 1).when(ratio >= 1.6, 2).when(ratio >= 1.3, 3).when((ratio >= 1.15) & bold, 4)
 
 
-def tone(c: Column, base: Column) -> Column:
-    """red, green or muted against the page's dominant text colour; null where it is like it."""
-    h = colour.hsl(c)
-    red = ((h["h"] <= 20) | (h["h"] >= 340)) & (h["s"] >= 0.4) & h["l"].between(0.2, 0.7)
-    green = h["h"].between(80, 170) & (h["s"] >= 0.25) & h["l"].between(0.15, 0.7)
-    muted = (h["s"] < 0.2) & (colour.luminance(c) > colour.luminance(base)) & (h["l"] < 0.85)
-    return F.when(colour.distance(c, base) < 1, None).when(red, "red").when(green, "green").when(muted, "muted")
+def _reddish(h: Column) -> Column:
+    return (h["s"] >= 0.5) & ((h["h"] <= 15) | (h["h"] >= 340))
+
+
+def _greenish(h: Column) -> Column:
+    return (h["s"] >= 0.4) & h["h"].between(85, 165)
+
+
+def tone(c: Column, bg: Column, base: Column, base_bg: Column) -> Column:
+    """red, green or muted text on its background, against the page's dominant text colour on
+    its own; null where it is none of them, of the page's own tone, or half transparent."""
+    shown = colour.over(c, bg)
+    h, l = colour.hsl(shown), colour.hsl(shown)["l"]
+    faint = (h["s"] <= 0.2) & (colour.distance(bg, base_bg) < 24)
+    own, usual = colour.contrast(shown, bg), colour.contrast(colour.over(base, base_bg), base_bg)
+    found = F.when(_reddish(h) & l.between(0.2, 0.7), "red").when(_greenish(h) & l.between(0.15, 0.65), "green").when(faint & (own >= 1.5) & (own < 0.4 * usual), "muted")
+    b = colour.hsl(base)
+    of_page = F.when(_reddish(b), "red").when(_greenish(b), "green").otherwise("")
+    return F.when((c["a"] >= 0.5) & (found != of_page), found)
 
 
 def unseen_text(fg: Column, bg: Column, size: Column, indent: Column) -> Column:
@@ -139,11 +197,129 @@ def unseen_text(fg: Column, bg: Column, size: Column, indent: Column) -> Column:
 
 
 def primary_buttons(buttons: DataFrame) -> DataFrame:
-    """(capture_id, parent, node): of three or more sibling buttons the one whose fill differs
-    from that of all others, which are alike."""
-    fills = buttons.groupBy("capture_id", "parent").agg(F.collect_list(F.struct("fill", "node")).alias("all"), F.count("*").alias("n"), F.countDistinct("fill").alias("kinds"))
-    odd = F.filter("all", lambda x: F.size(F.filter("all", lambda y: y["fill"] == x["fill"])) == 1)
-    return fills.where("n >= 3 and kinds = 2").withColumn("odd", odd).where("size(odd) = 1").select("capture_id", "parent", F.col("odd")[0]["node"].alias("node"))
+    """(capture_id, parent, node): the one of sibling buttons whose fill stands out.
+
+    ``buttons`` (capture_id, parent, node, fill, backdrop) are the visible ones that are not
+    disabled; fill and backdrop are colours, and groups whose backdrop is unknown (null) have
+    none. Of three or more it is the one farther than 24 from the others, which lie within
+    12 of each other; else of two the one at least 80 farther from the backdrop.
+    """
+    shown = buttons.where("backdrop is not null").withColumn("_f", F.coalesce(colour.over(F.col("fill"), F.col("backdrop")), F.col("backdrop")))
+    rgb = lambda c: F.struct(c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b"))
+    groups = shown.groupBy("capture_id", "parent").agg(F.array_sort(F.collect_list(F.struct("node", rgb(F.col("_f")).alias("f"), colour.distance(F.col("_f"), F.col("backdrop")).alias("d")))).alias("all"))
+    others = lambda x: F.filter("all", lambda y: y["node"] != x["node"])
+
+    def stands_out(x: Column) -> Column:
+        rest = others(x)
+        return F.forall(rest, lambda y: colour.distance(y["f"], F.get(rest, F.lit(0))["f"]) <= 12) & (colour.distance(x["f"], F.get(rest, F.lit(0))["f"]) > 24)
+
+    odd = F.get(F.filter("all", stands_out), F.lit(0))["node"]
+    a, b = F.get("all", F.lit(0)), F.get("all", F.lit(1))
+    pair = F.when(b["d"] > a["d"], F.when(b["d"] - a["d"] >= 80, b["node"])).when(a["d"] - b["d"] >= 80, a["node"])
+    chosen = F.when(F.size("all") >= 3, odd).when(F.size("all") == 2, pair)
+    return groups.select("capture_id", "parent", chosen.alias("node")).where("node is not null")
+
+
+def visual_headings(blocks: DataFrame, medians: DataFrame) -> DataFrame:
+    """(capture_id, node, level) of blocks that look like headings and are none by markup.
+
+    ``blocks`` (capture_id, node, end, size, bold, chars, role, interactive, heading, hidden)
+    are elements in document order; chars counts their own text. Parts of controls and of
+    headings, marked or only looking so, are no headings of their own.
+    """
+    by = ("capture_id",)
+    rows = blocks.join(medians.withColumnRenamed("size", "_median"), "capture_id")
+    level = heading_level(F.col("size"), F.col("_median"), F.col("bold"), F.col("chars"))
+    inside = tree.under(F.col("interactive") | F.col("heading"), by)
+    plain = ~F.col("heading") & ~F.col("hidden") & ~F.col("interactive") & (F.col("role") == "") & (F.col("chars") > 0)
+    rows = rows.withColumn("level", F.when(plain & ~inside, level))
+    return rows.withColumn("_part", tree.under(F.col("level").isNotNull(), by)).where("level is not null and not _part").select("capture_id", "node", "level")
+
+
+def scrollable(df: DataFrame) -> Column:
+    """Boxes other than the page's own that scroll: their content is larger and may move."""
+    moves = lambda axis: F.col(f"style.overflow_{axis}").isin("auto", "scroll")
+    down = moves("y") & (F.col("scroll.h") > F.col("box.h") + 1)
+    across = moves("x") & (F.col("scroll.w") > F.col("box.w") + 1)
+    return F.coalesce(~F.col("tag").isin("html", "body") & (down | across), F.lit(False))
+
+
+def table_rows(cells: DataFrame, by: tuple[str, ...] = ("capture_id", "table")) -> DataFrame:
+    """(by, row, tsv): cells (by, node, text, box) as lines of a table, by where they stand.
+
+    Cells are taken from the top; one joins the row of the first while its top lies above half
+    the lesser of both heights. A row's cells go from left to right, one tab between them.
+    """
+    boxes = F.sort_array(F.collect_list(F.struct(F.col("box.y").alias("y"), "node", F.col("box.x").alias("x"), F.col("box.h").alias("h"), "text")))
+    kind = "array<struct<row:int,x:double,node:int,text:string>>"
+    start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("y"), F.lit(0.0).alias("h"), F.array().cast(kind).alias("out"))
+
+    def place(acc: Column, b: Column) -> Column:
+        least = F.least(F.greatest(acc["h"], F.lit(1.0)), F.greatest(b["h"], F.lit(1.0)))
+        joins = (acc["row"] >= 0) & (b["y"] < acc["y"] + least / 2)
+        row = F.when(joins, acc["row"]).otherwise(acc["row"] + 1)
+        cell = F.struct(row.alias("row"), b["x"].cast("double").alias("x"), b["node"].cast("int").alias("node"), b["text"].alias("text"))
+        return F.struct(row.alias("row"), F.when(joins, acc["y"]).otherwise(b["y"]).alias("y"), F.when(joins, acc["h"]).otherwise(b["h"]).alias("h"), F.concat(acc["out"], F.array(cell)).alias("out"))
+
+    placed = cells.where("trim(text) <> ''").groupBy(*by).agg(F.aggregate(boxes, start, place)["out"].alias("placed"))
+    each = placed.select(*by, F.explode("placed").alias("p")).groupBy(*by, F.col("p.row").alias("row")).agg(F.array_sort(F.collect_list(F.struct("p.x", "p.node", "p.text"))).alias("c"))
+    return each.select(*by, "row", F.array_join(F.transform("c", lambda c: c["text"]), "\t").alias("tsv"))
+
+
+def modal_layers(df: DataFrame, captures: DataFrame) -> DataFrame:
+    """(capture_id, node, covers, backdrop) of dialogs that lie over the page.
+
+    ``df`` has (capture_id, node, parent, path, tag, role, hidden, aria_modal, position, box);
+    ``captures`` the viewport. A dialog is modal when it says so, or when it is placed out of
+    the flow and spans half the viewport, is a native one in the top layer, or has a backdrop:
+    a large placed box among its three nearest wrappers, or beside it or one of them.
+    """
+    size = captures.select("capture_id", (F.col("viewport_w") * F.col("viewport_h")).alias("_vp"))
+    rows = df.where("not hidden").join(size, "capture_id")
+    large = (F.col("_vp") > 0) & (F.col("box.w") * F.col("box.h") >= 0.5 * F.col("_vp"))
+    rows = rows.withColumns({"_layered": F.coalesce(F.col("position").isin("fixed", "absolute"), F.lit(False)), "_large": F.coalesce(large, F.lit(False))})
+    dialogs = rows.where(F.col("role").isin("dialog", "alertdialog") & (F.col("aria_modal") | F.col("_layered")))
+    ups = F.slice(F.reverse(F.concat("path", F.array("node"))), 1, 4)
+    near = dialogs.select("capture_id", "node", "_layered", F.posexplode(ups).alias("deep", "up"))
+    big = rows.where("_layered and _large").select("capture_id", F.col("node").alias("layer"), F.coalesce("parent", F.lit(-1)).alias("_parent"))
+    wrappers = near.where("deep > 0").join(big.withColumnRenamed("layer", "up"), ["capture_id", "up"]).select("capture_id", "node", F.col("up").alias("layer"))
+    parents = rows.select("capture_id", F.col("node").alias("up"), F.coalesce("parent", F.lit(-1)).alias("_parent"))
+    beside = near.where("_layered").join(parents, ["capture_id", "up"]).join(big, ["capture_id", "_parent"]).where("layer <> up and layer <> node").select("capture_id", "node", "layer")
+    backdrops = wrappers.unionByName(beside).groupBy("capture_id", "node").agg(F.min("layer").alias("backdrop"))
+    native = (F.col("tag") == "dialog") & (F.col("position") == "fixed")
+    covers = (F.col("_large") & F.col("_layered")) | native | F.col("backdrop").isNotNull()
+    found = dialogs.join(backdrops, ["capture_id", "node"], "left").withColumn("covers", F.coalesce(covers, F.lit(False)))
+    return found.where("aria_modal or covers").select("capture_id", "node", "covers", "backdrop")
+
+
+def area_box(shape: Column, coords: Column, img: Column) -> Column:
+    """The box of an image map's area on an image at ``img``; a shape that can't be read is the
+    whole image."""
+    parts = F.filter(F.split(F.trim(coords), r"[,\s]+"), lambda x: x != "")
+    n = F.transform(parts, lambda x: x.try_cast("double"))
+    bad = F.exists(n, lambda x: x.isNull())
+    kind = F.lower(F.coalesce(shape, F.lit("")))
+    box = lambda x0, y0, x1, y1: F.struct((img["x"] + x0).alias("x"), (img["y"] + y0).alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h"))
+    xs, ys = F.filter(n, lambda x, i: i % 2 == 0), F.filter(n, lambda x, i: i % 2 == 1)
+    xs = F.slice(xs, F.lit(1), F.size(ys))  # whole pairs alone
+    at = lambda i: F.get(n, F.lit(i))
+    circle = F.when(F.size(n) >= 3, box(at(0) - at(2), at(1) - at(2), at(0) + at(2), at(1) + at(2)))
+    poly = F.when(F.size(n) >= 4, box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))
+    rect = F.when(F.size(n) >= 4, box(F.least(at(0), at(2)), F.least(at(1), at(3)), F.greatest(at(0), at(2)), F.greatest(at(1), at(3))))
+    found = F.when(kind.isin("circle", "circ"), circle).when(kind.isin("poly", "polygon"), poly).when(kind.isin("", "rect", "rectangle"), rect)
+    whole = F.struct(img["x"].cast("double").alias("x"), img["y"].cast("double").alias("y"), img["w"].cast("double").alias("w"), img["h"].cast("double").alias("h"))
+    return F.coalesce(F.when(~F.coalesce(bad, F.lit(True)), found), whole)
+
+
+def image_map_areas(nodes: DataFrame, images: DataFrame, by: str = "page_id") -> DataFrame:
+    """(by, node, image, box) of the areas with an address that images use: ``nodes`` with
+    attrs, ``images`` (by, node, box). Of maps of one name the first counts."""
+    attr = lambda name: F.col("attrs")[name]
+    named = nodes.where("tag = 'map'").select(by, F.col("node").alias("map"), F.explode(F.array(attr("name"), attr("id"))).alias("name")).where("name <> ''").groupBy(by, "name").agg(F.min("map").alias("map"))
+    uses = nodes.where((F.col("tag") == "img") & attr("usemap").isNotNull()).select(by, F.col("node").alias("image"), F.regexp_replace(attr("usemap"), "^#", "").alias("name"))
+    areas = nodes.where((F.col("tag") == "area") & attr("href").isNotNull()).select(by, "node", F.col("parent").alias("map"), attr("shape").alias("_shape"), F.coalesce(attr("coords"), F.lit("")).alias("_coords"))
+    met = uses.join(images.select(by, F.col("node").alias("image"), F.col("box").alias("_img")), [by, "image"]).join(named, [by, "name"]).join(areas, [by, "map"])
+    return met.select(by, "node", "image", area_box(F.col("_shape"), F.col("_coords"), F.col("_img")).alias("box"))
 
 
 def truncated(df: DataFrame) -> Column:

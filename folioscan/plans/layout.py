@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioscan.functions import colour
 from folioscan.operators import geometry
 from folioscan.sources import captures
 from folioscan.sources.markup import nodes
@@ -36,11 +35,6 @@ def occlusion(spark, sf_dir):
     return geometry.occluded(_boxes(spark, sf_dir)).groupBy("capture_id").agg(F.count("*").alias("covered"), F.sum("coverer").cast("long").alias("coverers"))
 
 
-def label_association(spark, sf_dir):
-    b = _boxes(spark, sf_dir)
-    return geometry.label_pairs(b.where("tag = 'a'"), b.where("tag = 'li'")).where("control = label + 1").groupBy("capture_id").agg(F.count("*").alias("n"))
-
-
 def _texts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     size = F.element_at(F.array(*[F.lit(float(x)) for x in (12, 16, 16, 20, 32)]), (F.col("doc_id") % 5 + 1).cast("int"))
@@ -60,20 +54,6 @@ def visual_headings(spark, sf_dir):
     return t.join(m, "capture_id").select("doc_id", level.cast("long").alias("level"))
 
 
-def text_tones(spark, sf_dir):
-    t = _texts(spark, sf_dir)
-    base = geometry.dominant_colour(t).withColumnRenamed("colour", "base")
-    parsed = t.join(base, "capture_id").select("doc_id", "base", colour.parse_colour(F.col("colour")).alias("c"), colour.parse_colour(F.col("base")).alias("b"))
-    return parsed.select("doc_id", "base", F.coalesce(geometry.tone(F.col("c"), F.col("b")), F.lit("")).alias("tone"))
-
-
-def primary_buttons(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k = F.get_json_object("props", "$.k").cast("int")
-    b = e.select((F.col("event_id") % 500).alias("capture_id"), F.col("user_id").alias("parent"), F.col("event_id").alias("node"), F.when(k % 5 == 0, "blue").otherwise("white").alias("fill"))
-    return geometry.primary_buttons(b)
-
-
 def decoded_captures(spark, sf_dir):
     """Pages as dictionary-encoded captures, decoded again: title node and two children."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -85,7 +65,7 @@ def decoded_captures(spark, sf_dir):
     return rows.unionByName(bad)
 
 
-QUERIES = {f.__name__: f for f in (reading_order, offscreen_boxes, occlusion, label_association, font_baseline, visual_headings, text_tones, primary_buttons, decoded_captures)}
+QUERIES = {f.__name__: f for f in (reading_order, offscreen_boxes, occlusion, font_baseline, visual_headings, decoded_captures)}
 
 _T = """t as (select doc_id % 50 as capture_id, doc_id, [12.0, 16.0, 16.0, 20.0, 32.0][doc_id % 5 + 1]::double as size, ['#000000', '#cc0000', '#118822', '#888888', '#000000'][doc_id % 5 + 1] as colour, length(text) as weight from documents),
 s as (select capture_id, size, sum(weight) as w from t group by all), u as (select *, sum(w) over (partition by capture_id order by size) as upto, sum(w) over (partition by capture_id) as total from s),
@@ -93,15 +73,8 @@ m as (select capture_id, min(size) as median from u where 2 * upto >= total grou
 b as (select capture_id, colour as base from (select capture_id, colour, sum(weight) as w from t group by all) qualify row_number() over (partition by capture_id order by w desc, colour) = 1)"""
 
 ORACLE_SQL = {
-    "label_association": "select page_id as capture_id, len(regexp_extract_all(html, '<li>')) as n from pages where html like '%<li>%'",
     "font_baseline": f"with {_T} select capture_id, median as size, base as colour from m join b using (capture_id)",
     "visual_headings": f"with {_T} select doc_id, case when weight % 200 > 140 then null when size / median >= 2 then 1 when size / median >= 1.6 then 2 when size / median >= 1.3 then 3 when size / median >= 1.15 and doc_id % 2 = 0 then 4 end::bigint as level from t join m using (capture_id)",
-    "text_tones": f"with {_T} select doc_id, base, case when colour = base then '' when colour = '#cc0000' then 'red' when colour = '#118822' then 'green' when colour = '#888888' and base = '#000000' then 'muted' when colour = '#888888' then 'muted' else '' end as tone from t join b using (capture_id)",
-    "primary_buttons": """
-with e as (select event_id % 500 as capture_id, user_id as parent, event_id as node, case when (json_extract_string(props, '$.k'))::int % 5 = 0 then 'blue' else 'white' end as fill from events),
-g as (select *, count(*) over (partition by capture_id, parent) as n, count(*) over (partition by capture_id, parent, fill) as same from e),
-k as (select *, count(*) filter (same = 1) over (partition by capture_id, parent) as odd from g)
-select capture_id, parent, node from k where n >= 3 and same = 1 and odd = 1""",
     "decoded_captures": """
 with p as (select page_id as capture_id, url from pages where page_id % 10 <> 9)
 select capture_id, 0::bigint as node, -1::bigint as parent, 'document' as kind, '' as tag, '' as text, '' as href, false as clickable, '' as value, 0.0::double as h, 0::bigint as paint from p

@@ -21,7 +21,7 @@ def test_tree_intervals_hold():
     rows = tree_of(PAGE)
     for n, parent, end, depth, path, *_ in rows:
         assert end > n and len(path) == depth and (parent is None or (path[-1] == parent and rows[parent][2] >= end and parent < n))
-    assert tree_of(None) == [(0, None, 1, 0, [], "document", "", "", {})]
+    assert tree_of(None) == [(0, None, 1, 0, [], "document", "", "", [], 0, 0)]
 
 
 def test_markdown_golden(spark):
