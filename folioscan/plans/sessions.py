@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioscan.operators import changes, netlog, programs, state
+from folioscan.operators import changes, netlog, programs, redact, state
+from folioscan.streaming.runs import shared_path
 
 
 def _events(spark, sf_dir):
@@ -72,8 +73,11 @@ def capped_events(spark, sf_dir):
 
 
 def _protocol(spark, sf_dir):
+    return protocol_of(_events(spark, sf_dir))
+
+
+def protocol_of(e):
     """Events as protocol messages: views send, clicks answer, the others finish."""
-    e = _events(spark, sf_dir)
     rid = F.concat(F.lit("r"), (F.get_json_object("props", "$.k").cast("int") % 10).cast("string"))
     kind = F.when(F.get_json_object("props", "$.k").cast("int") % 3 == 0, "Document").otherwise("Image")
     sent = F.to_json(F.struct(rid.alias("requestId"), kind.alias("type"), F.struct(F.concat(F.lit("https://h"), (F.col("event_id") % 5).cast("string"), F.lit("/#x")).alias("url"), F.lit("GET").alias("method")).alias("request")))
@@ -184,7 +188,41 @@ def program_outcomes(spark, sf_dir):
     return programs.outcomes(r).select("program_id", F.col("failed_line").cast("long").alias("failed_line"), "cause", "skipped", "notes", "events")
 
 
-QUERIES = {f.__name__: f for f in (view_diff, line_multiset_diff, fitted_delta, change_feed, session_epochs, stable_refs, drained_events, capped_events, folded_requests, newest_requests, network_lines, page_status, failure_causes, refused_documents, activity_bursts, session_ends, shown_toasts, wait_results, expectations, kept_storage, program_steps, program_errors, canonical_programs, program_outcomes)}
+def audit_round_trip(spark, sf_dir):
+    """Turns as log records, written as JSON lines and read again."""
+    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    path = shared_path(spark, "audit")
+    programs.write_audit(conv.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("time"), F.col("text").alias("program"), F.concat(F.col("role"), F.lit("\n\"x\\")).alias("reply")), path)
+    return programs.read_audit(spark, path).select("time", F.md5("program").alias("digest"), "reply")
+
+
+def challenges(spark, sf_dir):
+    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    k = F.col("conv_id")
+    pages = conv.select("conv_id", "turn", F.when(k % 2 == 0, "Checking  your browser... now").otherwise(F.col("text")).alias("text"), F.when(k % 3 == 0, 403).otherwise(200).alias("status"), (k % 5 == 0).alias("big_frame"), F.lit(None).cast("boolean").alias("slider"), (k % 9).cast("int").alias("tiles"))
+    return netlog.challenge_pages(pages).select("conv_id", "turn", "challenge")
+
+
+def rebound_refs(spark, sf_dir):
+    """Refs of one view looked up in a later one: nodes of equal looks, told apart by place."""
+    e = _events(spark, sf_dir)
+    k = F.get_json_object("props", "$.k").cast("int")
+    looks = [F.col("session_id").alias("page_id"), F.lit("link").alias("role"), F.col("event_type").alias("name"), F.lit("a").alias("tag"), (k % 5).cast("string").alias("stable")]
+    lost = e.where("event_id % 2 = 0").select(*looks, F.concat(F.lit("l"), F.col("event_id").cast("string")).alias("ref"), (F.col("event_id") % 7).alias("position"))
+    nodes = e.where("event_id % 2 = 1").select(*looks, F.col("event_id").alias("node"), (F.col("event_id") % 7).alias("position"))
+    return changes.rebind(lost, nodes).select("page_id", "ref", "node", F.col("matches").cast("long").alias("matches"))
+
+
+def masked_fields(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    k = F.col("doc_id")
+    rows = docs.select("doc_id", "source", F.lit("").alias("text"), F.create_map(F.lit("title"), F.concat(F.lit("key "), F.lit("s&cret"), F.col("source")), F.lit("id"), k.cast("string")).alias("attrs"), F.when(k % 2 == 0, "password").otherwise("text").alias("type"), F.when(k % 3 == 0, "").otherwise(F.col("source")).alias("value"))
+    secrets = docs.select(F.col("source").alias("origin"), F.col("source").alias("name"), F.concat(F.lit("s&cret"), F.col("source")).alias("value")).distinct()
+    out = redact.mask_own(rows, secrets, origin_col="source", attrs_col="attrs", type_col="type", value_col="value")
+    return out.select("doc_id", F.col("attrs")["title"].alias("title"), "value")
+
+
+QUERIES = {f.__name__: f for f in (view_diff, line_multiset_diff, fitted_delta, change_feed, session_epochs, stable_refs, drained_events, capped_events, folded_requests, newest_requests, network_lines, page_status, failure_causes, refused_documents, activity_bursts, session_ends, shown_toasts, wait_results, expectations, kept_storage, program_steps, program_errors, canonical_programs, program_outcomes, audit_round_trip, challenges, rebound_refs, masked_fields)}
 
 _E = "e as (select event_id, ts, user_id::varchar as session_id, event_type, value, props, (json_extract_string(props, '$.k'))::bigint as k from events)"
 _V = """v as (select conv_id || ':' || turn as capture_id, conv_id, turn, text from conversations where role = 'assistant'),
@@ -218,6 +256,15 @@ s as (select program_id, 2 as line, false as attempt, 'goto' as verb, '' as erro
  union all select program_id, 6, false, 'wait', '', 'seconds 2' from g union all select program_id, 7, false, 'expect', '', 'text "a\\"b"' from g)"""
 
 ORACLE_SQL = {
+    "audit_round_trip": "select conv_id || ':' || turn as time, md5(text) as digest, role || chr(10) || '\"x\\' as reply from conversations",
+    "challenges": """
+select conv_id, turn, coalesce((conv_id % 2 = 0 or regexp_matches(' ' || regexp_replace(lower(text), '[^\\pL\\p{Nd}]+', ' ', 'g') || ' ', ' (unusual traffic|verify you are human|verify you are a human|not a robot|are you a robot|checking your browser|complete the following challenge) '))
+ and (conv_id % 2 = 0 or length(text) <= 600) and (conv_id % 3 = 0 or conv_id % 5 = 0 or conv_id % 9 >= 6), false) as challenge from conversations""",
+    "rebound_refs": f"""with {_E}, b as (select *, k % 5 as s, event_id % 7 as pos from e),
+p as (select l.event_id as ref, l.session_id, n.event_id as node, l.pos = n.pos as same from b l join b n on l.event_id % 2 = 0 and n.event_id % 2 = 1 and l.session_id = n.session_id and l.event_type = n.event_type and l.s = n.s),
+g as (select ref, count(*) as matches, count(*) filter (same) as sames, min(node) as any_node, min(node) filter (same) as same_node from p group by 1)
+select session_id as page_id, 'l' || event_id as ref, case when matches = 1 then any_node when sames = 1 then same_node end as node, coalesce(matches, 0) as matches from b left join g on g.ref = b.event_id where event_id % 2 = 0""",
+    "masked_fields": "select doc_id, 'key ••••' as title, case when doc_id % 3 = 0 then '' when doc_id % 2 = 0 then '••••' else source end as value from documents",
     "line_multiset_diff": f"with {_MULTISET} select pair, op, pos, 'text ' || body as text from d",
     "view_diff": f"with {_KEYED} select pair, op, sum(n)::bigint as n, sum(chars)::bigint as chars from x group by 1, 2",
     "fitted_delta": f"""with {_MULTISET}, r as (select pair, strlen('text ' || body) + 3 as b, row_number() over o as rank, sum(strlen('text ' || body) + 3) over o as used from d window o as (partition by pair order by case op when '-' then 0 else 1 end, pos, body))

@@ -9,7 +9,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -31,9 +31,9 @@ def drain_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minu
     return netlog.drain_windows(events.withWatermark("ts", late), width)
 
 
-def settled(events: DataFrame, late: str = "10 seconds") -> DataFrame:
+def settled(events: DataFrame, late: str = "10 seconds", gap: Column | None = None) -> DataFrame:
     """Activity bursts whose quiet gap depends on the kind of their events."""
-    return netlog.bursts(events.withWatermark("ts", late), netlog.settle_gap(F.col("kind")))
+    return netlog.bursts(events.withWatermark("ts", late), netlog.settle_gap(F.col("kind")) if gap is None else gap)
 
 
 def bursts(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
@@ -91,13 +91,46 @@ def stable_refs(sightings: DataFrame) -> DataFrame:
     return sightings.groupBy("session_id").applyInPandasWithState(step, "session_id string, document string, kind string, backend long, number long", "held string", "append", GroupStateTimeout.NoTimeout)
 
 
+def change_feed(views: DataFrame) -> DataFrame:
+    """(session_id, capture_id, op, text, n): what each view of (session_id, capture_id, seq,
+    document, lines) changed: ``=`` for the lines of a new document, else ``+`` and ``-`` by how
+    often a line came or went.
+
+    State is the last view of a session, which the next one replaces. Views of one batch are
+    taken in order of seq.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        document, before = json.loads(held.get[0]) if held.exists else [None, {}]
+        out = []
+        for r in pd.concat(list(frames)).sort_values("seq").itertuples():
+            now: dict[str, int] = {}
+            for line in r.lines:
+                now[line] = now.get(line, 0) + 1
+            if r.document != document:
+                out += [(key[0], r.capture_id, "=", line, n) for line, n in now.items()]
+            else:
+                moved = {line: now.get(line, 0) - before.get(line, 0) for line in {**before, **now}}
+                out += [(key[0], r.capture_id, "+" if n > 0 else "-", line, abs(n)) for line, n in moved.items() if n]
+            document, before = r.document, now
+        held.update((json.dumps([document, before]),))
+        yield pd.DataFrame(out, columns=["session_id", "capture_id", "op", "text", "n"])
+
+    return views.groupBy("session_id").applyInPandasWithState(step, "session_id long, capture_id string, op string, text string, n long", "held string", "append", GroupStateTimeout.NoTimeout)
+
+
 def keep_state(seen: DataFrame, read, write, most: int = state.MOST_SITES):
-    """A foreachBatch writer: upserts a batch of (name, origin, items, seen) into the kept table
-    that ``read()`` gives and ``write(df, changed)`` replaces, for changed names alone."""
+    """A foreachBatch writer: upserts a batch of (name, origin, items, seen) into the kept table.
+
+    ``read(n)`` gives the table before batch n and ``write(df, changed, n)`` keeps it for what
+    follows, so a batch that is run again starts from the same table. Of several rows of one
+    site in a batch the last seen counts.
+    """
 
-    def put(batch: DataFrame, _: int) -> None:
-        before = read()
-        after = state.newest_sites(state.upsert_storage(before, batch), most)
-        write(after, state.changed_names(before, after))
+    def put(batch: DataFrame, n: int) -> None:
+        before = read(n)
+        last = batch.groupBy("name", "origin").agg(F.max_by("items", "seen").alias("items"), F.max("seen").alias("seen"))
+        after = state.newest_sites(state.upsert_storage(before, last), most)
+        write(after, state.changed_names(before, after), n)
 
     return seen.writeStream.foreachBatch(put)
