@@ -13,6 +13,7 @@ from folioscan.functions import colour
 from folioscan.operators import tree
 
 CELL = 256.0
+MOST_CELLS = 64
 NEAR, ABOVE, BELOW, MARGIN = 160.0, 24.0, 32.0, 6.0
 
 
@@ -67,11 +68,14 @@ def occluded(df: DataFrame) -> DataFrame:
     t = df.where(~is_empty(b)).select("capture_id", "node", "end", "path", "paint", F.size(points).alias("need"), F.explode(points).alias("p"))
     t = t.withColumns({"cx": F.floor(F.col("p.x") / CELL), "cy": F.floor(F.col("p.y") / CELL)})
     cover = df.where("paints").where(~is_empty(b)).select("capture_id", F.col("node").alias("c"), F.col("end").alias("c_end"), F.col("paint").alias("c_paint"), F.col("box").alias("c_box"))
-    far = t.groupBy("capture_id").agg(*[f(k).alias(f"{n}_{k}") for k in ("cx", "cy") for n, f in (("least", F.min), ("most", F.max))])
-    cover = cover.join(far, "capture_id")  # a box is dealt to cells that hold points, however large it is
-    span = lambda at, size, k: F.sequence(F.greatest(F.floor(at / CELL), F.col(f"least_{k}")), F.least(F.floor((at + size) / CELL), F.col(f"most_{k}")))
-    some = (F.floor(F.col("c_box.x") / CELL) <= F.col("most_cx")) & (F.floor((F.col("c_box.x") + F.col("c_box.w")) / CELL) >= F.col("least_cx")) & (F.floor(F.col("c_box.y") / CELL) <= F.col("most_cy")) & (F.floor((F.col("c_box.y") + F.col("c_box.h")) / CELL) >= F.col("least_cy"))
-    cells = cover.where(some).withColumn("cx", F.explode(span(F.col("c_box.x"), F.col("c_box.w"), "cx"))).withColumn("cy", F.explode(span(F.col("c_box.y"), F.col("c_box.h"), "cy")))
+    at = {"cx": (F.col("c_box.x"), F.col("c_box.w")), "cy": (F.col("c_box.y"), F.col("c_box.h"))}
+    lo, hi = ({k: F.floor((x + size * end) / CELL) for k, (x, size) in at.items()} for end in (0, 1))
+    wide = (hi["cx"] - lo["cx"] + 1) * (hi["cy"] - lo["cy"] + 1) > MOST_CELLS
+    # a small cover is dealt to its cells, a large one meets the cells that hold points
+    small_ = cover.where(~wide).withColumn("cx", F.explode(F.sequence(lo["cx"], hi["cx"]))).withColumn("cy", F.explode(F.sequence(lo["cy"], hi["cy"])))
+    spots_ = t.select("capture_id", "cx", "cy").distinct()
+    large_ = cover.where(wide).join(spots_, "capture_id").where(F.col("cx").between(lo["cx"], hi["cx"]) & F.col("cy").between(lo["cy"], hi["cy"]))
+    cells = small_.unionByName(large_)
     c = F.col("c_box")
     inside = (F.col("p.x") >= c["x"]) & (F.col("p.x") < c["x"] + c["w"]) & (F.col("p.y") >= c["y"]) & (F.col("p.y") < c["y"] + c["h"])
     apart = ~((F.col("c") < F.col("end")) & (F.col("c") >= F.col("node"))) & ~F.array_contains("path", F.col("c"))

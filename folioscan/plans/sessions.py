@@ -235,6 +235,7 @@ c as (select coalesce(o.pair, n.pair) as pair, coalesce(o.body, n.body) as body,
  (select p.pair, body, count(*) as c from p join l on l.capture_id = p.prev group by all) o full join (select p.pair, body, count(*) as c from p join l on l.capture_id = p.pair where p.prev is not null group by all) n on o.pair = n.pair and o.body = n.body),
 d as (select pair, '-' as op, pos, body from (select p.pair, l.pos, l.body, row_number() over (partition by p.pair, l.body order by l.pos) as k from p join l on l.capture_id = p.prev) r join c using (pair, body) where k <= o - n
  union all select pair, '+' as op, pos, body from (select p.pair, l.pos, l.body, row_number() over (partition by p.pair, l.body order by l.pos) as k from p join l on l.capture_id = p.pair where p.prev is not null) r join c using (pair, body) where k <= n - o)"""
+_FEED = _MULTISET.replace("partition by conv_id order by turn, capture_id", "partition by conv_id, turn // 6 order by turn, capture_id")
 _KEYED = _V + """,
 a as (select p.pair, pos, body from p join l on l.capture_id = p.prev), b as (select p.pair, pos, body from p join l on l.capture_id = p.pair where p.prev is not null),
 k as (select coalesce(a.pair, b.pair) as pair, a.body as ob, b.body as nb from (select * from a where pos % 2 = 0) a full join (select * from b where pos % 2 = 0) b on a.pair = b.pair and a.pos = b.pos),
@@ -267,6 +268,7 @@ select session_id as page_id, 'l' || event_id as ref, case when matches = 1 then
     "masked_fields": "select doc_id, 'key ••••' as title, case when doc_id % 3 = 0 then '' when doc_id % 2 = 0 then '••••' else source end as value from documents",
     "line_multiset_diff": f"with {_MULTISET} select pair, op, pos, 'text ' || body as text from d",
     "view_diff": f"with {_KEYED} select pair, op, sum(n)::bigint as n, sum(chars)::bigint as chars from x group by 1, 2",
+    "change_feed": f"with {_FEED} select pair as capture_id, op, count(*) as n from d group by 1, 2 union all select capture_id, '=', count(*) from l join p on p.pair = l.capture_id where p.prev is null group by 1",
     "fitted_delta": f"""with {_MULTISET}, r as (select pair, strlen('text ' || body) + 3 as b, row_number() over o as rank, sum(strlen('text ' || body) + 3) over o as used from d window o as (partition by pair order by case op when '-' then 0 else 1 end, pos, body))
 select pair, count(*) filter (rank = 1 or used <= 240) as kept, count(*) filter (not (rank = 1 or used <= 240)) as left_out from r group by 1""",
     "session_epochs": f"""with {_E}, w as (select event_id, session_id, ts, event_type, lag(event_id) over o as prev_id, lag(event_type) over o as before from e window o as (partition by session_id order by ts, event_id)),
