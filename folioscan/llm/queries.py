@@ -13,8 +13,11 @@ from .bpe import read_spec, round_trip_digests
 from .decontaminate import find_contamination
 from .jaccard_join import near_duplicates
 from .kneser_ney import classify
+from .language_id import identify
 from .metric_tree import top_inner_products
+from .prefix_trie import prefix_trie
 from .shard_sort import shard_documents
+from .spelling import damaged_runs, variant_forms, vocabulary
 from .surrogates import replace_private
 from .url_filter import Rule, judge_urls
 from .warc import plan_records, read_warc, write_warc
@@ -75,6 +78,18 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_read(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_forms(vocabulary(damaged_runs(_read(spark, sf_dir, "documents"))))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_jaccard_join": op2_jaccard_join,
@@ -86,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_sharding": op10_sharding,
+    "op11_language_id": op11_language_id,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 _TOP_K = """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as x from embeddings
