@@ -14,12 +14,7 @@ def px(s: Column) -> Column:
     return F.regexp_extract(F.trim(s), r"^([+-]?\d*\.?\d+)(?:px)?$", 1).try_cast("double")
 
 
-def parse_colour(s: Column) -> Column:
-    """struct(r, g, b in 0..255, a in 0..1), or null: rgb(), rgba() with numbers or percent,
-    hex of 3, 4, 6 or 8 digits, and names."""
-    t = F.lower(F.trim(s))
-    names = F.create_map(*[F.lit(x) for k, v in NAMES.items() for x in (k, "#" + v)])
-    t = F.coalesce(F.try_element_at(names, t), t)
+def _read_colour(t: Column) -> Column:
     digits = F.substring(t, 2, 8)
     n = F.length(digits)
     long_ = F.when(n <= 4, F.regexp_replace(digits, "(.)", "$1$1")).otherwise(digits)
@@ -40,6 +35,15 @@ def parse_colour(s: Column) -> Column:
     return F.when(is_hex, hexed).when(t.rlike(r"^rgba?\([^)]*\)$") & (F.size(parts) >= 3), rgb)
 
 
+def parse_colour(s: Column) -> Column:
+    """struct(r, g, b in 0..255, a in 0..1), or null: rgb(), rgba() with numbers or percent,
+    hex of 3, 4, 6 or 8 digits, and names."""
+    t = F.lower(F.trim(s))
+    names = F.create_map(*[F.lit(x) for k, v in NAMES.items() for x in (k, "#" + v)])
+    # the text is bound once: written out at each use, the plan's code would outgrow its limit
+    return F.get(F.transform(F.array(F.coalesce(F.try_element_at(names, t), t)), _read_colour), F.lit(0))
+
+
 def over(top: Column, under: Column) -> Column:
     """``top`` painted over an opaque colour."""
 

@@ -16,7 +16,7 @@ STRUCTURE = ("article", "aside", "form", "h1", "h2", "h3", "h4", "h5", "h6", "li
 INTERACTIVE = ("button", "checkbox", "combobox", "link", "listbox", "menuitem", "menuitemcheckbox", "menuitemradio", "option", "radio", "searchbox", "slider", "spinbutton", "switch", "tab", "textbox", "treeitem")
 NEVER_RENDERED = ("base", "head", "link", "meta", "noscript", "script", "style", "template", "title")
 FORM_TAGS = ("button", "fieldset", "input", "optgroup", "option", "select", "textarea")
-NAMED_BY_CONTENT = ("button", "cell", "checkbox", "columnheader", "heading", "link", "listitem", "menuitem", "option", "radio", "row", "rowheader", "switch", "tab", "treeitem")
+NAMED_BY_CONTENT = ("button", "cell", "checkbox", "columnheader", "heading", "link", "menuitem", "menuitemcheckbox", "menuitemradio", "option", "radio", "rowheader", "switch", "tab")
 VOID_ROLES = ("", "presentation", "none")
 
 attr = lambda name: F.col("attrs")[name]
@@ -71,7 +71,8 @@ def level() -> Column:
 def hidden_by_itself() -> Column:
     style = F.lower(F.regexp_replace(F.coalesce(attr("style"), F.lit("")), r"\s+", ""))
     input_hidden = (F.col("tag") == "input") & (F.lower(F.coalesce(attr("type"), F.lit(""))) == "hidden")
-    return (F.col("kind") == "element") & (F.col("tag").isin(*NEVER_RENDERED) | attr("hidden").isNotNull() | input_hidden | style.rlike(r"(?:^|;)(?:display:none|visibility:(?:hidden|collapse)|opacity:0(?:\.0\d*)?)(?:;|!|$)"))
+    faint = F.coalesce(F.regexp_extract(style, r"(?:^|;)opacity:([^;!]*)", 1).try_cast("double") <= 0.01, F.lit(False))
+    return (F.col("kind") == "element") & (F.col("tag").isin(*NEVER_RENDERED) | attr("hidden").isNotNull() | input_hidden | faint | style.rlike(r"(?:^|;)(?:display:none|visibility:(?:hidden|collapse))(?:;|!|$)"))
 
 
 def disabled() -> Column:
@@ -96,17 +97,31 @@ def _first_legends(df: DataFrame) -> DataFrame:
 
 
 def destination_tags() -> Column:
-    """Tags of a link that does not lead to a web page."""
-    scheme = F.lower(F.regexp_extract(F.coalesce(attr("href"), F.lit("")), r"^\s*([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    return F.array_compact(F.array(F.when(attr("download").isNotNull(), "download"), F.when(~scheme.isin("", "http", "https"), scheme)))
+    """Tags of a link that does not lead to a web page: a download, or its address, clipped."""
+    href = text.href(F.coalesce(attr("href"), F.lit("")))
+    scheme = F.lower(F.substring_index(href, ":", 1))
+    other = href.contains(":") & ~href.startswith(":") & ~href.startswith("/") & ~scheme.isin("http", "https")
+    return F.array_compact(F.array(F.when(attr("download").isNotNull(), "download"), F.when(other, F.concat(F.lit("href="), text.clip(href, 50)))))
 
 
-def progress_percent() -> Column:
-    """Progress or meter value as percent of its range, 0..1 where none is given."""
-    value = F.coalesce(attr("aria-valuenow"), attr("value")).try_cast("double")
-    lo = F.coalesce(F.coalesce(attr("aria-valuemin"), attr("min")).try_cast("double"), F.lit(0.0))
-    hi = F.coalesce(F.coalesce(attr("aria-valuemax"), attr("max")).try_cast("double"), F.when(attr("role").isNotNull(), F.lit(100.0)).otherwise(F.lit(1.0)))
-    return F.when(hi > lo, F.round(100 * (F.least(F.greatest(value, lo), hi) - lo) / (hi - lo)).cast("int"))
+def progress_value() -> Column:
+    """How far a progress bar or meter is: the page's own words in quotes, else the percent of
+    its range, else, where the range is empty, the bare number; '' where the page says nothing.
+    Native bars run from 0 to 1 unless they say otherwise, a ``progress`` always from 0; others
+    from 0 to 100, and only their aria attributes count."""
+    words = text.clean(F.coalesce(attr("aria-valuetext"), F.lit("")))
+    native = F.col("tag").isin("progress", "meter")
+
+    def number(name: str) -> Column:
+        said = F.nullif(F.coalesce(attr(f"aria-value{'now' if name == 'value' else name}"), F.lit("")), F.lit(""))
+        return F.trim(F.coalesce(said, F.when(native, attr(name)))).try_cast("double")
+
+    now, said_lo, said_hi = number("value"), number("min"), number("max")
+    lo = F.when(F.col("tag") == "progress", 0.0).otherwise(F.coalesce(said_lo, F.lit(0.0)))
+    hi = F.when(native, F.coalesce(F.when(said_hi > lo, said_hi), F.lit(1.0))).otherwise(F.coalesce(said_hi, F.lit(100.0)))
+    percent = F.floor(100 * F.least(F.greatest((now - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0)) + 0.5).cast("long").cast("string")
+    bare = F.regexp_replace(now.cast("string"), r"\.0$", "")
+    return F.when(words != "", text.quote(words, 60)).when(now.isNull(), "").when(hi > lo, F.concat(percent, F.lit("%"))).otherwise(bare)
 
 
 def facts(nodes: DataFrame) -> DataFrame:
@@ -162,27 +177,50 @@ def page_text(readable_df: DataFrame) -> DataFrame:
 def names(facts_df: DataFrame, readable_df: DataFrame | None = None) -> DataFrame:
     """(page_id, node, name, source) of elements with a role.
 
-    Sources in order: aria-labelledby, aria-label, alt, label, content, title, placeholder.
-    Of repeated ids the first in the document counts.
+    Sources in order: aria-labelledby (of each named node its aria-label, else its text),
+    aria-label, alt of areas, images and image buttons, value of buttons ("Submit" where a
+    submit button has none), label of fields, a dialog's first heading, content, title, and
+    placeholder of fields. Of repeated ids the first in the document counts.
     """
     pieces = readable(facts_df) if readable_df is None else readable_df
+    following = Window.partitionBy("page_id").orderBy("node").rowsBetween(1, Window.unboundedFollowing)
+    heads = facts_df.where(F.col("role").isin("dialog", "alertdialog", "heading") & ~F.col("hidden")).withColumn("root", F.min(F.when(F.col("role") == "heading", F.col("node"))).over(following))
+    titled = heads.where("role <> 'heading' and root < end").select("page_id", "node", "root")
     named = facts_df.where("role <> ''")
     content_roots = named.where(F.col("role").isin(*NAMED_BY_CONTENT)).select("page_id", F.col("node").alias("root"))
     first = Window.partitionBy("page_id", "id").orderBy("node")
-    ids = facts_df.where(attr("id") != "").select("page_id", attr("id").alias("id"), "node").withColumn("_r", F.row_number().over(first)).where("_r = 1").select("page_id", "id", "node")
+    ids = facts_df.where(attr("id") != "").select("page_id", attr("id").alias("id"), "node", text.clean(F.coalesce(attr("aria-label"), F.lit(""))).alias("own")).withColumn("_r", F.row_number().over(first)).where("_r = 1").select("page_id", "id", "node", "own")
     by = named.where(attr("aria-labelledby").isNotNull()).select("page_id", "node", F.posexplode(F.split(F.trim(attr("aria-labelledby")), r"\s+")).alias("at", "id"))
     by = by.join(ids.withColumnRenamed("node", "root"), ["page_id", "id"])
     labels = facts_df.where((F.col("tag") == "label") & ~F.col("hidden")).select("page_id", F.col("node").alias("root"), F.col("end").alias("_end"), attr("for").alias("id"))
     labelled = labels.where("id is not null").join(ids, ["page_id", "id"]).groupBy("page_id", "node").agg(F.min("root").alias("root"))
-    roots = content_roots.unionByName(by.select("page_id", "root")).unionByName(labels.select("page_id", "root")).distinct()
+    roots = content_roots.unionByName(by.select("page_id", "root")).unionByName(labels.select("page_id", "root")).unionByName(titled.select("page_id", "root")).distinct()
     contents = tree.text_of(pieces, roots).withColumn("content", text.clean(F.col("content")))
-    by_text = by.join(contents, ["page_id", "root"]).groupBy("page_id", "node").agg(text.clean(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "content"))), lambda x: x["content"]), " ")).alias("_by"))
+    by_said = by.join(contents, ["page_id", "root"], "left").withColumn("said", F.coalesce(F.nullif("own", F.lit("")), "content", F.lit("")))
+    by_text = by_said.groupBy("page_id", "node").agg(text.clean(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]), " ")).alias("_by"))
     label_text = labelled.join(contents, ["page_id", "root"]).select("page_id", "node", F.col("content").alias("_label"))
     wrapping = named.where(F.col("tag").isin("input", "select", "textarea")).select("page_id", "node", F.explode("path").alias("root")).join(labels.select("page_id", "root"), ["page_id", "root"]).join(contents, ["page_id", "root"]).groupBy("page_id", "node").agg(F.max_by("content", "root").alias("_wrap"))
+    heading_text = titled.join(contents, ["page_id", "root"]).select("page_id", "node", F.col("content").alias("_heading"))
     own = contents.withColumnsRenamed({"root": "node", "content": "_content"})
-    out = named.join(by_text, ["page_id", "node"], "left").join(label_text, ["page_id", "node"], "left").join(wrapping, ["page_id", "node"], "left").join(own, ["page_id", "node"], "left")
+    out = named
+    for more in (by_text, label_text, wrapping, heading_text, own):
+        out = out.join(more, ["page_id", "node"], "left")
     given = lambda c: F.nullif(text.clean(c), F.lit(""))
-    sources = {"labelledby": F.nullif(F.col("_by"), F.lit("")), "aria-label": given(attr("aria-label")), "alt": F.when(F.col("tag").isin("img", "input", "area"), given(attr("alt"))), "value": F.when((F.col("tag") == "input") & F.lower(F.coalesce(attr("type"), F.lit(""))).isin("button", "submit", "reset"), given(attr("value"))), "label": F.nullif(F.coalesce("_label", "_wrap"), F.lit("")), "content": F.when(F.col("role").isin(*NAMED_BY_CONTENT), F.nullif(F.col("_content"), F.lit(""))), "title": given(attr("title")), "placeholder": given(attr("placeholder"))}
+    kind = F.when(F.col("tag") == "input", F.lower(F.coalesce(attr("type"), F.lit(""))))
+    pushed, field = kind.isin("button", "submit", "reset"), F.col("tag").isin("input", "select", "textarea")
+    some = lambda c: F.nullif(c, F.lit(""))
+    sources = {
+        "labelledby": some(F.col("_by")),
+        "aria-label": given(attr("aria-label")),
+        "alt": F.when(F.col("tag").isin("img", "area") | (kind == "image"), given(attr("alt"))),
+        "value": F.when(pushed, given(attr("value"))),
+        "default": F.when(kind == "submit", F.lit("Submit")),
+        "label": F.when(field & ~F.coalesce(pushed | (kind == "image"), F.lit(False)), some(F.coalesce("_label", "_wrap"))),
+        "heading": some(F.col("_heading")),
+        "content": F.when(F.col("role").isin(*NAMED_BY_CONTENT), some(F.col("_content"))),
+        "title": given(attr("title")),
+        "placeholder": F.when(field, given(attr("placeholder"))),
+    }
     source = F.coalesce(*[F.when(c.isNotNull(), k) for k, c in sources.items()])
     return out.select("page_id", "node", F.coalesce(*sources.values(), F.lit("")).alias("name"), source.alias("source"))
 

@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import colour
-from folioscan.operators import tree
+from folioscan.operators import folds, tree
 
 CELL = 256.0
-MOST_CELLS = 64
 NEAR, ABOVE, BELOW, MARGIN = 160.0, 24.0, 32.0, 6.0
 
 
@@ -26,24 +25,25 @@ def is_empty(b: Column) -> Column:
     return (b["w"] <= 0) | (b["h"] <= 0)
 
 
-def reading_order(df: DataFrame, by: tuple[str, ...] = ("capture_id", "parent")) -> DataFrame:
-    """``df`` with (row, pos) among siblings: rows top-down, then left to right.
+def _line_of(state: tuple[int, float, float], y: float, h: float) -> tuple[tuple, tuple]:
+    """The line a box joins, boxes coming from the top: the present one while its top lies above
+    half the lesser of its height and that of the line's first box, each one pixel at least."""
+    line, top, height = state
+    if line >= 0 and y < top + min(max(height, 1.0), max(h, 1.0)) / 2:
+        return state, (line,)
+    return (line + 1, y, h), (line + 1,)
 
-    A row is anchored on its first box; the next box joins while its top lies above the
-    anchor's top plus half the anchor's height (at least half a pixel).
-    """
-    boxes = F.sort_array(F.collect_list(F.struct(F.col("box.y").alias("y"), "node", F.col("box.x").alias("x"), F.col("box.h").alias("h"))))
-    start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("limit"), F.array().cast("array<struct<row:int,x:double,node:int>>").alias("out"))
 
-    def place(acc: Column, b: Column) -> Column:
-        joins = (acc["row"] >= 0) & (b["y"] < acc["limit"])
-        row = F.when(joins, acc["row"]).otherwise(acc["row"] + 1)
-        limit = F.when(joins, acc["limit"]).otherwise(b["y"] + F.greatest(b["h"], F.lit(1.0)) / 2)
-        return F.struct(row.alias("row"), limit.alias("limit"), F.concat(acc["out"], F.array(F.struct(row.alias("row"), b["x"].cast("double").alias("x"), b["node"].cast("int").alias("node")))).alias("out"))
+def box_lines(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``df`` with ``row``, the line on which its box stands among those of ``by``."""
+    tall = df.withColumns({"_y": F.col("box.y").cast("double"), "_h": F.col("box.h").cast("double")})
+    return folds.scan(tall, by, ("_y", "node"), ("_y", "_h"), lambda: (-1, 0.0, 0.0), _line_of, "row int").drop("_y", "_h")
+
 
-    groups = df.groupBy(*by).agg(F.aggregate(boxes, start, place)["out"].alias("placed"))
-    each = groups.select(*by, F.posexplode(F.sort_array("placed")).alias("pos", "p")).select(*by, F.col("p.node").alias("node"), F.col("p.row").alias("row"), "pos")
-    return df.join(each, [*by, "node"])
+def reading_order(df: DataFrame, by: tuple[str, ...] = ("capture_id", "parent")) -> DataFrame:
+    """``df`` with (row, pos) among siblings: rows top-down, then left to right."""
+    at = F.row_number().over(Window.partitionBy(*by).orderBy("row", "box.x", "box.y", "node")) - 1
+    return box_lines(df, by).withColumn("pos", at)
 
 
 def offscreen(df: DataFrame, captures: DataFrame) -> DataFrame:
@@ -54,33 +54,34 @@ def offscreen(df: DataFrame, captures: DataFrame) -> DataFrame:
 
 
 def occluded(df: DataFrame) -> DataFrame:
-    """(capture_id, node, coverer): boxes whose five sample points all lie in boxes painted
-    later that are neither above nor below them in the tree; small boxes count by the centre.
+    """(capture_id, node, coverer): boxes whose centre and four corners, one pixel inside, all
+    lie in boxes painted later that are neither above nor below them in the tree; boxes under
+    four pixels wide or high count by the centre. The coverer is the top paint at the centre.
 
-    Points and covering boxes meet on the grid cell of the point, so only boxes near each
-    other are compared. The coverer is the top paint at the centre.
+    A cover stands on the four cells at most that it touches in the grid whose cells are as
+    large as it is; a point is looked up once in each grid that its capture's covers use, so
+    only boxes near each other are compared.
     """
     b = F.col("box")
-    spots = [(0.5, 0.5), (0.25, 0.25), (0.75, 0.25), (0.25, 0.75), (0.75, 0.75)]
-    point = lambda i, p: F.struct(F.lit(i).alias("i"), (b["x"] + b["w"] * p[0]).alias("x"), (b["y"] + b["h"] * p[1]).alias("y"))
-    small = (b["w"] < 4) | (b["h"] < 4)
-    points = F.when(small, F.array(point(0, spots[0]))).otherwise(F.array(*[point(i, p) for i, p in enumerate(spots)]))
-    t = df.where(~is_empty(b)).select("capture_id", "node", "end", "path", "paint", F.size(points).alias("need"), F.explode(points).alias("p"))
-    t = t.withColumns({"cx": F.floor(F.col("p.x") / CELL), "cy": F.floor(F.col("p.y") / CELL)})
+    point = lambda i, x, y: F.struct(F.lit(i).alias("i"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+    centre = point(0, b["x"] + b["w"] / 2, b["y"] + b["h"] / 2)
+    left, right, top, bottom = b["x"] + 1, b["x"] + b["w"] - 1, b["y"] + 1, b["y"] + b["h"] - 1
+    corners = [point(i, x, y) for i, (x, y) in enumerate([(left, top), (right, top), (left, bottom), (right, bottom)], 1)]
+    points = F.when((b["w"] < 4) | (b["h"] < 4), F.array(centre)).otherwise(F.array(centre, *corners))
+    spots = df.where(~is_empty(b)).select("capture_id", "node", "end", "path", "paint", F.size(points).alias("need"), F.explode(points).alias("p"))
     cover = df.where("paints").where(~is_empty(b)).select("capture_id", F.col("node").alias("c"), F.col("end").alias("c_end"), F.col("paint").alias("c_paint"), F.col("box").alias("c_box"))
-    at = {"cx": (F.col("c_box.x"), F.col("c_box.w")), "cy": (F.col("c_box.y"), F.col("c_box.h"))}
-    lo, hi = ({k: F.floor((x + size * end) / CELL) for k, (x, size) in at.items()} for end in (0, 1))
-    wide = (hi["cx"] - lo["cx"] + 1) * (hi["cy"] - lo["cy"] + 1) > MOST_CELLS
-    # a small cover is dealt to its cells, a large one meets the cells that hold points
-    small_ = cover.where(~wide).withColumn("cx", F.explode(F.sequence(lo["cx"], hi["cx"]))).withColumn("cy", F.explode(F.sequence(lo["cy"], hi["cy"])))
-    spots_ = t.select("capture_id", "cx", "cy").distinct()
-    large_ = cover.where(wide).join(spots_, "capture_id").where(F.col("cx").between(lo["cx"], hi["cx"]) & F.col("cy").between(lo["cy"], hi["cy"]))
-    cells = small_.unionByName(large_)
     c = F.col("c_box")
+    cover = cover.withColumn("grid", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(c["w"], c["h"]) / CELL))))
+    size = CELL * F.pow(F.lit(2.0), F.col("grid"))
+    cells = lambda lo, length: F.explode(F.sequence(F.floor(lo / size), F.floor((lo + length) / size)))
+    cover = cover.withColumn("cx", cells(c["x"], c["w"])).withColumn("cy", cells(c["y"], c["h"]))
+    grids = cover.select("capture_id", "grid").distinct()
+    spots = spots.join(grids, "capture_id").withColumns({"cx": F.floor(F.col("p.x") / size), "cy": F.floor(F.col("p.y") / size)})
     inside = (F.col("p.x") >= c["x"]) & (F.col("p.x") < c["x"] + c["w"]) & (F.col("p.y") >= c["y"]) & (F.col("p.y") < c["y"] + c["h"])
     apart = ~((F.col("c") < F.col("end")) & (F.col("c") >= F.col("node"))) & ~F.array_contains("path", F.col("c"))
-    hits = t.join(cells, ["capture_id", "cx", "cy"]).where((F.col("c_paint") > F.col("paint")) & inside & apart)
-    done = hits.groupBy("capture_id", "node").agg(F.countDistinct("p.i").alias("met"), F.first("need").alias("need"), F.max_by("c", F.when(F.col("p.i") == 0, F.col("c_paint"))).alias("coverer"))
+    hits = spots.join(cover, ["capture_id", "grid", "cx", "cy"]).where((F.col("c_paint") > F.col("paint")) & inside & apart)
+    on_top = F.max_by("c", F.when(F.col("p.i") == 0, F.struct("c_paint", -F.col("c"))))
+    done = hits.groupBy("capture_id", "node").agg(F.countDistinct("p.i").alias("met"), F.first("need").alias("need"), on_top.alias("coverer"))
     return done.where("met = need").select("capture_id", "node", "coverer")
 
 
@@ -249,24 +250,10 @@ def scrollable(df: DataFrame) -> Column:
 
 
 def table_rows(cells: DataFrame, by: tuple[str, ...] = ("capture_id", "table")) -> DataFrame:
-    """(by, row, tsv): cells (by, node, text, box) as lines of a table, by where they stand.
-
-    Cells are taken from the top; one joins the row of the first while its top lies above half
-    the lesser of both heights. A row's cells go from left to right, one tab between them.
-    """
-    boxes = F.sort_array(F.collect_list(F.struct(F.col("box.y").alias("y"), "node", F.col("box.x").alias("x"), F.col("box.h").alias("h"), "text")))
-    kind = "array<struct<row:int,x:double,node:int,text:string>>"
-    start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("y"), F.lit(0.0).alias("h"), F.array().cast(kind).alias("out"))
-
-    def place(acc: Column, b: Column) -> Column:
-        least = F.least(F.greatest(acc["h"], F.lit(1.0)), F.greatest(b["h"], F.lit(1.0)))
-        joins = (acc["row"] >= 0) & (b["y"] < acc["y"] + least / 2)
-        row = F.when(joins, acc["row"]).otherwise(acc["row"] + 1)
-        cell = F.struct(row.alias("row"), b["x"].cast("double").alias("x"), b["node"].cast("int").alias("node"), b["text"].alias("text"))
-        return F.struct(row.alias("row"), F.when(joins, acc["y"]).otherwise(b["y"]).alias("y"), F.when(joins, acc["h"]).otherwise(b["h"]).alias("h"), F.concat(acc["out"], F.array(cell)).alias("out"))
-
-    placed = cells.where("trim(text) <> ''").groupBy(*by).agg(F.aggregate(boxes, start, place)["out"].alias("placed"))
-    each = placed.select(*by, F.explode("placed").alias("p")).groupBy(*by, F.col("p.row").alias("row")).agg(F.array_sort(F.collect_list(F.struct("p.x", "p.node", "p.text"))).alias("c"))
+    """(by, row, tsv): cells (by, node, text, box) as lines of a table, by where they stand. A
+    row's cells go from left to right, one tab between them."""
+    placed = box_lines(cells.where("trim(text) <> ''"), by)
+    each = placed.groupBy(*by, "row").agg(F.array_sort(F.collect_list(F.struct("box.x", "node", "text"))).alias("c"))
     return each.select(*by, "row", F.array_join(F.transform("c", lambda c: c["text"]), "\t").alias("tsv"))
 
 

@@ -18,6 +18,8 @@ FORM = (
     "<details{open}><summary id=i>More</summary></details><button id=j aria-pressed={pressed} aria-label='Star {k}'>x</button>"
     "<div id=k onclick=x()>block</div><span id=l tabindex=0>y</span><span id=l2 tabindex=-1>y</span><label id=m for=f onclick=x()>z</label><label id=n onclick=x()>plain</label>"
     "<a id=o href='mailto:me@host{id}.org'>write</a><a id=p href=/x.zip download>get {id}</a><progress id=q value={k} max=4></progress><meter id=r min=10 max=20 value=1{k}></meter>"
+    "<progress id=q2></progress><progress id=q3 value=3 max=0 min=2 aria-valuetext='{k} of \"4\"'></progress><div id=q4 role=progressbar aria-valuenow={id} value=7 aria-valuemax=200></div><div id=q5 role=meter value=5></div><div id=q6 role=meter aria-valuenow=2.5 aria-valuemin=9 aria-valuemax=9></div>"
+    "<a id=o2 href=' TEL:+{id}-{pad}'>call</a><p id=f1 style='opacity: 0.05'>faint</p><p id=f2 style='opacity:.005'>gone</p><input id=h2 type=submit><input id=h3 type=image alt='Go {k}' title=t><input id=h4 alt=no title='T {id}' placeholder=p><div id=d1 role=dialog title=no><p>x<h3>Head {id}</h3></div><button id=j3 aria-labelledby='j l1x j2'>no</button><ul><li id=z2 role=treeitem>leaf</li></ul>"
     "<div id=s contenteditable>free <b>text</b></div><div id=t contenteditable><h2 id=t2>x</h2></div><img id=u src=x alt='Pic {id}' usemap=#m><img id=v src=x alt=''>"
     "<map name=m><area id=w href=/y shape={shape} coords='{k},2,30,40'></map><section id=x aria-labelledby='l1 zz j2'></section><span id=j2>by {id}</span>"
     "<table id=tab><thead id=th><tr><th id=x1 scope=row>R</th><th id=x2>C | {k}</th></tr></thead><tr><td id=x3>v{id}</td><td></td></tr></table><output id=y>0</output><ul><li id=z>one<ul><li>two {k}</ul></ul></form></body>"
@@ -27,7 +29,7 @@ FORM = (
 def _forms(spark, sf_dir):
     """(page_id, html): FORM with the page's number; k is its remainder by 4."""
     k = F.col("page_id") % 4
-    words = {"{id}": F.col("page_id").cast("string"), "{k}": k.cast("string"), "{off}": F.when(k % 2 == 0, " disabled").otherwise(""), "{on}": F.when(k >= 2, " checked").otherwise(""), "{open}": F.when(k == 1, " open").otherwise(""), "{pressed}": (k == 2).cast("string"), "{shape}": F.when(k == 0, "circle").when(k == 1, "poly").when(k == 2, "rect").otherwise("star")}
+    words = {"{id}": F.col("page_id").cast("string"), "{k}": k.cast("string"), "{off}": F.when(k % 2 == 0, " disabled").otherwise(""), "{on}": F.when(k >= 2, " checked").otherwise(""), "{open}": F.when(k == 1, " open").otherwise(""), "{pressed}": (k == 2).cast("string"), "{pad}": F.lit("0123456789" * 5), "{shape}": F.when(k == 0, "circle").when(k == 1, "poly").when(k == 2, "rect").otherwise("star")}
     html = F.lit(FORM)
     for name, value in words.items():
         html = F.replace(html, F.lit(name), value)
@@ -40,13 +42,13 @@ def _facts(spark, sf_dir):
 
 def form_states(spark, sf_dir):
     f = _facts(spark, sf_dir).where("id is not null")
-    return f.select("page_id", "id", "role", "disabled", "checked", "selected", "required", F.coalesce(F.col("expanded").cast("string"), F.lit("")).alias("expanded"), "pressed", "clickable")
+    return f.select("page_id", "id", "role", "disabled", "checked", "selected", "required", F.coalesce(F.col("expanded").cast("string"), F.lit("")).alias("expanded"), "pressed", "clickable", "hidden")
 
 
 def form_names(spark, sf_dir):
     f = _facts(spark, sf_dir)
     n = facts.names(f)
-    return f.where("id is not null and role in ('textbox', 'spinbutton', 'button', 'link', 'img', 'region', 'checkbox')").join(n, ["page_id", "node"]).select("page_id", "id", "name", F.coalesce("source", F.lit("")).alias("source"))
+    return f.where("id is not null and role in ('textbox', 'spinbutton', 'button', 'link', 'img', 'region', 'checkbox', 'dialog', 'treeitem')").join(n, ["page_id", "node"]).select("page_id", "id", "name", F.coalesce("source", F.lit("")).alias("source"))
 
 
 def link_destinations(spark, sf_dir):
@@ -54,7 +56,7 @@ def link_destinations(spark, sf_dir):
 
 
 def progress_values(spark, sf_dir):
-    return _facts(spark, sf_dir).where("role in ('progressbar', 'meter')").select("page_id", "id", facts.progress_percent().cast("long").alias("percent"))
+    return _facts(spark, sf_dir).where("role in ('progressbar', 'meter')").select("page_id", "id", facts.progress_value().alias("value"))
 
 
 def field_errors(spark, sf_dir):
@@ -170,6 +172,7 @@ _STATES = [
     ("f", "textbox", "false", "false", "false", "true"), ("err", ""), ("g", "spinbutton"), ("h", "button"), ("i", "button", "false", "false", "false", "false", "case when k = 1 then 'true' else 'false' end"), ("j", "button", "false", "false", "false", "false", "''", "k = 2"),
     ("k", "", *["false"] * 4, "''", "false", "true"), ("l", "", *["false"] * 4, "''", "false", "true"), ("l2", ""), ("m", ""), ("n", "", *["false"] * 4, "''", "false", "true"), ("o", "link"), ("p", "link"), ("q", "progressbar"), ("r", "meter"), ("s", "textbox"), ("t", ""), ("t2", "heading"),
     ("u", "img"), ("v", ""), ("w", "link"), ("x", "region"), ("j2", ""), ("tab", "table"), ("th", "rowgroup"), ("x1", "rowheader"), ("x2", "columnheader"), ("x3", "cell"), ("y", "status"), ("z", "listitem"),
+    ("q2", "progressbar"), ("q3", "progressbar"), ("q4", "progressbar"), ("q5", "meter"), ("q6", "meter"), ("o2", "link"), ("f1", ""), ("f2", ""), ("h2", "button"), ("h3", "button"), ("h4", "textbox"), ("d1", "dialog"), ("j3", "button"), ("z2", "treeitem"),
 ]
 _FULL = [(*s, *(["false"] * 4 + ["''", "false", "false"])[len(s) - 2 :]) for s in _STATES]
 _RGB = """k as (select event_id, case when event_id % 3 = 0 then [event_id * 29 % 256, event_id * 29 % 256, event_id * 29 % 256] else [event_id * 37 % 256, event_id * 91 % 256, event_id * 53 % 256] end as c from events),
@@ -181,14 +184,14 @@ h as (select event_id, (hi + lo) / 2 as l, case when hi = lo then 0 when (hi + l
 _NATIVE = "select c_nationkey as capture_id, c_custkey as k from customer"
 
 ORACLE_SQL = {
-    "form_states": f"with {_P} " + " union all ".join(f"select page_id, '{i}' as id, '{r}' as role, {d} as disabled, {c} as checked, {s} as selected, {q} as required, {e} as expanded, {x} as pressed, {y} as clickable from p" for i, r, d, c, s, q, e, x, y in _FULL),
-    "form_names": f"with {_P} " + " union all ".join(f"select page_id, '{i}' as id, {n} as name, '{s}' as source from p" for i, n, s in [("a", "''", ""), ("b", "''", ""), ("c", "''", ""), ("f", "'Mail of ' || page_id", "label"), ("g", "'Age ' || k", "label"), ("h", "'Send ' || page_id", "value"), ("i", "'More'", "content"), ("j", "'Star ' || k", "aria-label"), ("o", "'write'", "content"), ("p", "'get ' || page_id", "content"), ("s", "''", ""), ("u", "'Pic ' || page_id", "alt"), ("w", "''", ""), ("x", "'by ' || page_id", "labelledby")]),
-    "link_destinations": f"with {_P} select page_id, 'o' as id, 'mailto' as tags from p union all select page_id, 'p', 'download' from p union all select page_id, 'w', '' from p",
-    "progress_values": f"with {_P} select page_id, 'q' as id, 25 * k as percent from p union all select page_id, 'r', 10 * k from p",
+    "form_states": f"with {_P} " + " union all ".join(f"select page_id, '{i}' as id, '{r}' as role, {d} as disabled, {c} as checked, {s} as selected, {q} as required, {e} as expanded, {x} as pressed, {y} as clickable, {'true' if i == 'f2' else 'false'} as hidden from p" for i, r, d, c, s, q, e, x, y in _FULL),
+    "form_names": f"with {_P} " + " union all ".join(f"select page_id, '{i}' as id, {n} as name, '{s}' as source from p" for i, n, s in [("a", "''", ""), ("b", "''", ""), ("c", "''", ""), ("f", "'Mail of ' || page_id", "label"), ("g", "'Age ' || k", "label"), ("h", "'Send ' || page_id", "value"), ("i", "'More'", "content"), ("j", "'Star ' || k", "aria-label"), ("o", "'write'", "content"), ("p", "'get ' || page_id", "content"), ("s", "''", ""), ("u", "'Pic ' || page_id", "alt"), ("w", "''", ""), ("x", "'by ' || page_id", "labelledby"), ("h2", "'Submit'", "default"), ("h3", "'Go ' || k", "alt"), ("h4", "'T ' || page_id", "title"), ("d1", "'Head ' || page_id", "heading"), ("j3", "'Star ' || k || ' by ' || page_id", "labelledby"), ("o2", "'call'", "content"), ("z2", "''", "")]),
+    "link_destinations": f"with {_P} select page_id, 'o' as id, 'href=mailto:me@host' || page_id || '.org' as tags from p union all select page_id, 'p', 'download' from p union all select page_id, 'w', '' from p union all select page_id, 'o2', left('href=TEL:+' || page_id || '-' || repeat('0123456789', 5), 54) || '…' from p",
+    "progress_values": f"with {_P} select page_id, 'q' as id, 25 * k || '%' as value from p union all select page_id, 'r', 10 * k || '%' from p union all select page_id, 'q2', '' from p union all select page_id, 'q3', chr(34) || k || ' of ' || chr(92) || chr(34) || '4' || chr(92) || chr(34) || chr(34) from p union all select page_id, 'q4', floor(100 * least(page_id / 200.0::double, 1.0::double) + 0.5)::bigint || '%' from p union all select page_id, 'q5', '' from p union all select page_id, 'q6', '2.5' from p",
     "field_errors": "select page_id, 'f' as id, 'Bad' as error from pages",
     "blocked_controls": f"with {_P} " + " union all ".join(f"select page_id, '{i}' as id, 'disabled' as blocked_by, true as may_clear from p where k % 2 = 0" for i in "bcde"),
     "typable_fields": f"with {_P} " + " union all ".join(f"select page_id, '{i}' as id, {t} as takes from p" for i, t in [("a", "'typable'"), ("b", "case when k % 2 = 0 then 'disabled' else 'typable' end"), ("c", "'not a field'"), ("f", "'typable'"), ("g", "'typable'"), ("s", "'typable'")]),
-    "label_contradictions": f"with {_P} select page_id, 'j' as id, 'differs' as verdict from p union all " + " union all ".join(f"select page_id, '{i}', 'unlabelled' from p" for i in "abcdsw"),
+    "label_contradictions": f"with {_P} select page_id, 'j' as id, 'differs' as verdict from p union all select page_id, 'j3', 'differs' from p union all " + " union all ".join(f"select page_id, '{i}', 'unlabelled' from p" for i in ("a", "b", "c", "d", "s", "w", "z2")),
     "form_tables": f"with {_P} select page_id, '| R | C \\| ' || k || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| v' || page_id || ' |  |' as markdown from p",
     "image_maps": f"with {_P} select page_id, 100 + case k when 0 then -30.0 when 1 then 1.0 when 2 then 2.0 else 0.0 end::double as x, 10 + case k when 0 then -28.0 when 1 then 2.0 when 2 then 2.0 else 0.0 end::double as y, case k when 0 then 60.0 when 1 then 29.0 when 2 then 28.0 else 50.0 end::double as w, case k when 0 then 60.0 when 1 then 38.0 when 2 then 38.0 else 60.0 end::double as h from p",
     "text_tones": f"with {_RGB} select event_id, case when s >= 0.5 and l between 0.2 and 0.7 and (h <= 15 or h >= 340) then 'red' when s >= 0.4 and l between 0.15 and 0.65 and h between 85 and 165 then 'green' when s <= 0.2 and 1.05 / (y + 0.05) >= 1.5 and 1.05 / (y + 0.05) < 0.4 * 1.05 / (pow((34 / 255.0::double + 0.055) / 1.055, 2.4) + 0.05) then 'muted' else '' end as tone from h",

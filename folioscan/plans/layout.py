@@ -48,7 +48,7 @@ def _box(x, y, w, h):
 
 def reading_rows(spark, sf_dir):
     n = F.col("node")
-    b = _items(spark, sf_dir).select("capture_id", F.lit(0).alias("parent"), (100 - n).alias("node"), n.alias("k"), _box((n % 2) * 100, F.floor(n / 2) * 30 + (n % 2) * 5, F.lit(90), F.lit(20)).alias("box"))
+    b = _items(spark, sf_dir).select("capture_id", F.lit(0).alias("parent"), (100 - n).alias("node"), n.alias("k"), _box((n % 2) * 100, F.floor(n / 2) * 130 + (n % 2) * F.lit(14), F.lit(90), F.when(n % 2 == 0, 100).otherwise(F.when(F.col("capture_id") % 2 == 0, 20).otherwise(40))).alias("box"))
     return geometry.reading_order(b).select("capture_id", "k", F.col("row").cast("long").alias("row"), F.col("pos").cast("long").alias("pos"))
 
 
@@ -59,14 +59,16 @@ def offscreen_items(spark, sf_dir):
 
 
 def covered_items(spark, sf_dir):
-    """A cover over the first boxes of each capture, as wide as its number says, and a huge one now and then."""
+    """A cover over the first boxes of each capture, as wide as its number says, a huge one now
+    and then, and covers over the middle of the later boxes that leave their corners open or not."""
     n, k = F.col("node"), F.col("capture_id")
     none = F.array().cast("array<int>")
     items = _items(spark, sf_dir)
     b = items.select("capture_id", "node", (n + 1).alias("end"), none.alias("path"), n.alias("paint"), F.lit(False).alias("paints"), _box(n * 50, F.lit(0), F.lit(40), F.lit(40)).alias("box"))
     wide = F.when(k % 10 == 0, 1e9).otherwise(k % 5 * 50)
+    middle = items.select("capture_id", (n + 2000).alias("node"), (n + 2001).alias("end"), none.alias("path"), F.lit(400).alias("paint"), F.lit(True).alias("paints"), _box(n * 50 + F.when(k % 2 == 0, 2).otherwise(1), F.lit(1), F.when(k % 2 == 0, 36).otherwise(39), F.lit(39)).alias("box")).where("node >= 2005")
     covers = items.select("capture_id").distinct().select("capture_id", F.lit(1000).alias("node"), F.lit(1001).alias("end"), none.alias("path"), F.lit(500).alias("paint"), F.lit(True).alias("paints"), _box(F.lit(-1), F.lit(-1), wide + 1, F.lit(1e9)).alias("box"))
-    return geometry.occluded(b.unionByName(covers)).select("capture_id", F.col("node").cast("long").alias("node"), F.col("coverer").cast("long").alias("coverer"))
+    return geometry.occluded(b.unionByName(covers).unionByName(middle)).where("node < 1000").select("capture_id", F.col("node").cast("long").alias("node"), F.col("coverer").cast("long").alias("coverer"))
 
 
 def scrolling_boxes(spark, sf_dir):
@@ -134,9 +136,9 @@ b as (select capture_id, colour as base from (select capture_id, colour, sum(wei
 _ITEMS = "i as (select l_orderkey as k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as n from lineitem)"
 
 ORACLE_SQL = {
-    "reading_rows": f"with {_ITEMS} select k as capture_id, n as k, n // 2 as row, n as pos from i",
+    "reading_rows": f"with {_ITEMS} select k as capture_id, n as k, case when k % 2 = 0 then n else n // 2 end as row, n as pos from i",
     "offscreen_items": f"with {_ITEMS} select k as capture_id, n as node, n = 0 or n >= 6 as offscreen from i",
-    "covered_items": f"with {_ITEMS} select k as capture_id, n as node, 1000::bigint as coverer from i where k % 10 = 0 or n < k % 5",
+    "covered_items": f"with {_ITEMS} select k as capture_id, n as node, case when k % 10 = 0 or n < k % 5 then 1000 else 2000 + n end::bigint as coverer from i where k % 10 = 0 or n < k % 5 or (n >= 5 and k % 2 = 1)",
     "scrolling_boxes": f"with {_ITEMS} select k as capture_id, n as node, n <> 6 and (k % 3 = 0 and 18 + n > 21 or n % 2 = 0 and 98 + k % 7 > 101) as scrollable, k % 4 = 0 and 98 + k % 7 > 101 or n % 3 = 0 and 18 + n > 21 as truncated from i",
     "struck_texts": f"with {_ITEMS} select k as capture_id, n as node, n = 0 or k % 5 = 0 or n < k % 5 as struck from i",
     "heading_blocks": f"with {_ITEMS} select k as capture_id, n as node, 1::bigint as level from i where n % 2 = 0 and n <> 4 and k % 9 <> 0 and k % 4 <> 0",
