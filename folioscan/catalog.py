@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.plans import drawn, forms, layout, pages, sessions, streams, text
+from folioscan.plans import drawn, forms, layout, outlines, pages, sessions, streams, text
 
-MODULES = [text, pages, forms, sessions, layout, drawn, streams]
+MODULES = [text, pages, forms, sessions, layout, drawn, outlines, streams]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
