@@ -14,6 +14,7 @@ from folioscan.operators import folds, tree
 from folioscan.operators.facts import names
 from folioscan.operators.views import block_runs
 from folioscan.sources.markup import INLINE
+from folioscan.sources.stored import stored
 
 # The word and the ref letter of a line by role.
 REGIONS = {"main": "main", "banner": "header", "contentinfo": "footer r", "navigation": "nav r", "complementary": "aside", "form": "form", "region": "region", "article": "article", "list": "list", "listitem": "item", "table": "table r", "grid": "table r", "row": "row", "dialog": "dialog d", "alertdialog": "dialog d"}
@@ -261,6 +262,7 @@ def fit(lines: DataFrame, budget_tokens: int, by: tuple[str, ...] = ("page_id",)
     page = Window.partitionBy(*by)
     in_order = page.orderBy("pos")
     rows = lines.join(earliest, [*by, "pos"]).withColumns({"turn": F.row_number().over(page.orderBy("k1", "k2", "k3", "pos")), "_all": F.count("*").over(page), "_width": F.char_length("line") + 1})
+    rows = stored(rows, "turns")
     digits = F.char_length((2 * F.col("_all") + 1).cast("string"))  # of any count, and of any new ref
     rows = rows.withColumn("_ref_width", F.greatest(F.max(F.char_length("ref")).over(page), 1 + digits))
     gap = 2 * F.col("indent") + len("…  more lines ") + digits + F.col("_ref_width") + 1

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from folioscan.functions import colour
 from folioscan.operators import controls, facts, geometry, views
 from folioscan.sources.markup import nodes
+from folioscan.sources.stored import stored
 
 FORM = (
     "<body><form id=form><fieldset id=fs{off}><legend id=l1><input id=a></legend><legend><input id=b></legend><input id=c type=checkbox{on}>"
@@ -40,13 +41,17 @@ def _facts(spark, sf_dir):
     return facts.facts(nodes(_forms(spark, sf_dir))).withColumn("id", F.col("attrs")["id"])
 
 
+def _stored_facts(spark, sf_dir):
+    return stored(_facts(spark, sf_dir), "forms")
+
+
 def form_states(spark, sf_dir):
     f = _facts(spark, sf_dir).where("id is not null")
     return f.select("page_id", "id", "role", "disabled", "checked", "selected", "required", F.coalesce(F.col("expanded").cast("string"), F.lit("")).alias("expanded"), "pressed", "clickable", "hidden")
 
 
 def form_names(spark, sf_dir):
-    f = _facts(spark, sf_dir)
+    f = _stored_facts(spark, sf_dir)
     n = facts.names(f)
     return f.where("id is not null and role in ('textbox', 'spinbutton', 'button', 'link', 'img', 'region', 'checkbox', 'dialog', 'treeitem')").join(n, ["page_id", "node"]).select("page_id", "id", "name", F.coalesce("source", F.lit("")).alias("source"))
 
@@ -60,7 +65,7 @@ def progress_values(spark, sf_dir):
 
 
 def field_errors(spark, sf_dir):
-    f = _facts(spark, sf_dir)
+    f = _stored_facts(spark, sf_dir)
     return controls.error_texts(f, facts.readable(f)).join(f.select("page_id", "node", "id"), ["page_id", "node"]).select("page_id", "id", "error")
 
 
@@ -75,12 +80,12 @@ def typable_fields(spark, sf_dir):
 
 
 def label_contradictions(spark, sf_dir):
-    f = _facts(spark, sf_dir)
+    f = _stored_facts(spark, sf_dir)
     return facts.contradictions(f).join(f.select("page_id", "node", "id"), ["page_id", "node"]).where("id is not null").select("page_id", "id", "verdict")
 
 
 def form_tables(spark, sf_dir):
-    return views.markdown_tables(views.tables_tsv(_facts(spark, sf_dir))).select("page_id", "markdown")
+    return views.markdown_tables(views.tables_tsv(_stored_facts(spark, sf_dir))).select("page_id", "markdown")
 
 
 def image_maps(spark, sf_dir):

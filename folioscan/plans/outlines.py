@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscan.operators import entries, facts
 from folioscan.sources.markup import nodes
+from folioscan.sources.stored import stored
 
 BUDGET = 100
 
@@ -30,8 +31,9 @@ def card_entries(spark, sf_dir):
 
 
 def _outline(spark, sf_dir):
-    f = facts.facts(nodes(spark.read.parquet(f"{sf_dir}/pages.parquet")))
-    return entries.outline_lines(entries.arrange(entries.items(f)))
+    f = stored(facts.facts(nodes(spark.read.parquet(f"{sf_dir}/pages.parquet"))), "facts")
+    tree = stored(entries.arrange(entries.items(f)), "entries")
+    return stored(entries.outline_lines(tree), "outline")
 
 
 def page_outline_lines(spark, sf_dir):
@@ -52,9 +54,10 @@ def outline_ratios(spark, sf_dir):
 
 
 def _lines(spark, sf_dir):
-    """Lines of documents as outlines: every fifth encloses the next four, some have refs."""
+    """Lines of documents as outlines: every fifth encloses the next four, some have refs. Marks
+    that open emphasis, links and code stand for other signs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = docs.select("doc_id", F.posexplode(F.split(F.translate("text", "*[~`", "+(-'"), "\n")).alias("pos", "line"))
     n, pos = F.char_length("line"), F.col("pos")
     return rows.select("doc_id", "pos", F.when(pos % 5 == 0, -1).otherwise(pos - pos % 5).alias("up"), (pos % 5 != 0).cast("int").alias("indent"), (pos + 1000).alias("node"), (3 + n % 4).cast("int").alias("class"), (n % 3 != 0).cast("int").alias("rank"), F.when(pos % 10 == 0, F.concat(F.lit("r"), (F.floor(pos / 10) + 1).cast("string"))).otherwise("").alias("ref"), "line")
 
@@ -91,7 +94,7 @@ y as (select *, row_number() over (partition by o order by k) - 1 as pos from x)
 select y.o as page_id, y.pos, coalesce(u.pos, -1) as up, y.indent::bigint as indent, y.node::bigint as node, y.head, y.kind, y.run::bigint as run, y.repeat::bigint as repeat, y.flat from y left join y u on u.o = y.o and u.node = y.up_node and u.head in ('list', 'item')"""
 
 _FIT = f"""
-with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents where text is not null),
+with l as (select doc_id, unnest(string_split(translate(text, '*[~`', '+(-'''), chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents where text is not null),
 a as (select *, case when pos % 5 = 0 then -1 else pos - pos % 5 end as up, (pos % 5 <> 0)::int as indent, 3 + length(line) % 4 as class, (length(line) % 3 <> 0)::int as rank, case when pos % 10 = 0 then 'r' || (pos // 10 + 1) else '' end as ref from l),
 k as (select *, [class, rank, pos] as own from a),
 e as (select k.*, case when up >= 0 then own else least(own, (select min(b.own) from k b where b.doc_id = k.doc_id and b.up = k.pos)) end as key from k),

@@ -2,20 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="folioscan-")
-    return f"{root.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+from folioscan.sources.stored import shared_path
 
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -34,7 +23,7 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     each batch replaces the table; in append mode each has a folder of its own, which a batch
     that is run again writes anew."""
     spark = stream.sparkSession
-    out = shared_path(spark, name)
+    out = shared_path(spark, f"streams/{name}")
 
     def put(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/table" if mode == "complete" else f"{out}/table/batch={n}")
