@@ -56,11 +56,11 @@ class ItemIndex:
     """Benchmark items, ready to be sent to workers: some 30 bytes for each of their words.
 
     ``often`` lists the shingles that more than one different item of the whole benchmark
-    holds, with how many; a shingle's weight is 1 over that number. Each item stands in one
-    bucket for each of the 8 blocks of 8 bits of its fingerprint. Of two fingerprints within
-    ``radius`` one block differs in at most radius // 8 bits, so a window that probes all
-    buckets within that of its own blocks misses none. Only items that share a shingle with
-    the windows can be similar at all: of these it is asked whether their buckets are probed.
+    holds, with how many; a shingle's weight is 1 over that number. Of two fingerprints within
+    ``radius`` one of their 8 blocks of 8 bits differs in at most radius // 8 bits. So an item
+    of so many words stands, for each block, in the buckets of all values within that of its
+    own, and a window reads for each block the bucket of its value: what these hold are its
+    candidates, and none within the radius is missed. A bucket is a row of bits, one an item.
     Windows are printed without weights and, where these differ, with them: either may find.
     """
 
@@ -88,6 +88,13 @@ class ItemIndex:
         if len(np.unique(self.n)) < 2:
             self.prints.pop()
         self.fewest = np.array([self._fewest(*bag) for bag in self.bags], np.int64)
+        self.of_length = {int(m): np.flatnonzero(self.length == m) for m in np.unique(self.length)}
+        self.buckets = {m: [self._buckets(prints[of]) for prints in self.prints] for m, of in self.of_length.items()}
+
+    def _buckets(self, prints: np.ndarray) -> np.ndarray:
+        """(block, value, bits): which of the items stand in the bucket of a block's value."""
+        blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
+        return np.stack([np.packbits(self.near[:, blocks[:, b]], axis=1) for b in range(BLOCKS)])
 
     def holders(self, s: np.ndarray) -> np.ndarray:
         """How many items hold each shingle; 0 for those of one item elsewhere, or of none."""
@@ -146,48 +153,53 @@ class ItemIndex:
                 fits = np.minimum(self.length[item], self.shingle) == k
                 where, item = where[fits], item[fits]
                 for m in np.unique(self.length[item]).tolist():
-                    mine = self.length[item] == m
-                    yield from self._row(s, where[mine], item[mine], int(at[rows[a]]), int(at[rows[a] + 1]), int(rows[a]), m, k)
+                    mine = np.unique(where[self.length[item] == m])
+                    yield from self._row(s, mine, int(at[rows[a]]), int(at[rows[a] + 1]), int(rows[a]), m, k)
 
-    def _row(self, s: np.ndarray, where: np.ndarray, item: np.ndarray, first: int, end: int, row: int, m: int, k: int) -> Iterator[tuple]:
-        """The items of ``m`` words in one row; ``item`` has its shingle at ``where``."""
+    def _row(self, s: np.ndarray, where: np.ndarray, first: int, end: int, row: int, m: int, k: int) -> Iterator[tuple]:
+        """The items of ``m`` words in one row, some of which have its shingles at ``where``."""
         length = min(m, end - first)  # a shorter text is one window
         size = length - k + 1
-        if length < m:
-            enough = self.fewest[item] <= size
-            where, item = where[enough], item[enough]
+        own = self.of_length[m]
+        able = self.fewest[own] <= size if length < m else np.ones(len(own), bool)
+        if not able.any():
+            return
         best: dict[int, tuple[float, int, int]] = {}
-        gaps = np.flatnonzero(np.diff(where) >= 2 * m) + 1
-        for part, own in zip(np.split(where, gaps), np.split(item, gaps), strict=True):
-            if not len(part):
-                continue
-            own = np.unique(own)
+        for part in np.split(where, np.flatnonzero(np.diff(where) >= 2 * m) + 1):
             lo, hi = max(first, int(part[0]) - size + 1), min(end - length, int(part[-1]))
-            for a in range(lo, hi + 1, 4096):
-                z = min(hi, a + 4095)
+            for a in range(lo, hi + 1, 1024):
+                z = min(hi, a + 1023)
                 region = s[a : z + size]
                 n = self.holders(region)
                 different = len(np.unique(n[n > 0])) > 1
-                printed = [(fingerprints(region, size, n if x else None), prints) for x, prints in enumerate(self.prints) if not x or different]
-                for some in np.array_split(own, -(-len(own) // 512)):
-                    distance = np.full((z + 1 - a, len(some)), 65, np.uint8)
-                    for got, prints in printed:
-                        w, i = np.nonzero(self.probed(got, prints[some]))
-                        distance[w, i] = np.minimum(distance[w, i], np.bitwise_count(got[w] ^ prints[some[i]]))
-                    w, i = np.nonzero(distance <= self.radius)
-                    for w_, i_, d in zip(w.tolist(), some[i].tolist(), distance[w, i].tolist(), strict=True):
-                        sim = self.similarity(region[w_ : w_ + size], i_)
-                        if sim >= self.threshold and sim > best.get(i_, (0.0,))[0]:
-                            best[i_] = (sim, d, a + w_ - first)
+                for x, prints in enumerate(self.prints):
+                    if x and not different:
+                        continue
+                    got = fingerprints(region, size, n if x else None)
+                    for b in range(0, len(own), 4096):
+                        w, i = np.nonzero(self.candidates(got, m, x, b, min(b + 4096, len(own))) & able[b : b + 4096])
+                        i += b
+                        distance = np.bitwise_count(got[w] ^ prints[own[i]])
+                        near = distance <= self.radius
+                        for w_, i_, d in zip(w[near].tolist(), own[i[near]].tolist(), distance[near].tolist(), strict=True):
+                            known = best.get(i_, (0.0, 65, 0))
+                            if x and known[2] == a + w_ - first and known[0] > 0:
+                                best[i_] = (known[0], min(d, known[1]), known[2])
+                                continue
+                            sim = self.similarity(region[w_ : w_ + size], i_)
+                            if sim >= self.threshold and (sim > known[0] or (sim == known[0] and a + w_ - first < known[2])):
+                                best[i_] = (sim, d, a + w_ - first)
         for i_, (sim, d, start) in best.items():
             yield row, self.ids[i_], sim, d, start, length
 
-    def probed(self, windows: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """Which windows probe a bucket of which items."""
-        out = np.zeros((len(windows), len(items)), bool)
-        for x, y in zip(windows.view(np.uint8).reshape(-1, BLOCKS).T, items.view(np.uint8).reshape(-1, BLOCKS).T, strict=True):
-            out |= self.near[x[:, None], y[None, :]]
-        return out
+    def candidates(self, windows: np.ndarray, m: int, x: int, lo: int, hi: int) -> np.ndarray:
+        """(window, item): the items ``lo`` (a multiple of 8) to ``hi`` of m words that stand in
+        the buckets which the windows read."""
+        buckets = self.buckets[m][x][:, :, lo // 8 : -(-hi // 8)]
+        out = np.zeros((len(windows), buckets.shape[2]), np.uint8)
+        for b, values in enumerate(windows.view(np.uint8).reshape(-1, BLOCKS).T):
+            out |= buckets[b, values]
+        return np.unpackbits(out, axis=1, count=hi - lo).astype(bool)
 
 
 def _item_shingles(shingle: int):

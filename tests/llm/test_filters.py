@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 
 from folioscan.llm import surrogates as S
-from folioscan.llm.decontaminate import drop_contaminated, find_contamination, fingerprints
+from folioscan.llm.decontaminate import ItemIndex, drop_contaminated, find_contamination, fingerprints
+from folioscan.llm.kernels import words
 from folioscan.llm.queries import RULES
 from folioscan.llm.url_filter import Rule, judge_urls
 
@@ -249,3 +250,32 @@ def test_document_shorter_than_the_item(spark):
     # the opening that all items share hardly counts
     items = [(i, " ".join([f"h{j}" for j in range(30)] + [f"x{i}_{j}" for j in range(40)])) for i in range(10)]
     assert set(contaminated(spark, [(1, " ".join(f"x4_{j}" for j in range(40)))], items)) == {(1, 4)}
+
+
+def test_candidates_come_from_the_buckets_alone():
+    rng = random.Random(3)
+    items = [(i, " ".join(f"i{i}_{rng.randrange(10**6)}" for _ in range(40))) for i in range(30)]
+    index = ItemIndex(items, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 5, 23, 0.8)
+    document = " ".join(["before"] * 9) + " " + items[7][1] + " after " + items[8][1]
+    data = np.frombuffer(document.encode(), np.uint8)
+    h, at, _, _ = words(data, np.array([0, len(data)]), lower=True)
+    assert {r[1] for r in index.match(h, at)} == {7, 8}
+    for b in range(8):
+        assert {r[1] for r in index.match(h, at)} == {7, 8}  # any block left finds both
+        index.buckets[40][0][b] = 0
+    assert list(index.match(h, at)) == []
+
+
+@pytest.mark.parametrize(("similarity", "share"), [(0.8, 0.9999), (0.85, 0.99999)])
+def test_share_of_pairs_within_the_radius(similarity, share):
+    """Windows of 60 shingles at a similarity: how often their prints lie within radius 23."""
+    rng = np.random.default_rng(5)
+    near, size = 0, 60
+    other = round(size * (1 - similarity) / (1 + similarity))
+    for _ in range(20):
+        base = rng.integers(0, 2**64, (1000, size), dtype=np.uint64)
+        edit = base.copy()
+        edit[:, :other] = rng.integers(0, 2**64, (1000, other), dtype=np.uint64)
+        a, b = (fingerprints(x.ravel(), size)[::size] for x in (base, edit))
+        near += int((np.bitwise_count(a ^ b) <= 23).sum())
+    assert near >= share * 20_000
