@@ -20,7 +20,7 @@ from .workspace import arrow_rows, discard, materialize
 RUN = "[a-zÀ-ÿ]"
 LONG = 64
 KEYS_A_BLOCK = 4
-SEGMENT_KEYS = 1 << 20
+SEGMENT_KEYS = 1 << 13
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
