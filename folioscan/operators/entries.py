@@ -191,7 +191,8 @@ def items(facts_df: DataFrame) -> DataFrame:
     rows = rows.withColumn("_leaf", F.col("_control") & ~((F.col("role") == "link") & told))
     rows = rows.withColumn("_under", tree.under(F.col("_leaf"))).where(~F.col("_under"))
     split = F.sum(F.col("_leaf").cast("int")).over(page)
-    runs = rows.withColumn("_split", split).where("_words").groupBy("page_id", "run", "_split").agg(F.min(F.struct("node", "parent")).alias("at"), F.array_sort(F.collect_list(F.struct("node", "text"))).alias("t"))
+    spoken = rows.withColumn("_split", split).where((F.col("kind") == "text") & ~F.col("hidden"))
+    runs = spoken.groupBy("page_id", "run", "_split").agg(F.min(F.when(F.col("_words"), F.struct("node", "parent"))).alias("at"), F.array_sort(F.collect_list(F.struct("node", "text"))).alias("t")).where("at is not null")
     texts = runs.select("page_id", "at.node", "at.parent", F.lit("text").alias("sort"), F.lit("text").alias("head"), F.lit("").alias("kind"), text.clean(F.array_join(F.transform("t", lambda x: x["text"]), "")).alias("name"))
     rest = rows.where((F.col("kind") == "document") | (shown & (F.col("tag") != "option")))
     said = names(facts_df).select("page_id", "node", "name")

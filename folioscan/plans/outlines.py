@@ -116,6 +116,11 @@ o as (select doc_id, pos, case when keep then 'line' else 'cut' end as what, cas
 
 ORACLE_SQL = {
     "card_entries": _CARDS,
+    "page_outline_lines": r"""
+with p as (select page_id, regexp_replace(html, '(?s)<!--.*?-->|<script[^>]*>.*?</script>', '', 'g') as h from pages)
+select page_id, len(regexp_extract_all(regexp_extract(h, '(?s)<nav>.*?</nav>'), '<a '))::varchar as nav_links, len(list_filter(regexp_extract_all(h, '(?s)<h1>([^<]*)</h1>', 1), lambda x: trim(x) <> ''))::bigint as headings,
+ (len(list_filter(regexp_extract_all(h, '(?s)<p>([^<]*)', 1), lambda x: trim(x) <> '')) + len(regexp_extract_all(h, '<p><b>[^<]*[^< ]')) + len(regexp_extract_all(h, '<div class="ad">[^<]*[^< ]')))::bigint as texts,
+ len(regexp_extract_all(h, '<footer>'))::bigint as footers, 1::bigint as deepest from p""",
     "budgeted_lines": f"{_FIT} select doc_id, pos::bigint as pos, what, ref, opens::bigint as opens, line from o",
     "budget_use": f"{_FIT} select doc_id, chars::bigint as chars, kept_chars::bigint as kept_chars, kept_chars <= {4 * BUDGET} as holds from (select doc_id, sum(length(line) + 1) as chars from l group by 1) join (select doc_id, sum(length(line) + 1) as kept_chars from o group by 1) using (doc_id)",
 }
