@@ -283,6 +283,41 @@ def modal_layers(df: DataFrame, captures: DataFrame) -> DataFrame:
     return found.where("aria_modal or covers").select("capture_id", "node", "covers", "backdrop")
 
 
+def inert_behind(df: DataFrame, natives: DataFrame, covered: DataFrame, by: tuple[str, ...] = ("capture_id",)) -> DataFrame:
+    """(by, node, coverer): ``covered`` (by, node, coverer) and all else outside the native
+    dialog that is painted last, which lets no click through to what lies behind it.
+
+    ``df`` (by, node, end, kind, tag, visible, box) are nodes, ``natives`` (by, node, end, paint)
+    dialogs in the top layer. Neither what the dialog holds nor what holds it is behind it:
+    what is left are two runs of document order, less the nodes whose subtree reaches it.
+    """
+    last = F.max_by(F.struct("node", "end"), F.struct("paint", -F.col("node"))).alias("top")
+    top = natives.groupBy(*by).agg(last).select(*by, F.col("top.node").alias("coverer"), F.col("top.end").alias("_to"))
+    boxes = df.where((F.col("kind") == "element") & F.col("visible") & ~is_empty(F.col("box")) & ~F.col("tag").isin("html", "body"))
+    behind = boxes.join(top, list(by)).where((F.col("node") >= F.col("_to")) | (F.col("end") <= F.col("coverer"))).select(*by, "node", "coverer")
+    return covered.select(*by, "node", "coverer").unionByName(behind.join(covered.select(*by, "node"), [*by, "node"], "left_anti"))
+
+
+def layer_order(lines: DataFrame, dialogs: DataFrame, by: tuple[str, ...] = ("capture_id",)) -> DataFrame:
+    """``lines`` (by, node, parent, end, indent) with (layer, pos, level): dialogs first, that
+    painted last before the others, then the page.
+
+    ``dialogs`` (by, node, paint) are lines of modal layers. A dialog's lines leave where they
+    stand and follow it, less those of a dialog inside it, which is a layer of its own;
+    ``layer`` is the dialog's node, null for the page, ``level`` the indent within the layer.
+    """
+    marked = lines.join(dialogs.select(*by, "node", F.col("paint").alias("_paint")), [*by, "node"], "left")
+
+    def hand(above: tuple, paint: int | None, node: int, indent: int) -> tuple[tuple, tuple]:
+        own = above if paint is None else (node, paint, indent)
+        return own, (own[0], own[1], indent - own[2])
+
+    inputs = ("_paint", "_line", "indent")
+    rows = folds.handed_down(marked.withColumn("_line", F.col("node")), by, inputs, (None, None, 0), hand, "layer int, _of long, level int")
+    order = Window.partitionBy(*by).orderBy(F.col("_of").desc_nulls_last(), F.coalesce("layer", F.lit(-1)), "node")
+    return rows.withColumn("pos", F.row_number().over(order) - 1).drop("_paint", "_line", "_of")
+
+
 def area_box(shape: Column, coords: Column, img: Column) -> Column:
     """The box of an image map's area on an image at ``img``; a shape that can't be read is the
     whole image."""

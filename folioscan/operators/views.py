@@ -88,23 +88,47 @@ def refs(controls: DataFrame) -> DataFrame:
     return controls.withColumn("_letter", letter).withColumn("ref", F.concat(F.col("_letter"), number.cast("string"))).drop("_letter")
 
 
+def _grams(c: Column, k: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.char_length(c) - k + 1), lambda i: c.substr(i, F.lit(k)))
+
+
+def _holding(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``texts`` (page_id, node, t, ...) with each ``term`` they hold, in any letter case. A text
+    can hold a term only if it holds the term's trigram of least hash, so both meet on that,
+    the text's trigrams carrying its number alone; shorter terms meet on themselves."""
+    low = F.lower("term")
+    least = F.array_min(F.transform(_grams(low, 3), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
+    asked = terms.where("term <> ''").select("term", low.alias("_low"), F.when(F.char_length("term") >= 3, least).otherwise(low).alias("_key")).distinct()
+    short = [k for (k,) in asked.where("length(_low) < 3").select(F.length("_low")).distinct().collect()]  # 1 or 2 at most
+    keys = F.concat(*[F.when(F.char_length("t") >= k, _grams(F.col("t"), k)).otherwise(F.array().cast("array<string>")) for k in [3, *short]])
+    met = texts.select("page_id", "node", F.explode(F.array_distinct(keys)).alias("_key")).join(asked, "_key").drop("_key").distinct()
+    return texts.join(met, ["page_id", "node"]).where(F.col("t").contains(F.col("_low"))).drop("_low")
+
+
 def search(facts_df: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, page_id, hits): texts that hold a term, in any letter case; a hit inside a
-    control counts once. Terms of any number: a text can hold a term only if it holds the
-    term's trigram of least hash, so both meet on that; shorter terms meet on themselves.
-    Empty terms hit nothing."""
+    control counts once. Terms of any number; empty ones hit nothing."""
     cleaned = facts_df.where((F.col("kind") == "text") & ~F.col("hidden")).select("page_id", "node", "path", F.lower(text.clean(F.col("text"))).alias("t"))
     control = facts_df.where("interactive").select("page_id", F.col("node").alias("c"))
     inside = cleaned.select("page_id", "node", F.explode("path").alias("c")).join(control, ["page_id", "c"]).groupBy("page_id", "node").agg(F.max("c").alias("c"))
-    spots = cleaned.join(inside, ["page_id", "node"], "left").withColumn("spot", F.coalesce("c", "node"))
-    grams = lambda c, k: F.transform(F.sequence(F.lit(1), F.char_length(c) - k + 1), lambda i: c.substr(i, F.lit(k)))
-    low = F.lower("term")
-    least = F.array_min(F.transform(grams(low, 3), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
-    asked = terms.where("term <> ''").select("term", low.alias("_low"), F.when(F.char_length("term") >= 3, least).otherwise(low).alias("_key")).distinct()
-    short = [k for (k,) in asked.where("length(_low) < 3").select(F.length("_low")).distinct().collect()]  # 1 or 2 at most
-    keys = F.concat(*[F.when(F.char_length("t") >= k, grams(F.col("t"), k)).otherwise(F.array().cast("array<string>")) for k in [3, *short]])
-    met = spots.withColumn("_key", F.explode(F.array_distinct(keys))).join(asked, "_key")
-    return met.where(F.col("t").contains(F.col("_low"))).groupBy("term", "page_id").agg(F.countDistinct("spot").alias("hits"))
+    met = _holding(cleaned.select("page_id", "node", "t"), terms).join(inside, ["page_id", "node"], "left")
+    return met.groupBy("term", "page_id").agg(F.countDistinct(F.coalesce("c", "node")).alias("hits"))
+
+
+def search_phrases(facts_df: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, page_id, node): paragraphs that hold a term though no single text of theirs does,
+    as a page splits a phrase over emphasis and links. A paragraph is a visible block that is
+    no control and holds text in lines alone."""
+    block = (F.col("kind") == "element") & ~F.col("tag").isin(*INLINE, "br")
+    holds_block = F.coalesce(F.min(F.when(block, F.col("node"))).over(_page().rowsBetween(1, Window.unboundedFollowing)) < F.col("end"), F.lit(False))
+    rows = facts_df.withColumn("_block", block).withColumn("_holds", holds_block)
+    paragraphs = rows.where("_block and not _holds and not hidden and not interactive").select("page_id", F.col("node").alias("root"))
+    pieces = readable(facts_df).where("kind = 'text' or tag = 'img'")
+    whole = tree.text_of(pieces, paragraphs).select("page_id", F.col("root").alias("node"), F.lower(text.clean(F.col("content"))).alias("t"))
+    found = _holding(whole, terms).select("term", "page_id", "node")
+    single = pieces.where("kind = 'text'").select("page_id", "node", F.explode("path").alias("root"), F.lower(text.clean(F.col("text"))).alias("t"))
+    told = found.join(single.withColumnsRenamed({"node": "_text", "root": "node"}), ["page_id", "node"]).where(F.col("t").contains(F.lower("term"))).select("term", "page_id", "node").distinct()
+    return found.join(told, ["term", "page_id", "node"], "left_anti")
 
 
 def expand(facts_df: DataFrame, roots: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from folioscan.operators import visibility
+from folioscan.operators import geometry, visibility
 
 FILLS = ("rgba(0, 0, 0, 0)", "rgb(255, 255, 255)", "rgba(10, 20, 30, 0.5)", "rgba(200, 0, 0, 0.25)", "rgb(20, 20, 20)", "", "rgba(0, 0, 0, 0)", "rgba(250, 250, 250, 0.75)")
 INKS = ("rgb(0, 0, 0)", "rgb(255, 255, 255)", "rgba(0, 0, 0, 0.03)", "rgb(20, 20, 20)", "rgb(132, 137, 142)", "odd")
@@ -71,7 +71,27 @@ def unread_texts(spark, sf_dir):
     return visibility.unseen_texts(d, _pages(d)).select("capture_id", F.col("node").cast("long").alias("node"), F.coalesce("why", F.lit("")).alias("why"))
 
 
-QUERIES = {f.__name__: f for f in (reachable_boxes, text_backdrops, unread_texts)}
+def layered_lines(spark, sf_dir):
+    """Every twelfth event as a dialog: its lines first, in the order of paint."""
+    d = captures(spark, sf_dir)
+    q = F.col("q")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("capture_id"), F.col("event_id").alias("q"), (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("int").alias("node"))
+    dialogs = events.where(q % 12 == 5).select("capture_id", "node", (q * 17 % 50).alias("paint"))
+    depth = F.bit_count("node").cast("int")
+    out = geometry.layer_order(d.select("capture_id", "node", "parent", "end", depth.alias("indent")), dialogs)
+    return out.select("capture_id", F.col("node").cast("long").alias("node"), F.coalesce("layer", F.lit(-1)).cast("long").alias("layer"), F.col("pos").cast("long").alias("pos"), F.col("level").cast("long").alias("level"))
+
+
+def inert_boxes(spark, sf_dir):
+    """What the native dialog painted last covers, beside what is covered already."""
+    d = captures(spark, sf_dir).withColumn("visible", F.col("laid") & ~F.col("hidden"))
+    paint = (F.col("node") * 7 % 5).alias("paint")
+    natives = d.where("node % 9 = 4 and kind = 'element' and visible").select("capture_id", "node", "end", paint)
+    covered = d.where("node % 10 = 3").select("capture_id", "node", F.lit(-7).alias("coverer"))
+    return geometry.inert_behind(d, natives, covered).select("capture_id", F.col("node").cast("long").alias("node"), F.col("coverer").cast("long").alias("coverer"))
+
+
+QUERIES = {f.__name__: f for f in (reachable_boxes, text_backdrops, unread_texts, layered_lines, inert_boxes)}
 
 _LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
 _FILL = [(0, 0, 0, 0), (255, 255, 255, 1), (10, 20, 30, 0.5), (200, 0, 0, 0.25), (20, 20, 20, 1), (0, 0, 0, 0), (0, 0, 0, 0), (250, 250, 250, 0.75)]
@@ -99,6 +119,14 @@ _LUM = lambda v: f"(0.2126 * {_LINEAR(f'{v}[1]')} + 0.7152 * {_LINEAR(f'{v}[2]')
 
 ORACLE_SQL = {
     "reachable_boxes": f"with {_NODES} select c as capture_id, k as node, off and not holds as offscreen, cl and not holds as clipped, holds from g",
+    "layered_lines": f"""with {_NODES},
+m as (select c, k, q * 17 % 50 as paint from d where q % 12 = 5),
+i as (select d.c, d.k, max(m.k) as layer from d left join (select c, ak, bk from u union all select c, k, k from d) z on z.c = d.c and z.bk = d.k left join m on m.c = d.c and m.k = z.ak group by all)
+select i.c as capture_id, i.k as node, coalesce(layer, -1) as layer, row_number() over (partition by i.c order by m.paint desc nulls last, coalesce(layer, -1), i.k) - 1 as pos, bit_count(i.k)::bigint - case when layer is null then 0 else bit_count(layer) end::bigint as level from i left join m on m.c = i.c and m.k = i.layer""",
+    "inert_boxes": f"""with {_NODES},
+t as (select c, k as top, e as upto from d where k % 9 = 4 and kind = 'element' and laid and not hidden qualify row_number() over (partition by c order by k * 7 % 5 desc, k) = 1)
+select c as capture_id, k as node, -7 as coverer from d where k % 10 = 3
+union all select d.c, d.k, top from d join t using (c) where d.kind = 'element' and d.laid and not d.hidden and d.w > 0 and not d.own and d.k % 10 <> 3 and d.k <> top and not (d.k > top and d.k < upto) and not exists (select 1 from u where u.c = d.c and u.ak = d.k and u.bk = top)""",
     "text_backdrops": f"with {_NODES}, {_SHADE} select c as capture_id, k as node, " + ", ".join(f"round(coalesce(bg[{i}], -1), 6) as {x}" for i, x in enumerate("rgb", 1)) + " from b",
     "unread_texts": f"""with {_NODES}, {_SHADE},
 h as (select g.c, g.k, g.off and not g.holds as off, g.cl and not g.holds as cl, d.q, {_RGBA(_INK)}[d.q % {len(INKS)} + 1] as ink, b.bg, exists (select 1 from u join d a on a.c = u.c and a.k = u.ak where u.c = g.c and u.bk = g.k and a.kind = 'element' and a.q % 13 = 0 and (a.image or a.fill[4] > 0)) as through
