@@ -147,4 +147,37 @@ v as (select node, bool_or({_fit(_HOST.format("other"), _PATH.format("other"), "
 select page_id, host, path, {_fit("host", "path", "name")} as rule, coalesce({_fit("host", "path", "verdict")}, case when allows then 'allow' when blocks then 'block' end, 'allow') as verdict
 from g left join v on v.node = regexp_replace(url, '#.*$', '')"""
 
-ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": _JACCARD, "op3_top_k": _TOP_K, "op4_warc": _WARC, "op5_url_filter": _URLS}
+_CRC32 = "xor(list_reduce(list_concat([4294967295], {}), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"
+_UTF8 = "flatten(list_transform(string_split({}, ''), lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [195::bigint, unicode(c)::bigint - 64] end))"  # up to U+00FF
+_DIGITS = "list_transform(string_split({}, ''), lambda c: unicode(c)::bigint)"
+
+_SPELLING = f"""
+with recursive t as (select doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+r as (select doc_id, unnest(regexp_extract_all(t, '[a-z\u00C0-\u00FF]{{6,}}')) as run from t),
+g as (select coalesce(doc_id::varchar, '') || ':' || run as key, run, count(*) as n from r group by all),
+h as (select *, {_CRC32.format(_UTF8.format("key"))} as h from g),
+w as (select case when h % 199 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word, n from h),
+v as (select word, sum(n)::bigint as n from w where length(word) >= 6 group by 1 having sum(n) >= 5),
+k as (select word, n, unnest(range(1, length(word) + 1)) as i from v),
+c as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as less, substr(word, 1, i - 1) || chr(1) || substr(word, i + 1) as mask from k),
+p as (select distinct c.word as a, v.word as b from c join v on v.word = c.less union all select a.word, b.word from c a join c b on a.mask = b.mask and a.word <> b.word),
+e as (select a as word, b as near from p union select b, a from p),
+m as (select e.word, count(*) as n_near, arg_min(struct_pack(near := e.near, n := v.n), struct_pack(n := -v.n, near := encode(e.near))) as best from e join v on v.word = e.near group by 1),
+f as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when best.n >= 5 * v.n then best.near end as form, case when best.n >= 5 * v.n then best.n end as form_n from v left join m using (word)),
+q as (select word, word as here, 0 as d from f union all select q.word, f.form, d + 1 from q join f on f.word = q.here where f.form is not null)
+select f.word, f.form, (select arg_max(here, d) from q where q.word = f.word) as root, f.n, f.n_near, f.form_n from f"""
+
+_TRIE = f"""
+with o as (select conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as own from conversations where conv_id is not null group by 1),
+h as (select *, {_CRC32.format(_DIGITS.format("conv_id::varchar"))} % 6 as h from o),
+b as (select h.conv_id, list_concat(coalesce(base.own[1:h.h], []), h.own[h.h + 1:]) as s from h left join o base on base.conv_id = h.conv_id - h.conv_id % 100),
+n as (select conv_id, s, unnest(range(0, len(s) + 1)) as d from b),
+g as (select s[1:d] as p, d, min(conv_id) as conv_id, count(*) as n_convs, list(conv_id order by conv_id) filter (len(s) = d) as ends from n group by all),
+k as (select p[1:d - 1] as p, count(*) as n_children from g where d > 0 group by all),
+x as (select g.*, coalesce(n_children, 0) as n_children from g left join k using (p)),
+a as (select x.*, unnest(range(0, d + 1)) as up from x),
+u as (select p[1:up] as p, count(*) filter (n_children = 0) as n_leaves, sum((n_convs - 1) * case when d = 0 then 0 else length(p[d].t) end)::bigint as saved_tokens from a group by all)
+select x.conv_id, x.d as depth, y.conv_id as parent_conv_id, x.n_convs, x.n_children, u.n_leaves, u.saved_tokens, sha256(coalesce(array_to_string(x.ends, ','), '')) as ends_sha256
+from x join u on u.p = x.p left join g y on x.d > 0 and y.p = x.p[1:x.d - 1]"""
+
+ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": _JACCARD, "op3_top_k": _TOP_K, "op4_warc": _WARC, "op5_url_filter": _URLS, "op12_spelling_variants": _SPELLING, "op13_prefix_trie": _TRIE}
