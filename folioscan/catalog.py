@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.plans import drawn, forms, layout, outlines, pages, sessions, streams, targeting, text
+from folioscan.plans import drawn, forms, kept, layout, outlines, pages, sessions, streams, targeting, text
 
-MODULES = [text, pages, forms, sessions, layout, drawn, outlines, targeting, streams]
+MODULES = [text, pages, forms, sessions, layout, drawn, outlines, targeting, kept, streams]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscan.operators import folds
+
 
 def _before(by: tuple[str, ...]):
     return Window.partitionBy(*by).orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,3 +54,16 @@ def text_of(nodes: DataFrame, roots: DataFrame, by: tuple[str, ...] = ("page_id"
     each = nodes.select(*by, "node", "piece", F.explode("path").alias("root")).join(roots.select(*by, "root"), [*by, "root"])
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "piece"))), lambda x: x["piece"]), "")
     return each.groupBy(*by, "root").agg(ordered.alias("content"))
+
+
+def position_paths(nodes: DataFrame, by: tuple[str, ...] = ("page_id",), levels: int = 5) -> DataFrame:
+    """``nodes`` with ``position``: tag and number among the siblings of that tag, of the node and
+    of those above it, ``levels`` in all, innermost first."""
+    same = F.row_number().over(Window.partitionBy(*by, F.coalesce("parent", F.lit(-1)), "tag").orderBy("node")) - 1
+    rows = nodes.withColumn("_part", F.concat("tag", F.lit(":"), F.when(F.col("parent").isNull(), 0).otherwise(same).cast("string")))
+
+    def hand(above: tuple, part: str) -> tuple[tuple, tuple]:
+        own = (part, *above)[:levels]
+        return own, ("/".join(own),)
+
+    return folds.handed_down(rows, by, ("_part",), (), hand, "position string").drop("_part")

@@ -97,7 +97,7 @@ _LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"  # noqa:
 _FILL = [(0, 0, 0, 0), (255, 255, 255, 1), (10, 20, 30, 0.5), (200, 0, 0, 0.25), (20, 20, 20, 1), (0, 0, 0, 0), (0, 0, 0, 0), (250, 250, 250, 0.75)]
 _INK = [(0, 0, 0, 1), (255, 255, 255, 1), (0, 0, 0, 0.03), (20, 20, 20, 1), (132, 137, 142, 1)]
 _RGBA = lambda rows: "[" + ", ".join("[" + ", ".join(f"{x}::double" for x in r) + "]" for r in rows) + "]"
-_NODES = f"""e as (select user_id as c, row_number() over (partition by user_id order by event_id) - 1 as k, count(*) over (partition by user_id) as n, (props ->> '$.k')::int as p, event_id as q from events),
+NODES_SQL = f"""e as (select user_id as c, row_number() over (partition by user_id order by event_id) - 1 as k, count(*) over (partition by user_id) as n, (props ->> '$.k')::int as p, event_id as q from events),
 d as (select c, k, case when k = 0 then n else least(k + (k & -k), n) end as e, p, q, case when k % 2 = 1 and p % 5 <> 0 then 'text' else 'element' end as kind, k in (0, 64) as own, q % 29 = 0 as hidden, q % 23 <> 0 as laid,
  p * 17 % 600 - 150 as x, q * 31 % 700 - 100 as y, q * 13 % 400 as w, 1 + p * 7 % 200 as h, q % 7 in (0, 2) as cx, p % 6 = 0 as cy, q % 7 = 1 or p % 6 = 1 as scrolls, p % 11 = 0 as fixed, q % 41 = 0 as cut,
  {_RGBA(_FILL)}[p % {len(FILLS)} + 1] as fill, q % 37 = 0 as image, q % 19 = 0 as blended from e),
@@ -118,17 +118,17 @@ _LINEAR = lambda x: f"(case when {x} / 255 <= 0.03928 then {x} / 255 / 12.92 els
 _LUM = lambda v: f"(0.2126 * {_LINEAR(f'{v}[1]')} + 0.7152 * {_LINEAR(f'{v}[2]')} + 0.0722 * {_LINEAR(f'{v}[3]')})"
 
 ORACLE_SQL = {
-    "reachable_boxes": f"with {_NODES} select c as capture_id, k as node, off and not holds as offscreen, cl and not holds as clipped, holds from g",
-    "layered_lines": f"""with {_NODES},
+    "reachable_boxes": f"with {NODES_SQL} select c as capture_id, k as node, off and not holds as offscreen, cl and not holds as clipped, holds from g",
+    "layered_lines": f"""with {NODES_SQL},
 m as (select c, k, q * 17 % 50 as paint from d where q % 12 = 5),
 i as (select d.c, d.k, max(m.k) as layer from d left join (select c, ak, bk from u union all select c, k, k from d) z on z.c = d.c and z.bk = d.k left join m on m.c = d.c and m.k = z.ak group by all)
 select i.c as capture_id, i.k as node, coalesce(layer, -1) as layer, row_number() over (partition by i.c order by m.paint desc nulls last, coalesce(layer, -1), i.k) - 1 as pos, bit_count(i.k)::bigint - case when layer is null then 0 else bit_count(layer) end::bigint as level from i left join m on m.c = i.c and m.k = i.layer""",
-    "inert_boxes": f"""with {_NODES},
+    "inert_boxes": f"""with {NODES_SQL},
 t as (select c, k as top, e as upto from d where k % 9 = 4 and kind = 'element' and laid and not hidden qualify row_number() over (partition by c order by k * 7 % 5 desc, k) = 1)
 select c as capture_id, k as node, -7 as coverer from d where k % 10 = 3
 union all select d.c, d.k, top from d join t using (c) where d.kind = 'element' and d.laid and not d.hidden and d.w > 0 and not d.own and d.k % 10 <> 3 and d.k <> top and not (d.k > top and d.k < upto) and not exists (select 1 from u where u.c = d.c and u.ak = d.k and u.bk = top)""",
-    "text_backdrops": f"with {_NODES}, {_SHADE} select c as capture_id, k as node, " + ", ".join(f"round(coalesce(bg[{i}], -1), 6) as {x}" for i, x in enumerate("rgb", 1)) + " from b",
-    "unread_texts": f"""with {_NODES}, {_SHADE},
+    "text_backdrops": f"with {NODES_SQL}, {_SHADE} select c as capture_id, k as node, " + ", ".join(f"round(coalesce(bg[{i}], -1), 6) as {x}" for i, x in enumerate("rgb", 1)) + " from b",
+    "unread_texts": f"""with {NODES_SQL}, {_SHADE},
 h as (select g.c, g.k, g.off and not g.holds as off, g.cl and not g.holds as cl, d.q, {_RGBA(_INK)}[d.q % {len(INKS)} + 1] as ink, b.bg, exists (select 1 from u join d a on a.c = u.c and a.k = u.ak where u.c = g.c and u.bk = g.k and a.kind = 'element' and a.q % 13 = 0 and (a.image or a.fill[4] > 0)) as through
  from g join d using (c, k) left join b using (c, k) where d.kind = 'text' and not d.hidden and d.q % 11 <> 0),
 i as (select *, [ink[1] * ink[4] + bg[1] * (1 - ink[4]), ink[2] * ink[4] + bg[2] * (1 - ink[4]), ink[3] * ink[4] + bg[3] * (1 - ink[4])] as seen from h),

@@ -122,15 +122,18 @@ def primary_buttons(spark, sf_dir):
     return geometry.primary_buttons(b.withColumn("parent", F.concat_ws(":", "parent", "kind"))).select("parent", "node")
 
 
-def tables_by_boxes(spark, sf_dir):
+def box_cells(spark, sf_dir):
     """Orders as tables drawn by boxes: three cells a line item, slightly out of line."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))
     cell = lambda i, text: F.struct(F.lit(i).alias("i"), text.cast("string").alias("text"))
     each = li.withColumn("line", n).select(F.col("l_orderkey").alias("table"), "line", F.explode(F.array(cell(0, F.col("l_partkey")), cell(1, F.col("l_suppkey")), cell(2, F.col("l_returnflag")))).alias("c"))
     box = F.struct((300.0 - F.col("c.i") * 100).alias("x"), (F.col("line") * 30.0 + F.col("c.i") * 4).alias("y"), F.lit(90.0).alias("w"), F.lit(20.0).alias("h"))
-    cells = each.select(F.lit(0).alias("capture_id"), "table", (F.col("line") * 3 + F.col("c.i")).cast("int").alias("node"), F.col("c.text").alias("text"), box.alias("box"))
-    return geometry.table_rows(cells).select("table", F.col("row").cast("long").alias("row"), "tsv")
+    return each.select(F.lit(0).alias("capture_id"), "table", (F.col("line") * 3 + F.col("c.i")).cast("int").alias("node"), F.col("c.text").alias("text"), box.alias("box"))
+
+
+def tables_by_boxes(spark, sf_dir):
+    return geometry.table_rows(box_cells(spark, sf_dir)).select("table", F.col("row").cast("long").alias("row"), "tsv")
 
 
 def _fields(spark, sf_dir):

@@ -53,7 +53,7 @@ def outline_ratios(spark, sf_dir):
     return whole
 
 
-def _lines(spark, sf_dir):
+def document_lines(spark, sf_dir):
     """Lines of documents as outlines: every fifth encloses the next four, some have refs. Marks
     that open emphasis, links and code stand for other signs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
@@ -65,13 +65,13 @@ def _lines(spark, sf_dir):
 def budgeted_lines(spark, sf_dir):
     """Documents within 100 tokens: kept lines, markers of dropped ones, the cut of a line that is
     longer than the whole budget."""
-    out = entries.fit(_lines(spark, sf_dir), BUDGET, ("doc_id",))
+    out = entries.fit(document_lines(spark, sf_dir), BUDGET, ("doc_id",))
     return out.select("doc_id", F.col("pos").cast("long").alias("pos"), "what", "ref", F.coalesce(F.col("opens"), F.lit(-1)).cast("long").alias("opens"), "line")
 
 
 def budget_use(spark, sf_dir):
     """What of each document the budget keeps."""
-    rows = _lines(spark, sf_dir)
+    rows = document_lines(spark, sf_dir)
     whole = rows.groupBy("doc_id").agg(F.sum(F.char_length("line") + 1).alias("chars"))
     kept = entries.fit(rows, BUDGET, ("doc_id",)).groupBy("doc_id").agg(F.sum(F.char_length("line") + 1).alias("kept_chars"))
     return whole.join(kept, "doc_id").select("doc_id", "chars", "kept_chars", (F.col("kept_chars") <= 4 * BUDGET).alias("holds"))
@@ -93,9 +93,11 @@ x as (
 y as (select *, row_number() over (partition by o order by k) - 1 as pos from x)
 select y.o as page_id, y.pos, coalesce(u.pos, -1) as up, y.indent::bigint as indent, y.node::bigint as node, y.head, y.kind, y.run::bigint as run, y.repeat::bigint as repeat, y.flat from y left join y u on u.o = y.o and u.node = y.up_node and u.head in ('list', 'item')"""
 
-_FIT = f"""
+LINES_SQL = """
 with l as (select doc_id, unnest(string_split(translate(text, '*[~`', '+(-'''), chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents where text is not null),
-a as (select *, case when pos % 5 = 0 then -1 else pos - pos % 5 end as up, (pos % 5 <> 0)::int as indent, 3 + length(line) % 4 as class, (length(line) % 3 <> 0)::int as rank, case when pos % 10 = 0 then 'r' || (pos // 10 + 1) else '' end as ref from l),
+a as (select *, case when pos % 5 = 0 then -1 else pos - pos % 5 end as up, (pos % 5 <> 0)::int as indent, 3 + length(line) % 4 as class, (length(line) % 3 <> 0)::int as rank, case when pos % 10 = 0 then 'r' || (pos // 10 + 1) else '' end as ref from l)"""
+
+_FIT = f"""{LINES_SQL},
 k as (select *, [class, rank, pos] as own from a),
 e as (select k.*, case when up >= 0 then own else least(own, (select min(b.own) from k b where b.doc_id = k.doc_id and b.up = k.pos)) end as key from k),
 t as (select *, row_number() over (partition by doc_id order by key, pos) as turn, count(*) over (partition by doc_id) as total, length(line) + 1 as width, max(length(ref)) over (partition by doc_id) as lr from e),
