@@ -72,22 +72,38 @@ def rebound_links(spark, sf_dir):
     return bound.select("page_id", "ref", (F.col("node") - 1).alias("bound"), F.col("matches").cast("long").alias("matches"))
 
 
+def _run_keyed(spark, stream, name):
+    """Run a stream of keyed state to its end, on the state store that it needs."""
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, expiring.STORE)
+    try:
+        return run_available(stream, name)
+    finally:
+        spark.conf.set(conf, before)
+
+
+def _sighted(spark, sf_dir):
+    e = table_stream(spark, f"{sf_dir}/events.parquet")
+    return e.select(F.col("user_id").cast("string").alias("session_id"), "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+
+
 def stream_numbers_until_idle(spark, sf_dir):
     """Nodes numbered as they are first seen, anew after six idle hours, by keyed state that
     goes with the session."""
-    e = table_stream(spark, f"{sf_dir}/events.parquet")
-    seen = e.select(F.col("user_id").cast("string").alias("session_id"), F.lit("d").alias("document"), F.col("event_type").alias("kind"), (F.get_json_object("props", "$.k").cast("long") % 10).alias("backend"), F.col("event_id").alias("seq"), F.lit(0).alias("pos"), F.col("ts").cast("timestamp").alias("ts"))
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, expiring.STORE)
-    try:
-        out = run_available(expiring.numbered_until_idle(seen, timedelta(hours=6), "40 days"), "numbers")
-    finally:
-        spark.conf.set(name, before)
+    seen = _sighted(spark, sf_dir).select("session_id", F.lit("d").alias("document"), F.col("event_type").alias("kind"), (F.col("k") % 10).alias("backend"), "seq", F.lit(0).alias("pos"), "ts")
+    out = _run_keyed(spark, expiring.numbered_until_idle(seen, timedelta(hours=6), "40 days"), "numbers")
     return out.select("session_id", "epoch", "kind", "backend", "number")
 
 
-QUERIES = {f.__name__: f for f in (written_tables, written_outlines, kept_files, element_positions, rebound_links, stream_numbers_until_idle)}
+def stream_in_force(spark, sf_dir):
+    """Events of the document in force, which views set as the stream goes."""
+    kind = F.when(F.col("event_type") == "view", "navigate").when(F.col("event_type") == "error", "console-error").when(F.col("event_type") == "click", "dialog").otherwise(F.col("event_type"))
+    seen = _sighted(spark, sf_dir).select("session_id", "seq", F.concat(F.lit("d"), (F.col("k") % 3).cast("string")).alias("document"), kind.alias("kind"), F.concat(F.lit("k"), F.col("k").cast("string")).alias("text"), "ts")
+    return _run_keyed(spark, expiring.arriving_in_force(seen, timedelta(days=400), "40 days"), "in-force").select("session_id", "seq", "document", "kind", "text")
+
+
+QUERIES = {f.__name__: f for f in (written_tables, written_outlines, kept_files, element_positions, rebound_links, stream_numbers_until_idle, stream_in_force)}
 
 ORACLE_SQL = {
     "written_tables": "select l_orderkey as page_id, 0::bigint as \"table\", row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 as row, l_returnflag || chr(9) || l_suppkey || chr(9) || l_partkey as tsv from lineitem",
@@ -110,4 +126,8 @@ with e as (select user_id::varchar as s, event_type as kind, (props ->> '$.k')::
 g as (select *, sum(new) over (partition by s order by ts, event_id) - 1 as epoch from e),
 f as (select s, epoch, kind, backend, min(struct_pack(ts := ts, id := event_id)) as first from g group by all)
 select s as session_id, epoch::bigint as epoch, kind, backend, row_number() over (partition by s, epoch, kind order by first) as number from f""",
+    "stream_in_force": """
+with e as (select user_id::varchar as s, event_id, ts, 'd' || (props ->> '$.k')::bigint % 3 as document, case event_type when 'view' then 'navigate' when 'error' then 'console-error' when 'click' then 'dialog' else event_type end as kind, 'k' || (props ->> '$.k') as text from events),
+n as (select *, last_value(case when kind = 'navigate' then document end ignore nulls) over (partition by s order by ts, event_id) as shown from e)
+select s as session_id, event_id as seq, document, kind, case when shown <> document and kind = 'dialog' then 'on the previous page: ' || text else text end as text from n where kind <> 'navigate' and not (coalesce(shown <> document, false) and kind in ('console-error', 'failed-fetch', 'toast'))""",
 }

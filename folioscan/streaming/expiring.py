@@ -71,3 +71,53 @@ def numbered_until_idle(sightings: DataFrame, idle: timedelta = timedelta(minute
     """
     rows = sightings.select("session_id", "document", "kind", "backend", "seq", "pos", "ts").withWatermark("ts", late)
     return rows.groupBy("session_id").transformWithStateInPandas(_Numbers(int(idle.total_seconds() * 1000)), NUMBERED, "append", "EventTime")
+
+
+ARRIVED = "session_id string, seq long, document string, kind string, text string, ts timestamp"
+NOISE = ("console-error", "failed-fetch", "toast")
+
+
+class _InForce(StatefulProcessor):
+    """Keeps the document each session shows, and judges its events by it."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.shown = handle.getValueState("shown", "document string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        shown = self.shown.get()[0] if self.shown.exists() else None
+        out, last = [], 0
+        for r in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples():
+            last = int(r.ts.timestamp() * 1000)
+            if r.kind == "navigate":
+                shown = r.document
+                continue
+            old = shown is not None and r.document != shown
+            if not (old and r.kind in NOISE):
+                text = f"on the previous page: {r.text}" if old and r.kind == "dialog" else r.text
+                out.append((key[0], r.seq, r.document, r.kind, text, r.ts))
+        if shown is not None:
+            self.shown.update((shown,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(last + self.idle_ms + 1)
+        yield pd.DataFrame(out, columns=["session_id", "seq", "document", "kind", "text", "ts"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.shown.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def arriving_in_force(events: DataFrame, idle: timedelta = timedelta(days=1), late: str = "10 minutes") -> DataFrame:
+    """(session_id, seq, document, kind, text, ts): events of the document in force, which each
+    ``navigate`` event of the same stream sets. Noise of the page being left goes, its dialogs
+    are renamed; before the first navigation all stay. What a session shows is forgotten when
+    event time has passed it by ``idle``. The session must use the RocksDB state store."""
+    rows = events.select("session_id", "seq", "document", "kind", "text", "ts").withWatermark("ts", late)
+    return rows.groupBy("session_id").transformWithStateInPandas(_InForce(int(idle.total_seconds() * 1000)), ARRIVED, "append", "EventTime")
