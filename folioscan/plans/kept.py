@@ -103,7 +103,15 @@ def stream_in_force(spark, sf_dir):
     return _run_keyed(spark, expiring.arriving_in_force(seen, timedelta(days=400), "40 days"), "in-force").select("session_id", "seq", "document", "kind", "text")
 
 
-QUERIES = {f.__name__: f for f in (written_tables, written_outlines, kept_files, element_positions, rebound_links, stream_numbers_until_idle, stream_in_force)}
+def stream_outermost_toasts(spark, sf_dir):
+    """Messages that came and went: nodes 4 to 7 stand in nodes 0 to 3, errors drain."""
+    node = F.col("k") % 8
+    what = F.when(F.col("event_type") == "error", "drain").when(F.col("event_type") == "click", "remove").otherwise("add")
+    seen = _sighted(spark, sf_dir).select("session_id", "seq", what.alias("what"), node.alias("node"), F.when(node >= 4, F.array(node - 4)).otherwise(F.array().cast("array<long>")).alias("inside"), F.when(F.col("k") % 5 == 0, "").otherwise(F.concat(F.lit("t"), (F.col("k") % 4).cast("string"))).alias("text"), "ts")
+    return _run_keyed(spark, expiring.outermost_toasts(seen, timedelta(days=400), "40 days"), "outermost").select("session_id", "seq", "text")
+
+
+QUERIES = {f.__name__: f for f in (written_tables, written_outlines, kept_files, element_positions, rebound_links, stream_numbers_until_idle, stream_in_force, stream_outermost_toasts)}
 
 ORACLE_SQL = {
     "written_tables": "select l_orderkey as page_id, 0::bigint as \"table\", row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 as row, l_returnflag || chr(9) || l_suppkey || chr(9) || l_partkey as tsv from lineitem",
@@ -130,4 +138,13 @@ select s as session_id, epoch::bigint as epoch, kind, backend, row_number() over
 with e as (select user_id::varchar as s, event_id, ts, 'd' || (props ->> '$.k')::bigint % 3 as document, case event_type when 'view' then 'navigate' when 'error' then 'console-error' when 'click' then 'dialog' else event_type end as kind, 'k' || (props ->> '$.k') as text from events),
 n as (select *, last_value(case when kind = 'navigate' then document end ignore nulls) over (partition by s order by ts, event_id) as shown from e)
 select s as session_id, event_id as seq, document, kind, case when shown <> document and kind = 'dialog' then 'on the previous page: ' || text else text end as text from n where kind <> 'navigate' and not (coalesce(shown <> document, false) and kind in ('console-error', 'failed-fetch', 'toast'))""",
+    "stream_outermost_toasts": """
+with recursive e as (select user_id::varchar as s, event_id as id, row_number() over (partition by user_id order by ts, event_id) as i, case event_type when 'error' then 'drain' when 'click' then 'remove' else 'add' end as what, (props ->> '$.k')::bigint % 8 as n, case when (props ->> '$.k')::bigint % 8 >= 4 then (props ->> '$.k')::bigint % 8 - 4 else -1 end as p, case when (props ->> '$.k')::bigint % 5 = 0 then '' else 't' || (props ->> '$.k')::bigint % 4 end as t from events),
+r as (select s, 0::bigint as i, -1::bigint as id, []::struct(n bigint, p bigint, t varchar)[] as c, []::varchar[] as told, []::varchar[] as fresh from (select distinct s from e)
+ union all select r.s, e.i, e.id,
+  case e.what when 'add' then case when len(list_filter(r.c, lambda x: x.n = e.n or x.n = e.p)) > 0 then r.c else list_append(r.c, struct_pack(n := e.n, p := e.p, t := e.t)) end when 'remove' then list_filter(r.c, lambda x: x.n <> e.n and x.p <> e.n) else [] end,
+  case e.what when 'drain' then [] when 'remove' then list_distinct(list_concat(r.told, list_transform(list_filter(r.c, lambda x: x.n = e.n or x.p = e.n), lambda x: x.t))) else r.told end,
+  case e.what when 'remove' then list_filter(list_distinct(list_transform(list_filter(r.c, lambda x: x.n = e.n or x.p = e.n), lambda x: x.t)), lambda t: t <> '' and not list_contains(r.told, t)) else [] end
+ from r join e on e.s = r.s and e.i = r.i + 1)
+select s as session_id, id as seq, unnest(fresh) as text from r""",
 }

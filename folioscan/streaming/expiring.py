@@ -121,3 +121,68 @@ def arriving_in_force(events: DataFrame, idle: timedelta = timedelta(days=1), la
     event time has passed it by ``idle``. The session must use the RocksDB state store."""
     rows = events.select("session_id", "seq", "document", "kind", "text", "ts").withWatermark("ts", late)
     return rows.groupBy("session_id").transformWithStateInPandas(_InForce(int(idle.total_seconds() * 1000)), ARRIVED, "append", "EventTime")
+
+
+TOASTS = "session_id string, seq long, text string, ts timestamp"
+
+
+class _Toasts(StatefulProcessor):
+    """Candidates of each session: what was added since the last drain and stands in nothing
+    else that was; and the texts told since then."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.candidates = handle.getMapState("candidates", "node long", "inside array<long>, text string")
+        self.told = handle.getMapState("told", "text string", "seq long")
+
+    def _drain(self) -> None:
+        self.candidates.clear()
+        self.told.clear()
+
+    def _gone(self, node: int) -> list[str]:
+        left = [(k[0], v[1]) for k, v in self.candidates.iterator() if k[0] == node or node in list(v[0] or [])]
+        for k, _ in left:
+            self.candidates.removeKey((k,))
+        return [text for _, text in sorted(left)]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out, last = [], 0
+        for r in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples():
+            last = int(r.ts.timestamp() * 1000)
+            if r.what == "drain":
+                self._drain()
+            elif r.what == "add":
+                inside = [int(x) for x in r.inside] if r.inside is not None else []
+                if not any(self.candidates.containsKey((x,)) for x in (int(r.node), *inside)):
+                    self.candidates.updateValue((int(r.node),), (inside, r.text))
+            elif r.what == "remove":
+                for text in self._gone(int(r.node)):
+                    if text and not self.told.containsKey((text,)):
+                        self.told.updateValue((text,), (int(r.seq),))
+                        out.append((key[0], r.seq, text, r.ts))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(last + self.idle_ms + 1)
+        yield pd.DataFrame(out, columns=["session_id", "seq", "text", "ts"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._drain()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def outermost_toasts(changes: DataFrame, idle: timedelta = timedelta(minutes=15), late: str = "10 minutes") -> DataFrame:
+    """(session_id, seq, text, ts) of messages that came and went between two drains.
+
+    ``changes`` (session_id, seq, what, node, inside, text, ts) are added and removed nodes,
+    ``inside`` the nodes above, and drains. What is added inside a candidate is part of it, so
+    nested messages give one row; a removed node takes along the candidates that it holds; a
+    text is told once between drains, which forget all candidates. So does idle time.
+    """
+    rows = changes.select("session_id", "seq", "what", "node", "inside", "text", "ts").withWatermark("ts", late)
+    return rows.groupBy("session_id").transformWithStateInPandas(_Toasts(int(idle.total_seconds() * 1000)), TOASTS, "append", "EventTime")
