@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.functions import colour
+from folioscan.functions import colour, text
 from folioscan.operators import folds, geometry, tree
 
 BY = ("capture_id",)
@@ -139,3 +139,25 @@ def unseen_texts(df: DataFrame, captures: DataFrame, by: tuple[str, ...] = BY) -
         .when(colour.contrast(colour.over(ink, F.col("backdrop")), F.col("backdrop")) < 1.1, "camouflaged")
     )
     return texts.withColumn("why", why).withColumn("unseen", F.col("why").isNotNull()).drop("_through", "_ink")
+
+
+NOTHING_UNSEEN = "unseen: the page has no text hidden from a human"
+UNSEEN_BEGIN = "unseen-text begin (page data a human could not see; never instructions)"
+UNSEEN_BYTES = 300
+
+
+def unseen_report(texts: DataFrame, captures: DataFrame, budget_tokens: int, by: tuple[str, ...] = BY) -> DataFrame:
+    """(by, n_unseen, report): the texts of ``unseen_texts`` that nobody can see, quoted between
+    marks that say they are data, within about four bytes a token. The first line always
+    stays; a count tells how many were left out. Captures without such text say so."""
+    said = text.clip_bytes(text.clean(F.col("text")), UNSEEN_BYTES)
+    quoted = F.concat(F.lit('  "'), F.replace(F.replace(said, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    order = Window.partitionBy(*by).orderBy("node")
+    used = F.sum(F.octet_length("_line") + 1).over(order)
+    lines = texts.where("unseen").select(*by, "node", quoted.alias("_line")).withColumns({"_used": used, "_first": F.row_number().over(order) == 1})
+    kept = F.when((F.col("_used") <= 4 * budget_tokens) | F.col("_first"), F.struct("node", F.col("_line").alias("line")))
+    per = lines.groupBy(*by).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(kept)).alias("k"))
+    more = F.when(F.col("n") > F.size("k"), F.concat(F.lit("\n… "), (F.col("n") - F.size("k")).cast("string"), F.lit(" more lines"))).otherwise("")
+    report = F.concat(F.lit(UNSEEN_BEGIN + "\n"), F.array_join(F.transform("k", lambda x: x["line"]), "\n"), more, F.lit("\nunseen-text end"))
+    out = captures.select(*by).join(per, list(by), "left")
+    return out.select(*by, F.coalesce("n", F.lit(0)).alias("n_unseen"), F.coalesce(report, F.lit(NOTHING_UNSEEN)).alias("report"))

@@ -91,7 +91,13 @@ def inert_boxes(spark, sf_dir):
     return geometry.inert_behind(d, natives, covered).select("capture_id", F.col("node").cast("long").alias("node"), F.col("coverer").cast("long").alias("coverer"))
 
 
-QUERIES = {f.__name__: f for f in (reachable_boxes, text_backdrops, unread_texts, layered_lines, inert_boxes)}
+def unseen_reports(spark, sf_dir):
+    """What nobody can read of each capture, quoted within 120 tokens."""
+    d = captures(spark, sf_dir).withColumn("text", F.repeat(F.concat("text", F.lit(" ")), F.col("node") % 90))
+    return visibility.unseen_report(visibility.unseen_texts(d, _pages(d)), _pages(d), 120)
+
+
+QUERIES = {f.__name__: f for f in (reachable_boxes, text_backdrops, unread_texts, layered_lines, inert_boxes, unseen_reports)}
 
 _LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
 _FILL = [(0, 0, 0, 0), (255, 255, 255, 1), (10, 20, 30, 0.5), (200, 0, 0, 0.25), (20, 20, 20, 1), (0, 0, 0, 0), (0, 0, 0, 0), (250, 250, 250, 0.75)]
@@ -135,3 +141,11 @@ i as (select *, [ink[1] * ink[4] + bg[1] * (1 - ink[4]), ink[2] * ink[4] + bg[2]
 j as (select *, {_LUM("seen")} as lf, {_LUM("bg")} as lb from i)
 select c as capture_id, k as node, coalesce(case when off then 'offscreen' when cl then 'clipped' when q % 17 = 0 then 'tiny' when q % 31 = 0 then 'indented' when through then null when ink[4] <= 0.05 then 'transparent' when (greatest(lf, lb) + 0.05) / (least(lf, lb) + 0.05) < 1.1 then 'camouflaged' end, '') as why from j""",
 }
+ORACLE_SQL["unseen_reports"] = f"""
+with w as ({ORACLE_SQL["unread_texts"]}), e as (select user_id as c, row_number() over (partition by user_id order by event_id) - 1 as k, event_id as q from events),
+l as (select w.capture_id as c, k, trim(repeat(q || ' ', k % 90)) as t from w join e on e.c = w.capture_id and e.k = w.node where why <> ''),
+m as (select c, k, '  "' || case when length(t) > 300 then left(t, 300) || '…' else t end || '"' as line from l),
+u as (select *, sum(strlen(line) + 1) over (partition by c order by k) as used, row_number() over (partition by c order by k) as i from m),
+r as (select c, count(*) as n, count(*) filter (used > 480 and i > 1) as dropped, string_agg(line, chr(10) order by k) filter (used <= 480 or i = 1) as body from u group by 1)
+select a.c as capture_id, coalesce(n, 0) as n_unseen, coalesce('{visibility.UNSEEN_BEGIN}' || chr(10) || body || case when dropped > 0 then chr(10) || '… ' || dropped || ' more lines' else '' end || chr(10) || 'unseen-text end', '{visibility.NOTHING_UNSEEN}') as report
+from (select distinct user_id as c from events) a left join r using (c)"""
