@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from folioscan.operators import geometry, visibility
+from folioscan.operators import covers, geometry, visibility
 
 FILLS = ("rgba(0, 0, 0, 0)", "rgb(255, 255, 255)", "rgba(10, 20, 30, 0.5)", "rgba(200, 0, 0, 0.25)", "rgb(20, 20, 20)", "", "rgba(0, 0, 0, 0)", "rgba(250, 250, 250, 0.75)")
 INKS = ("rgb(0, 0, 0)", "rgb(255, 255, 255)", "rgba(0, 0, 0, 0.03)", "rgb(20, 20, 20)", "rgb(132, 137, 142)", "odd")
@@ -45,7 +45,7 @@ def captures(spark, sf_dir):
     return rows.select(
         "capture_id", node.cast("int").alias("node"), F.when(node > 0, node.bitwiseAND(node - 1)).cast("int").alias("parent"), end.cast("int").alias("end"),
         F.when((node % 2 == 1) & (p % 5 != 0), "text").otherwise("element").alias("kind"), F.when(node == 0, "html").when(node == 64, "body").otherwise("div").alias("tag"),
-        F.when(q % 11 == 0, " ").otherwise(q.cast("string")).alias("text"), (q % 29 == 0).alias("hidden"), (q % 23 != 0).alias("laid"), box.alias("box"), style.alias("style"), F.when(q % 19 == 0, "rgba(0, 0, 120, 0.5)").otherwise("").alias("background"),
+        F.when(q % 11 == 0, " ").otherwise(q.cast("string")).alias("text"), (q % 29 == 0).alias("hidden"), (q % 23 != 0).alias("laid"), box.alias("box"), style.alias("style"), F.when(q % 19 == 0, "rgba(0, 0, 120, 0.5)").otherwise("").alias("background"), "p", "q",
     )
 
 
@@ -97,7 +97,20 @@ def unseen_reports(spark, sf_dir):
     return visibility.unseen_report(visibility.unseen_texts(d, _pages(d)), _pages(d), 120)
 
 
-QUERIES = {f.__name__: f for f in (reachable_boxes, text_backdrops, unread_texts, layered_lines, inert_boxes, unseen_reports)}
+def cover_reasons(spark, sf_dir):
+    """What takes the clicks meant for covered boxes, painted or not, and whether it may go."""
+    q, node = F.col("q"), F.col("node")
+    up = F.filter(F.sequence(F.lit(0), node), lambda a: (a < node) & (F.when(a == 0, F.lit(1 << 20)).otherwise(a + a.bitwiseAND(-a)) > node))
+    d = captures(spark, sf_dir).withColumns({"path": up.cast("array<int>"), "visible": F.col("laid") & ~F.col("hidden")})
+    boxes = d.where("visible and kind = 'element'").withColumns({"paint": (q * 7 % 50).cast("int"), "paints": q % 4 != 3})
+    ref = F.when(q % 6 == 0, F.concat(F.lit("b"), node.cast("string"))).otherwise("")
+    sides = d.select("capture_id", "node", "end", "path", F.when(q % 14 == 1, "iframe").otherwise("div").alias("tag"), F.when(q % 21 == 2, "dialog").otherwise("").alias("role"), ref.alias("ref"), (F.col("p") % 3 == 0).alias("painted"), "box")
+    texts = d.where("visible and kind = 'text' and trim(text) <> '' and q % 5 = 0").select("capture_id", "node", "path", "text")
+    out = covers.reasons(geometry.occluded(boxes), sides, texts)
+    return out.select("capture_id", node.cast("long").alias("node"), F.col("coverer").cast("long").alias("coverer"), "why", "may_clear", "said")
+
+
+QUERIES = {f.__name__: f for f in (reachable_boxes, text_backdrops, unread_texts, layered_lines, inert_boxes, unseen_reports, cover_reasons)}
 
 _LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
 _FILL = [(0, 0, 0, 0), (255, 255, 255, 1), (10, 20, 30, 0.5), (200, 0, 0, 0.25), (20, 20, 20, 1), (0, 0, 0, 0), (0, 0, 0, 0), (250, 250, 250, 0.75)]
@@ -149,3 +162,17 @@ u as (select *, sum(strlen(line) + 1) over (partition by c order by k) as used,
 r as (select c, count(*) as n, count(*) filter (used > 480 and i > 1) as dropped, string_agg(line, chr(10) order by k) filter (used <= 480 or i = 1) as body from u group by 1)
 select a.c as capture_id, coalesce(n, 0) as n_unseen, coalesce('{visibility.UNSEEN_BEGIN}' || chr(10) || body || case when dropped > 0 then chr(10) || '… ' || dropped || ' more lines' else '' end || chr(10) || 'unseen-text end', '{visibility.NOTHING_UNSEEN}') as report
 from (select distinct user_id as c from events) a left join r using (c)"""
+ORACLE_SQL["cover_reasons"] = f"""with {NODES_SQL},
+v as (select *, q * 7 % 50 as paint, q % 4 <> 3 as takes from d where laid and not hidden and kind = 'element' and w > 0),
+z as (select c, k, paint, x, y, w, h, unnest(case when w < 4 or h < 4 then [0] else [0, 1, 2, 3, 4] end) as i, w < 4 or h < 4 as small from v),
+t as (select c, k, paint, i, small, case i when 0 then x + w / 2.0::double when 1 then x + 1 when 2 then x + w - 1 when 3 then x + 1 else x + w - 1 end as px, case i when 0 then y + h / 2.0::double when 1 then y + 1 when 2 then y + 1 else y + h - 1 end as py from z),
+rr as (select t.c, t.k, t.i, t.small, j.k as j, j.paint as jp from t join v j on j.c = t.c and j.takes and j.paint > t.paint and t.px >= j.x and t.px < j.x + j.w and t.py >= j.y and t.py < j.y + j.h
+  where j.k <> t.k and not exists (select 1 from u where u.c = t.c and ((u.ak = t.k and u.bk = j.k) or (u.ak = j.k and u.bk = t.k)))),
+oo as (select c, k, arg_max(j, jp * 1000 - j) filter (i = 0) as j from rr group by c, k, small having count(distinct i) = case when small then 1 else 5 end),
+s as (select o.c, o.k, o.j, string_agg(x.q::varchar, ' ' order by x.k) as said from oo o join u on u.c = o.c and u.ak = o.j join d x on x.c = o.c and x.k = u.bk where x.kind = 'text' and x.laid and not x.hidden and x.q % 11 <> 0 and x.q % 5 = 0 group by all),
+n as (select distinct o.c, o.k, o.j from oo o join d b on b.c = o.c and b.k = o.k join (select c, ak, bk from u union all select c, k, k from d) y on y.c = o.c and y.bk = o.j join d g on g.c = o.c and g.k = y.ak
+  where g.p % 3 = 0 and not exists (select 1 from u where u.c = o.c and u.ak = g.k and u.bk = o.k) and b.x + b.w / 2.0::double between g.x and g.x + g.w and b.y + b.h / 2.0::double between g.y and g.y + g.h),
+w as (select o.c, o.k, o.j, m.q, s.said, case when m.q % 14 = 1 then 'frame' when m.q % 6 = 0 then 'control' when s.said is not null then 'text' when n.k is not null then 'layer' else 'invisible' end as why,
+  m.q % 21 = 2 or exists (select 1 from u join d a on a.c = u.c and a.k = u.ak where u.c = o.c and u.bk = o.j and a.q % 21 = 2) as dialog
+  from oo o join d m on m.c = o.c and m.k = o.j left join s on s.c = o.c and s.k = o.k and s.j = o.j left join n on n.c = o.c and n.k = o.k and n.j = o.j)
+select c as capture_id, k as node, j as coverer, why, why in ('control', 'text', 'layer') and not dialog as may_clear, case why when 'control' then 'b' || j when 'text' then case when length(said) > 60 then left(said, 59) || '…' else said end else '' end as said from w"""
