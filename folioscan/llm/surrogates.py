@@ -46,7 +46,7 @@ LONE = rf"(?<![\p{{L}}\d]){_WORD}(?![\p{{L}}\d])"
 _ALL_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 _VALUE = r"[A-Za-z0-9+/_-]"
 _SECRET = rf"""(?:token|secret|api[_-]?key|password|passwd|pwd)["']? ?[=:] ?["']?{_VALUE}{{8,}}"""
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.){1,32}[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.){1,126}[A-Za-z]{2,}"  # a domain name has at most 127 labels
 ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
 SECRET = rf"(?<![A-Za-z])(?i:{_SECRET})"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
@@ -57,6 +57,8 @@ IPV4 = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
 CARD = r"(?<![\d+-])(?:(?:\d{4}[ -]?){3}\d{4}|\d{13,19})(?![\d-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}(?:[ .-]?(?:\(\d{1,4}\)|\d{2,4})){2,5}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"
+# Country calling codes of one and of two digits; all others have three.
+COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, ACCESS_KEY, SECRET, IBAN, NAME, IPV4, CARD, SSN, PHONE))
 KEY_HEX = 256
 
@@ -87,13 +89,15 @@ def _given(e: Column) -> Column:
 
 
 def canonical(e: Column, kind: Column) -> Column:
-    """What all spellings of an entity share: digits of numbers, lower-case e-mail
+    """What all spellings of an entity share: digits of numbers with the plus sign of an
+    international one, lower-case e-mail
     addresses, the value of a secret, the surname of a person."""
     return (
         F.when(kind == "email", F.lower(e))
         .when(kind == "secret", F.regexp_extract(e, rf"""({_VALUE}+)$""", 1))
         .when(kind == "name", _surname(e))
-        .when(kind.isin("card", "phone"), F.regexp_replace(e, r"\D", ""))
+        .when(kind == "card", F.regexp_replace(e, r"\D", ""))
+        .when(kind == "phone", F.regexp_replace(e, r"[^\d+]", ""))
         .when(kind == "iban", F.replace(e, F.lit(" "), F.lit("")))
         .otherwise(e)
     )
@@ -204,8 +208,8 @@ def _ipv4(canon: Column, h: Column, more: int) -> Column:
 
 
 def _phone(canon: Column, h: Column, more: int) -> Column:
-    """The country code, or one digit, stays."""
-    keep = F.greatest(F.lit(1), F.length(canon) - 10).cast("int")
+    """The country code of an international number stays, of others the first digit."""
+    keep = F.greatest(F.lit(1), F.length(F.regexp_extract(canon, COUNTRY, 0))).cast("int")
     return F.concat(canon.substr(F.lit(1), keep), same_classes(canon.substr(keep + 1, F.lit(32)), h), _letters(h, more, "0123456789"))
 
 
@@ -306,7 +310,8 @@ def dress(surface: Column, kind: Column, new: Column, key: str, given: Callable[
         return (
             F.when(kind == "secret", secret(new))
             .when(kind == "name", name(new))
-            .when(kind.isin("card", "phone"), _fill(surface, new, r"^\d$"))
+            .when(kind == "card", _fill(surface, new, r"^\d$"))
+            .when(kind == "phone", _fill(surface, new, r"^[\d+]$"))
             .when(kind == "iban", _fill(surface, new, r"^\S$"))
             .when((kind == "email") & (surface == F.upper(surface)), F.upper(new))
             .otherwise(new)

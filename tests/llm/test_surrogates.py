@@ -69,3 +69,17 @@ def test_more_surnames_than_four_syllables_hold(spark):
     got = private(spark, [" ".join(f"Mr {n}" for n in names[a : a + 200]) for a in range(0, len(names), 200)])
     news = [w for i in range(len(names) // 200) for w in got[i].text.split()[1::2]]
     assert len(set(news)) == len(names) and not set(news) & set(names)
+
+
+def test_country_codes_stay(spark):
+    numbers = ["+49 30 1234567", "+1 555 123 4567", "+7 495 123 45 67", "+420 222 333 444", "+44 20 7946 0958", "+34 91 123 45", "+852 2123 4567"]
+    texts = [f"call {n} now" for n in numbers] + ["call 555-123-4567 or (555) 123-4567", "at +1-555-123-4567"] + ["mail a@" + "b." * 40 + "org now"]
+    got = private(spark, texts)
+    for i, n in enumerate(numbers):
+        m = regex.fullmatch(r"call (\+\d+)( .*) now", got[i].text)
+        assert m[1] == n.split()[0] and m[2] != n[len(m[1]) :], got[i].text
+        assert regex.sub(r"\d", "0", got[i].text) == regex.sub(r"\d", "0", texts[i])
+    a, b = regex.findall(r"\d{3}.{1,2}\d{3}-\d{4}", got[len(numbers)].text)
+    assert regex.sub(r"\D", "", a) == regex.sub(r"\D", "", b) and a[0] == "5"
+    assert regex.sub(r"\D", "", got[len(numbers) + 1].text) == regex.sub(r"\D", "", got[1].text)
+    assert got[len(texts) - 1].text.count("b.") < 40 and got[len(texts) - 1].kinds == ["email"]
