@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import text
 
+from .sieve import sieve
+
 MASK = "••••"
 REFUSED = "[withheld: the text shows a secret of another site]"
 GUARDED = 8
+AHEAD = 64
 MOST_SECRETS = 10_000
 
 
@@ -18,27 +23,68 @@ def secret_forms(secrets: DataFrame) -> DataFrame:
     return secrets.where("value <> ''").withColumn("forms", text.spellings(F.col("value")))
 
 
-def by_origin(secrets: DataFrame) -> DataFrame:
-    """(origin, forms): all spellings of an origin's secrets, longest first."""
-    longest = F.array_sort(F.array_distinct(F.flatten(F.collect_list("forms"))), lambda a, b: F.when(F.octet_length(a) != F.octet_length(b), F.octet_length(b) - F.octet_length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    return secret_forms(secrets).groupBy("origin").agg(longest.alias("forms"))
-
-
 def mask_forms(s: Column, forms: Column) -> Column:
     return F.aggregate(F.coalesce(forms, F.array().cast("array<string>")), s, lambda t, f: F.replace(t, f, F.lit(MASK)))
 
 
+def _forms_by_start(secrets: DataFrame) -> DataFrame:
+    """(_of, _form, _key): every spelling with its first GUARDED characters, all if it has fewer."""
+    forms = secret_forms(secrets).select(F.col("origin").alias("_of"), F.explode("forms").alias("_form")).where("_form <> ''").distinct()
+    return forms.withColumn("_key", F.substring("_form", 1, GUARDED))
+
+
+def _spots(s: Column, forms: DataFrame, meets: Callable[[Column], Column], ahead: int = GUARDED) -> Column:
+    """(key, ahead) of the places in ``s`` whose run of characters a spelling may begin with:
+    runs of GUARDED characters, and of the lengths of shorter spellings."""
+    sizes = sorted({GUARDED, *(n for (n,) in forms.where(F.char_length("_form") < GUARDED).select(F.char_length("_form")).distinct().collect())})  # GUARDED at most
+    none = F.array().cast("array<struct<key:string,ahead:string>>")
+
+    def runs(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.char_length(s) - n + 1)
+        met = F.filter(places, lambda i: meets(F.substr(s, i, F.lit(n))))
+        return F.when(F.char_length(s) >= n, F.transform(met, lambda i: F.struct(F.substr(s, i, F.lit(n)).alias("key"), F.substr(s, i, F.lit(ahead)).alias("ahead")))).otherwise(none)
+
+    return F.concat(*[runs(n) for n in sizes])
+
+
+def _held(df: DataFrame, secrets: DataFrame, origin: str, hay: Column, mark: Column) -> DataFrame:
+    """(_of, _mark, _forms): for each origin and mark the spellings of the origin's secrets that
+    stand in ``hay``, longest first. Texts meet the spellings on their first characters, so no
+    row or task ever meets all secrets of an origin, and no text is shuffled. Spellings with one
+    beginning of AHEAD characters come together; one that the text lacks changes nothing."""
+    forms = _forms_by_start(secrets)
+    meets = sieve(forms.select("_of", "_key"), "_of", "_key")
+    each = df.where(F.col(origin).isNotNull()).select(F.col(origin).alias("_of"), mark.alias("_mark"), F.explode(hay).alias("_s"))
+    spots = each.select("_of", "_mark", F.explode(F.array_distinct(_spots(F.col("_s"), forms, lambda r: meets(F.col("_of"), r), AHEAD))).alias("_at"))
+    spots = spots.select("_of", "_mark", F.col("_at.key").alias("_key"), F.col("_at.ahead").alias("_ahead")).distinct()
+    near = spots.join(forms, ["_of", "_key"]).where(F.startswith("_ahead", F.substring("_form", 1, AHEAD))).select("_of", "_mark", "_form")
+    dotted = forms.where(F.contains("_form", F.lit(MASK[0]))).select("_of", "_form")
+    if dotted.limit(1).count():  # these may arise where a mask has been put
+        near = near.unionByName(near.select("_of", "_mark").distinct().join(dotted, "_of"))
+    longest = F.array_sort(F.collect_set("_form"), lambda a, b: F.when(F.octet_length(a) != F.octet_length(b), F.octet_length(b) - F.octet_length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    return near.groupBy("_of", "_mark").agg(longest.alias("_forms"))
+
+
 def mask_own(df: DataFrame, secrets: DataFrame, *, origin_col: str = "origin", text_cols: tuple[str, ...] = ("text",), attrs_col: str | None = None, type_col: str | None = None, value_col: str | None = None) -> DataFrame:
     """``df`` with every spelling of its origin's secrets masked in texts and attribute values,
-    longest first, and every value of a password field masked whole."""
-    forms = by_origin(secrets).withColumnsRenamed({"origin": origin_col, "forms": "_forms"})
-    out = df.join(_sized(forms), origin_col, "left")
+    longest first, and every value of a password field masked whole.
+
+    Secrets may be of any number, also of one origin: what a row's texts hold is found first,
+    and that alone replaced. Null texts, rows of null origin and empty secrets stay as they are.
+    """
+    hay = F.array(*[F.col(c) for c in text_cols])
+    if attrs_col:
+        hay = F.concat(hay, F.coalesce(F.map_values(attrs_col), F.array().cast("array<string>")))
+    hay = F.filter(hay, lambda s: s != "")
+    mark = F.sha2(F.array_join(F.transform(hay, lambda s: F.sha2(s, 256)), ""), 256)
+    forms = _held(df, secrets, origin_col, hay, mark).withColumnRenamed("_of", origin_col)
+    out = df.withColumn("_mark", mark).join(forms, [origin_col, "_mark"], "left")
     out = out.withColumns({c: mask_forms(F.col(c), F.col("_forms")) for c in text_cols})
     if attrs_col:
         out = out.withColumn(attrs_col, F.transform_values(attrs_col, lambda _, v: mask_forms(v, F.col("_forms"))))
     if type_col and value_col:
         out = out.withColumn(value_col, F.when((F.lower(F.col(type_col)) == "password") & (F.col(value_col) != ""), F.lit(MASK)).otherwise(F.col(value_col)))
-    return out.drop("_forms")
+    return out.drop("_forms", "_mark")
 
 
 def _sized(small: DataFrame) -> DataFrame:
@@ -52,14 +98,13 @@ def shown_elsewhere(df: DataFrame, secrets: DataFrame, key: str, *, origin_col:
 
     No list is gathered: every spelling of GUARDED characters or more begins with some GUARDED
     characters, so a text's runs of so many meet the spellings on their first ones. A spelling
-    that is shorter than that (only cleaning can make it so) meets on itself.
+    that is shorter than that (only cleaning can make it so) meets on itself. Runs that a filter
+    of all beginnings rules out are never rows.
     """
-    forms = secret_forms(secrets).where(F.char_length("value") >= GUARDED).select(F.col("origin").alias("_of"), F.explode("forms").alias("_form")).distinct()
-    forms = forms.withColumn("_key", F.substring("_form", 1, GUARDED))
-    sizes = sorted({GUARDED, *(n for (n,) in forms.where(F.char_length("_form") < GUARDED).select(F.char_length("_form")).distinct().collect())})  # GUARDED at most
-    runs = lambda n: F.when(F.char_length(text_col) >= n, F.transform(F.sequence(F.lit(1), F.char_length(text_col) - n + 1), lambda i: F.substr(F.col(text_col), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    forms = _forms_by_start(secrets.where(F.char_length("value") >= GUARDED))
     starts = forms.select("_key").distinct()
-    spots = df.select(key, F.explode(F.array_distinct(F.concat(*[runs(n) for n in sizes]))).alias("_key")).join(_sized(starts), "_key", "left_semi")
+    meets = sieve(starts, "_key")
+    spots = df.select(key, F.explode(F.array_distinct(F.transform(_spots(F.col(text_col), forms, meets), lambda x: x["key"]))).alias("_key")).join(_sized(starts), "_key", "left_semi")
     near = spots.join(forms, "_key").join(df.select(key, origin_col, text_col), key)
     return near.where((F.col("_of") != F.col(origin_col)) & F.contains(text_col, "_form")).select(key).distinct()
 

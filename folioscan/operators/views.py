@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscan.functions import text
 from folioscan.operators import tree
 from folioscan.operators.facts import attr, names, readable
+from folioscan.operators.sieve import sieve
 from folioscan.sources.markup import INLINE
 
 SKIPPED = ("navigation", "banner", "contentinfo", "complementary", "search")
@@ -95,13 +96,15 @@ def _grams(c: Column, k: int) -> Column:
 def _holding(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """``texts`` (page_id, node, t, ...) with each ``term`` they hold, in any letter case. A text
     can hold a term only if it holds the term's trigram of least hash, so both meet on that,
-    the text's trigrams carrying its number alone; shorter terms meet on themselves."""
+    the text's trigrams carrying its number alone, and those that no term asks for left out
+    before; shorter terms meet on themselves."""
     low = F.lower("term")
     least = F.array_min(F.transform(_grams(low, 3), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
     asked = terms.where("term <> ''").select("term", low.alias("_low"), F.when(F.char_length("term") >= 3, least).otherwise(low).alias("_key")).distinct()
     short = [k for (k,) in asked.where("length(_low) < 3").select(F.length("_low")).distinct().collect()]  # 1 or 2 at most
     keys = F.concat(*[F.when(F.char_length("t") >= k, _grams(F.col("t"), k)).otherwise(F.array().cast("array<string>")) for k in [3, *short]])
-    met = texts.select("page_id", "node", F.explode(F.array_distinct(keys)).alias("_key")).join(asked, "_key").drop("_key").distinct()
+    meets = sieve(asked, "_key")
+    met = texts.select("page_id", "node", F.explode(F.array_distinct(F.filter(keys, lambda k: meets(k)))).alias("_key")).join(asked, "_key").drop("_key").distinct()
     return texts.join(met, ["page_id", "node"]).where(F.col("t").contains(F.col("_low"))).drop("_low")
 
 

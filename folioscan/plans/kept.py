@@ -14,7 +14,7 @@ from folioscan.sources import sinks
 from folioscan.sources.markup import nodes
 from folioscan.sources.stored import shared_path, stored
 from folioscan.streaming import expiring
-from folioscan.streaming.runs import run_available, table_stream
+from folioscan.streaming.runs import run_available, run_closed, table_stream
 
 SMALL_STATE = 3000
 
@@ -72,17 +72,21 @@ def rebound_links(spark, sf_dir):
     return bound.select("page_id", "ref", (F.col("node") - 1).alias("bound"), F.col("matches").cast("long").alias("matches"))
 
 
-def _run_keyed(spark, stream, name):
-    """Run a stream of keyed state to its end, on the state store that it needs."""
+def _on_keyed_store(spark, run):
+    """Run a stream of keyed state on the state store that it needs."""
     conf = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(conf)
     spark.conf.set(conf, expiring.STORE)
     try:
-        return run_available(stream, name)
+        return run()
     finally:
         spark.conf.set(conf, before)
 
 
+def _run_keyed(spark, stream, name):
+    return _on_keyed_store(spark, lambda: run_available(stream, name))
+
+
 def _sighted(spark, sf_dir):
     e = table_stream(spark, f"{sf_dir}/events.parquet")
     return e.select(F.col("user_id").cast("string").alias("session_id"), "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
@@ -111,7 +115,20 @@ def stream_outermost_toasts(spark, sf_dir):
     return _run_keyed(spark, expiring.outermost_toasts(seen, timedelta(days=400), "40 days"), "outermost").select("session_id", "seq", "text")
 
 
-QUERIES = {f.__name__: f for f in (written_tables, written_outlines, kept_files, element_positions, rebound_links, stream_numbers_until_idle, stream_in_force, stream_outermost_toasts)}
+def stream_ended_sessions(spark, sf_dir):
+    """Sessions that were stopped, lost their last holder or were idle: views hold, clicks
+    release, purchases are requests that searches, sign-ups and some errors complete, other
+    errors stop or use."""
+    k = F.col("k")
+    kind = F.col("event_type")
+    what = F.when(kind == "view", "hold").when(kind == "click", "release").when(kind == "purchase", "start").when(kind != "error", "done").when(k % 3 == 0, "stop").when(k % 3 == 1, "done").otherwise("use")
+    who = F.when(kind.isin("view", "click"), F.concat(F.lit("h"), (k % 2).cast("string"))).otherwise("r")
+    uses = _sighted(spark, sf_dir).select("session_id", "seq", what.alias("what"), who.alias("who"), "ts")
+    run = lambda: run_closed(uses, lambda u: expiring.ended_sessions(u, timedelta(hours=12), timedelta(hours=2), "40 days"), "ended")
+    return _on_keyed_store(spark, run).select("session_id", "opened", "ended", "why", "busy")
+
+
+QUERIES = {f.__name__: f for f in (written_tables, written_outlines, kept_files, element_positions, rebound_links, stream_numbers_until_idle, stream_in_force, stream_outermost_toasts, stream_ended_sessions)}
 
 ORACLE_SQL = {
     "written_tables": "select l_orderkey as page_id, 0::bigint as \"table\", row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 as row, l_returnflag || chr(9) || l_suppkey || chr(9) || l_partkey as tsv from lineitem",
@@ -147,4 +164,19 @@ r as (select s, 0::bigint as i, -1::bigint as id, []::struct(n bigint, p bigint,
   case e.what when 'remove' then list_filter(list_distinct(list_transform(list_filter(r.c, lambda x: x.n = e.n or x.p = e.n), lambda x: x.t)), lambda t: t <> '' and not list_contains(r.told, t)) else [] end
  from r join e on e.s = r.s and e.i = r.i + 1)
 select s as session_id, id as seq, unnest(fresh) as text from r""",
+    "stream_ended_sessions": """
+with recursive k as (select user_id::varchar as s, event_id, ts::timestamp as ts, (props ->> '$.k')::bigint as k, event_type as t from events),
+e as (select s, row_number() over (partition by s order by ts, event_id) as i, ts, case when t = 'view' then 'hold' when t = 'click' then 'release' when t = 'purchase' then 'start' when t <> 'error' then 'done' when k % 3 = 0 then 'stop' when k % 3 = 1 then 'done' else 'use' end as what, case when t in ('view', 'click') then 'h' || k % 2 else 'r' end as who from k),
+r as (select s, 0::bigint as i, null::timestamp as o, null::timestamp as u, null::timestamp as rel, []::varchar[] as h, []::varchar[] as q, null::timestamp as due, null::timestamp as bo, null::timestamp as bt, null::varchar as bwhy, null::timestamp as so, null::timestamp as st, null::boolean as sq from (select distinct s from e)
+ union all select s, i, o3, u3, rel3, h3, q3, case when o3 is null or len(h3) + len(q3) > 0 then null when rel3 is null then u3 + interval '12 hours' else greatest(u3, rel3 + interval '2 hours') end,
+  case when over then o end, case when over then due end, case when over then case when rel is null then 'idle' else 'holder left' end end, case when what = 'stop' then o1 end, case when what = 'stop' and o1 is not null then ts end, len(q1) > 0
+ from (select *, case when what = 'stop' then null when odd then o1 else coalesce(o1, ts) end as o3, case when what = 'stop' then null when odd then u1 when what in ('hold', 'release') then coalesce(u1, ts) else ts end as u3,
+   case when what in ('stop', 'hold') then null when what = 'release' and not odd then case when len(h3) = 0 then ts end else rel1 end as rel3
+  from (select *, what = 'release' and not list_contains(h1, who) or what = 'done' and not list_contains(q1, who) as odd,
+    case what when 'stop' then [] when 'hold' then list_distinct(list_append(h1, who)) when 'release' then list_filter(h1, lambda x: x <> who) else h1 end as h3, case what when 'stop' then [] when 'start' then list_distinct(list_append(q1, who)) when 'done' then list_filter(q1, lambda x: x <> who) else q1 end as q3
+   from (select r.s, e.i, e.ts, e.what, e.who, r.o, r.rel, r.due, coalesce(r.due <= e.ts, false) as over, case when over then null else r.o end as o1, case when over then null else r.u end as u1, case when over then null else r.rel end as rel1, case when over then [] else r.h end as h1, case when over then [] else r.q end as q1 from r join e on e.s = r.s and e.i = r.i + 1)))),
+z as (select *, row_number() over (partition by s order by i desc) as back from r)
+select s as session_id, bo as opened, bt as ended, bwhy as why, false as busy from r where bt is not null
+union all select s, so, st, 'stopped', sq from r where st is not null
+union all select s, o, due, case when rel is null then 'idle' else 'holder left' end, false from z where back = 1 and due is not null""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioscan.operators import netlog
 from folioscan.plans import sessions
 from folioscan.streaming import events as ev
-from folioscan.streaming.runs import run_available, shared_path, table_stream
+from folioscan.streaming.runs import run_available, run_closed, shared_path, table_stream
 
 
 def _stream(spark, sf_dir):
@@ -17,12 +17,12 @@ def _stream(spark, sf_dir):
 
 def stream_drained_events(spark, sf_dir):
     noted = _stream(spark, sf_dir).select("session_id", "ts", F.when(F.col("event_type") == "error", "console-error").otherwise(F.col("event_type")).alias("kind"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("text"))
-    out = run_available(ev.drain_windows(noted, "6 hours"), "drained", "complete")
+    out = run_closed(noted, lambda e: ev.drain_windows(e, "6 hours"), "drained")
     return out.select("session_id", "window_start", "kind", netlog.event_text(F.col("text"), F.col("n")).alias("text"), "n")
 
 
 def stream_bursts(spark, sf_dir):
-    return run_available(ev.bursts(_stream(spark, sf_dir), "2 hours"), "bursts", "complete").select("session_id", "start", "n")
+    return run_closed(_stream(spark, sf_dir), lambda e: ev.bursts(e, "2 hours"), "bursts").select("session_id", "start", "n")
 
 
 def stream_refs(spark, sf_dir):
@@ -55,11 +55,11 @@ def stream_pending(spark, sf_dir):
 
 def stream_settled(spark, sf_dir):
     gap = F.when(F.col("event_type") == "view", "3 hours").when(F.col("event_type") == "click", "2 hours").otherwise("1 hour")
-    return run_available(ev.settled(_stream(spark, sf_dir), "40 days", gap), "settled", "complete").select("session_id", "start", "end", "n")
+    return run_closed(_stream(spark, sf_dir), lambda e: ev.settled(e, "40 days", gap), "settled").select("session_id", "start", "end", "n")
 
 
 def stream_visits(spark, sf_dir):
-    out = run_available(ev.session_ends(_stream(spark, sf_dir)), "visits", "complete")
+    out = run_closed(_stream(spark, sf_dir), ev.session_ends, "visits")
     return out.groupBy("session_id").agg(F.count("*").alias("visits"), F.max("end").alias("last_end"))
 
 

@@ -186,3 +186,98 @@ def outermost_toasts(changes: DataFrame, idle: timedelta = timedelta(minutes=15)
     """
     rows = changes.select("session_id", "seq", "what", "node", "inside", "text", "ts").withWatermark("ts", late)
     return rows.groupBy("session_id").transformWithStateInPandas(_Toasts(int(idle.total_seconds() * 1000)), TOASTS, "append", "EventTime")
+
+
+MICROSECOND = timedelta(microseconds=1)
+ENDED = "session_id string, opened timestamp, ended timestamp, why string, busy boolean"
+
+
+class _Holders(StatefulProcessor):
+    """Who holds a session and when it was last used, in microseconds; a timer ends it."""
+
+    def __init__(self, idle: int, grace: int):
+        self.idle, self.grace = idle, grace
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.at = handle.getValueState("at", "opened long, used long, released long")
+        self.holders = handle.getMapState("holders", "holder string", "since long")
+        self.requests = handle.getMapState("requests", "request string", "since long")
+
+    def _due(self, at: tuple, held: bool, busy: bool) -> tuple[int, str] | None:
+        """When the session ends if nothing more happens, and why; never while it is held or busy."""
+        if held or busy:
+            return None
+        return (at[1] + self.idle, "idle") if at[2] is None else (max(at[1], at[2] + self.grace), "holder left")
+
+    def _end(self, key: tuple, at: tuple, when: int, why: str, busy: bool) -> tuple:
+        for state in (self.at, self.holders, self.requests):
+            state.clear()
+        return key[0], pd.Timestamp(at[0], unit="us"), pd.Timestamp(when, unit="us"), why, busy
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at = self.at.get() if self.at.exists() else None
+        at = None if at is None else tuple(at)
+        holders = {k[0] for k, _ in self.holders.iterator()}
+        requests = {k[0] for k, _ in self.requests.iterator()}
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples():
+            now = r.ts.value // 1000
+            due = self._due(at, bool(holders), bool(requests)) if at else None
+            if due and due[0] <= now:
+                out.append(self._end(key, at, *due, False))
+                at, holders, requests = None, set(), set()
+            if r.what == "stop":
+                if at:
+                    out.append(self._end(key, at, now, "stopped", bool(requests)))
+                at, holders, requests = None, set(), set()
+                continue
+            if r.what == "release" and r.who not in holders or r.what == "done" and r.who not in requests:
+                continue
+            opened, _, released = at or (now, now, None)
+            if r.what == "hold":
+                holders.add(r.who)
+                self.holders.updateValue((r.who,), (now,))
+                released = None
+            elif r.what == "release":
+                holders.discard(r.who)
+                self.holders.removeKey((r.who,))
+                released = None if holders else now
+            elif r.what == "start":
+                requests.add(r.who)
+                self.requests.updateValue((r.who,), (now,))
+            elif r.what == "done":
+                requests.discard(r.who)
+                self.requests.removeKey((r.who,))
+            at = (opened, at[1] if at and r.what in ("hold", "release") else now, released)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if at:
+            self.at.update(at)
+            due = self._due(at, bool(holders), bool(requests))
+            if due:
+                self.handle.registerTimer(-(-due[0] // 1000))
+        yield pd.DataFrame(out, columns=["session_id", "opened", "ended", "why", "busy"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = tuple(self.at.get()) if self.at.exists() else None
+        due = self._due(at, False, False) if at else None
+        yield pd.DataFrame([self._end(key, at, *due, False)] if due else [], columns=["session_id", "opened", "ended", "why", "busy"])
+
+    def close(self) -> None:
+        pass
+
+
+def ended_sessions(uses: DataFrame, idle: timedelta = timedelta(minutes=15), grace: timedelta = timedelta(seconds=10), late: str = "10 minutes") -> DataFrame:
+    """(session_id, opened, ended, why, busy) of sessions that nobody needs any more.
+
+    ``uses`` (session_id, seq, what, who, ts) are ``hold`` and ``release`` by a holder, ``start``
+    and ``done`` of a request, any other use, and ``stop``. A session opens with its first use
+    and ends, by event time, when it was stopped; ``grace`` after its last holder left, a
+    request then running letting it live until that is done; or, never held, after ``idle``
+    without use. What comes later opens it anew. Releases and ends of what was not begun are
+    left out. State is one entry for each holder and running request, dropped with the session.
+    The session must use the RocksDB state store.
+    """
+    rows = uses.select("session_id", "seq", "what", "who", "ts").withWatermark("ts", late)
+    return rows.groupBy("session_id").transformWithStateInPandas(_Holders(idle // MICROSECOND, grace // MICROSECOND), ENDED, "append", "EventTime")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscan.sources.stored import shared_path
 
@@ -31,3 +34,26 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{out}/table")
+
+
+def run_closed(events: DataFrame, build: Callable[[DataFrame], DataFrame], name: str, *, ts_col: str = "ts") -> DataFrame:
+    """Run the append-mode stream ``build(events)`` over all available input and then close it:
+    a last row, null but for a time past all others, lets the watermark pass every window, so
+    windows still open come out. Each window is written once and its state dropped; the closing
+    row's own window never ends, so it is no row of the result. A closed stream takes no more
+    events."""
+    spark = events.sparkSession
+    out = shared_path(spark, f"streams/{name}")
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields]
+    row = [F.to_timestamp(F.lit("2200-01-01")).alias(f.name) if f.name == ts_col else c for f, c in zip(events.schema.fields, nothing, strict=True)]
+    spark.range(0).select(*nothing).write.parquet(f"{out}/closing")
+    both = build(events.unionByName(spark.readStream.schema(events.schema).parquet(f"{out}/closing")))
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/table/batch={n}")
+
+    for last in (False, True):
+        if last:
+            spark.range(1).select(*row).write.mode("append").parquet(f"{out}/closing")
+        both.writeStream.outputMode("append").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return spark.read.schema(both.schema).option("recursiveFileLookup", "true").parquet(f"{out}/table")

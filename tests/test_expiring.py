@@ -42,3 +42,28 @@ def test_state_shrinks_when_sessions_go_idle(rocks, tmp_path):
     assert (rows["c", 0, "link", 1], rows["c", 0, "button", 1], rows["c", 0, "link", 5]) == (1, 1, 2)
     totals = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert max(totals) > 50 > 20 > totals[-1]
+
+
+USES = "session_id string, seq long, what string, who string, ts timestamp"
+
+
+def test_sessions_end_after_their_last_holder(rocks, tmp_path):
+    start = datetime(2024, 1, 1)
+    at = lambda seconds: start + timedelta(seconds=seconds)
+    batches = [
+        [("held", 0, "hold", "x", at(0)), ("held", 1, "hold", "y", at(1)), ("held", 2, "release", "x", at(2)), ("idle", 0, "use", None, at(0)), ("busy", 0, "hold", "x", at(0)), ("busy", 1, "start", "r", at(1)), ("busy", 2, "release", "x", at(2)), ("stop", 0, "start", "r", at(0)), ("stop", 1, "stop", None, at(4)), ("stop", 2, "stop", None, at(5))],
+        [("busy", 3, "done", "r", at(3000)), ("odd", 0, "release", "z", at(3000)), ("back", 0, "hold", "x", at(2990)), ("back", 1, "release", "x", at(2991)), ("back", 2, "hold", "x", at(2995)), ("back", 3, "use", None, at(3000))],
+        [("late", 0, "use", None, at(9000)), ("back", 4, "release", "x", at(9000))],
+        [("idle", 1, "use", None, at(9001)), ("late", 1, "use", None, at(9001))],
+        [("far", 0, "hold", "x", at(90_000))],
+        [("far", 1, "use", None, at(90_001))],
+    ]
+    for k, rows in enumerate(batches):
+        rocks.createDataFrame(rows, USES).coalesce(1).write.parquet(str(tmp_path / "in" / f"f{k}"))
+    stream = rocks.readStream.schema(USES).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    query = expiring.ended_sessions(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination(200)
+    rows = sorted((r.session_id, (r.ended - start).total_seconds(), r.why, r.busy) for r in rocks.read.parquet(str(tmp_path / "out")).collect())
+    assert rows == [("back", 9010, "holder left", False), ("busy", 3000, "holder left", False), ("idle", 900, "idle", False), ("idle", 9901, "idle", False), ("late", 9901, "idle", False), ("stop", 4, "stopped", True)]
+    left = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert left[-1] < max(left)  # far and held stay, nothing else
