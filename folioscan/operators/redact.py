@@ -14,8 +14,11 @@ from .sieve import sieve
 MASK = "••••"
 REFUSED = "[withheld: the text shows a secret of another site]"
 GUARDED = 8
-AHEAD = 64
+AHEAD = 32
+PIECE = 4096
 MOST_SECRETS = 10_000
+MOST_BYTES = 8 << 20
+FEW = 256
 
 
 def secret_forms(secrets: DataFrame) -> DataFrame:
@@ -33,58 +36,68 @@ def _forms_by_start(secrets: DataFrame) -> DataFrame:
     return forms.withColumn("_key", F.substring("_form", 1, GUARDED))
 
 
+def _pieces(s: Column) -> Column:
+    """``s`` in pieces of PIECE characters, each with the AHEAD that follow."""
+    return F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{1,{PIECE + AHEAD}}})).{{1,{PIECE}}}"), F.lit(1))
+
+
 def _spots(s: Column, forms: DataFrame, meets: Callable[[Column], Column], ahead: int = GUARDED) -> Column:
-    """(key, ahead) of the places in ``s`` whose run of characters a spelling may begin with:
-    runs of GUARDED characters, and of the lengths of shorter spellings."""
+    """(key, ahead) of the places in ``s`` where a spelling may begin: by their first GUARDED
+    characters, and by as many as shorter spellings have. One pass gives the runs of ``s``."""
     sizes = sorted({GUARDED, *(n for (n,) in forms.where(F.char_length("_form") < GUARDED).select(F.char_length("_form")).distinct().collect())})  # GUARDED at most
-    none = F.array().cast("array<struct<key:string,ahead:string>>")
+    runs = F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{1,{ahead}}}))"), F.lit(1))
+    start = lambda r, n: F.substring(r, 1, n)
+    met = lambda n: F.transform(F.filter(runs, lambda r: meets(start(r, n))), lambda r: F.struct(start(r, n).alias("key"), r.alias("ahead")))
+    return F.concat(*[met(n) for n in sizes])
 
-    def runs(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.char_length(s) - n + 1)
-        met = F.filter(places, lambda i: meets(F.substr(s, i, F.lit(n))))
-        return F.when(F.char_length(s) >= n, F.transform(met, lambda i: F.struct(F.substr(s, i, F.lit(n)).alias("key"), F.substr(s, i, F.lit(ahead)).alias("ahead")))).otherwise(none)
 
-    return F.concat(*[runs(n) for n in sizes])
+def _longest_first(forms: Column) -> Column:
+    return F.array_sort(forms, lambda a, b: F.when(F.octet_length(a) != F.octet_length(b), F.octet_length(b) - F.octet_length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
 
 
-def _held(df: DataFrame, secrets: DataFrame, origin: str, hay: Column, mark: Column) -> DataFrame:
-    """(_of, _mark, _forms): for each origin and mark the spellings of the origin's secrets that
+def _held(df: DataFrame, forms: DataFrame, origin: str, hay: Column, mark: Column) -> DataFrame:
+    """(_of, _mark, _held): for each origin and mark the spellings of the origin's secrets that
     stand in ``hay``, longest first. Texts meet the spellings on their first characters, so no
     row or task ever meets all secrets of an origin, and no text is shuffled. Spellings with one
     beginning of AHEAD characters come together; one that the text lacks changes nothing."""
-    forms = _forms_by_start(secrets)
     meets = sieve(forms.select("_of", "_key"), "_of", "_key")
-    each = df.where(F.col(origin).isNotNull()).select(F.col(origin).alias("_of"), mark.alias("_mark"), F.explode(hay).alias("_s"))
+    each = df.join(forms.select(F.col("_of").alias(origin)).distinct(), origin, "left_semi").select(F.col(origin).alias("_of"), mark.alias("_mark"), F.explode(F.flatten(F.transform(hay, _pieces))).alias("_s"))
     spots = each.select("_of", "_mark", F.explode(F.array_distinct(_spots(F.col("_s"), forms, lambda r: meets(F.col("_of"), r), AHEAD))).alias("_at"))
     spots = spots.select("_of", "_mark", F.col("_at.key").alias("_key"), F.col("_at.ahead").alias("_ahead")).distinct()
     near = spots.join(forms, ["_of", "_key"]).where(F.startswith("_ahead", F.substring("_form", 1, AHEAD))).select("_of", "_mark", "_form")
     dotted = forms.where(F.contains("_form", F.lit(MASK[0]))).select("_of", "_form")
     if dotted.limit(1).count():  # these may arise where a mask has been put
         near = near.unionByName(near.select("_of", "_mark").distinct().join(dotted, "_of"))
-    longest = F.array_sort(F.collect_set("_form"), lambda a, b: F.when(F.octet_length(a) != F.octet_length(b), F.octet_length(b) - F.octet_length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    return near.groupBy("_of", "_mark").agg(longest.alias("_forms"))
+    return near.groupBy("_of", "_mark").agg(_longest_first(F.collect_set("_form")).alias("_held"))
 
 
 def mask_own(df: DataFrame, secrets: DataFrame, *, origin_col: str = "origin", text_cols: tuple[str, ...] = ("text",), attrs_col: str | None = None, type_col: str | None = None, value_col: str | None = None) -> DataFrame:
     """``df`` with every spelling of its origin's secrets masked in texts and attribute values,
     longest first, and every value of a password field masked whole.
 
-    Secrets may be of any number, also of one origin: what a row's texts hold is found first,
-    and that alone replaced. Null texts, rows of null origin and empty secrets stay as they are.
+    Secrets may be of any number, also of one origin: up to FEW spellings of an origin are tried
+    one after another; of origins with more, what a row's texts hold is found first, and that
+    alone replaced. Null texts, rows of null origin and empty secrets stay as they are.
     """
     hay = F.array(*[F.col(c) for c in text_cols])
     if attrs_col:
         hay = F.concat(hay, F.coalesce(F.map_values(attrs_col), F.array().cast("array<string>")))
     hay = F.filter(hay, lambda s: s != "")
-    mark = F.sha2(F.array_join(F.transform(hay, lambda s: F.sha2(s, 256)), ""), 256)
-    forms = _held(df, secrets, origin_col, hay, mark).withColumnRenamed("_of", origin_col)
-    out = df.withColumn("_mark", mark).join(forms, [origin_col, "_mark"], "left")
+    forms = _forms_by_start(secrets)
+    many = forms.groupBy("_of").count().where(F.col("count") > FEW).select("_of")
+    lists = forms.join(many, "_of", "left_anti").groupBy(F.col("_of").alias(origin_col)).agg(_longest_first(F.collect_list("_form")).alias("_forms"))
+    size = forms.agg(F.sum(F.octet_length("_form"))).first()[0] or 0
+    out = df.join(F.broadcast(lists) if size <= MOST_BYTES else lists, origin_col, "left")
+    if many.limit(1).count():
+        mark = F.sha2(F.array_join(F.transform(hay, lambda s: F.sha2(s, 256)), ""), 256)
+        held = _held(df, forms.join(many, "_of", "left_semi"), origin_col, hay, mark).withColumnRenamed("_of", origin_col)
+        out = out.withColumn("_mark", mark).join(held, [origin_col, "_mark"], "left").withColumn("_forms", F.coalesce("_held", "_forms")).drop("_held", "_mark")
     out = out.withColumns({c: mask_forms(F.col(c), F.col("_forms")) for c in text_cols})
     if attrs_col:
         out = out.withColumn(attrs_col, F.transform_values(attrs_col, lambda _, v: mask_forms(v, F.col("_forms"))))
     if type_col and value_col:
         out = out.withColumn(value_col, F.when((F.lower(F.col(type_col)) == "password") & (F.col(value_col) != ""), F.lit(MASK)).otherwise(F.col(value_col)))
-    return out.drop("_forms", "_mark")
+    return out.drop("_forms")
 
 
 def _sized(small: DataFrame) -> DataFrame:
@@ -104,7 +117,8 @@ def shown_elsewhere(df: DataFrame, secrets: DataFrame, key: str, *, origin_col:
     forms = _forms_by_start(secrets.where(F.char_length("value") >= GUARDED))
     starts = forms.select("_key").distinct()
     meets = sieve(starts, "_key")
-    spots = df.select(key, F.explode(F.array_distinct(F.transform(_spots(F.col(text_col), forms, meets), lambda x: x["key"]))).alias("_key")).join(_sized(starts), "_key", "left_semi")
+    pieces = df.select(key, F.explode(_pieces(F.col(text_col))).alias("_s"))
+    spots = pieces.select(key, F.explode(F.array_distinct(F.transform(_spots(F.col("_s"), forms, meets), lambda x: x["key"]))).alias("_key")).join(_sized(starts), "_key", "left_semi").distinct()
     near = spots.join(forms, "_key").join(df.select(key, origin_col, text_col), key)
     return near.where((F.col("_of") != F.col(origin_col)) & F.contains(text_col, "_form")).select(key).distinct()
 

@@ -90,7 +90,8 @@ def refs(controls: DataFrame) -> DataFrame:
 
 
 def _grams(c: Column, k: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.char_length(c) - k + 1), lambda i: c.substr(i, F.lit(k)))
+    """All runs of ``k`` characters, in one pass."""
+    return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
 def _holding(texts: DataFrame, terms: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ def test_masks_as_if_each_secret_were_tried(spark):
     long = "k" * 70
     values = ["a", "ab", "pass&word 1", "s3cr3t-key", "s3cr3t-key-2", "••••x", long + "1", long + "22", 'q"uo\\te', "ключ-секрет", ""] + [f"{rng.randrange(10**9):09d}" for _ in range(3000)]
     secrets = [(v, o, v) for v in values for o in ("o1", "o2") if (len(v) > 4 or o == "o1")]
+    secrets += [("few", "o3", "s3cr3t-key"), ("few", "o3", "pass&word 1")]
     table = spark.createDataFrame(secrets, "name string, origin string, value string")
     forms: dict[str, set[str]] = {}
     for r in redact.secret_forms(table).collect():
