@@ -84,11 +84,13 @@ def mask_own(df: DataFrame, secrets: DataFrame, *, origin_col: str = "origin", t
         hay = F.concat(hay, F.coalesce(F.map_values(attrs_col), F.array().cast("array<string>")))
     hay = F.filter(hay, lambda s: s != "")
     forms = _forms_by_start(secrets)
-    many = forms.groupBy("_of").count().where(F.col("count") > FEW).select("_of")
-    lists = forms.join(many, "_of", "left_anti").groupBy(F.col("_of").alias(origin_col)).agg(_longest_first(F.collect_list("_form")).alias("_forms"))
-    size = forms.agg(F.sum(F.octet_length("_form"))).first()[0] or 0
+    by_origin = forms.groupBy("_of").agg(F.count("*").alias("n"), F.sum(F.octet_length("_form")).alias("bytes"))
+    most, size = by_origin.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    many = by_origin.where(F.col("n") > FEW).select("_of")
+    few = forms if most <= FEW else forms.join(many, "_of", "left_anti")
+    lists = few.groupBy(F.col("_of").alias(origin_col)).agg(_longest_first(F.collect_list("_form")).alias("_forms"))
     out = df.join(F.broadcast(lists) if size <= MOST_BYTES else lists, origin_col, "left")
-    if many.limit(1).count():
+    if most > FEW:
         mark = F.sha2(F.array_join(F.transform(hay, lambda s: F.sha2(s, 256)), ""), 256)
         held = _held(df, forms.join(many, "_of", "left_semi"), origin_col, hay, mark).withColumnRenamed("_of", origin_col)
         out = out.withColumn("_mark", mark).join(held, [origin_col, "_mark"], "left").withColumn("_forms", F.coalesce("_held", "_forms")).drop("_held", "_mark")
