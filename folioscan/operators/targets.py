@@ -30,7 +30,7 @@ def candidates(facts_df: DataFrame, covered: Column | None = None) -> DataFrame:
     said = stored(facts.names(facts_df, pieces), "names")
     labelled = said.where("source in ('labelledby', 'aria-label')").join(facts_df.where("interactive").select("page_id", "node"), ["page_id", "node"])
     read = tree.text_of(pieces, labelled.select("page_id", F.col("node").alias("root"))).select("page_id", F.col("root").alias("node"), text.clean(F.col("content")).alias("shown"))
-    differs = labelled.join(read, ["page_id", "node"]).where(text.label_differs(F.col("name"), F.col("shown"))).select("page_id", "node", "shown")
+    differs = labelled.join(read, ["page_id", "node"]).where(text.label_differs(F.col("name"), F.col("shown"))).select("page_id", "node", "shown").hint("merge")
     scrolls = F.coalesce(F.lower(facts.attr("style")).rlike(r"overflow(-[xy])?\s*:\s*(auto|scroll)"), F.lit(False))
     acting = F.col("interactive") | F.col("clickable") | (F.col("hidden") & F.col("role").isin(*facts.INTERACTIVE) & (F.col("role") != "option"))
     rows = facts_df.where(F.col("kind") == "element").withColumns({"acts": acting, "scrolls": scrolls & ~F.col("hidden"), "covered": F.lit(False) if covered is None else F.coalesce(covered, F.lit(False))}).where("acts or scrolls")
@@ -58,7 +58,7 @@ def shown_words(asked: DataFrame, facts_df: DataFrame) -> DataFrame:
     keys = ("n", "s", "q")
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in keys}).withColumns({f"{c}_to": F.sum(c).over(upto) for c in keys})
     ends = rows.select("page_id", F.col("node").alias("_last"), *[F.col(f"{c}_to").alias(f"{c}_last") for c in keys])
-    below = rows.where("kind = 'element' and not hidden").withColumn("_last", F.col("end") - 1).join(ends, ["page_id", "_last"])
+    below = rows.where("kind = 'element' and not hidden").withColumn("_last", F.col("end") - 1).join(ends.hint("merge"), ["page_id", "_last"])
     sums = below.select("page_id", "node", "end", *[(F.col(f"{c}_last") - F.col(f"{c}_to") + F.col(c)).alias(c) for c in keys])
     want = asked.select("query_id", "page_id", F.lower(text.clean(F.col("text"))).alias("_want")).where("_want <> ''")
     met = want.select("query_id", "page_id", "_want", *_letters(F.col("_want"))).join(sums, ["page_id", *keys]).drop(*keys)
@@ -99,7 +99,7 @@ def resolve(asked: DataFrame, named: DataFrame, words: DataFrame, frames: DataFr
     near = rest.join(named.where("acts and visible").select("page_id", F.lower("name").alias("_name")), "page_id").where(F.col("_name").contains(F.col("_want"))).groupBy("query_id").agg(F.count("*").alias("near"))
     framed = rest.join(frames.select("page_id", F.lower(text.clean(F.col("label"))).alias("_label")), "page_id").where(F.col("_label").contains(F.col("_want"))).groupBy("query_id").agg(F.count("*").alias("framed"))
     other = rest.join(named.where("visible and label is not null").select("page_id", F.lower("label").alias("_want"), "node"), ["page_id", "_want"]).groupBy("query_id").agg(F.count("*").alias("other"), F.min("node").alias("other_node")).where("other = 1")
-    told = q.select("query_id").join(settled, "query_id", "left_anti").join(near, "query_id", "left").join(framed, "query_id", "left").join(other, "query_id", "left")
+    told = q.select("query_id").join(settled, "query_id", "left_anti").join(near.hint("merge"), "query_id", "left").join(framed.hint("merge"), "query_id", "left").join(other.hint("merge"), "query_id", "left")
     outcome = F.when(F.col("near") > 0, "near").when(F.col("framed") > 0, "in frame").when(F.col("other") == 1, "labelled otherwise").otherwise("not found")
     told = told.withColumn("outcome", outcome).select("query_id", "outcome", F.lit("").alias("way"), F.when(F.col("outcome") == "labelled otherwise", F.col("other_node")).alias("node"), F.when(F.col("outcome") == "near", F.col("near")).otherwise(0).alias("matches"))
-    return asked.join(settled.unionByName(told), "query_id")
+    return asked.join(settled.unionByName(told).hint("merge"), "query_id")
