@@ -13,6 +13,6 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["field_errors", "label_contradictions", "named_targets"])
+@pytest.mark.parametrize("name", ["field_errors", "label_contradictions", "named_targets", "form_names"])
 def test_broadcasts_nothing_that_grows(spark, name):
     assert "BroadcastExchange" not in plan_of(catalog.queries()[name](spark, SF))
