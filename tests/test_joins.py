@@ -1,10 +1,14 @@
-"""What has a row a node, a capture joins by shuffles, however small its files look."""
+"""What has a row a node, a capture or a term joins by shuffles, however small its files look."""
 
 from __future__ import annotations
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from folioscan import catalog
+from folioscan.operators import views
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,6 +17,25 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["field_errors", "label_contradictions", "named_targets", "form_names"])
+@pytest.mark.parametrize("name", ["field_errors", "label_contradictions", "named_targets", "form_names", "split_phrases"])
 def test_broadcasts_nothing_that_grows(spark, name):
     assert "BroadcastExchange" not in plan_of(catalog.queries()[name](spark, SF))
+
+
+def test_terms_that_share_their_words_meet_where_they_differ(spark):
+    sized = spark.range(3000).select(F.concat(F.lit("shown words of "), "id").alias("term")).select("term", F.col("term").alias("_low"), F.lit(16).alias("_size"))
+    asked = views._asked(sized, [16])
+    assert asked.count() == 3000
+    assert asked.groupBy("_key").count().agg(F.max("count")).first()[0] <= 12
+
+
+def test_holding_equals_brute_force(spark):
+    rng = random.Random(3)
+    words = ["Alpha", "beta", "gamma ray", "of", "a", "12", "straße", "😀b", "long phrase of many words"]
+    texts = [(k, k % 3, " ".join(rng.choices(words, k=rng.randrange(9))).lower()) for k in range(120)]
+    terms = ["", "a", "of", "OF A", "12 1", "beta", "Beta Beta", "😀b", "😀", "aße st", "gamma ray of", "phrase of many words", "long phrase of many words of", "none", "x" * 20]
+    df = spark.createDataFrame(texts, "page_id long, node int, t string")
+    asked = spark.createDataFrame([(t,) for t in terms], "term string")
+    got = sorted((r.page_id, r.term) for r in views._holding(df, asked).collect())
+    assert got == sorted((p, t) for p, _, s in texts for t in terms if t and t.lower() in s)
+    assert views._holding(df, asked.where("term = ''")).count() == 0
