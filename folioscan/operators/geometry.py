@@ -266,9 +266,9 @@ def modal_layers(df: DataFrame, captures: DataFrame) -> DataFrame:
     a large placed box among its three nearest wrappers, or beside it or one of them.
     """
     size = captures.select("capture_id", (F.col("viewport_w") * F.col("viewport_h")).alias("_vp"))
-    rows = df.where("not hidden").join(size, "capture_id")
+    rows = df.where("not hidden").join(size.hint("merge"), "capture_id")  # narrow, but one row each capture
     large = (F.col("_vp") > 0) & (F.col("box.w") * F.col("box.h") >= 0.5 * F.col("_vp"))
-    rows = rows.withColumns({"_layered": F.coalesce(F.col("position").isin("fixed", "absolute"), F.lit(False)), "_large": F.coalesce(large, F.lit(False))})
+    rows = rows.withColumns({"_layered": F.coalesce(F.col("position").isin("fixed", "absolute"), F.lit(False)), "_large": F.coalesce(large, F.lit(False))}).hint("merge")
     dialogs = rows.where(F.col("role").isin("dialog", "alertdialog") & (F.col("aria_modal") | F.col("_layered")))
     ups = F.slice(F.reverse(F.concat("path", F.array("node"))), 1, 4)
     near = dialogs.select("capture_id", "node", "_layered", F.posexplode(ups).alias("deep", "up"))

@@ -17,7 +17,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["field_errors", "label_contradictions", "named_targets", "form_names", "split_phrases"])
+@pytest.mark.parametrize("name", ["field_errors", "label_contradictions", "modal_layers", "named_targets", "form_names", "split_phrases"])
 def test_broadcasts_nothing_that_grows(spark, name):
     assert "BroadcastExchange" not in plan_of(catalog.queries()[name](spark, SF))
 
