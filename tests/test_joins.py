@@ -39,3 +39,8 @@ def test_holding_equals_brute_force(spark):
     got = sorted((r.page_id, r.term) for r in views._holding(df, asked).collect())
     assert got == sorted((p, t) for p, _, s in texts for t in terms if t and t.lower() in s)
     assert views._holding(df, asked.where("term = ''")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["form_names"])
+def test_names_are_planned_once(spark, name):
+    assert plan_of(catalog.queries()[name](spark, SF)).count("SortMergeJoin") <= 16
