@@ -41,6 +41,6 @@ def test_holding_equals_brute_force(spark):
     assert views._holding(df, asked.where("term = ''")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["form_names"])
+@pytest.mark.parametrize("name", ["form_names", "label_contradictions"])
 def test_names_are_planned_once(spark, name):
     assert plan_of(catalog.queries()[name](spark, SF)).count("SortMergeJoin") <= 16
