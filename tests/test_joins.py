@@ -44,3 +44,9 @@ def test_holding_equals_brute_force(spark):
 @pytest.mark.parametrize("name", ["form_names", "label_contradictions"])
 def test_names_are_planned_once(spark, name):
     assert plan_of(catalog.queries()[name](spark, SF)).count("SortMergeJoin") <= 16
+
+
+@pytest.mark.parametrize("name", ["form_states", "role_counts"])
+def test_facts_are_dealt_out_however_well_they_pack(spark, name):
+    plan = plan_of(catalog.queries()[name](spark, SF))
+    assert "hashpartitioning(page_id" in plan and "REPARTITION_BY_NUM" in plan
