@@ -58,10 +58,11 @@ def _longest_first(forms: Column) -> Column:
 def _held(df: DataFrame, forms: DataFrame, origin: str, hay: Column, mark: Column) -> DataFrame:
     """(_of, _mark, _held): for each origin and mark the spellings of the origin's secrets that
     stand in ``hay``, longest first. Texts meet the spellings on their first characters, so no
-    row or task ever meets all secrets of an origin, and no text is shuffled. Spellings with one
+    row or task ever meets all secrets of an origin, and no text is shuffled: not by origin either,
+    of which there may be few, each with most of all text in one task. Spellings with one
     beginning of AHEAD characters come together; one that the text lacks changes nothing."""
-    meets = sieve(forms.select("_of", "_key"), "_of", "_key")
-    each = df.join(forms.select(F.col("_of").alias(origin)).distinct(), origin, "left_semi").select(F.col(origin).alias("_of"), mark.alias("_mark"), F.explode(F.flatten(F.transform(hay, _pieces))).alias("_s"))
+    meets, bound = sieve(forms.select("_of", "_key"), "_of", "_key"), sieve(forms.select("_of"), "_of")
+    each = df.where(bound(F.col(origin))).select(F.col(origin).alias("_of"), mark.alias("_mark"), F.explode(F.flatten(F.transform(hay, _pieces))).alias("_s"))
     spots = each.select("_of", "_mark", F.explode(F.array_distinct(_spots(F.col("_s"), forms, lambda r: meets(F.col("_of"), r), AHEAD))).alias("_at"))
     spots = spots.select("_of", "_mark", F.col("_at.key").alias("_key"), F.col("_at.ahead").alias("_ahead")).distinct()
     near = spots.join(forms, ["_of", "_key"]).where(F.startswith("_ahead", F.substring("_form", 1, AHEAD))).select("_of", "_mark", "_form")

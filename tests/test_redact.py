@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -48,3 +49,11 @@ def test_sieve_keeps_every_key(spark):
     assert keys.where(meets(F.col("k"))).count() == 20_000
     assert spark.range(20_000).selectExpr("concat('x', id) as k").where(meets(F.col("k"))).count() < 2_000
     assert keys.where(sieve(keys.limit(0), "k")(F.col("k"))).count() == 0
+
+
+def test_texts_are_not_dealt_by_origin(spark):
+    secrets = spark.range(redact.FEW + 1).select(F.lit("s").alias("name"), F.lit("https://a").alias("origin"), F.concat(F.lit("secret-word-"), "id").alias("value"))
+    rows = spark.createDataFrame([("https://a", "of secret-word-7."), ("https://b", "of secret-word-7."), (None, "secret-word-7")], "origin string, text string")
+    out = redact.mask_own(rows, secrets)
+    assert sorted(r.text for r in out.collect()) == ["of secret-word-7.", f"of {redact.MASK}.", "secret-word-7"]
+    assert not re.search(r"\[origin#\d+\], \[origin#\d+\], LeftSemi", out._jdf.queryExecution().executedPlan().toString())
