@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import colour, text, urls
 from folioscan.operators import policy, redact
+from folioscan.sources.stored import stored
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,9 +115,11 @@ def colours(spark, sf_dir):
 
 
 def _secrets(spark, sf_dir):
-    """Every secret of every document, bound to the document's source."""
+    """Every secret of every document, bound to the document's source; written, since finding
+    them reads all texts and masking asks for them several times."""
     found = F.regexp_extract_all("text", F.lit(r"(?:password=|token = \")([0-9a-f]+)"), F.lit(1))
-    return _t(spark, sf_dir, "documents").select(F.explode(found).alias("value"), F.concat(F.lit("https://"), "source").alias("origin")).where("value <> ''").distinct().withColumn("name", F.col("value"))
+    held = _t(spark, sf_dir, "documents").select(F.explode(found).alias("value"), F.concat(F.lit("https://"), "source").alias("origin")).where("value <> ''").distinct()
+    return stored(held, "secrets").withColumn("name", F.col("value"))
 
 
 def secret_masking(spark, sf_dir):
