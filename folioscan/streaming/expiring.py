@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -13,6 +14,16 @@ NUMBERED = "session_id string, document string, epoch long, kind string, backend
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _in_order(frames: Iterator[pd.DataFrame], by: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[tuple]:
+    """The rows of a batch in order of ``by``: their time in milliseconds and ``columns``. Sessions
+    are many and small, so what a frame costs counts more than what its rows do."""
+    every = list(frames)
+    rows = every[0] if len(every) == 1 else pd.concat(every)
+    at = np.lexsort([rows[c].to_numpy() for c in reversed(by)])
+    now = rows["ts"].to_numpy().astype("datetime64[ms]").astype("int64")[at].tolist()
+    return zip(now, *(rows[c].iloc[at].tolist() if c == "ts" else rows[c].to_numpy()[at].tolist() for c in columns), strict=True)
+
+
 class _Numbers(StatefulProcessor):
     """Numbers the nodes of a session as they are first seen, a map entry for each node."""
 
@@ -30,23 +41,36 @@ class _Numbers(StatefulProcessor):
         self.known.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        document, epoch, last = self.at.get() if self.at.exists() else (None, -1, None)
-        counters = {k[0]: n[0] for k, n in self.counters.iterator()}
+        """The store is asked for a node once a batch, and only while the stored epoch goes on;
+        what a batch forgets again is never written."""
+        document, epoch, last = self.at.get() or (None, -1, None)
+        stored = last is not None
+        timers = list(self.handle.listTimers()) if stored else []
+        counters = {k[0]: n[0] for k, n in self.counters.iterator()} if stored else {}
+        known: set[tuple] = set()
+        fresh: dict[tuple, int] = {}
+        forget = False
         out = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "seq", "pos"]).itertuples():
-            now = int(r.ts.timestamp() * 1000)
-            if last is None or now - last > self.idle_ms or r.document != document:
-                self._forget()
-                document, epoch, counters = r.document, epoch + 1, {}
+        for now, shown, kind, backend in _in_order(rows, ("ts", "seq", "pos"), ("document", "kind", "backend")):
+            if last is None or now - last > self.idle_ms or shown != document:
+                forget, stored = forget or stored, False
+                document, epoch, counters, known, fresh = shown, epoch + 1, {}, set(), {}
             last = now
-            node = (r.kind, r.backend)
-            if not self.known.containsKey(node):
-                counters[r.kind] = counters.get(r.kind, 0) + 1
-                self.known.updateValue(node, (counters[r.kind],))
-                self.counters.updateValue((r.kind,), (counters[r.kind],))
-                out.append((key[0], document, epoch, r.kind, r.backend, counters[r.kind]))
+            node = (kind, backend)
+            if node in known:
+                continue
+            known.add(node)
+            if not (stored and self.known.containsKey(node)):
+                fresh[node] = counters[kind] = counters.get(kind, 0) + 1
+                out.append((key[0], document, epoch, kind, backend, counters[kind]))
+        if forget:
+            self._forget()
+        for node, n in fresh.items():
+            self.known.updateValue(node, (n,))
+        for kind in {node[0] for node in fresh}:
+            self.counters.updateValue((kind,), (counters[kind],))
         self.at.update((document, epoch, last))
-        for timer in list(self.handle.listTimers()):
+        for timer in timers:
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(last + self.idle_ms + 1)
         yield pd.DataFrame(out, columns=["session_id", "document", "epoch", "kind", "backend", "number"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from folioscan.streaming import expiring
@@ -67,3 +68,101 @@ def test_sessions_end_after_their_last_holder(rocks, tmp_path):
     assert rows == [("back", 9010, "holder left", False), ("busy", 3000, "holder left", False), ("idle", 900, "idle", False), ("idle", 9901, "idle", False), ("late", 9901, "idle", False), ("stop", 4, "stopped", True)]
     left = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert left[-1] < max(left)  # far and held stay, nothing else
+
+
+class _Store:
+    """A session's state held here, which counts how often it is asked or told."""
+
+    def __init__(self):
+        self.calls, self.value, self.maps, self.timers = 0, None, {}, []
+
+    def getValueState(self, name, schema):
+        return _Value(self)
+
+    def getMapState(self, name, key, value):
+        return _Map(self, self.maps.setdefault(name, {}))
+
+    def listTimers(self):
+        self.calls += 1
+        return list(self.timers)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+
+class _Value:
+    def __init__(self, store):
+        self.store = store
+
+    def get(self):
+        self.store.calls += 1
+        return self.store.value
+
+    def exists(self):
+        return self.get() is not None
+
+    def update(self, value):
+        self.store.calls += 1
+        self.store.value = value
+
+
+class _Map:
+    def __init__(self, store, held):
+        self.store, self.held = store, held
+
+    def _counted(self, what):
+        self.store.calls += 1
+        return what
+
+    def iterator(self):
+        return self._counted(iter(list(self.held.items())))
+
+    def containsKey(self, key):
+        return self._counted(key in self.held)
+
+    def updateValue(self, key, value):
+        self._counted(self.held.__setitem__(key, value))
+
+    def removeKey(self, key):
+        self._counted(self.held.pop(key))
+
+    def clear(self):
+        self._counted(self.held.clear())
+
+
+def _run(processor, batches):
+    """The rows of ``processor`` over batches of one session, and the calls to its store."""
+    store = _Store()
+    processor.init(store)
+    out = []
+    for b in batches:
+        out += [tuple(r) for frame in processor.handleInputRows(("s",), iter(b), None) for r in frame.itertuples(index=False)]
+    return out, store
+
+
+def _frame(rows, columns):
+    return pd.DataFrame(rows, columns=columns).assign(ts=lambda d: pd.to_datetime(d["ts"], unit="s"))
+
+
+def test_numbers_ask_the_store_once_a_batch():
+    columns = ["session_id", "document", "kind", "backend", "seq", "pos", "ts"]
+    rows = [("s", "d", "ab"[k % 2], k * 7 % 5, k, 0, k * 60 + k // 9 * 3600) for k in range(360)]
+    known, counters, epoch, told = set(), {}, -1, []
+    for k, r in enumerate(rows):
+        if k == 0 or r[6] - rows[k - 1][6] > 900:
+            known, counters, epoch = set(), {}, epoch + 1
+        if r[2:4] not in known:
+            known.add(r[2:4])
+            counters[r[2]] = counters.get(r[2], 0) + 1
+            told.append(("s", "d", epoch, *r[2:4], counters[r[2]]))
+    for cuts in ([0, 360], [0, 100, 104, 250, 360]):
+        batches = [[_frame(rows[a:b][::-1], columns)] for a, b in zip(cuts, cuts[1:], strict=False)]
+        out, store = _run(expiring._Numbers(900_000), batches)
+        assert out == told
+        assert store.calls <= 40 * len(batches)
+        assert len(store.timers) == 1
