@@ -166,27 +166,35 @@ class _Toasts(StatefulProcessor):
         self.candidates.clear()
         self.told.clear()
 
-    def _gone(self, node: int) -> list[str]:
-        left = [(k[0], v[1]) for k, v in self.candidates.iterator() if k[0] == node or node in list(v[0] or [])]
-        for k, _ in left:
-            self.candidates.removeKey((k,))
-        return [text for _, text in sorted(left)]
-
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """The store gives what it holds of the session once a batch and takes what has changed."""
+        held = {k[0]: ([int(x) for x in v[0]] if v[0] is not None else [], v[1]) for k, v in self.candidates.iterator()}
+        told = {k[0]: v[0] for k, v in self.told.iterator()}
+        stored, stored_told = dict(held), set(told)
         out, last = [], 0
-        for r in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples():
-            last = int(r.ts.timestamp() * 1000)
-            if r.what == "drain":
-                self._drain()
-            elif r.what == "add":
-                inside = [int(x) for x in r.inside] if r.inside is not None else []
-                if not any(self.candidates.containsKey((x,)) for x in (int(r.node), *inside)):
-                    self.candidates.updateValue((int(r.node),), (inside, r.text))
-            elif r.what == "remove":
-                for text in self._gone(int(r.node)):
-                    if text and not self.told.containsKey((text,)):
-                        self.told.updateValue((text,), (int(r.seq),))
-                        out.append((key[0], r.seq, text, r.ts))
+        for last, seq, what, node, inside, text, ts in _in_order(rows, ("ts", "seq"), ("seq", "what", "node", "inside", "text", "ts")):
+            if what == "drain":
+                held, told = {}, {}
+            elif what == "add":
+                above = [int(x) for x in inside] if inside is not None else []
+                if not any(x in held for x in (int(node), *above)):
+                    held[int(node)] = (above, text)
+            elif what == "remove":
+                gone = sorted((k, text) for k, (above, text) in held.items() if k == node or node in above)
+                for k, text in gone:
+                    del held[k]
+                    if text and text not in told:
+                        told[text] = int(seq)
+                        out.append((key[0], seq, text, ts))
+        for k in stored.keys() - held.keys():
+            self.candidates.removeKey((k,))
+        for k, v in held.items():
+            if stored.get(k) != v:
+                self.candidates.updateValue((k,), v)
+        for text in stored_told - told.keys():
+            self.told.removeKey((text,))
+        for text in told.keys() - stored_told:
+            self.told.updateValue((text,), (told[text],))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(last + self.idle_ms + 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -166,3 +167,31 @@ def test_numbers_ask_the_store_once_a_batch():
         assert out == told
         assert store.calls <= 40 * len(batches)
         assert len(store.timers) == 1
+
+
+def test_toasts_ask_the_store_once_a_batch():
+    columns = ["session_id", "seq", "what", "node", "inside", "text", "ts"]
+    rng = random.Random(5)
+    rows = []
+    for k in range(400):
+        node = rng.randrange(8)
+        rows.append(("s", k, rng.choice(["add"] * 8 + ["remove"] * 5 + ["drain"]), node, [node - 4] if node >= 4 else [], rng.choice(["", "t0", "t1", "t2"]), k))
+    held, told, expected = {}, set(), []
+    for _, seq, what, node, inside, text, _ in rows:
+        if what == "drain":
+            held, told = {}, set()
+        elif what == "add":
+            if not held.keys() & {node, *inside}:
+                held[node] = (inside, text)
+        else:
+            for k in sorted(k for k, v in held.items() if node in (k, *v[0])):
+                said = held.pop(k)[1]
+                if said and said not in told:
+                    told.add(said)
+                    expected.append((seq, said))
+    for cuts in ([0, 400], [0, 90, 93, 250, 400]):
+        batches = [[_frame(rows[a:b][::-1], columns)] for a, b in zip(cuts, cuts[1:], strict=False)]
+        out, store = _run(expiring._Toasts(900_000), batches)
+        assert [r[1:3] for r in out] == expected
+        assert [r[3] for r in out] == [pd.Timestamp(r[1], unit="s") for r in out]
+        assert store.calls <= 40 * len(batches)
