@@ -20,8 +20,8 @@ def clean_text(spark, sf_dir):
 
 
 def block_lines(spark, sf_dir):
-    kept = text.lines(F.col("text"))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.size(kept).cast("long").alias("n_lines"), F.md5(F.array_join(kept, "\n")).alias("digest"))
+    kept = _t(spark, sf_dir, "documents").select("doc_id", text.lines(F.col("text")).alias("kept"))
+    return kept.select("doc_id", F.size("kept").cast("long").alias("n_lines"), F.md5(F.array_join("kept", "\n")).alias("digest"))
 
 
 def href_flatten(spark, sf_dir):

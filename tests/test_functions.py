@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from folioscan import catalog
 from folioscan.functions import colour, text, urls
 
 
@@ -75,3 +78,21 @@ def test_origins(spark):
 def test_colours(spark, s, want):
     got = apply(spark, colour.parse_colour, [s])[0]
     assert (tuple(got) if got else None) == (pytest.approx(want) if want else None)
+
+
+@pytest.mark.parametrize("name", ["block_lines"])
+def test_texts_are_worked_out_once(spark, name):
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\p{Cc}") == 1  # the costly look at every character
+
+
+def test_plain_and_unusual_texts_have_equal_lines(spark):
+    """A sign that is drawn but unusual takes a text the long way, which must not tell."""
+    rng = random.Random(4)
+    parts = ["a", "Bé", " ", "  ", "\t", "\n", "\n", "\r\n", "\r", "\f", "\v", "ÿ", "¡", "ɏ"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(400)] + ["", "\n", "\r\n \r\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for f in (lambda c: text.lines(c), lambda c: text.lines(c, spaces=True), lambda c: F.array(text.flatten(c))):
+        short, long = F.array_join(f(F.col("t")), "|"), F.array_join(f(F.concat("t", F.lit("\n漢"))), "|")
+        for r in df.select("t", F.concat(short, F.lit("|漢")).alias("a"), long.alias("b")).collect():
+            assert r.a.replace("|", "").replace(" ", "") == r.b.replace("|", "").replace(" ", ""), r.t
