@@ -35,8 +35,8 @@ def label_differs(spark, sf_dir):
 
 
 def clip_quote(spark, sf_dir):
-    flat = text.flatten(F.col("text"))
-    return _t(spark, sf_dir, "documents").select("doc_id", text.quote(flat, 60).alias("quoted"), text.clip_bytes(flat, 61).alias("cut"), text.first_line(F.col("text")).alias("first"))
+    flat = _t(spark, sf_dir, "documents").select("doc_id", text.flatten(F.col("text")).alias("flat"), text.first_line(F.col("text")).alias("first"))
+    return flat.select("doc_id", text.quote(F.col("flat"), 60).alias("quoted"), text.clip_bytes(F.col("flat"), 61).alias("cut"), "first")
 
 
 def token_estimate(spark, sf_dir):

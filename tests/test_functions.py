@@ -80,7 +80,7 @@ def test_colours(spark, s, want):
     assert (tuple(got) if got else None) == (pytest.approx(want) if want else None)
 
 
-@pytest.mark.parametrize("name", ["block_lines"])
+@pytest.mark.parametrize("name", ["block_lines", "clip_quote"])
 def test_texts_are_worked_out_once(spark, name):
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(r"\p{Cc}") == 1  # the costly look at every character
