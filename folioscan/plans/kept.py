@@ -12,7 +12,7 @@ from folioscan.operators import changes, facts, geometry, tree
 from folioscan.plans import drawn, forms, outlines
 from folioscan.sources import sinks
 from folioscan.sources.markup import nodes
-from folioscan.sources.stored import shared_path, stored
+from folioscan.sources.stored import dealt, shared_path, stored
 from folioscan.streaming import expiring
 from folioscan.streaming.runs import run_available, run_closed, table_stream
 
@@ -43,7 +43,8 @@ def kept_files(spark, sf_dir):
     whole = sites.groupBy("user_id").agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list(F.struct("origin", "site")))).alias("storage"), F.array().cast("array<struct<name:string>>").alias("cookies"))).alias("text"))
     k = F.col("user_id") % 10
     text = F.when(k == 3, F.expr("left(text, 20)")).when(k == 4, F.concat("text", F.repeat(F.lit(" "), F.lit(SMALL_STATE)))).when(k == 5, "").otherwise(F.col("text"))
-    whole.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"), text.alias("value")).repartition("name").write.partitionBy("name").option("lineSep", "\n").text(path)
+    files = whole.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"), text.alias("value"))
+    dealt(files, "name").write.partitionBy("name").option("lineSep", "\n").text(path)
     storage, unreadable = sinks.read_kept(spark, path, SMALL_STATE)
     name = F.regexp_extract("file", r"name=u(-?\d+)/", 1).cast("long").alias("user_id")
     good = storage.select(name, "origin", F.size("items").cast("long").alias("items"), F.lit("").alias("why"))

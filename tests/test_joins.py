@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscan import catalog
 from folioscan.operators import views
+from folioscan.plans import kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +51,10 @@ def test_names_are_planned_once(spark, name):
 def test_facts_are_dealt_out_however_well_they_pack(spark, name):
     plan = plan_of(catalog.queries()[name](spark, SF))
     assert "hashpartitioning(page_id" in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_small_files_are_written_by_all_tasks(spark, monkeypatch, tmp_path):
+    """A file a user is slow to make and small: tasks put together by bytes would be one."""
+    monkeypatch.setattr(kept, "shared_path", lambda _, name: str(tmp_path / name))
+    assert catalog.queries()["kept_files"](spark, SF).count() > 0
+    assert len({f.name.split("-")[1] for f in tmp_path.rglob("part-*")}) > 1
