@@ -243,38 +243,50 @@ def cut_line(line: Column, room: Column) -> Column:
     return F.when(least, whole).when((F.char_length(word) > room) & (room >= LEAST_CUT), hard)
 
 
+def turns(lines: DataFrame, by: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """``lines`` as a written table with their turn in the keep order and what no budget changes:
+    the widths of the line, of a new ref and of a marker in its place, and the turn of the line
+    before. Any number of budgets is fitted to one such table."""
+    earliest = folds.gathered(
+        lines.select(*by, F.col("pos").alias("node"), F.when(F.col("up") >= 0, F.col("up")).alias("parent"), "class", "rank", F.col("pos").alias("_pos")),
+        by, ("class", "rank", "_pos"), _first_of, "pos int, k1 int, k2 int, k3 int",
+    )
+    page = Window.partitionBy(*by)
+    turn, lines_of_page = F.row_number().over(page.orderBy("k1", "k2", "k3", "pos")), F.count("*").over(page)
+    rows = lines.join(earliest, [*by, "pos"]).withColumns({"turn": turn, "_all": lines_of_page, "_width": F.char_length("line") + 1}).drop("k1", "k2", "k3")
+    digits = F.char_length((2 * F.col("_all") + 1).cast("string"))  # of any count, and of any new ref
+    rows = rows.withColumn("_ref_width", F.greatest(F.max(F.char_length("ref")).over(page), 1 + digits))
+    gap = 2 * F.col("indent") + len("…  more lines ") + digits + F.col("_ref_width") + 1
+    return stored(rows.withColumns({"_from": F.coalesce(F.lag("turn").over(page.orderBy("pos")), F.lit(0)), "_gap": gap}).drop("_all"), "turns")
+
+
 def fit(lines: DataFrame, budget_tokens: int, by: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """``fit_turns`` of lines that one budget alone is asked for."""
+    return fit_turns(turns(lines, by), budget_tokens, by)
+
+
+def fit_turns(rows: DataFrame, budget_tokens: int, by: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """(by, pos, what, ref, opens, line) of the lines that a budget of four characters a token
     keeps, with a marker for each run of dropped lines: how many, and the ref that opens them,
     that of the enclosing line if it is kept and has one; ``opens`` is the node of a new ref.
 
-    Lines (by, pos, up, indent, node, class, rank, ref, line) come in the order of their class,
-    then rank, then place, enclosing lines together with their first; the longest affordable
+    ``rows`` are ``turns`` of lines (by, pos, up, indent, node, class, rank, ref, line), which
+    come in the order of their class, then rank, then place, enclosing lines together with their first; the longest affordable
     start of that order is kept. What a start costs is a prefix sum: a line's own characters
     from its turn on, and a marker's from the turn of the line before a gap to that of the line
     after its first. Markers are reckoned at their widest, so the budget always holds. A line
     longer than the whole budget is cut to the room that is left.
     """
     limit = 4 * budget_tokens
-    earliest = folds.gathered(
-        lines.select(*by, F.col("pos").alias("node"), F.when(F.col("up") >= 0, F.col("up")).alias("parent"), "class", "rank", F.col("pos").alias("_pos")),
-        by, ("class", "rank", "_pos"), _first_of, "pos int, k1 int, k2 int, k3 int",
-    )
     page = Window.partitionBy(*by)
     in_order = page.orderBy("pos")
-    rows = lines.join(earliest, [*by, "pos"]).withColumns({"turn": F.row_number().over(page.orderBy("k1", "k2", "k3", "pos")), "_all": F.count("*").over(page), "_width": F.char_length("line") + 1})
-    rows = stored(rows, "turns")
-    digits = F.char_length((2 * F.col("_all") + 1).cast("string"))  # of any count, and of any new ref
-    rows = rows.withColumn("_ref_width", F.greatest(F.max(F.char_length("ref")).over(page), 1 + digits))
-    gap = 2 * F.col("indent") + len("…  more lines ") + digits + F.col("_ref_width") + 1
-    rows = rows.withColumns({"_from": F.coalesce(F.lag("turn").over(in_order), F.lit(0)), "_gap": gap})
     opens = F.col("_from") < F.col("turn")
     steps = rows.select(*by, F.col("turn").alias("n"), (F.col("_width") - F.when(opens, F.col("_gap")).otherwise(0)).cast("long").alias("cost"))
     steps = steps.unionByName(rows.where(opens).select(*by, F.col("_from").alias("n"), F.col("_gap").cast("long").alias("cost")))
     upto = page.orderBy("n")
     cost = steps.groupBy(*by, "n").agg(F.sum("cost").alias("cost")).withColumn("total", F.sum("cost").over(upto)).withColumn("next", F.lead("total").over(upto))
     last = cost.where(F.col("total") <= limit).groupBy(*by).agg(F.max("n").alias("_kept"), F.max_by("next", "n").alias("_next"))
-    rows = rows.join(last, list(by))  # a budget that no marker fits keeps nothing
+    rows = rows.join(last.hint("merge"), list(by)).hint("merge")  # a budget that no marker fits keeps nothing
     room = (limit - (F.col("_next") - F.col("_width")) - len("… ") - F.col("_ref_width") - 1).cast("int")
     cut = F.when((F.col("turn") == F.col("_kept") + 1) & (F.col("_width") > limit) & (room > 0), cut_line(F.col("line"), room))
     rows = rows.withColumns({"_keep": F.col("turn") <= F.col("_kept"), "_cut": cut}).withColumn("_stays", F.col("_keep") | F.col("_cut").isNotNull())
@@ -290,7 +302,8 @@ def fit(lines: DataFrame, budget_tokens: int, by: tuple[str, ...] = ("page_id",)
     markers = marks.select(*by, "pos", F.lit("marker").alias("what"), "ref", F.when(F.col("_given").isNull(), F.coalesce("_up_node", "node")).cast("int").alias("opens"), more.alias("line"))
     cut_ref = F.coalesce(F.nullif("ref", F.lit("")), fresh)
     kept = rows.where("_stays").select(*by, "pos", F.when(F.col("_keep"), "line").otherwise("cut").alias("what"), F.when(F.col("_keep"), F.col("ref")).otherwise(cut_ref).alias("ref"), F.when(mints_cut, F.col("node")).cast("int").alias("opens"), F.when(F.col("_keep"), F.col("line")).otherwise(F.concat(F.col("_cut"), F.lit("… "), cut_ref)).alias("line"))
-    return kept.unionByName(markers)
+    # dealt apart: a union of two sides dealt alike is taken for dealt itself, which AQE may undo
+    return kept.unionByName(markers.repartition(*by, "pos"))
 
 
 def _first_of(x: list, kids: list) -> tuple[tuple, list[tuple]]:

@@ -47,8 +47,9 @@ def outline_ratios(spark, sf_dir):
     """Characters of outlines, whole and within a quarter and an eighth of the default budget."""
     lines = _outline(spark, sf_dir)
     whole = lines.groupBy("page_id").agg(F.sum(F.char_length("line") + 1).alias("whole"))
+    rows = entries.turns(lines)
     for name, tokens in (("fitted", 60), ("tight", 30)):
-        kept = entries.fit(lines, tokens).groupBy("page_id").agg(F.sum(F.char_length("line") + 1).alias(name), F.count_if(F.col("what") == "marker").alias(f"{name}_markers"))
+        kept = entries.fit_turns(rows, tokens).groupBy("page_id").agg(F.sum(F.char_length("line") + 1).alias(name), F.count_if(F.col("what") == "marker").alias(f"{name}_markers"))
         whole = whole.join(kept, "page_id", "left")
     return whole
 
