@@ -92,10 +92,8 @@ def rebind(lost: DataFrame, nodes: DataFrame, by: tuple[str, ...] = ("page_id",)
     """(by, ref, node, matches): lost refs bound to the one node of equal role, name, tag and
     stable attributes; several are told apart by position; else unbound with their count."""
     key = [*by, "role", "name", "tag", "stable"]
-    pairs = lost.join(nodes.withColumnRenamed("position", "_position"), key)
-    w = Window.partitionBy(*by, "ref")
-    counted = pairs.withColumn("matches", F.count("*").over(w)).withColumn("_same", (F.col("position") == F.col("_position")).cast("int"))
-    counted = counted.withColumn("_sames", F.sum("_same").over(w))
-    chosen = counted.where((F.col("matches") == 1) | ((F.col("_same") == 1) & (F.col("_sames") == 1))).select(*by, "ref", "node")
-    total = counted.groupBy(*by, "ref").agg(F.first("matches").alias("matches"))
-    return lost.select(*by, "ref").join(total, [*by, "ref"], "left").join(chosen, [*by, "ref"], "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+    found = nodes.select(*key, "node", F.col("position").alias("_position"), F.lit(1).alias("_met"))
+    same = F.col("position") == F.col("_position")
+    told = lost.join(found, key, "left").groupBy(*by, "ref").agg(F.count("_met").alias("matches"), F.count_if(same).alias("_sames"), F.max("node").alias("_one"), F.max(F.when(same, F.col("node"))).alias("_same"))
+    bound = F.when(F.col("matches") == 1, F.col("_one")).when(F.col("_sames") == 1, F.col("_same"))
+    return told.select(*by, "ref", bound.alias("node"), "matches")
