@@ -6,6 +6,8 @@ style struct) as ``sources.captures`` makes them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,29 +61,32 @@ def occluded(df: DataFrame) -> DataFrame:
     four pixels wide or high count by the centre. The coverer is the top paint at the centre.
 
     A cover stands on the four cells at most that it touches in the grid whose cells are as
-    large as it is; a point is looked up once in each grid that its capture's covers use, so
-    only boxes near each other are compared.
+    large as it is; a box is looked up once in each cell that holds a point of it, in each grid
+    that its capture's covers use, so only boxes near each other are compared. Points are made
+    after the shuffles and counted as bits of a mask.
     """
     b = F.col("box")
-    point = lambda i, x, y: F.struct(F.lit(i).alias("i"), x.cast("double").alias("x"), y.cast("double").alias("y"))
-    centre = point(0, b["x"] + b["w"] / 2, b["y"] + b["h"] / 2)
+    cell = lambda x, y: F.struct(F.floor(x / size).alias("cx"), F.floor(y / size).alias("cy"))
     left, right, top, bottom = b["x"] + 1, b["x"] + b["w"] - 1, b["y"] + 1, b["y"] + b["h"] - 1
-    corners = [point(i, x, y) for i, (x, y) in enumerate([(left, top), (right, top), (left, bottom), (right, bottom)], 1)]
-    points = F.when((b["w"] < 4) | (b["h"] < 4), F.array(centre)).otherwise(F.array(centre, *corners))
-    spots = df.where(~is_empty(b)).select("capture_id", "node", "end", "path", "paint", F.size(points).alias("need"), F.explode(points).alias("p"))
+    centre, corners = (b["x"] + b["w"] / 2, b["y"] + b["h"] / 2), [(left, top), (right, top), (left, bottom), (right, bottom)]
+    small = (b["w"] < 4) | (b["h"] < 4)
     cover = df.where("paints").where(~is_empty(b)).select("capture_id", F.col("node").alias("c"), F.col("end").alias("c_end"), F.col("paint").alias("c_paint"), F.col("box").alias("c_box"))
     c = F.col("c_box")
     cover = cover.withColumn("grid", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(c["w"], c["h"]) / CELL))))
     size = CELL * F.pow(F.lit(2.0), F.col("grid"))
+    grids = cover.groupBy("capture_id").agg(F.collect_set("grid").alias("_grids"))
     cells = lambda lo, length: F.explode(F.sequence(F.floor(lo / size), F.floor((lo + length) / size)))
     cover = cover.withColumn("cx", cells(c["x"], c["w"])).withColumn("cy", cells(c["y"], c["h"]))
-    grids = cover.select("capture_id", "grid").distinct()
-    spots = spots.join(grids, "capture_id").withColumns({"cx": F.floor(F.col("p.x") / size), "cy": F.floor(F.col("p.y") / size)})
-    inside = (F.col("p.x") >= c["x"]) & (F.col("p.x") < c["x"] + c["w"]) & (F.col("p.y") >= c["y"]) & (F.col("p.y") < c["y"] + c["h"])
+    boxes = df.where(~is_empty(b)).select("capture_id", "node", "end", "path", "paint", "box").join(grids, "capture_id").withColumn("grid", F.explode("_grids"))
+    met = F.when(small, F.array(cell(*centre))).otherwise(F.array_distinct(F.array(*[cell(*p) for p in (centre, *corners)])))
+    spots = boxes.select("capture_id", "node", "end", "path", "paint", "box", "grid", F.inline(met))
+    inside = lambda x, y: (x >= c["x"]) & (x < c["x"] + c["w"]) & (y >= c["y"]) & (y < c["y"] + c["h"])
+    bit = lambda i, p: F.when(inside(*p), 1 << i).otherwise(0)
+    mask = bit(0, centre).bitwiseOR(F.when(small, 0).otherwise(reduce(Column.bitwiseOR, [bit(i, p) for i, p in enumerate(corners, 1)])))
     apart = ~((F.col("c") < F.col("end")) & (F.col("c") >= F.col("node"))) & ~F.array_contains("path", F.col("c"))
-    hits = spots.join(cover, ["capture_id", "grid", "cx", "cy"]).where((F.col("c_paint") > F.col("paint")) & inside & apart)
-    on_top = F.max_by("c", F.when(F.col("p.i") == 0, F.struct("c_paint", -F.col("c"))))
-    done = hits.groupBy("capture_id", "node").agg(F.countDistinct("p.i").alias("met"), F.first("need").alias("need"), on_top.alias("coverer"))
+    hits = spots.join(cover, ["capture_id", "grid", "cx", "cy"]).where((F.col("c_paint") > F.col("paint")) & apart).withColumns({"_mask": mask, "need": F.when(small, 1).otherwise(31)}).where("_mask > 0")
+    on_top = F.max_by("c", F.when(F.col("_mask") % 2 == 1, F.struct("c_paint", -F.col("c"))))
+    done = hits.groupBy("capture_id", "node").agg(F.bit_or("_mask").alias("met"), F.first("need").alias("need"), on_top.alias("coverer"))
     return done.where("met = need").select("capture_id", "node", "coverer")
 
 

@@ -18,6 +18,10 @@ def test_budgets_share_one_keep_order(spark, monkeypatch):
     assert out.where("fitted is null or tight is null or fitted > 240 or tight > 120 or tight > fitted").count() == 0
 
 
+def test_covered_points_are_counted_in_one_aggregation(spark):
+    assert plan_of(catalog.queries()["covered_items"](spark, SF)).count("SortAggregate") <= 2
+
+
 def test_rebinding_reads_each_side_once(spark):
     key = ("link", "n", "a", "")
     lost = spark.createDataFrame([(1, 1, *key, "p"), (1, 2, "link", "x", "a", "", "p"), (1, 3, "link", "y", "a", "", "q"), (1, 4, "link", None, "a", "", "p")], "page_id long, ref long, role string, name string, tag string, stable string, position string")
