@@ -342,6 +342,12 @@ def area_box(shape: Column, coords: Column, img: Column) -> Column:
     return F.coalesce(F.when(~F.coalesce(bad, F.lit(True)), found), whole)
 
 
+def map_nodes(nodes: DataFrame, by: str = "page_id") -> DataFrame:
+    """The nodes that ``image_map_areas`` reads, in four branches: few of a page. Where nodes come
+    from HTML these are to be written first, or each branch parses all pages anew."""
+    return nodes.where(F.col("tag").isin("map", "img", "area")).select(by, "node", "parent", "tag", "attrs")
+
+
 def image_map_areas(nodes: DataFrame, images: DataFrame, by: str = "page_id") -> DataFrame:
     """(by, node, image, box) of the areas with an address that images use: ``nodes`` with
     attrs, ``images`` (by, node, box). Of maps of one name the first counts."""

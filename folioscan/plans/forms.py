@@ -89,7 +89,7 @@ def form_tables(spark, sf_dir):
 
 
 def image_maps(spark, sf_dir):
-    n = nodes(_forms(spark, sf_dir))
+    n = stored(geometry.map_nodes(nodes(_forms(spark, sf_dir))), "maps")
     images = n.where("tag = 'img'").select("page_id", "node", F.struct(F.lit(100.0).alias("x"), F.lit(10.0).alias("y"), F.lit(50.0).alias("w"), F.lit(60.0).alias("h")).alias("box"))
     return geometry.image_map_areas(n, images).select("page_id", "box.x", "box.y", "box.w", "box.h")
 

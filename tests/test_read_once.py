@@ -18,6 +18,10 @@ def test_budgets_share_one_keep_order(spark, monkeypatch):
     assert out.where("fitted is null or tight is null or fitted > 240 or tight > 120 or tight > fitted").count() == 0
 
 
+def test_pages_of_maps_are_parsed_once(spark):
+    assert "MapInArrow" not in plan_of(catalog.queries()["image_maps"](spark, SF))
+
+
 def test_covered_points_are_counted_in_one_aggregation(spark):
     assert plan_of(catalog.queries()["covered_items"](spark, SF)).count("SortAggregate") <= 2
 
