@@ -49,6 +49,21 @@ def test_inventory_names_states(spark):
     assert audit == {("combobox", "unlabelled")}
 
 
+def test_outline_holds_the_whole_page(spark):
+    more = """<header><p>top <a href="/h">home</a></header><main><h2>In</h2><section aria-label="S"><p>deep</p><a href="/i" aria-label="icon"></a>
+<nav><button>never</button></nav></section><button>Go <b>on</b></button></main><aside>side<div role="search"><input type="search" placeholder="find"></div></aside><p hidden><button>no</button></p><div role="button">tap</div>tail"""
+    f = facts.facts(nodes(frame(spark, PAGE, more, "", None)))
+    got: dict[int, list] = {}
+    for r in views.outline(f).orderBy("page_id", "pos", "line").collect():
+        got.setdefault(r.page_id, []).append("  " * r.indent + r.line)
+    body = ["# Head line", "One **two**, [three four](/x).", "Five", "six", "- item", "  - inner", "```\na\n  b\n```", "> said", "![pic](/p.png)"]
+    want = ["navigation (2 links)", "main (1 links)", *("  " + x for x in (*body, 'button "Go"')), "form (0 links)", *("  " + x for x in ("Name", 'textbox "Name" required', 'checkbox "Agree" checked', "combobox disabled", 'option "o"')), "k", "v", "1", "a|b", "contentinfo (1 links)"]
+    assert got[0] == want
+    assert got[1] == ["banner (1 links)", "  top [home](/h)", "main (1 links)", "  ## In", "  region (1 links)", "    deep", '    link "icon"', "    navigation (0 links)", '  button "Go on"', "complementary (0 links)", "  side", "  search (0 links)", '    searchbox "find"', 'button "tap"', "tap", "tail"]
+    assert set(got) == {0, 1}
+    assert [r.line for r in views.markdown_lines(f).where("page_id = 0").orderBy("pos").collect()] == body
+
+
 def test_tables_and_search(spark):
     f = facts.facts(nodes(frame(spark, PAGE)))
     t = views.tables_tsv(f)
