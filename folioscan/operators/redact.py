@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import text
 
+from . import spelled
 from .sieve import sieve
 
 MASK = "••••"
@@ -18,6 +21,8 @@ AHEAD = 32
 PIECE = 4096
 MOST_SECRETS = 10_000
 MOST_BYTES = 8 << 20
+MOST_PACKED = 32 << 20
+BESIDE = 64  # bytes that a packed spelling takes beside its own
 FEW = 256
 
 
@@ -72,14 +77,43 @@ def _held(df: DataFrame, forms: DataFrame, origin: str, hay: Column, mark: Colum
     return near.groupBy("_of", "_mark").agg(_longest_first(F.collect_set("_form")).alias("_held"))
 
 
+def _packed(secrets: DataFrame) -> Broadcast | None:
+    """All spellings of all origins to be broadcast, or None where they exceed MOST_PACKED bytes."""
+    forms = _forms_by_start(secrets).where("_of is not null").select("_of", "_form")
+    size = forms.agg(F.coalesce(F.sum(F.octet_length("_form") + BESIDE), F.lit(0))).first()[0]
+    if size > MOST_PACKED:
+        return None
+    held = forms.toArrow()
+    pairs = zip(held["_of"].to_pylist(), held["_form"].cast(pa.binary()).to_pylist(), strict=True)
+    return secrets.sparkSession.sparkContext.broadcast(spelled.Spellings(pairs, MASK[0].encode()))
+
+
 def mask_own(df: DataFrame, secrets: DataFrame, *, origin_col: str = "origin", text_cols: tuple[str, ...] = ("text",), attrs_col: str | None = None, type_col: str | None = None, value_col: str | None = None) -> DataFrame:
     """``df`` with every spelling of its origin's secrets masked in texts and attribute values,
     longest first, and every value of a password field masked whole.
 
-    Secrets may be of any number, also of one origin: up to FEW spellings of an origin are tried
-    one after another; of origins with more, what a row's texts hold is found first, and that
-    alone replaced. Null texts, rows of null origin and empty secrets stay as they are.
+    Secrets may be of any number, also of one origin: all together are looked for in one pass of
+    Arrow batches, and no text is shuffled; beyond MOST_PACKED bytes they are joined to the texts.
+    Null texts, rows of null origin and empty secrets stay as they are.
     """
+    held = _packed(secrets)
+    if held is None:
+        out = _masked_by_joins(df, secrets, origin_col, text_cols, attrs_col)
+    else:
+        own, mask = F.col(origin_col), MASK.encode()
+        one, each = spelled.masked(held, mask), spelled.masked_each(held, mask)
+        new = {c: F.coalesce(one(own, F.col(c)), F.col(c)) for c in text_cols}
+        if attrs_col:
+            new[attrs_col] = F.map_from_arrays(F.map_keys(attrs_col), each(own, F.map_values(attrs_col)))
+        out = df.select(origin_col, *[new.get(c, F.col(c)).alias(c) for c in df.columns if c != origin_col])
+    if type_col and value_col:
+        out = out.withColumn(value_col, F.when((F.lower(F.col(type_col)) == "password") & (F.col(value_col) != ""), F.lit(MASK)).otherwise(F.col(value_col)))
+    return out
+
+
+def _masked_by_joins(df: DataFrame, secrets: DataFrame, origin_col: str, text_cols: tuple[str, ...], attrs_col: str | None) -> DataFrame:
+    """Up to FEW spellings of an origin are tried one after another; of origins with more, what a
+    row's texts hold is found first, and that alone replaced."""
     hay = F.array(*[F.col(c) for c in text_cols])
     if attrs_col:
         hay = F.concat(hay, F.coalesce(F.map_values(attrs_col), F.array().cast("array<string>")))
@@ -98,8 +132,6 @@ def mask_own(df: DataFrame, secrets: DataFrame, *, origin_col: str = "origin", t
     out = out.withColumns({c: mask_forms(F.col(c), F.col("_forms")) for c in text_cols})
     if attrs_col:
         out = out.withColumn(attrs_col, F.transform_values(attrs_col, lambda _, v: mask_forms(v, F.col("_forms"))))
-    if type_col and value_col:
-        out = out.withColumn(value_col, F.when((F.lower(F.col(type_col)) == "password") & (F.col(value_col) != ""), F.lit(MASK)).otherwise(F.col(value_col)))
     return out.drop("_forms")
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from folioscan.operators import redact
+from folioscan.operators import redact, spelled
 from folioscan.operators.sieve import sieve
 
 
@@ -57,3 +58,37 @@ def test_texts_are_not_dealt_by_origin(spark):
     out = redact.mask_own(rows, secrets)
     assert sorted(r.text for r in out.collect()) == ["of secret-word-7.", f"of {redact.MASK}.", "secret-word-7"]
     assert not re.search(r"\[origin#\d+\], \[origin#\d+\], LeftSemi", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_masks_the_same_by_joins(spark, monkeypatch):
+    monkeypatch.setattr(redact, "MOST_PACKED", -1)
+    test_masks_as_if_each_secret_were_tried(spark)
+
+
+def test_spellings_of_any_length_are_found_at_their_places():
+    rng = random.Random(7)
+    forms = [b"a", "é".encode(), b"abc", b"abcdefgh", b"abcdefghi", b"abcdefgh-long", b"zz", bytes(8), "•x".encode()]
+    table = spelled.Spellings([(o, f) for o in ("p", "q", "r") for f in forms if o != "r" or len(f) > 3], b"\xe2")
+    texts = ["".join(rng.choices(["a", "é", "abc", "abcdefgh", "i", "-long", "z", "•", "x", " ", "abcdefg"], k=rng.randrange(12))) if k % 5 else None for k in range(600)]
+    texts[7] = "abc" * 200_000
+    rows = pa.array(texts)
+    for part, at in ((rows, 0), (rows.slice(3, 400), 3), (rows.slice(599), 599), (rows.slice(0, 0), 0)):
+        got = sorted(table.found(part))
+        want = sorted((k, f) for k, t in enumerate(part.to_pylist()) if t for f in forms for m in re.finditer(b"(?=" + re.escape(f) + b")", t.encode()))
+        assert got == want
+    assert len(table.owners[b"abcdefgh"]) == 3 and len(table.owners[b"a"]) == 2 and table.anew[0] == ["•x".encode()]
+
+
+def many_secrets(spark):
+    rows = [(1, "https://a", "of secret-word-7."), (2, "https://b", "of secret-word-7."), (2, "https://b", "twin"), (None, "https://b", "secret-word-8"), (4, None, "secret-word-8"), (5, "https://b", None), (6, "https://c", "plain")]
+    origin = F.concat(F.lit("https://"), F.when(F.col("id") < redact.FEW + 9, "a").otherwise("b"))
+    secrets = spark.range(2 * redact.FEW).select(origin.alias("origin"), F.concat(F.lit("secret-word-"), "id").alias("value")).withColumn("name", F.col("value"))
+    return spark.createDataFrame(rows, "doc_id long, origin string, text string"), secrets
+
+
+def test_no_text_is_shuffled_to_mask_secrets(spark):
+    df, secrets = many_secrets(spark)
+    out = redact.mask_own(df, secrets)
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted((k or 0, f"of {redact.MASK}." if k == 1 else s or "") for k, _, s in df.collect())
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == ["origin", "doc_id", "text"]
