@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import text
+from folioscan.sources.stored import stored
 
 from . import spelled
 from .sieve import sieve
@@ -142,14 +143,20 @@ def _sized(small: DataFrame) -> DataFrame:
 
 def shown_elsewhere(df: DataFrame, secrets: DataFrame, key: str, *, origin_col: str = "origin", text_col: str = "text") -> DataFrame:
     """(key) of rows whose text shows, in any spelling, a secret of another origin of at least
-    GUARDED characters.
+    GUARDED characters. Spellings are met in one pass over the texts, as in ``mask_own``."""
+    long = secrets.where(F.char_length("value") >= GUARDED)
+    held = _packed(long)
+    if held is None:
+        return _shown_by_joins(df, long, key, origin_col, text_col)
+    return df.where(F.col(key).isNotNull() & spelled.shown(held)(F.col(origin_col), F.col(text_col))).select(key).distinct()
+
 
-    No list is gathered: every spelling of GUARDED characters or more begins with some GUARDED
+def _shown_by_joins(df: DataFrame, secrets: DataFrame, key: str, origin_col: str, text_col: str) -> DataFrame:
+    """No list is gathered: every spelling of GUARDED characters or more begins with some GUARDED
     characters, so a text's runs of so many meet the spellings on their first ones. A spelling
     that is shorter than that (only cleaning can make it so) meets on itself. Runs that a filter
-    of all beginnings rules out are never rows.
-    """
-    forms = _forms_by_start(secrets.where(F.char_length("value") >= GUARDED))
+    of all beginnings rules out are never rows."""
+    forms = _forms_by_start(secrets)
     starts = forms.select("_key").distinct()
     meets = sieve(starts, "_key")
     pieces = df.select(key, F.explode(_pieces(F.col(text_col))).alias("_s"))
@@ -160,11 +167,14 @@ def shown_elsewhere(df: DataFrame, secrets: DataFrame, key: str, *, origin_col:
 
 def scrub(df: DataFrame, secrets: DataFrame, *, key: str = "doc_id", origin_col: str = "origin", text_col: str = "text") -> DataFrame:
     """``mask_own``, then whole texts refused where a secret of another origin of at least
-    GUARDED characters still shows in any spelling. ``key`` tells rows apart."""
+    GUARDED characters still shows in any spelling. ``key`` tells rows apart; the keys of refused
+    texts are written, and go to the texts unless they exceed MOST_BYTES."""
     masked = mask_own(df, secrets, origin_col=origin_col, text_cols=(text_col,))
-    bad = shown_elsewhere(masked, secrets, key, origin_col=origin_col, text_col=text_col).withColumn("_bad", F.lit(True))
+    bad = stored(shown_elsewhere(masked, secrets, key, origin_col=origin_col, text_col=text_col), "refused")
+    size = bad.agg(F.coalesce(F.sum(F.octet_length(F.col(key).cast("string")) + 16), F.lit(0))).first()[0]
+    bad = bad.withColumn("_bad", F.lit(True))
     shows = F.coalesce("_bad", F.lit(False))
-    return masked.join(bad, key, "left").withColumn("refused", shows).withColumn(text_col, F.when(shows, F.lit(REFUSED)).otherwise(F.col(text_col))).drop("_bad")
+    return masked.join(F.broadcast(bad) if size <= MOST_BYTES else bad, key, "left").withColumn("refused", shows).withColumn(text_col, F.when(shows, F.lit(REFUSED)).otherwise(F.col(text_col))).drop("_bad")
 
 
 def archivable(sessions: DataFrame, *, session_col: str = "session_id", secret_col: str = "uses_secret", password_col: str = "typed_password") -> DataFrame:

@@ -123,3 +123,18 @@ def _masked(table: Spellings, mask: bytes, origin: pa.Array, s: pa.Array) -> pa.
             t = t if t is None else t.replace(f, mask)
         out[row] = t
     return pa.array(out, kind).view(s.type)
+
+
+def shown(held: Broadcast):
+    """A column function of (origin, text): whether a spelling of another origin stands in the text."""
+
+    @F.arrow_udf("boolean")
+    def go(origin: pa.Array, s: pa.Array) -> pa.Array:
+        table, out = held.value, np.zeros(len(s), dtype=bool)
+        for row, form in table.found(s):
+            if not out[row] and origin[row].is_valid and s[row].is_valid:
+                code = table.codes.get(origin[row].as_py())
+                out[row] = any(c != code for c in table.owners[form])
+        return pa.array(out)
+
+    return go

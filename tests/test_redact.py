@@ -92,3 +92,12 @@ def test_no_text_is_shuffled_to_mask_secrets(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted((k or 0, f"of {redact.MASK}." if k == 1 else s or "") for k, _, s in df.collect())
     assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.columns == ["origin", "doc_id", "text"]
+
+
+def test_no_text_is_shuffled_to_refuse_it(spark):
+    df, secrets = many_secrets(spark)
+    out = redact.scrub(df, secrets)
+    got = sorted((r.doc_id or 0, r.text or "", r.refused) for r in out.collect())
+    assert got == sorted([(1, f"of {redact.MASK}.", False), (2, redact.REFUSED, True), (2, redact.REFUSED, True), (0, "secret-word-8", False), (4, "secret-word-8", False), (5, "", False), (6, "plain", False)])
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == ["doc_id", "origin", "text", "refused"]
